@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc_bucket, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +22,16 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import score
+
+    return score(table(spark, sf_dir, "documents"), crc_bucket("doc_id", 7) == 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_substring_dedup": op4_substring_dedup,
+    "op9_ppm": op9_ppm,
 }
 
 ORACLE_SQL: dict[str, str] = {}
