@@ -22,6 +22,14 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ppm import score
 
@@ -31,6 +39,7 @@ def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_substring_dedup": op4_substring_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_ppm": op9_ppm,
 }
 
