@@ -22,6 +22,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digests, scan
+
+    return digests(scan(table(spark, sf_dir, "documents")))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,6 +45,7 @@ def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_secrets": op6_secrets,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_ppm": op9_ppm,
 }
