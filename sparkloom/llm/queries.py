@@ -22,6 +22,14 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), crc_bucket("doc_id", 5) != 0)
+    return score(docs, model).select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import digests, scan
 
@@ -45,6 +53,7 @@ def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_secrets": op6_secrets,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_ppm": op9_ppm,
