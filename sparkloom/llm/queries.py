@@ -50,6 +50,12 @@ def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), crc_bucket("doc_id", 7) == 2)
 
 
+def op10_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .forest import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_substring_dedup": op4_substring_dedup,
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": op6_secrets,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_ppm": op9_ppm,
+    "op10_hash_prefix_forest": op10_hash_prefix_forest,
 }
 
 ORACLE_SQL: dict[str, str] = {}
