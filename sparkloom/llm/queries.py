@@ -17,6 +17,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_quality(table(spark, sf_dir, "documents"))
 
@@ -63,6 +71,7 @@ def op10_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_retrieval_packing": op2_retrieval_packing,
     "op3_line_frequency": op3_line_frequency,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_toxicity": op5_toxicity,
