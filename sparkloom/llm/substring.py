@@ -9,8 +9,8 @@ bounded size by a hash of their id. What a bucket sends into a shuffle is one ro
 commonest passage of the corpus gives as many rows as there are buckets, never as many as documents, and no pairs.
 
 1. Each bucket's fingerprints are sorted and merged with the runs of the index (history) and with the other buckets'.
-2. Fingerprints met twice come back to their buckets, which send the windows they stand for: two independent 64-bit hashes
-   over the words, and the bucket's smallest document. A merge gives each window's smallest document of all.
+2. Fingerprints met twice come back to their buckets, which send the windows they stand for: 64 and 32 bits of two
+   independent hashes over the words, and the bucket's smallest document. A merge gives each window's smallest document of all.
 3. Windows with a smaller owner elsewhere come back; with the bucket's own order they decide which words go.
 
 `FingerprintIndex` keeps history as immutable runs, sorted by fingerprint, that are merged `fanout` at a time into the next
@@ -94,6 +94,11 @@ def _grams(h: np.ndarray, n: int, k: int) -> np.ndarray:
     return _mix(out)
 
 
+def _check(h: np.ndarray, window: int) -> np.ndarray:
+    """32 more bits over the window's words, from hashes that are independent of the first ones."""
+    return _grams(h, window, 1) >> np.uint64(32)
+
+
 def _windows(doc: np.ndarray, window: int) -> np.ndarray:
     """Whether a window starts at each word up to the last that could start one."""
     return doc[: len(doc) - window + 1] == doc[window - 1 :] if len(doc) >= window else np.zeros(0, dtype=bool)
@@ -142,7 +147,7 @@ def _smallest(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> tuple[np.ndarr
 
 def _sorted_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     h1 = np.asarray(table.column("h1")).astype(np.int64).view(np.uint64)
-    h2 = np.asarray(table.column("h2")).astype(np.int64).view(np.uint64)
+    h2 = np.asarray(table.column("h2")).astype(np.int32).view(np.uint32).astype(np.uint64)
     order = np.lexsort((h2, h1))
     return h1[order], h2[order]
 
@@ -206,11 +211,11 @@ def _emit_windows(window: int, gram: int):
             hit = met[np.minimum(np.searchsorted(met, fp[at]), len(met) - 1)] == fp[at]
             take = np.flatnonzero(hit[stretch] & ok)
             if len(take):
-                parts.append((_grams(h1, window, 0)[take], _grams(h2, window, 1)[take], ids[doc[take] + first]))
+                parts.append((_grams(h1, window, 0)[take], _check(h2, window)[take], ids[doc[take] + first]))
         h1, h2, own = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
         a, b, least, _ = _smallest(h1, h2, own)
         bucket = left.column("_bucket")[0].as_py() if len(left) else 0
-        return pa.table({"h1": a.view(np.int64), "h2": b.view(np.int64), "_bucket": np.full(len(a), bucket, dtype=np.int64), "least": least})
+        return pa.table({"h1": a.view(np.int64), "h2": b.astype(np.uint32).view(np.int32), "_bucket": np.full(len(a), bucket, dtype=np.int64), "least": least})
 
     return run
 
@@ -227,7 +232,7 @@ def _remove(window: int, keep: list[str], schema: pa.Schema):
             ok = _windows(doc, window)
             take = np.flatnonzero(ok)
             offset = sum(map(len, docs[:-1]))
-            parts.append((_grams(h1, window, 0)[take], _grams(h2, window, 1)[take], ids[doc[take] + first], take + offset))
+            parts.append((_grams(h1, window, 0)[take], _check(h2, window)[take], ids[doc[take] + first], take + offset))
         n_words = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
         total = int(n_words.sum())
         gone = np.zeros(total, dtype=bool)
@@ -248,7 +253,9 @@ def _remove(window: int, keep: list[str], schema: pa.Schema):
             kept.append(b" ".join(words if not r else compress(words, ~gone[e - n : e])).decode())
         cols = {"_id": left.column("_id")} | {c: left.column(c) for c in keep}
         cols |= {"n_words": pa.array(n_words.astype(np.int64)), "n_removed": pa.array(n_removed.astype(np.int64)), "kept_text": pa.array(kept, type=pa.string())}
-        out = pa.table(cols).filter(left.column("_batch"))
+        out = pa.table(cols)
+        if "_batch" in left.column_names:
+            out = out.filter(left.column("_batch"))
         return out.cast(schema)
 
     return run
@@ -276,9 +283,9 @@ class FingerprintIndex:
     def _read(self, names: list[str]) -> DataFrame:
         return self.spark.read.schema("m long, _bucket long, many boolean").parquet(*[f"{self.path}/{x}" for x in names])
 
-    def _dealt(self, docs: DataFrame, id_col: str, text_col: str, keep: list[str], batch: bool) -> DataFrame:
+    def _dealt(self, docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
         return docs.select(
-            F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(self.buckets)).alias("_bucket"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.lit(batch).alias("_batch"), *[F.col(c) for c in keep]
+            F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(self.buckets)).alias("_bucket"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *[F.col(c) for c in keep]
         )
 
     def _fingerprints(self, texts: DataFrame) -> DataFrame:
@@ -293,7 +300,7 @@ class FingerprintIndex:
 
     def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Add the documents' fingerprints as a run; merge runs where a level is full."""
-        self._write(self._fingerprints(self._dealt(docs, id_col, text_col, [], True).repartition("_bucket")), 0)
+        self._write(self._fingerprints(self._dealt(docs, id_col, text_col, []).repartition("_bucket")), 0)
         level = 0
         while len(full := [x for x in self.runs() if x.startswith(f"L{level}-")]) >= self.fanout:
             self._write(self._read(full), level + 1)
@@ -310,18 +317,18 @@ class FingerprintIndex:
         each other's words. A null id counts as larger than every other. `keep` names further columns to pass through.
         """
         names = [id_col, *keep]
-        texts = self._dealt(docs, id_col, text_col, list(keep), True)
+        texts = self._dealt(docs, id_col, text_col, list(keep))
         runs = self.runs() if history is not None else []
         if runs:
-            old = self._dealt(history, id_col, text_col, [], False)
-            texts = texts.unionByName(old, allowMissingColumns=True)
+            old = self._dealt(history, id_col, text_col, []).withColumn("_batch", F.lit(False))
+            texts = texts.withColumn("_batch", F.lit(True)).unionByName(old, allowMissingColumns=True)
         texts = texts.repartition("_bucket")
         fps = self._fingerprints(texts.where("_batch") if runs else texts)
         if runs:
             fps = fps.unionByName(self._read(runs))
         w = Window.partitionBy("m")
         met = fps.withColumn("n", F.count("*").over(w)).withColumn("any", F.max("many").over(w)).where("n > 1 or any").select("_bucket", "m")
-        wins = texts.groupBy("_bucket").cogroup(met.groupBy("_bucket")).applyInArrow(_emit_windows(self.window, self.gram), "h1 long, h2 long, _bucket long, least long")
+        wins = texts.groupBy("_bucket").cogroup(met.groupBy("_bucket")).applyInArrow(_emit_windows(self.window, self.gram), "h1 long, h2 int, _bucket long, least long")
         first = F.min("least").over(Window.partitionBy("h1", "h2"))
         away = wins.withColumn("first", first).where("first < least").select("_bucket", "h1", "h2")
         fields = [f for f in texts.schema.fields if f.name == "_id"] + [texts.schema[c] for c in keep]
