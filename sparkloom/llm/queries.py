@@ -49,6 +49,15 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(scan(table(spark, sf_dir, "documents")))
 
 
+def op7_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    known = table(spark, sf_dir, "conversations")
+    model = chat.fit(known, crc_bucket("conv_id", 5) != 0)
+    found = chat.parse(chat.transcripts(known), model)
+    return found.select("conv_id", (F.col("part") * chat.PART_TURNS + F.col("seq")).alias("turn"), "role", "text", "rendered")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_secrets": op6_secrets,
+    "op7_transcripts": op7_transcripts,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_ppm": op9_ppm,
     "op10_hash_prefix_forest": op10_hash_prefix_forest,
