@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -134,3 +134,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = connected_components(links(known)).withColumnRenamed("node", "rep")
     named = classes.join(comp, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """docs without all but one row of each class of near-duplicates: the row of the class's smallest id. Columns stay.
+
+    Rows that share an id are one document; its row first in text order stays. Rows with a null id stay where no row with an id
+    has their fingerprint, one for each fingerprint.
+    """
+    classes = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle)
+    chosen = classes.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    order = [F.col(c) for c, t in docs.dtypes if t in ("string", "bigint", "int")]
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    named = docs.join(chosen, id_col, "left_semi").withColumn("_rank", rank(id_col)).where("_rank = 1").drop("_rank")
+    unnamed = docs.where(F.col(id_col).isNull())
+    if unnamed.isEmpty():
+        return named
+    # the text takes the id's place as a key: hashed like the others, then matched
+    keyed = unnamed.withColumn("_row", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    prints = fingerprints(keyed.select("_row", text_col), "_row", text_col, shingle).distinct()
+    fresh = prints.join(classes.select("fp").distinct(), "fp", "left_anti")
+    rest = keyed.join(fresh, "_row").withColumn("_rank", rank("fp")).where("_rank = 1").drop("_rank", "_row", "fp")
+    return named.unionByName(rest.select(*docs.columns))

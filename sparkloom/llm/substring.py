@@ -220,7 +220,7 @@ def _emit_windows(window: int, gram: int):
     return run
 
 
-def _remove(window: int, keep: list[str], schema: pa.Schema):
+def _remove(window: int, keep: list[str], schema: pa.Schema, rejoin: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts = _ids(left.column("_id")), _bytes(left.column("_text"))
         s1, s2 = _sorted_pairs(right)
@@ -248,7 +248,11 @@ def _remove(window: int, keep: list[str], schema: pa.Schema):
         upto = np.concatenate([[0], np.cumsum(gone)])
         n_removed = upto[ends] - upto[ends - n_words]
         kept = []
-        for t, e, n, r in zip(texts, ends, n_words, n_removed):
+        whole = left.column("_text").to_pylist() if not rejoin else texts
+        for t, e, n, r, own in zip(texts, ends, n_words, n_removed, whole):
+            if not r and not rejoin:
+                kept.append(own)
+                continue
             words = t.split()
             kept.append(b" ".join(words if not r else compress(words, ~gone[e - n : e])).decode())
         cols = {"_id": left.column("_id")} | {c: left.column(c) for c in keep}
@@ -309,12 +313,13 @@ class FingerprintIndex:
                 fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}"), True)
             level += 1
 
-    def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), history: DataFrame | None = None) -> DataFrame:
+    def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), history: DataFrame | None = None, rejoin: bool = True) -> DataFrame:
         """docs -> (id, *keep, n_words, n_removed, kept_text): each input row without the words that repeat a smaller id's.
 
         history: the documents behind the runs, with the same id and text columns; their rows are not returned. Null or
         empty text: no words, empty kept_text. Texts shorter than a window keep every word. Rows with the same id don't remove
         each other's words. A null id counts as larger than every other. `keep` names further columns to pass through.
+        rejoin: kept words are joined by single spaces in every text; otherwise a text that loses nothing stays as it is.
         """
         names = [id_col, *keep]
         texts = self._dealt(docs, id_col, text_col, list(keep))
@@ -337,7 +342,7 @@ class FingerprintIndex:
         from pyspark.sql.types import StructType
 
         schema = StructType([*fields, *out])
-        kept = texts.groupBy("_bucket").cogroup(away.groupBy("_bucket")).applyInArrow(_remove(self.window, list(keep), to_arrow_schema(schema)), schema)
+        kept = texts.groupBy("_bucket").cogroup(away.groupBy("_bucket")).applyInArrow(_remove(self.window, list(keep), to_arrow_schema(schema), rejoin), schema)
         return kept.toDF(*names, "n_words", "n_removed", "kept_text")
 
 
@@ -347,6 +352,6 @@ def bucket_count(docs: DataFrame, text_col: str = "text") -> int:
     return max(1, -(-size // BUCKET_BYTES))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), rejoin: bool = True) -> DataFrame:
     """One batch against an empty index: see FingerprintIndex.dedup."""
-    return FingerprintIndex(docs.sparkSession, buckets=bucket_count(docs, text_col)).dedup(docs, id_col, text_col, keep)
+    return FingerprintIndex(docs.sparkSession, buckets=bucket_count(docs, text_col)).dedup(docs, id_col, text_col, keep, rejoin=rejoin)
