@@ -1,0 +1 @@
+"""Derived tables and registered queries."""
