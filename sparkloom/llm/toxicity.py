@@ -1,7 +1,9 @@
 """Toxicity by maximum-scoring segments.
 
 Tokens are scored by their log-odds between toxic and other documents under an informative Dirichlet prior (the corpus's own
-token frequencies), less one standard deviation; tokens without evidence cost `DRIFT`. A linear scan finds every maximal
+token frequencies), less one standard deviation; tokens whose odds aren't clearly over `OFFSET` cost `DRIFT`. What is counted
+is a token's distinct left neighbours, by label: a document copied a thousand times, or a passage that many share, is evidence
+once. A linear scan finds every maximal
 scoring segment of a document (Ruzzo and Tompa, 1999). What a clean document of n tokens reaches by chance follows an
 extreme-value law: from clean training documents its scale and location are fitted, and a segment's score becomes
 -log10 of its expected number in a clean document of that length. Segments expected less than `EXPECT` times are significant.
@@ -13,22 +15,25 @@ the token table is bounded too. Every document is scored, and whole.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from .common import cut
+
 #: Bounds of the fit: labelled rows, and tokens kept by evidence.
-MAX_LABELLED, MAX_TOKENS = 40_000, 50_000
-#: Pseudo-counts of the prior in all, cost of a token without evidence, evidence (in standard deviations) a token needs.
-PRIOR, DRIFT, EVIDENCE = 500.0, 0.15, 2.0
+MAX_LABELLED, MAX_TOKENS = 20_000, 50_000
+#: Weight of the prior against the counts, log-odds that a token must exceed, cost of other tokens, standard deviations of
+#: evidence that a token needs.
+PRIOR, OFFSET, DRIFT, EVIDENCE = 0.03, 1.5, 0.3, 1.5
 EXPECT = 0.05
 
 #: Lower case for A-Z, a space for every other ASCII character that is no letter or digit.
@@ -87,17 +92,17 @@ class Model:
 
 
 def token_scores(words: list[bytes], toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> dict[bytes, float]:
-    """Log-odds of tokens (documents that hold them, by label), shrunk by a deviation; without evidence: not in the result."""
-    prior = PRIOR * (toxic + clean) / max(1, n_toxic + n_clean)
+    """Log-odds, less a deviation, of the tokens that are clearly likelier in toxic documents; others aren't in the result.
+
+    toxic, clean: distinct contexts of each token by label; n_toxic, n_clean: their sums over all tokens.
+    """
+    prior = PRIOR * (toxic + clean)
     a, b = toxic + prior, clean + prior
-    na, nb = n_toxic + PRIOR, n_clean + PRIOR
-    odds = np.log(a / (na - np.minimum(a, na - 0.5))) - np.log(b / (nb - np.minimum(b, nb - 0.5)))
+    odds = np.log(a / n_toxic) - np.log(b / n_clean)
     deviation = np.sqrt(1 / a + 1 / b)
-    keep = np.abs(odds) >= EVIDENCE * deviation
-    value = np.where(odds > 0, odds - deviation - DRIFT, np.minimum(odds + deviation, 0) - DRIFT)
-    order = np.flatnonzero(keep)
-    order = order[np.argsort(-np.abs(odds[order] / deviation[order]), kind="stable")][:MAX_TOKENS]
-    return {words[i]: float(value[i]) for i in order.tolist()}
+    order = np.flatnonzero((odds >= EVIDENCE * deviation) & (odds - deviation > OFFSET))
+    order = order[np.argsort(-odds[order] / deviation[order], kind="stable")][:MAX_TOKENS]
+    return {words[i]: float(odds[i] - deviation[i]) for i in order.tolist()}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
@@ -125,33 +130,33 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     chosen = spark.sparkContext.broadcast({r["_id"]: r["_toxic"] for r in rows})
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, sizes = {True: Counter(), False: Counter()}, Counter()
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bool, set[tuple[bytes, bytes]]] = {True: set(), False: set()}
         for b in batches:
             ids = b.column(0).to_pylist()
             mine = [i for i, x in enumerate(ids) if x in chosen.value]
             for i, text in zip(mine, b.column(1).take(pa.array(mine, type=pa.int64())).to_pylist()):
-                flag = chosen.value[ids[i]]
-                sizes[flag] += 1
-                seen[flag].update(set(tokens(text)))
-        words = list(seen[True].keys() | seen[False].keys())
-        for k in range(0, len(words), 1 << 16):
-            part = words[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, type=pa.binary()), pa.array([seen[True][w] for w in part], type=pa.int64()), pa.array([seen[False][w] for w in part], type=pa.int64())], names=["w", "t", "c"])
-        # no token is empty: the number of documents
-        yield pa.RecordBatch.from_arrays([pa.array([b""], type=pa.binary()), pa.array([sizes[True]], type=pa.int64()), pa.array([sizes[False]], type=pa.int64())], names=["w", "t", "c"])
-
-    counted = texts.mapInArrow(count, "w binary, t long, c long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    # a token in one document has no evidence either way; the sample's size bounds what is left
-    table = counted.where("t + c > 1 or w = X''").toArrow()
-    words, t, c = table.column("w").to_pylist(), np.asarray(table.column("t")).astype(float), np.asarray(table.column("c")).astype(float)
-    sizes = {w: (a, b) for w, a, b in zip(words, t, c) if w == b""}.get(b"", (0, 0))
-    n_toxic, n_clean = int(sizes[0]), int(sizes[1])
+                words = tokens(text)
+                seen[chosen.value[ids[i]]].update(zip(words, [b"", *words]))
+        for flag, own in seen.items():
+            rows = list(own)
+            for k in range(0, len(rows), 1 << 16):
+                part = rows[k : k + (1 << 16)]
+                before = np.fromiter((xxhash.xxh64_intdigest(x) for _, x in part), dtype=np.uint64, count=len(part)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], type=pa.binary()), pa.array(before), pa.array([flag] * len(part))], names=["w", "before", "toxic"])
+
+    once = texts.mapInArrow(pairs, "w binary, before long, toxic boolean").distinct()
+    counted = cut(once.groupBy("w").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c")), "toxic-tokens")
+    n_toxic, n_clean = (int(x or 0) for x in counted.agg(F.sum("t"), F.sum("c")).first())
     if not n_toxic or not n_clean:
-        share = min(0.99, max(0.01, n_toxic / max(1, n_toxic + n_clean))) if n_toxic + n_clean else 0.01
+        labels_seen = [r["_toxic"] for r in rows]
+        share = min(0.99, max(0.01, sum(labels_seen) / max(1, len(labels_seen))))
         return Model({}, weights=(float(np.log(share / (1 - share))), 0.0, 0.0))
-    body = np.array([w != b"" for w in words])
-    model = Model(token_scores([w for w in words if w != b""], t[body], c[body], n_toxic, n_clean))
+    # only tokens over the offset can be kept: few, whatever the sample's vocabulary is
+    odds = F.log((F.col("t") + PRIOR * (F.col("t") + F.col("c"))) / n_toxic) - F.log((F.col("c") + PRIOR * (F.col("t") + F.col("c"))) / n_clean)
+    table = counted.where((F.col("t") > 1) & (odds > OFFSET)).orderBy("w").toArrow()
+    words, t, c = table.column("w").to_pylist(), np.asarray(table.column("t")).astype(float), np.asarray(table.column("c")).astype(float)
+    model = Model(token_scores(words, t, c, n_toxic, n_clean))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
