@@ -16,8 +16,8 @@ def greedy(rows: DataFrame, group: list[str], order: list[str], size: str, budge
     costs = F.col(size).cast("long")
     skip = F.coalesce(F.col(free), F.lit(False)) if free else F.lit(False)
     rank = Window.partitionBy(*group).orderBy(*order)
-    numbered = rows.withColumn("_n", F.row_number().over(rank)).withColumn("_c", F.when(skip, F.lit(None)).otherwise(costs))
-    pairs = F.transform(F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), F.col("_c").alias("c")))), lambda x: x["c"])
+    numbered = rows.withColumn("_greedy_n", F.row_number().over(rank)).withColumn("_greedy_c", F.when(skip, F.lit(None)).otherwise(costs))
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct(F.col("_greedy_n").alias("n"), F.col("_greedy_c").alias("c")))), lambda x: x["c"])
     zero = F.struct(F.lit(0).cast("long").alias("spent"), F.lit(0).alias("count"), F.array().cast("array<int>").alias("at"), F.lit(1).alias("n"), F.array().cast("array<bigint>").alias("sums"))
 
     def step(s: Column, c: Column) -> Column:
@@ -30,8 +30,8 @@ def greedy(rows: DataFrame, group: list[str], order: list[str], size: str, budge
         return F.struct(spent.alias("spent"), (s["count"] + fits.cast("int")).alias("count"), F.concat(s["at"], one).alias("at"), (s["n"] + 1).alias("n"), F.concat(s["sums"], paid).alias("sums"))
 
     folded = numbered.groupBy(*group).agg(F.aggregate(pairs, zero, step).alias("f"))
-    picks = folded.select(*group, F.explode(F.arrays_zip(F.col("f.at").alias("at"), F.col("f.sums").alias("sums"))).alias("p")).select(*group, F.col("p.at").alias("_n"), F.col("p.sums").alias("spent"))
-    return numbered.join(picks, [*group, "_n"], "left").withColumn("taken", F.col("spent").isNotNull()).drop("_n", "_c")
+    picks = folded.select(*group, F.explode(F.arrays_zip(F.col("f.at").alias("at"), F.col("f.sums").alias("sums"))).alias("p")).select(*group, F.col("p.at").alias("_greedy_n"), F.col("p.sums").alias("spent"))
+    return numbered.join(picks, [*group, "_greedy_n"], "left").withColumn("taken", F.col("spent").isNotNull()).drop("_greedy_n", "_greedy_c")
 
 
 def pick(ranked: DataFrame, score: str, key: str, size: str, budget: int, top: int) -> list[dict]:
