@@ -24,14 +24,14 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_folder
 
 WINDOW, GRAM = 13, 4
 #: Bytes of text that a bucket holds, about.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
 #: Stands for a null id: after every other.
@@ -214,8 +214,7 @@ def _emit_windows(window: int, gram: int):
                 parts.append((_grams(h1, window, 0)[take], _check(h2, window)[take], ids[doc[take] + first]))
         h1, h2, own = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
         a, b, least, _ = _smallest(h1, h2, own)
-        bucket = left.column("_bucket")[0].as_py() if len(left) else 0
-        return pa.table({"h1": a.view(np.int64), "h2": b.astype(np.uint32).view(np.int32), "_bucket": np.full(len(a), bucket, dtype=np.int64), "least": least})
+        return pa.table({"h1": a.view(np.int64), "h2": b.astype(np.uint32).view(np.int32), "least": least})
 
     return run
 
@@ -287,9 +286,12 @@ class FingerprintIndex:
     def _read(self, names: list[str]) -> DataFrame:
         return self.spark.read.schema("m long, _bucket long, many boolean").parquet(*[f"{self.path}/{x}" for x in names])
 
+    def _bucket(self, ids: Column) -> Column:
+        return F.pmod(F.xxhash64(ids), F.lit(self.buckets))
+
     def _dealt(self, docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
         return docs.select(
-            F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(self.buckets)).alias("_bucket"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *[F.col(c) for c in keep]
+            self._bucket(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).alias("_bucket"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *[F.col(c) for c in keep]
         )
 
     def _fingerprints(self, texts: DataFrame) -> DataFrame:
@@ -333,9 +335,10 @@ class FingerprintIndex:
             fps = fps.unionByName(self._read(runs))
         w = Window.partitionBy("m")
         met = fps.withColumn("n", F.count("*").over(w)).withColumn("any", F.max("many").over(w)).where("n > 1 or any").select("_bucket", "m")
-        wins = texts.groupBy("_bucket").cogroup(met.groupBy("_bucket")).applyInArrow(_emit_windows(self.window, self.gram), "h1 long, h2 int, _bucket long, least long")
+        wins = texts.groupBy("_bucket").cogroup(met.groupBy("_bucket")).applyInArrow(_emit_windows(self.window, self.gram), "h1 long, h2 int, least long")
         first = F.min("least").over(Window.partitionBy("h1", "h2"))
-        away = wins.withColumn("first", first).where("first < least").select("_bucket", "h1", "h2")
+        # a bucket's smallest document lies in it, so the row says where it came from
+        away = wins.withColumn("first", first).where("first < least").select(self._bucket(F.col("least")).alias("_bucket"), "h1", "h2")
         fields = [f for f in texts.schema.fields if f.name == "_id"] + [texts.schema[c] for c in keep]
         out = self.spark.createDataFrame([], "n_words long, n_removed long, kept_text string").schema.fields
         from pyspark.sql.pandas.types import to_arrow_schema
