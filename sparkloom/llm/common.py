@@ -52,3 +52,12 @@ def parts(spark: SparkSession) -> int:
 def crc_bucket(column: str, mod: int):
     """crc32 of an id written as text, modulo mod."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(mod)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that cut() left in the shared folder. Call it once no result that reads one is still to be computed."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for entry in fs.listStatus(root) if fs.exists(root) else []:
+        if entry.getPath().getName().startswith("sparkloom-"):
+            fs.delete(entry.getPath(), True)

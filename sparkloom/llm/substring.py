@@ -358,3 +358,17 @@ def bucket_count(docs: DataFrame, text_col: str = "text") -> int:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), rejoin: bool = True) -> DataFrame:
     """One batch against an empty index: see FingerprintIndex.dedup."""
     return FingerprintIndex(docs.sparkSession, buckets=bucket_count(docs, text_col)).dedup(docs, id_col, text_col, keep, rejoin=rejoin)
+
+
+def oracle(window: int = WINDOW) -> str:
+    """DuckDB SQL for the registered query: each row's words, removed words and the hash of what is kept."""
+    return rf"""
+    with d as (select row_number() over () as r, coalesce(doc_id, {LAST}) as i, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+    g as (select r, i, k, array_to_string(list_slice(w, k, k + {window - 1}), ' ') as g from (select r, i, w, unnest(range(1, len(w) - {window - 2})) as k from d)),
+    m as (select g, min(i) as first from g group by g),
+    x as (select distinct g.r, g.k + t.j as k from g join m using (g), range({window}) t(j) where m.first < g.i),
+    s as (select r, unnest(w) as word, generate_subscripts(w, 1) as k from d),
+    kept as (select s.r, count(*) as n, string_agg(s.word, ' ' order by s.k) as t from s anti join x on s.r = x.r and s.k = x.k group by s.r)
+    select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(len(d.w) - coalesce(kept.n, 0) as bigint) as n_removed, sha256(coalesce(kept.t, '')) as kept_sha256
+    from d left join kept using (r)
+    """
