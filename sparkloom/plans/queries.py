@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -629,3 +630,39 @@ def reconstructed(spark, sf):
 def patch_roundtrip(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", F.array_join(F.transform(F.split("text", "\n"), lambda t, i: F.when(i % 3 == 1, F.upper(t)).otherwise(t)), "\n").alias("new"))
     return docs.select("doc_id", (code.patched(F.col("text"), code.unified_patch(F.col("text"), F.col("new"))) == F.col("new")).alias("same"))
+
+
+@query()
+def real_tokens(spark, sf):
+    import public_tokenizers
+
+    count = code.token_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return table(spark, sf, "documents").select("doc_id", count(F.col("text")).alias("tokens"))
+
+
+# --- streams ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"""with {sql_events()}, mk as (select session, path, ts_ms as ts, seq, case when k % 4 > 0 then hash end as hash from raw where op = 'read'),
+ed as (select session, path, ts_ms, seq, hash, case when seq % 3 = 0 then 'Write' else 'Edit' end as tool from raw where op <> 'read'),
+j as (select ed.*, mk.ts as seen_ts, mk.hash as seen_hash, row_number() over (partition by ed.seq order by mk.ts desc) as n from ed left join mk on mk.session = ed.session and mk.path = ed.path and mk.ts < ed.ts_ms)
+select session, path as key, seq as ask, case when seen_ts is null then 'never-seen' when seen_hash <> hash then 'drift' else 'allow' end as verdict, seen_ts from j where n = 1""")
+def stream_seen(spark, sf):
+    """The guard as a stream over the whole event table, run to its end; the same verdicts as the batch form."""
+    from ..streaming.seen import guard_stream
+
+    raw = raw_events(spark, sf)
+    tool = F.when(F.col("seq") % 3 == 0, "Write").otherwise("Edit")
+    read = F.col("op") == "read"
+    rows = raw.select(
+        "session", F.when(read, "mark").otherwise("edit").alias("kind"), F.col("path").alias("key"), F.col("ts_ms").alias("ts"), F.when(read & (F.col("k") % 4 > 0), F.col("hash")).alias("hash"),
+        F.when(~read, F.col("seq")).alias("ask"), F.when(~read, tool).alias("tool"), F.lit(True).alias("exists"), F.when(~read, F.col("hash")).alias("disk_hash"),
+    )
+    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    at = f"{root}/sparkloom-stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{at}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = guard_stream(spark.readStream.schema(rows.schema).parquet(f"{at}/in"))
+    q = out.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out")
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/out").select("session", "key", "ask", "verdict", "seen_ts")
