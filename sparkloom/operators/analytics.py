@@ -47,8 +47,10 @@ def touch_fold(touches: DataFrame, seq: str = "seq") -> DataFrame:
 def sweep_stats(lines: DataFrame, touches: DataFrame, exact: DataFrame, line: str = "line") -> DataFrame:
     """One row: lines, lines that said something, reads and edits (those of sub-agents too)."""
     said = touches.select(line).unionByName(exact.select(line)).distinct()
-    counts = touches.agg(F.count_if(F.col("op") == "read").alias("reads_seen"), F.count_if(F.col("op") != "read").alias("edits_seen"))
-    return lines.agg(F.count("*").alias("lines")).crossJoin(said.agg(F.count("*").alias("parsed_lines"))).crossJoin(counts)
+    one = lambda rows, x: rows.agg(x).scalar()
+    return lines.agg(F.count("*").alias("lines")).select(
+        "lines", one(said, F.count("*")).alias("parsed_lines"), one(touches, F.count_if(F.col("op") == "read")).alias("reads_seen"), one(touches, F.count_if(F.col("op") != "read")).alias("edits_seen")
+    )
 
 
 def first_versions(exact: DataFrame, seq: str = "seq") -> DataFrame:
@@ -140,11 +142,10 @@ def co_context(events: DataFrame, path: str, window_minutes: int = 30, at_ms: in
     """Files seen within the window around the focus moment, in sessions that saw the path in it: most events first."""
     key = path_key(F.col("path"))
     mine = events.where(key == path_key(F.lit(path)))
-    focus = F.broadcast(mine.agg(F.max("ts_ms").alias("_focus")) if at_ms is None else events.sparkSession.range(1).select(F.lit(at_ms).alias("_focus")))
-    near = F.abs(F.col("ts_ms") - F.col("_focus")) <= window_minutes * 60_000
-    # the focus is one row: joining it is a filter, not a product
-    sessions = mine.crossJoin(focus).where(near).select("session").distinct()
-    others = events.where((key != path_key(F.lit(path))) & ~F.coalesce("excluded", F.lit(False))).crossJoin(focus).where(near)
+    focus = mine.agg(F.max("ts_ms")).scalar() if at_ms is None else F.lit(at_ms)
+    near = F.abs(F.col("ts_ms") - focus) <= window_minutes * 60_000
+    sessions = mine.where(near).select("session").distinct()
+    others = events.where((key != path_key(F.lit(path))) & ~F.coalesce("excluded", F.lit(False))).where(near)
     found = others.join(sessions, "session", "left_semi").groupBy(key.alias("key")).agg(F.min_by("path", seq).alias("path"), F.count("*").alias("events"), F.countDistinct("session").alias("sessions"), F.min(seq).alias("first"))
     return found.orderBy(F.desc("events"), "first").limit(top).select("path", "events", "sessions")
 

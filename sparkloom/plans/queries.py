@@ -32,8 +32,8 @@ def query(sql: str | None = None):
 
 
 def with_now(rows: DataFrame, column: str = "ts_ms") -> DataFrame:
-    """rows with `_now`, the latest time in them: a join with one row."""
-    return rows.crossJoin(F.broadcast(rows.agg(F.max(column).alias("_now"))))
+    """rows with `_now`, the latest time in them: a scalar subquery."""
+    return rows.withColumn("_now", rows.agg(F.max(column)).scalar())
 
 
 # --- packs ------------------------------------------------------------------------------------------------------------
