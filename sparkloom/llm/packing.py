@@ -101,14 +101,14 @@ class Index:
         for k, ids in enumerate(docs):
             t, c = _terms(ids)
             w = idf[t] * _weights(c, len(ids), mean)
-            terms.append(t)
-            weights.append(w)
-            owner.append(np.full(len(t), k, dtype=np.int64))
-            self.queries.append(t[np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS]] if len(t) > QUERY_TERMS else t)
-        t = np.concatenate(terms) if terms else np.zeros(0, dtype=np.int64)
+            terms.append(t.astype(np.uint16))
+            weights.append(w.astype(np.float32))
+            owner.append(np.full(len(t), k, dtype=np.int32))
+            self.queries.append((t[np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS]] if len(t) > QUERY_TERMS else t).astype(np.uint16))
+        t = np.concatenate(terms) if terms else np.zeros(0, dtype=np.uint16)
         order = np.argsort(t, kind="stable")
-        self.owner = np.concatenate(owner)[order] if terms else t
-        self.weight = np.concatenate(weights)[order] if terms else t.astype(float)
+        self.owner = np.concatenate(owner)[order] if terms else np.zeros(0, dtype=np.int32)
+        self.weight = np.concatenate(weights)[order] if terms else np.zeros(0, dtype=np.float32)
         self.start = np.searchsorted(t[order], np.arange((1 << 16) + 1))
         self.n = len(docs)
 
