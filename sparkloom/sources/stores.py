@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.content import content_hash, git_blob_sha1
-from ..functions.paths import safe_name
+from ..functions.paths import safe_name, writer_key
 from ..schemas import ARCHIVE_EVENT, BLOB, MANIFEST, PRESENCE
 
 DAY_MS = 86_400_000
@@ -114,9 +114,30 @@ def manifest_as_of(manifests: DataFrame, session: str | None, now_ms: int, max_a
     return fit.orderBy(F.desc("_own"), F.desc("mtime"), "session").limit(1).drop("_own")
 
 
+def _save_by(rows: DataFrame, key: Column, name: str, path: str) -> None:
+    """Replace the keys that rows hold, each in a folder of its own; other keys stay as they are."""
+    keyed = rows.withColumn(name, key)
+    keyed.repartition(name).write.partitionBy(name).option("partitionOverwriteMode", "dynamic").mode("overwrite").json(path)
+
+
+def save_presence(records: DataFrame, path: str) -> None:
+    """Write each writer's record over its last one (see operators.presence for what a writer keeps)."""
+    _save_by(records.select(*PRESENCE.names), writer_key(F.col("sid"), F.col("agent")), "writer", path)
+
+
+def save_seen(seen: DataFrame, reader: str, path: str) -> None:
+    """Write each reader's last-seen files (reader, key, ts, hash) over its last state."""
+    _save_by(seen, F.col(reader), "_reader", path)
+
+
+def load_seen(spark: SparkSession, path: str, reader: str) -> DataFrame:
+    """(key, ts, hash) of one reader: only its folder is opened."""
+    return spark.read.schema("key string, ts long, hash string, _reader string").json(path).where(F.col("_reader") == reader).drop("_reader")
+
+
 def read_presence(spark: SparkSession, path: str) -> DataFrame:
     """Presence records, one JSON file each, with the file's `mtime`; malformed ones are left out."""
-    rows = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True)
     parsed = rows.select(F.from_json("value", PRESENCE).alias("r"), F.unix_millis("_metadata.file_modification_time").alias("mtime"))
     return parsed.select("r.*", "mtime").where("intents is not null and edits is not null")
 

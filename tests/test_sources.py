@@ -66,6 +66,20 @@ def test_presence_files(spark, tmp_path):
     assert [(r.sid, r.intents[0].path) for r in rows] == [("s", "f")] and rows[0].mtime > 0
 
 
+def test_records_replace_their_own_writers_only(spark, tmp_path):
+    path = str(tmp_path / "p")
+    schema = "sid string, agent string, pid long, updatedAt long, intents array<struct<path: string, ts: bigint>>, edits array<struct<path: string, ts: bigint, hash: string>>"
+    save = lambda *rows: stores.save_presence(spark.createDataFrame([(s, a, 1, t, [], [("f", t, None)]) for s, a, t in rows], schema), path)
+    save(("s/1", "main", 5), ("t", "sub", 6))
+    save(("s/1", "main", 9))
+    assert sorted((r.sid, r.updatedAt, r.edits[0].ts) for r in stores.read_presence(spark, path).collect()) == [("s/1", 9, 9), ("t", 6, 6)]
+    seen = spark.createDataFrame([("r", "/a", 1, "h"), ("q", "/b", 2, None)], "who string, key string, ts long, hash string")
+    stores.save_seen(seen, "who", str(tmp_path / "g"))
+    stores.save_seen(seen.where("who = 'r'").withColumn("ts", F.lit(7).cast("long")), "who", str(tmp_path / "g"))
+    assert [tuple(r) for r in stores.load_seen(spark, str(tmp_path / "g"), "r").collect()] == [("/a", 7, "h")]
+    assert [tuple(r) for r in stores.load_seen(spark, str(tmp_path / "g"), "q").collect()] == [("/b", 2, None)]
+
+
 def test_git_heads(tmp_path, spark):
     repo = tmp_path / "r"
     run = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True, text=True).stdout.strip()
