@@ -1,4 +1,4 @@
-"""Helpers shared by the training-data operators: table access, shared storage, word splitting."""
+"""Helpers shared by the training-data operators: table access, shared storage."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space that separates words: space and the ASCII controls 9 to 13.
-WHITE = " \t\n\x0b\x0c\r"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,10 +42,6 @@ def drop(df: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def crc_bucket(column: str, mod: int):
     """crc32 of an id written as text, modulo mod."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(mod)
