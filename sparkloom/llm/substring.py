@@ -8,6 +8,8 @@ equal fingerprints and only about a fifth as many fingerprints as windows are mo
 bounded size by a hash of their id. What a bucket sends into a shuffle is one row per fingerprint or window it holds, so the
 commonest passage of the corpus gives as many rows as there are buckets, never as many as documents, and no pairs.
 
+A text that a smaller id holds word for word is settled by a digest of the whole text and sends nothing.
+
 1. Each bucket's fingerprints are sorted and merged with the runs of the index (history) and with the other buckets'.
 2. Fingerprints met twice come back to their buckets, which send the windows they stand for: 64 and 32 bits of two
    independent hashes over the words, and the bucket's smallest document. A merge gives each window's smallest document of all.
@@ -19,6 +21,7 @@ level. A batch is judged against the runs and itself; matches are verified on th
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import cut, new_folder
 
 WINDOW, GRAM = 13, 4
 #: Bytes of text that a bucket holds, about.
@@ -169,38 +172,70 @@ def _among(h1: np.ndarray, h2: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np
         at = np.where(same, at + 1, len(s1))
 
 
+def _copies(ids: np.ndarray, texts: list[bytes], info: pa.Table) -> np.ndarray:
+    """Which rows are whole copies of a text with a smaller id: info's rows with a tag name them by id and digest."""
+    named = set(zip(np.asarray(info.column("_copy")).tolist(), info.column("_tag").to_pylist()))
+    held = {i for i, _ in named}
+    return np.array([i in held and (i, int(hashlib.sha256(t).hexdigest()[:15], 16)) in named for i, t in zip(ids.tolist(), texts)], dtype=bool)
+
+
+def _tagged(info: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """(rows that name copies, the others)."""
+    tag = info.column("_tag").is_valid()
+    return info.filter(tag), info.filter(info.column("_tag").is_null())
+
+
+def _bucket_fingerprints(bucket: int, texts: list[bytes], window: int, gram: int) -> pa.Table:
+    fps, docs = [], []
+    for first, chunk in _chunks(texts):
+        doc, (h, _), _ = _words(chunk)
+        if len(doc) < window:
+            continue
+        fp, ok = _fingerprint(h, window, gram), _windows(doc, window)
+        at, _ = _runs(fp, doc, ok)
+        at = at[ok[at]]
+        fps.append(fp[at])
+        docs.append(doc[at] + first)
+    fp, doc = (np.concatenate(x) for x in (fps, docs)) if fps else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    order = np.argsort(fp, kind="stable")
+    fp, doc = fp[order], doc[order]
+    at = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]])) if len(fp) else np.zeros(0, dtype=np.int64)
+    many = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at) if len(at) else np.zeros(0, dtype=bool)
+    return pa.table({"m": fp[at].view(np.int64), "_bucket": np.full(len(at), bucket, dtype=np.int64), "many": many})
+
+
 def _emit_fingerprints(window: int, gram: int):
+    """For runs: batches of rows, a bucket's together or not."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buckets, texts = np.asarray(b.column("_bucket")), _bytes(b.column("_text"))
-            for bucket in np.unique(buckets):
-                own = [texts[i] for i in np.flatnonzero(buckets == bucket)]
-                fps, docs = [], []
-                for first, chunk in _chunks(own):
-                    doc, (h, _), _ = _words(chunk)
-                    if len(doc) < window:
-                        continue
-                    fp, ok = _fingerprint(h, window, gram), _windows(doc, window)
-                    at, _ = _runs(fp, doc, ok)
-                    at = at[ok[at]]
-                    fps.append(fp[at])
-                    docs.append(doc[at] + first)
-                if fps:
-                    fp, doc = np.concatenate(fps), np.concatenate(docs)
-                    order = np.argsort(fp, kind="stable")
-                    fp, doc = fp[order], doc[order]
-                    at = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
-                    if len(at):
-                        many = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
-                        yield pa.RecordBatch.from_arrays([pa.array(fp[at].view(np.int64)), pa.array(np.full(len(at), bucket, dtype=np.int64)), pa.array(many)], names=["m", "_bucket", "many"])
+            for bucket in np.unique(buckets).tolist():
+                yield from _bucket_fingerprints(bucket, [texts[i] for i in np.flatnonzero(buckets == bucket)], window, gram).to_batches()
+
+    return run
+
+
+def _emit_fresh_fingerprints(window: int, gram: int):
+    """For a batch: one bucket and its copies."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if "_batch" in left.column_names:
+            left = left.filter(left.column("_batch"))
+        ids, texts = _ids(left.column("_id")), _bytes(left.column("_text"))
+        fresh = np.flatnonzero(~_copies(ids, texts, right)).tolist()
+        return _bucket_fingerprints(left.column("_bucket")[0].as_py() if len(left) else 0, [texts[i] for i in fresh], window, gram)
 
     return run
 
 
 def _emit_windows(window: int, gram: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        named, info = _tagged(right)
         ids, texts = _ids(left.column("_id")), _bytes(left.column("_text"))
-        met = np.sort(np.asarray(right.column("m")).astype(np.int64).view(np.uint64))
+        fresh = np.flatnonzero(~_copies(ids, texts, named))
+        ids, texts = ids[fresh], [texts[i] for i in fresh.tolist()]
+        met = np.sort(np.asarray(info.column("m")).astype(np.int64).view(np.uint64))
         parts = []
         for first, chunk in _chunks(texts) if len(met) else ():
             doc, (h1, h2), _ = _words(chunk)
@@ -222,14 +257,16 @@ def _emit_windows(window: int, gram: int):
 def _remove(window: int, keep: list[str], schema: pa.Schema, rejoin: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts = _ids(left.column("_id")), _bytes(left.column("_text"))
-        s1, s2 = _sorted_pairs(right)
+        named, info = _tagged(right)
+        copy = _copies(ids, texts, named)
+        s1, s2 = _sorted_pairs(info)
         parts, counts, docs = [], [], []
         for first, chunk in _chunks(texts):
             doc, (h1, h2), n = _words(chunk)
             counts.append(n)
             docs.append(doc + first)
             ok = _windows(doc, window)
-            take = np.flatnonzero(ok)
+            take = np.flatnonzero(ok & ~copy[doc[: len(ok)] + first])
             offset = sum(map(len, docs[:-1]))
             parts.append((_grams(h1, window, 0)[take], _check(h2, window)[take], ids[doc[take] + first], take + offset))
         n_words = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
@@ -243,6 +280,8 @@ def _remove(window: int, keep: list[str], schema: pa.Schema, rejoin: bool):
             np.add.at(step, away, 1)
             np.add.at(step, away + window, -1)
             gone = np.cumsum(step)[:total] > 0
+            # all words of a copy go, if it has a window at all
+            gone |= np.repeat(copy & (n_words >= window), n_words)
         ends = np.cumsum(n_words)
         upto = np.concatenate([[0], np.cumsum(gone)])
         n_removed = upto[ends] - upto[ends - n_words]
@@ -329,16 +368,20 @@ class FingerprintIndex:
         if runs:
             old = self._dealt(history, id_col, text_col, []).withColumn("_batch", F.lit(False))
             texts = texts.withColumn("_batch", F.lit(True)).unionByName(old, allowMissingColumns=True)
+        digest = F.sha2(F.coalesce("_text", F.lit("")), 256)
+        marked = texts.select("_bucket", F.coalesce("_id", F.lit(LAST)).alias("_copy"), F.unhex(digest).alias("_digest"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("_tag"))
+        first = marked.groupBy("_digest").agg(F.min("_copy").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        copies = cut(marked.join(first, "_digest").where("_copy > _first").select("_bucket", "_copy", "_tag"), "copies")
         texts = texts.repartition("_bucket")
-        fps = self._fingerprints(texts.where("_batch") if runs else texts)
+        fps = texts.groupBy("_bucket").cogroup(copies.groupBy("_bucket")).applyInArrow(_emit_fresh_fingerprints(self.window, self.gram), "m long, _bucket long, many boolean")
         if runs:
             fps = fps.unionByName(self._read(runs))
         w = Window.partitionBy("m")
-        met = fps.withColumn("n", F.count("*").over(w)).withColumn("any", F.max("many").over(w)).where("n > 1 or any").select("_bucket", "m")
+        met = fps.withColumn("n", F.count("*").over(w)).withColumn("any", F.max("many").over(w)).where("n > 1 or any").select("_bucket", "m").unionByName(copies, allowMissingColumns=True)
         wins = texts.groupBy("_bucket").cogroup(met.groupBy("_bucket")).applyInArrow(_emit_windows(self.window, self.gram), "h1 long, h2 int, least long")
         first = F.min("least").over(Window.partitionBy("h1", "h2"))
         # a bucket's smallest document lies in it, so the row says where it came from
-        away = wins.withColumn("first", first).where("first < least").select(self._bucket(F.col("least")).alias("_bucket"), "h1", "h2")
+        away = wins.withColumn("first", first).where("first < least").select(self._bucket(F.col("least")).alias("_bucket"), "h1", "h2").unionByName(copies, allowMissingColumns=True)
         fields = [f for f in texts.schema.fields if f.name == "_id"] + [texts.schema[c] for c in keep]
         out = self.spark.createDataFrame([], "n_words long, n_removed long, kept_text string").schema.fields
         from pyspark.sql.pandas.types import to_arrow_schema
