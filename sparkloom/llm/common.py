@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,15 @@ def drop(df: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def give_back() -> None:
+    """Hand free memory of this Python worker back to the system: workers live on between tasks, and so would their peaks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it keeps its memory
+        pass
+
+
 def crc_bucket(column: str, mod: int):
     """crc32 of an id written as text, modulo mod."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(mod)

@@ -21,7 +21,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import give_back, new_folder
 
 WINDOW, END_ID = 2048, 1
 #: Tokens that a shard holds, about; terms that a seed asks with (its heaviest); neighbours fetched at a time.
@@ -52,6 +52,7 @@ def tokenize(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_
                 ids.append(np.array(own, dtype="<u2").tobytes())
                 n.append(len(own))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, type=pa.binary()), pa.array(n, type=pa.int64())], names=["_id", "ids", "n"])
+            give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col)).mapInArrow(run, "_id long, ids binary, n long")
 
@@ -206,6 +207,7 @@ def pack(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id",
         base = part.column("shard")[0].as_py() << 32
         at = pa.array([order[d] for d, *_ in pieces], type=pa.int64())
         cols = list(zip(*pieces))
+        give_back()
         return pa.table({
             "_id": part.column("_id").take(at), "start": pa.array(cols[1], type=pa.int64()), "length": pa.array(cols[2], type=pa.int64()), "ids_crc32": pa.array(crc, type=pa.int64()),
             "doc_tokens": pa.array([len(coded_ids[d]) for d in cols[0]], type=pa.int64()), "sequence_id": pa.array([base + k for k in cols[3]], type=pa.int64()), "offset": pa.array(cols[4], type=pa.int64()),

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, new_folder
+from .common import cut, give_back, new_folder
 
 WINDOW, GRAM = 13, 4
 #: Bytes of text that a bucket holds, about.
@@ -224,6 +224,7 @@ def _emit_fresh_fingerprints(window: int, gram: int):
             left = left.filter(left.column("_batch"))
         ids, texts = _ids(left.column("_id")), _bytes(left.column("_text"))
         fresh = np.flatnonzero(~_copies(ids, texts, right)).tolist()
+        give_back()
         return _bucket_fingerprints(left.column("_bucket")[0].as_py() if len(left) else 0, [texts[i] for i in fresh], window, gram)
 
     return run
@@ -249,6 +250,7 @@ def _emit_windows(window: int, gram: int):
                 parts.append((_grams(h1, window, 0)[take], _check(h2, window)[take], ids[doc[take] + first]))
         h1, h2, own = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
         a, b, least, _ = _smallest(h1, h2, own)
+        give_back()
         return pa.table({"h1": a.view(np.int64), "h2": b.astype(np.uint32).view(np.int32), "least": least})
 
     return run
@@ -296,6 +298,7 @@ def _remove(window: int, keep: list[str], schema: pa.Schema, rejoin: bool):
         cols = {"_id": left.column("_id")} | {c: left.column(c) for c in keep}
         cols |= {"n_words": pa.array(n_words.astype(np.int64)), "n_removed": pa.array(n_removed.astype(np.int64)), "kept_text": pa.array(kept, type=pa.string())}
         out = pa.table(cols)
+        give_back()
         if "_batch" in left.column_names:
             out = out.filter(left.column("_batch"))
         return out.cast(schema)

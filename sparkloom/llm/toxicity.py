@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .common import cut
+from .common import cut, give_back
 
 #: Bounds of the fit: labelled rows, and tokens kept by evidence.
 MAX_LABELLED, MAX_TOKENS = 20_000, 50_000
@@ -144,6 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
                 part = rows[k : k + (1 << 16)]
                 before = np.fromiter((xxhash.xxh64_intdigest(x) for _, x in part), dtype=np.uint64, count=len(part)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], type=pa.binary()), pa.array(before), pa.array([flag] * len(part))], names=["w", "before", "toxic"])
+        seen.clear()
+        give_back()
 
     once = texts.mapInArrow(pairs, "w binary, before long, toxic boolean").distinct()
     counted = cut(once.groupBy("w").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c")), "toxic-tokens")
@@ -207,6 +209,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 best, whole, _, found = m.features(text)
                 scores.append(m.score(best, whole))
                 passages.append([{"start": a, "end": e, "surprise": v} for a, e, v in found])
+            give_back()
             cols = [*b.columns[:-1], pa.array(scores, type=pa.float64()), pa.array(passages, type=arrow.field("passages").type)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
