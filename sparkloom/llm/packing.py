@@ -52,7 +52,7 @@ def tokenize(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_
                 ids.append(np.array(own, dtype="<u2").tobytes())
                 n.append(len(own))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, type=pa.binary()), pa.array(n, type=pa.int64())], names=["_id", "ids", "n"])
-            give_back()
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col)).mapInArrow(run, "_id long, ids binary, n long")
 
