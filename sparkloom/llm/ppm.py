@@ -1,16 +1,19 @@
 """Language-model scores by prediction by partial matching over bytes, with a unigram base beside it.
 
-The model is a byte trie of contexts of up to `order` bytes, escape method D (Howard, 1993), with symbol exclusion: a symbol is coded in the
-longest context that was seen, and each escape leaves out the symbols of the contexts already escaped from. A word is coded
-byte by byte and ended by a space; contexts reach back to the space before the word and no further, and the document's end
-is one more symbol after a space. So a word's code length depends on the word alone, and is worked out once per distinct word
-of the corpus instead of once per occurrence.
-
-1. Words are counted over all documents, apart for training documents (pre-aggregated per task before the shuffle).
-2. The trie's counts are summed from the distinct training words. Contexts are cut into blocks by their last byte so that one
-   block has about `block` entries at most; a block is what is broadcast, and each pass over the distinct words scores the
-   positions whose context ends in a byte of its block. One block is enough for ordinary corpora.
-3. Documents are scored: the commonest words (`head` at most, a fixed number) come from a broadcast table, the others are joined.
+A document's bytes are its lower-cased words, one space between two of them, and an end symbol. The model is a byte trie of
+contexts of up to `order` bytes, which reach back over words (spaces stand before a document), with escape method D (Howard, 1993)
+and symbol exclusion: a symbol is coded in the longest context that was seen, and each escape leaves out the symbols of the
+contexts already escaped from. The model is pretrained on the documents that aren't held out.
+
+So a symbol's code length depends on the symbol and the `order` bytes before it. These grams of order + 1 bytes are what is counted and
+what is scored once each, however often they occur:
+
+1. One pass counts words and grams over all documents, apart for training documents. A task sorts its positions and sends each
+   distinct gram once for some millions of positions.
+2. Shorter contexts' counts are sums over the grams. A gram seen in training is coded in its whole context. The others go down the
+   trie by joins on (length, context); a context has 256 symbols at most, and nothing of the trie is collected or broadcast.
+3. Documents are scored: the commonest words and grams (`head` and `head_grams` at most, fixed numbers) come from a broadcast table, the
+   others are joined.
 """
 
 from __future__ import annotations
@@ -21,277 +24,267 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, give_back
 
-#: The end of a document as a word: what follows a space when no word does. No word holds this byte.
-END = b"\n"
+#: The end of a document as a word and as a symbol. No word holds this byte, nor the space.
+END, SPACE = b"\n", b" "
 #: Symbols there are: what no context has seen is uniform over the rest of these.
 SYMBOLS = 256
+#: Bytes of context: with the symbol a gram must fit into 63 bits.
 ORDER = 5
-HEAD = 1 << 18
-BLOCK = 4_000_000
-#: Distinct words that are handled at once.
-STEP = 1 << 15
+HEAD, HEAD_GRAMS = 1 << 18, 1 << 19
+#: Bytes that are looked at together, and grams that are sorted together.
+STEP, SORTED = 1 << 20, 1 << 22
 
 
-def _positions(words: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """For each coded symbol of the words: its contexts of 1..order bytes as numbers, whether they are that long, the symbol, its word.
-
-    A context of k bytes is the number of those bytes, the last one lowest, with a one bit above them.
-    """
-    # the space before each word, the word, then the space that ends it (which the next word's contexts reach back to)
-    buf = np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8).astype(np.uint64)
-    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+def _grams(texts: list[list[bytes]], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(grams, document of each) of texts given as words, the end not among them; a gram's symbol is its lowest byte."""
+    parts = [SPACE * order + SPACE.join(words) + END for words in texts]
+    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    buf = np.frombuffer(b"".join(parts), dtype=np.uint8)
     ends = np.cumsum(sizes)
-    word = np.repeat(np.arange(len(words)), sizes)
-    at = np.arange(1, len(buf))
-    inside = at - (ends - sizes)[word]  # bytes since the space before the word, that space included
-    contexts, deep, value = [], [], np.zeros(len(at), dtype=np.uint64)
-    for k in range(1, order + 1):
-        back = np.maximum(at - k, 0)
-        value = value | (buf[back] << np.uint64(8 * (k - 1)))
-        contexts.append(value | np.uint64(1 << (8 * k)))
-        deep.append(inside >= k)
-    is_end = np.fromiter((w == END for w in words), dtype=bool, count=len(words))
-    coded = ~(is_end[word] & (inside > 1))  # the end mark is one symbol with no space after it
-    return [c[coded] for c in contexts], np.array(deep)[:, coded], buf[at][coded].astype(np.int64), word[coded]
-
-
-def _count_words(most: int = 1_000_000):
-    """Per task: each word once for every `most` distinct words met, with its count in rows whose flag is true."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learnt: Counter = Counter()
-        others: Counter = Counter()
-
-        def out():
-            learnt.update(dict.fromkeys(others.keys() - learnt.keys(), 0))
-            words, counts = list(learnt), list(learnt.values())
-            for k in range(0, len(words), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(words[k : k + (1 << 16)], type=pa.binary()), pa.array(counts[k : k + (1 << 16)], type=pa.int64())], names=["word", "c"])
-            learnt.clear()
-            others.clear()
-
-        for b in batches:
-            for flag, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                tokens = (text or b"").lower().split()
-                tokens.append(END)
-                (learnt if flag else others).update(tokens)
-            if len(learnt) + len(others) > most:
-                yield from out()
-        yield from out()
-
-    return run
-
+    for at in range(0, len(buf), STEP):
+        part = buf[max(0, at - order) : at + STEP].astype(np.int64)
+        lead = at - max(0, at - order)
+        n = len(part) - lead
+        gram = np.zeros(n, dtype=np.int64)
+        place = np.arange(at, at + n)
+        doc = np.searchsorted(ends, place, side="right")
+        coded = place - (ends - sizes)[doc] >= order
+        for back in range(min(order, lead + n - 1), -1, -1):
+            # what would reach before the buffer belongs to no coded symbol
+            own = part[max(0, lead - back) : lead - back + n]
+            gram[n - len(own) :] |= own << (8 * back)
+        yield gram[coded], doc[coded]
+
+
+def _by_bytes(rows: list, size) -> Iterator[list]:
+    """Consecutive rows of about STEP bytes together."""
+    now, n = [], 0
+    for r in rows:
+        now.append(r)
+        n += size(r)
+        if n >= STEP:
+            yield now
+            now, n = [], 0
+    if now:
+        yield now
+
+
+def _counted(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    g = np.sort(np.concatenate(grams)) if grams else np.zeros(0, dtype=np.int64)
+    at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, dtype=np.int64)
+    return g[at], np.diff(np.append(at, len(g)))
+
+
+#: A word's row has the gram -1, a gram's row the word " ".
+_COUNTS = pa.schema([("word", pa.binary()), ("gram", pa.int64()), ("c", pa.int64())])
+
+
+def _count(order: int, most: int = 500_000):
+    """Rows (learn, text) -> words and grams with their counts in rows whose flag is true, each once for many positions."""
 
-def _count_contexts(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[bool, Counter] = {True: Counter(), False: Counter()}
+        grams: dict[bool, list[np.ndarray]] = {True: [], False: []}
+
+        def out_words():
+            words[True].update(dict.fromkeys(words[False].keys() - words[True].keys(), 0))
+            all_words, counts = list(words[True]), list(words[True].values())
+            for k in range(0, len(all_words), 1 << 16):
+                some = pa.array(all_words[k : k + (1 << 16)], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([some, pa.array(np.full(len(some), -1)), pa.array(counts[k : k + (1 << 16)], type=pa.int64())], schema=_COUNTS)
+            words[True].clear()
+            words[False].clear()
+
+        def out_grams(flag: bool):
+            g, c = _counted(grams[flag])
+            grams[flag].clear()
+            for k in range(0, len(g), 1 << 18):
+                some = g[k : k + (1 << 18)]
+                blank = pa.array([SPACE], type=pa.binary()).take(pa.array(np.zeros(len(some), dtype=np.int64)))
+                yield pa.RecordBatch.from_arrays([blank, pa.array(some), pa.array(c[k : k + (1 << 18)] if flag else np.zeros(len(some), dtype=np.int64))], schema=_COUNTS)
+
+        waiting = {True: 0, False: 0}
         for b in batches:
-            words, counts = b.column(0).to_pylist(), np.asarray(b.column(1))
-            for at in range(0, len(words), STEP):
-                contexts, deep, symbol, word = _positions(words[at : at + STEP], order)
-                weight = counts[at : at + STEP][word]
-                # order 0 is the context of no bytes: the number 1
-                for k, (c, ok) in enumerate(zip([np.full(len(symbol), 1, dtype=np.uint64), *contexts], [np.ones(len(symbol), dtype=bool), *deep])):
-                    key = (c[ok] << np.uint64(8)) | symbol[ok].astype(np.uint64)
-                    u, inv = np.unique(key, return_inverse=True)
-                    n = np.bincount(inv, weights=weight[ok], minlength=len(u)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["key", "n"])
+            rows = list(zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()))
+            for flag in (True, False):
+                for some in _by_bytes([t or b"" for f, t in rows if bool(f) == flag], len):
+                    texts = [t.lower().split() for t in some]
+                    for own in texts:
+                        words[flag].update(own)
+                    words[flag][END] += len(texts)
+                    for g, _ in _grams(texts, order):
+                        grams[flag].append(g)
+                        waiting[flag] += len(g)
+                        if waiting[flag] >= SORTED:
+                            waiting[flag] = 0
+                            yield from out_grams(flag)
+                    if len(words[True]) + len(words[False]) > most:
+                        yield from out_words()
+        yield from out_words()
+        yield from out_grams(True)
+        yield from out_grams(False)
+        give_back()
 
     return run
 
 
-class Trie:
-    """Counts of (context, symbol) as sorted numbers, with what exclusion needs worked out once per context."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
-        sort = np.argsort(keys)
-        self.order, self.keys, self.counts = order, keys[sort].astype(np.uint64), counts[sort].astype(np.float64)
-        context = self.keys >> np.uint64(8)
-        self.contexts, start = np.unique(context, return_index=True)
-        self.total = np.add.reduceat(self.counts, start) if len(start) else np.zeros(0)
-        self.kinds = np.diff(np.append(start, len(self.keys))).astype(np.float64)
-        # what is left of the next shorter context once the symbols of this one are left out
-        shorter = self._shorter(context)
-        found, at = self._find(self.keys, (shorter << np.uint64(8)) | (self.keys & np.uint64(255)))
-        mass = np.add.reduceat(np.where(found, self.counts[at], 0.0), start) if len(start) else np.zeros(0)
-        has, up = self._find(self.contexts, self._shorter(self.contexts))
-        self.rest_total = np.where(has, self.total[up] - mass, 0.0) if len(start) else np.zeros(0)
-        self.rest_kinds = np.where(has, self.kinds[up] - self.kinds, 0.0) if len(start) else np.zeros(0)
-
-    @staticmethod
-    def _shorter(context: np.ndarray) -> np.ndarray:
-        """The context without its first byte (0 for the context of no bytes)."""
-        if not len(context):
-            return context
-        bits = np.zeros(len(context), dtype=np.uint64)
-        for k in range(7):
-            bits[context >= np.uint64(1 << (8 * k))] = 8 * k
-        low = np.where(bits > 0, bits - np.uint64(8), np.uint64(0))
-        one = np.uint64(1) << low
-        return np.where(bits > 0, (context & (one - np.uint64(1))) | one, np.uint64(0))
-
-    @staticmethod
-    def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table):
-            return np.zeros(len(wanted), dtype=bool), np.zeros(len(wanted), dtype=np.int64)
-        at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
-        return table[at] == wanted, at
-
-    def log10(self, contexts: list[np.ndarray], deep: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        n = len(symbol)
-        out = np.zeros(n)
-        open_ = np.ones(n, dtype=bool)
-        left = np.full(n, -1, dtype=np.int64)  # the context just escaped from
-        for k in range(self.order, -1, -1):
-            rows = np.flatnonzero(open_ & (deep[k - 1] if k else True))
-            ctx = contexts[k - 1][rows] if k else np.ones(len(rows), dtype=np.uint64)
-            known, c = self._find(self.contexts, ctx)
-            rows, ctx, c = rows[known], ctx[known], c[known]
-            fresh = left[rows] < 0
-            prev = np.maximum(left[rows], 0)
-            total = np.where(fresh, self.total[c], self.rest_total[prev])
-            kinds = np.where(fresh, self.kinds[c], self.rest_kinds[prev])
-            hit, at = self._find(self.keys, (ctx << np.uint64(8)) | symbol[rows].astype(np.uint64))
-            out[rows[hit]] += np.log10((self.counts[at[hit]] - 0.5) / total[hit])
-            open_[rows[hit]] = False
-            miss = ~hit
-            # a context with nothing left after exclusion is escaped from at no cost
-            some = miss & (kinds > 0)
-            out[rows[some]] += np.log10(kinds[some] / (2 * total[some]))
-            left[rows[miss]] = c[miss]
-        root = self.kinds[0] if len(self.kinds) and self.contexts[0] == 1 else 0.0
-        out[open_] -= np.log10(max(1.0, SYMBOLS - root))
-        return out
-
-
-def _score_words(broadcast, order: int, part: list[int] | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(*broadcast.value, order)
-        member = np.zeros(256, dtype=bool)
-        member[part if part is not None else range(256)] = True
-        for b in batches:
-            words = b.column("word").to_pylist()
-            out = np.zeros(len(words))
-            for at in range(0, len(words), STEP):
-                contexts, deep, symbol, word = _positions(words[at : at + STEP], order)
-                mine = member[(contexts[0] & np.uint64(255)).astype(np.int64)]
-                got = trie.log10([c[mine] for c in contexts], deep[:, mine], symbol[mine])
-                out[at : at + STEP] = np.bincount(word[mine], weights=got, minlength=len(words[at : at + STEP]))
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(out)], names=["word", "c", "lp"])
-
-    return run
-
-
-def count_words(docs: DataFrame, flag: str, text_col: str) -> DataFrame:
-    """docs -> (word, c): each distinct lower-cased word (and the end) of all documents, with its count where flag is true."""
-    rows = docs.select(F.col(flag), F.col(text_col)).mapInArrow(_count_words(), "word binary, c long")
-    return rows.groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def word_scores(words: DataFrame, order: int = ORDER, block: int = BLOCK) -> DataFrame:
-    """words(word, c) -> (word, c, lp): log10 probability of each word and its end under the model trained on the counts c."""
-    spark = words.sparkSession
-    grams = cut(words.where("c > 0").mapInArrow(_count_contexts(order), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "ppm-trie")
-    # the byte just before the symbol; the context of no bytes belongs to every block
-    last = F.when(F.col("key") < 512, F.lit(-1)).otherwise(F.shiftright("key", 8).bitwiseAND(F.lit(255)))
-    grams = grams.withColumn("last", last)
-    size = {r["last"]: r["n"] for r in grams.groupBy("last").agg(F.count("*").alias("n")).collect()}  # 257 rows at most
-    blocks, now, left = [], [], 0
-    for byte in range(256):
-        if now and left + size.get(byte, 0) > block:
-            blocks.append(now)
-            now, left = [], 0
-        now.append(byte)
-        left += size.get(byte, 0)
-    blocks.append(now)
-    done = []
-    for part in blocks:
-        rows = grams.where(F.col("last").isin([-1, *part])).select("key", "n").toArrow()
-        table = spark.sparkContext.broadcast((np.asarray(rows.column("key")).astype(np.uint64), np.asarray(rows.column("n"))))
-        done.append(words.mapInArrow(_score_words(table, order, part), "word binary, c long, lp double"))
-    if len(done) == 1:
-        return done[0]
-    total = done[0]
-    for d in done[1:]:
-        total = total.unionByName(d)
-    return total.groupBy("word").agg(F.first("c").alias("c"), F.sum("lp").alias("lp"))
-
-
-def _score_docs(head, total: int, vocabulary: int):
-    """Rows (row, id, held, word, tf, n, known, base, lp): a document's sums over head words on its first row, its other words each on one."""
+def count(docs: DataFrame, learn: str, text_col: str, order: int = ORDER) -> DataFrame:
+    """docs -> (word, gram, c): each distinct word (and the end) and gram of all documents, with its count where learn is true."""
+    rows = docs.select(F.col(learn), F.col(text_col)).mapInArrow(_count(order), "word binary, gram long, c long")
+    return rows.groupBy("word", "gram").agg(F.sum("c").alias("c"))
+
+
+def gram_scores(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """grams(gram, c) -> (gram, c, lp): log10 probability of each gram's symbol after its context, under the counts c."""
+    low = lambda column, n: F.col(column).bitwiseAND(F.element_at(F.array(*[F.lit((1 << min(63, 8 * k)) - 1).cast("long") for k in range(order + 3)]), n + 1))  # noqa: E731  the lowest n bytes
+    whole = F.shiftright("gram", 8)
+    total = F.sum("c").over(Window.partitionBy(whole))
+    known = grams.where("c > 0").withColumn("total", total).select("gram", "c", F.log10((F.col("c") - 0.5) / F.col("total")).alias("lp"))
+
+    # counts of every context's symbols: a context's length, and its bytes with the symbol's
+    lengths = F.explode(F.sequence(F.lit(0), F.lit(order))).alias("k")
+    spread = grams.where("c > 0").select("gram", "c", lengths).select("k", low("gram", F.col("k") + 1).alias("g"), "c")
+    trie = cut(spread.groupBy("k", "g").agg(F.sum("c").alias("n")), "ppm-trie").withColumn("ctx", F.shiftright("g", 8))
+
+    # what training never saw goes down the trie: a row for each length
+    opened = grams.where("c = 0").select("gram", lengths).select("gram", "k", low("gram", F.col("k") + 1).alias("g"))
+    opened = cut(opened.withColumn("ctx", F.shiftright("g", 8)), "ppm-open")
+    asked = opened.select("k", "ctx").distinct()
+    mine = trie.join(asked, ["k", "ctx"], "left_semi")
+    contexts = mine.groupBy("k", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    # what is left of the next shorter context once the symbols of this one are left out
+    shorter = trie.select((F.col("k") + 1).alias("k"), F.col("g").alias("up"), F.col("n").alias("n_up"))
+    gone = mine.where("k > 0").withColumn("up", low("g", F.col("k"))).join(shorter, ["k", "up"]).groupBy("k", "ctx").agg(F.sum("n_up").alias("gone"), F.count("*").alias("gone_kinds"))
+    gone = gone.select((F.col("k") - 1).alias("k"), F.col("ctx").alias("longer"), "gone", "gone_kinds")
+
+    at = opened.withColumn("longer", F.shiftright(low("gram", F.col("k") + 2), 8))
+    at = at.join(contexts, ["k", "ctx"]).join(trie.select("k", "g", "n"), ["k", "g"], "left").join(gone, ["k", "longer"], "left")
+    total, kinds = F.col("total") - F.coalesce("gone", F.lit(0)), F.col("kinds") - F.coalesce("gone_kinds", F.lit(0))
+    # a context with nothing left after exclusion is escaped from at no cost
+    step = F.struct("k", F.log10(F.try_divide(F.col("n") - 0.5, total)).alias("hit"), F.when(kinds > 0, F.log10(F.try_divide(kinds, 2 * total))).otherwise(0.0).alias("escape"), "kinds")
+    steps = at.groupBy("gram").agg(F.collect_list(step).alias("steps"))  # order + 1 at most
+    hit = F.filter("steps", lambda s: s["hit"].isNotNull())
+    level = F.coalesce(F.array_max(F.transform(hit, lambda s: s["k"])), F.lit(-1))
+    unseen = lambda s: -F.log10(F.greatest(F.lit(1.0), SYMBOLS - s["kinds"]))
+    cost = lambda s: F.when(s["k"] > level, s["escape"] + F.when((level < 0) & (s["k"] == 0), unseen(s)).otherwise(0.0)).when(s["k"] == level, s["hit"]).otherwise(0.0)
+    fresh = steps.select("gram", F.lit(0).cast("long").alias("c"), F.aggregate(F.transform("steps", cost), F.lit(0.0), lambda a, b: a + b).alias("lp"))
+    # without any training there is no context at all
+    alone = opened.select("gram").distinct().join(steps.select("gram"), "gram", "left_anti").select("gram", F.lit(0).cast("long").alias("c"), F.lit(-float(np.log10(SYMBOLS))).alias("lp"))
+    return known.unionByName(fresh).unionByName(alone)
+
+
+def _top(scored: DataFrame, most: int) -> DataFrame:
+    """Rows whose count reaches a bound that `most` rows at most reach. The counts' histogram has some hundred steps, so no row is sorted."""
+    step = F.floor(8 * F.log2(F.col("c"))).cast("int")
+    sizes = scored.where("c > 0").groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()
+    least, room = None, most
+    for r in sorted(sizes, key=lambda r: -r["step"]):
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["step"]
+    return scored.where((F.col("c") > 0) & (step >= least) if least is not None else F.lit(False))
+
+
+def _score_docs(words_table, grams_table, total: int, vocabulary: int, order: int):
+    """Rows (row, own, word, gram, tf): a document's sums over the tables' words and grams on one row, its other words and grams each on one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, lps = head.value
+        words, counts = words_table.value
         norm = np.log10(total + vocabulary + 1)
         place = dict(zip(words, range(len(words))))
         base = np.log10(counts + 1.0) - norm
-        known = (counts > 0).astype(np.int64)
+        keys, lps = grams_table.value
         row = TaskContext.get().partitionId() << 33
         for b in batches:
-            out = {k: [] for k in ("row", "id", "held", "word", "tf", "n", "known", "base", "lp")}
-            ids, held, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()
-            for i, h, text in zip(ids, held, texts):
-                tokens = (text or b"").lower().split()
-                tokens.append(END)
-                at = np.fromiter((place.get(t, -1) for t in tokens), dtype=np.int64, count=len(tokens))
-                seen = at[at >= 0]
-                rest = Counter([tokens[k] for k in np.flatnonzero(at < 0)]) or {b" %d" % row: 0}  # no word holds a space: it joins nothing
-                m = len(rest)
-                out["row"] += [row] * m
-                out["id"] += [i] * m
-                out["held"] += [h] * m
-                out["word"] += rest.keys()
-                out["tf"] += rest.values()
-                out["n"] += [len(tokens)] + [0] * (m - 1)
-                out["known"] += [int(known[seen].sum())] + [0] * (m - 1)
-                out["base"] += [float(base[seen].sum())] + [0.0] * (m - 1)
-                out["lp"] += [float(lps[seen].sum())] + [0.0] * (m - 1)
-                row += 1
-                if len(out["row"]) > 1 << 16:
-                    yield pa.RecordBatch.from_pydict(out, schema=_ROWS)
-                    out = {k: [] for k in out}
-            yield pa.RecordBatch.from_pydict(out, schema=_ROWS)
+            everything = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()))
+            for some in _by_bytes(everything, lambda r: len(r[2] or b"")):
+                texts = [(t or b"").lower().split() for _, _, t in some]
+                lp = np.zeros(len(texts))
+                rest_doc, rest_gram = [], []
+                for g, doc in _grams(texts, order):
+                    at = np.minimum(np.searchsorted(keys, g), max(0, len(keys) - 1))
+                    seen = keys[at] == g if len(keys) else np.zeros(len(g), dtype=bool)
+                    lp += np.bincount(doc[seen], weights=lps[at[seen]], minlength=len(texts)) if seen.any() else 0.0
+                    rest_doc.append(doc[~seen])
+                    rest_gram.append(g[~seen])
+                owner, gram, tf_gram = _per_document(np.concatenate(rest_doc), np.concatenate(rest_gram))
+                own, word, tf, of = [], [], [], []
+                for k, ((i, h, _), tokens) in enumerate(zip(some, texts)):
+                    tokens.append(END)
+                    at = np.fromiter((place.get(t, -1) for t in tokens), dtype=np.int64, count=len(tokens))
+                    seen = at[at >= 0]
+                    rest = Counter([tokens[j] for j in np.flatnonzero(at < 0)])
+                    own.append({"id": i, "held": h, "n": len(tokens), "known": len(seen), "base": float(base[seen].sum()), "lp": float(lp[k])})
+                    word += rest.keys()
+                    tf += rest.values()
+                    of += [k] * len(rest)
+                n, m, r = len(own), len(word), len(gram)
+                rows = np.concatenate([np.arange(n), np.array(of, dtype=np.int64), owner]) + row
+                blank = pa.array([SPACE], type=pa.binary()).take(pa.array(np.zeros(r, dtype=np.int64)))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(rows), pa.array(own + [None] * (m + r), type=_OWN), pa.concat_arrays([pa.array([SPACE] * n + word, type=pa.binary()), blank]),
+                    # a document's own row has a number of its own, which joins nothing
+                    pa.array(np.concatenate([-2 - np.arange(row, row + n), np.full(m, -1), gram])), pa.array(np.concatenate([np.zeros(n, dtype=np.int64), np.array(tf, dtype=np.int64), tf_gram])),
+                ], names=["row", "own", "word", "gram", "tf"])
+                row += n
+        give_back()
 
     return run
 
 
-_ROWS = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("held", pa.bool_()), ("word", pa.binary()), ("tf", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("lp", pa.float64())])
+def _per_document(doc: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (document, gram) with their numbers."""
+    order = np.lexsort((gram, doc))
+    doc, gram = doc[order], gram[order]
+    at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])])) if len(doc) else np.zeros(0, dtype=np.int64)
+    return doc[at], gram[at], np.diff(np.append(at, len(doc)))
+
+
+_OWN = pa.struct([("id", pa.int64()), ("held", pa.bool_()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("lp", pa.float64())])
 
 
-def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, head: int = HEAD, block: int = BLOCK) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, head: int = HEAD, head_grams: int = HEAD_GRAMS) -> DataFrame:
     """docs -> (id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row per input row.
 
     held_out: a boolean column over docs; the model and the base learn from the rows where it is false (null counts as false).
     Null or empty text: only the end is scored. Without any training row every count is zero and the model is uniform over
-    bytes. Repeated rows are scored, and learnt from, once each. Scores are log10 probabilities.
+    bytes. Repeated rows are scored, and learnt from, once each. Scores are log10 probabilities. Other columns are not read.
     """
+    if not 0 < order < 7:
+        raise ValueError("order must be 1 to 6")
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
-    words = cut(count_words(rows.withColumn("learn", ~F.col("held")), "learn", "text"), "ppm-words")
+    counted = cut(count(rows.withColumn("learn", ~F.col("held")), "learn", "text", order), "ppm-counts")
+    words, grams = counted.where("gram = -1").select("word", "c"), counted.where("gram <> -1").select("gram", "c")
     total, vocabulary = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    scored = cut(word_scores(words, order, block), "ppm-scores")
-    # the commonest words by a threshold on counts: a sort would send `head` rows of every task to one
-    sizes = scored.groupBy("c").agg(F.count("*").alias("n"))
-    upto = sizes.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("c")))).where(F.col("upto") <= head)
-    least = upto.agg(F.min("c")).first()[0]
-    top = scored.where(F.col("c") >= least if least is not None else F.lit(False)).toArrow()
-    table = spark.sparkContext.broadcast((top.column("word").to_pylist(), np.asarray(top.column("c")).astype(np.float64), np.asarray(top.column("lp")).astype(np.float64)))
-    schema = "row long, id long, held boolean, word binary, tf long, n long, known long, base double, lp double"
-    seen = rows.mapInArrow(_score_docs(table, total, vocabulary), schema)
-    rest = scored.withColumnsRenamed({"c": "word_c", "lp": "word_lp"})
+    scored = cut(gram_scores(grams, order), "ppm-scores")
+
+    top = _top(words, head).toArrow()
+    words_table = spark.sparkContext.broadcast((top.column("word").to_pylist(), np.asarray(top.column("c")).astype(np.float64)))
+    top = _top(scored, head_grams).orderBy("gram").select("gram", "lp").toArrow()
+    grams_table = spark.sparkContext.broadcast((np.asarray(top.column("gram")).astype(np.int64), np.asarray(top.column("lp")).astype(np.float64)))
+
+    schema = "row long, own struct<id: long, held: boolean, n: long, known: long, base: double, lp: double>, word binary, gram long, tf long"
+    seen = rows.mapInArrow(_score_docs(words_table, grams_table, total, vocabulary, order), schema)
     norm = float(np.log10(total + vocabulary + 1))
-    joined = seen.join(rest, "word", "left")
-    tf, c = F.col("tf"), F.coalesce("word_c", F.lit(0))
+    base = words.select("word", F.lit(-1).cast("long").alias("gram"), (F.log10(F.col("c") + F.lit(1.0)) - F.lit(norm)).alias("base"), F.lit(0.0).alias("lp"), (F.col("c") > 0).cast("long").alias("known"))
+    model = scored.select(F.lit(SPACE).alias("word"), "gram", F.lit(0.0).alias("base"), "lp", F.lit(0).cast("long").alias("known"))
+    joined = seen.join(base.unionByName(model), ["word", "gram"], "left")
+    tf = F.col("tf")
     sums = joined.groupBy("row").agg(
-        F.first("id").alias(id_col),
-        F.first("held").alias("held_out"),
-        F.sum("n").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(c > 0, tf).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + tf * (F.log10(c + F.lit(1.0)) - F.lit(norm))).alias("base_score"),
-        F.sum(F.col("lp") + tf * F.coalesce("word_lp", F.lit(0.0))).alias("score"),
+        F.max("own").alias("own"),
+        F.sum(tf * F.coalesce("known", F.lit(0))).alias("known"),
+        F.sum(tf * F.coalesce("base", F.lit(0.0))).alias("base"),
+        F.sum(tf * F.coalesce("lp", F.lit(0.0))).alias("lp"),
     )
-    return sums.select(id_col, "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    own = F.col("own")
+    return sums.select(
+        own["id"].alias(id_col), own["held"].alias("held_out"), own["n"].alias("n_tokens"), (own["known"] + F.col("known")).alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"), (own["base"] + F.col("base")).alias("base_score"), (own["lp"] + F.col("lp")).alias("score"),
+    )
