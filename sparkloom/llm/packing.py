@@ -3,54 +3,105 @@
 Documents become token ids; the lexical terms are the ids themselves, so corpus statistics have at most one row per vocabulary
 entry. Each document is routed by its heaviest BM25 term to a shard of bounded size (a term with more tokens than a
 shard holds is spread over several), which brings lexical neighbours together. In a shard, an inverted index with BM25 weights
-(document frequencies of the whole corpus) returns for a seed document its unused neighbours, best first; they fill the
-seed's window greedily. A document that the window's end cuts goes on in the next window and is its seed, so every window but
+(document frequencies of the whole corpus) ranks all unused documents that share a term with a seed document, asked with all of its
+terms; they fill the seed's window greedily, best first, until it is full or none is left. Then the next unused document is a
+seed in the same window. A document that the window's end cuts goes on in the next window and is its seed, so every window but
 a shard's last is full. All ids are placed, each once.
+
+Neighbours are looked for in the seed's own shard: the greedy fill needs one owner of what is unused.
 """
 
 from __future__ import annotations
 
-import base64
-import zlib
+import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import give_back, new_folder
 
 WINDOW, END_ID = 2048, 1
-#: Tokens that a shard holds, about; terms that a seed asks with (its heaviest); neighbours fetched at a time.
-SHARD_TOKENS, QUERY_TERMS, FETCH = 4_000_000, 32, 16
+#: Tokens that a shard holds, about; neighbours that are put in order at a time.
+SHARD_TOKENS, FETCH = 2_000_000, 16
 K1, B = 1.2, 0.75
 
 
+class Coder:
+    """Ids of whole texts by a byte-level BPE tokenizer, which works each distinct stretch out once.
+
+    No token and no special token reaches over a space that follows a character that is no white space, and nothing before such a
+    place depends on what follows it. So texts are cut there. Stretches are remembered up to `LONG` characters, `REMEMBERED` at most.
+    """
+
+    LONG, REMEMBERED = 48, 600_000
+    CUT, UNEVEN = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
+
+    def __init__(self, tokenizer_file: str):
+        # a task has one core: the library's own threads would take those of others
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.known: dict[str, bytes] = {}
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids must fit into 16 bits")
+
+    def stretches(self, text: str) -> list[str]:
+        if self.UNEVEN.search(text):
+            return self.CUT.split(text)
+        first, *rest = text.split(" ")
+        return [first, *map(" ".__add__, rest)]
+
+    def _look_up(self, some: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, dtype="<u2").tobytes()
+        ends = np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(some) + 1)) * 2
+        return {s: ids[a:b] for s, a, b in zip(some, ends[:-1].tolist(), ends[1:].tolist())}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 16-bit numbers."""
+        cut = [self.stretches(t) for t in texts]
+        new = set().union(*cut) - self.known.keys()
+        if len(self.known) + len(new) > self.REMEMBERED:
+            self.known.clear()
+            new = set().union(*cut)
+        fresh = self._look_up(list(new)) if new else {}
+        self.known.update((s, ids) for s, ids in fresh.items() if len(s) <= self.LONG)
+        known = self.known if all(len(s) <= self.LONG for s in new) else {**self.known, **fresh}
+        return [b"".join(map(known.__getitem__, own)) for own in cut]
+
+
 @lru_cache(maxsize=2)
-def tokenizer(ranks_file: str, pattern: str) -> tiktoken.Encoding:
-    with open(ranks_file, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+def coder(tokenizer_file: str) -> Coder:
+    return Coder(tokenizer_file)
 
 
-def tokenize(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Characters of text that are cut together.
+STEP = 1 << 20
+
+
+def tokenize(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> (id, ids, n): ids as little-endian unsigned 16-bit numbers, the end id last. Null text: as empty.
 
-    The ranks file holds the vocabulary of the byte-level JSON tokenizer, and gives the same ids at several times the speed.
+    Ids are those of `tokenizers` for the whole text, without special tokens added.
     """
+    end = END_ID.to_bytes(2, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(ranks_file, pattern).encode_ordinary
+        c = coder(tokenizer_file)
         for b in batches:
-            ids, n = [], []
-            for text in b.column(1).to_pylist():
-                own = encode(text) if text else []
-                own.append(END_ID)
-                ids.append(np.array(own, dtype="<u2").tobytes())
-                n.append(len(own))
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            ids, first, size = [], 0, 0
+            for k, t in enumerate(texts):
+                size += len(t)
+                if size >= STEP or k + 1 == len(texts):
+                    ids += [x + end for x in c.encode(texts[first : k + 1])]
+                    first, size = k + 1, 0
+            n = [len(x) // 2 for x in ids]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, type=pa.binary()), pa.array(n, type=pa.int64())], names=["_id", "ids", "n"])
         give_back()
 
@@ -89,7 +140,7 @@ def _head_term(idf, mean: float):
                 terms, counts = _terms(np.frombuffer(raw, dtype="<u2"))
                 w = idf.value[terms] * _weights(counts, len(raw) // 2, mean)
                 head.append(int(terms[np.argmax(w)]) if len(terms) else -1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(head, type=pa.int64())], names=["_id", "ids", "n", "head"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(head, type=pa.int64())], names=["_id", "ids", "n", "row", "head"])
 
     return run
 
@@ -101,76 +152,78 @@ class Index:
         terms, weights, owner, self.queries = [], [], [], []
         for k, ids in enumerate(docs):
             t, c = _terms(ids)
-            w = idf[t] * _weights(c, len(ids), mean)
             terms.append(t.astype(np.uint16))
-            weights.append(w.astype(np.float32))
-            owner.append(np.full(len(t), k, dtype=np.int32))
-            self.queries.append((t[np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS]] if len(t) > QUERY_TERMS else t).astype(np.uint16))
+            weights.append(idf[t] * _weights(c, len(ids), mean))
+            owner.append(np.full(len(t), k, dtype=np.int64))
+            self.queries.append(terms[-1])
         t = np.concatenate(terms) if terms else np.zeros(0, dtype=np.uint16)
         order = np.argsort(t, kind="stable")
-        self.owner = np.concatenate(owner)[order] if terms else np.zeros(0, dtype=np.int32)
-        self.weight = np.concatenate(weights)[order] if terms else np.zeros(0, dtype=np.float32)
+        self.owner = np.concatenate(owner)[order] if terms else np.zeros(0, dtype=np.int64)
+        self.weight = np.concatenate(weights)[order] if terms else np.zeros(0)
         self.start = np.searchsorted(t[order], np.arange((1 << 16) + 1))
         self.n = len(docs)
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
-        """Unused documents that share a term with the seed, best first, FETCH at most; ties to the earlier document."""
-        spans = [slice(self.start[t], self.start[t + 1]) for t in self.queries[seed].tolist()]
-        if not spans:
-            return []
-        score = np.bincount(np.concatenate([self.owner[s] for s in spans]), weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document of the shard for all terms of the seed."""
+        score = np.zeros(self.n)
+        for t in self.queries[seed].tolist():
+            at = slice(self.start[t], self.start[t + 1])
+            score[self.owner[at]] += self.weight[at]  # a document stands once under a term
+        return score
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """Documents that share a term with the seed and are unused now, best first, all of them; ties to the earlier document."""
+        score = self.scores(seed)
         score[~unused] = 0
-        top = np.argpartition(-score, FETCH)[:FETCH] if self.n > FETCH else np.arange(self.n)
-        top = top[score[top] > 0]
-        return top[np.lexsort((top, -score[top]))].tolist()
+        some = np.flatnonzero(score > 0)
+        if len(some) > FETCH:  # mostly few are wanted: only those are put in order
+            least = np.partition(score[some], len(some) - FETCH)[len(some) - FETCH]
+            first, some = some[score[some] >= least], some[score[some] < least]
+            yield from first[np.lexsort((first, -score[first]))].tolist()
+        yield from some[np.lexsort((some, -score[some]))].tolist()
 
 
 def fill(lengths: list[int], index: Index, window: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, window number, offset) that place every token of the shard's documents."""
     unused = np.ones(len(lengths), dtype=bool)
     pieces, number, offset, order = [], 0, 0, 0
-    seed, queue, fetched = -1, [], False
-
-    def put(doc: int) -> None:
-        nonlocal number, offset, seed, queue, fetched
+    near: Iterator[int] = iter(())
+    for _ in lengths:
+        # the neighbours of the window's seed are used up or there is no seed: the next document is one
+        doc = next(near, None) if offset < window else None
+        if offset == window:
+            number, offset = number + 1, 0
+        seed = doc is None
+        if seed:
+            while not unused[order]:
+                order += 1
+            doc = order
         unused[doc] = False
         start = 0
         while start < lengths[doc]:
             if offset == window:
                 # the window is full: what is left of this document seeds the next
-                number, offset, seed, queue, fetched = number + 1, 0, doc, [], False
+                number, offset, seed = number + 1, 0, True
             take = min(window - offset, lengths[doc] - start)
             pieces.append((doc, start, take, number, offset))
             start, offset = start + take, offset + take
-
-    left = len(lengths)
-    while left:
-        if offset == window:
-            number, offset, seed, queue, fetched = number + 1, 0, -1, [], False
-        if seed >= 0 and not queue and not fetched:
-            queue, fetched = index.neighbours(seed, unused)[::-1], True
-        if queue:
-            put(queue.pop())
-        else:
-            while not unused[order]:
-                order += 1
-            seed, fetched = order, False
-            put(order)
-        left -= 1
+        if seed:
+            near = index.neighbours(doc, unused)
     return pieces
 
 
-def pack(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """docs -> (id, start, length, ids_crc32, doc_tokens, sequence_id, offset): the pieces of every document's ids.
+def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """docs -> (id, start, length, ids, doc_tokens, sequence_id, offset): the pieces of every document's ids.
 
-    A sequence's pieces lie gaplessly from offset 0; its length is `window` except for the last of a shard. Null or empty text:
-    one piece with the end id alone. Repeated rows are placed once each; ids may be null. An empty table gives no pieces.
-    Other columns are not read.
+    ids: the piece's own, as little-endian unsigned 32-bit numbers. A sequence's pieces lie gaplessly from offset 0; its length is
+    `window` except for the last of a shard. Null or empty text: one piece with the end id alone. Repeated rows are placed once
+    each, wherever their shard is; ids may be null. An empty table gives no pieces. Other columns are not read.
     """
     spark = docs.sparkSession
     path = new_folder(spark, "tokens")
-    tokenize(docs, ranks_file, pattern, id_col, text_col).write.option("compression", "zstd").parquet(path)
-    coded = spark.read.schema("_id long, ids binary, n long").parquet(path)
+    # the row's number is written down: rows that repeat each other are told apart by it, whichever task reads them
+    tokenize(docs, tokenizer_file, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    coded = spark.read.schema("_id long, ids binary, n long, row long").parquet(path)
 
     stats = coded.select("ids").mapInArrow(_count_terms, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row per vocabulary entry
     df = np.zeros(1 << 16)
@@ -180,7 +233,7 @@ def pack(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id",
     mean = max(1.0, float(coded.agg(F.sum("n")).first()[0] or 0) / max(1, n_docs))
     idf = spark.sparkContext.broadcast(np.log(1 + (n_docs - df + 0.5) / (df + 0.5)))
 
-    headed = coded.mapInArrow(_head_term(idf, mean), "_id long, ids binary, n long, head long")
+    headed = coded.mapInArrow(_head_term(idf, mean), "_id long, ids binary, n long, row long, head long")
     size = {r["head"]: r["n"] for r in headed.groupBy("head").agg(F.sum("n").alias("n")).collect()}  # a row per vocabulary entry
     first, spread, shard, room = {}, {}, 0, shard_tokens
     for head in sorted(size):
@@ -195,23 +248,29 @@ def pack(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id",
             first[head], spread[head] = shard, 1
             room -= size[head]
     table = spark.createDataFrame([(h, first[h], spread[h]) for h in first], "head long, first long, spread long")
-    routed = headed.join(F.broadcast(table), "head").select((F.col("first") + F.pmod(F.xxhash64("_id", "n"), "spread")).alias("shard"), "_id", "ids")
+    routed = headed.join(F.broadcast(table), "head").select((F.col("first") + F.pmod(F.xxhash64("row"), "spread")).alias("shard"), "_id", "ids", "row")
 
     def run(part: pa.Table) -> pa.Table:
         ids = np.asarray(part.column("_id").fill_null(-(1 << 63)))
+        order = np.lexsort((np.asarray(part.column("row")), ids)).tolist()
         raw = part.column("ids").to_pylist()
-        order = sorted(range(len(raw)), key=lambda k: (ids[k], raw[k]))
         coded_ids = [np.frombuffer(raw[k], dtype="<u2") for k in order]
         pieces = fill([len(x) for x in coded_ids], Index(coded_ids, idf.value, mean), window)
-        crc = [zlib.crc32(coded_ids[d][s : s + n].astype("<u4").tobytes()) for d, s, n, _, _ in pieces]
         base = part.column("shard")[0].as_py() << 32
         at = pa.array([order[d] for d, *_ in pieces], type=pa.int64())
         cols = list(zip(*pieces))
-        give_back()
-        return pa.table({
-            "_id": part.column("_id").take(at), "start": pa.array(cols[1], type=pa.int64()), "length": pa.array(cols[2], type=pa.int64()), "ids_crc32": pa.array(crc, type=pa.int64()),
+        out = pa.table({
+            "_id": part.column("_id").take(at), "start": pa.array(cols[1], type=pa.int64()), "length": pa.array(cols[2], type=pa.int64()),
+            "piece": pa.array([coded_ids[d][s : s + n].astype("<u4").tobytes() for d, s, n, _, _ in pieces], type=pa.binary()),
             "doc_tokens": pa.array([len(coded_ids[d]) for d in cols[0]], type=pa.int64()), "sequence_id": pa.array([base + k for k in cols[3]], type=pa.int64()), "offset": pa.array(cols[4], type=pa.int64()),
         })
+        give_back()
+        return out
+
+    schema = "_id long, start long, length long, piece binary, doc_tokens long, sequence_id long, offset long"
+    return routed.groupBy("shard").applyInArrow(run, schema).withColumnsRenamed({"_id": id_col, "piece": "ids"})
+
 
-    schema = "_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return routed.groupBy("shard").applyInArrow(run, schema).withColumnRenamed("_id", id_col)
+def digests(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """pack's pieces with ids_crc32 in place of the ids."""
+    return packed.select(id_col, "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

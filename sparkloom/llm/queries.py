@@ -20,9 +20,9 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .packing import pack
+    from .packing import digests, pack
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return digests(pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,38 +1,42 @@
-import os
+import random
 import zlib
 
-os.environ["TOKENIZERS_PARALLELISM"] = "false"
-
 import numpy as np
 import public_tokenizers as P
+import pytest
 from tokenizers import Tokenizer
 
 from sparkloom.llm import packing
 
-ARGS = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+FILE = P.path("byte_bpe_50k.json")
 
 
-def reference():
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+@pytest.fixture(scope="module")
+def plain():
+    return Tokenizer.from_file(FILE)
 
 
-def test_same_ids_as_the_json_tokenizer():
-    t, e = reference(), packing.tokenizer(*ARGS)
-    texts = [f"a{chr(c)}b  {chr(c)} 1{chr(c)}2 .{chr(c)}." for r in (range(0, 0xD800, 7), range(0xE000, 0x20000, 61)) for c in r]
-    for x in [*texts, "x" * 3000, " " * 3000, "é" * 900, "<|endoftext|> ab", "it's we'll\r\n\r\n  x"]:
-        assert t.encode(x, add_special_tokens=False).ids == e.encode_ordinary(x)
+def test_same_ids_as_whole_texts(plain):
+    c = packing.Coder(FILE)
+    texts = [f"a{chr(u)}b  {chr(u)} 1{chr(u)}2 .{chr(u)}." for r in (range(0, 0xD800, 7), range(0xE000, 0x20000, 61)) for u in r]
+    texts += [f"x{a}{b}{d}y" for a in " \n\t\x1c\x85\xa0　" for b in " \n\r\x0b " for d in (" ", "  ", "\n", "")]
+    texts += ["", " ", "  ", " a", "a ", "x" * 3000, " " * 3000, "é" * 900, "<|endoftext|> ab", "ab <|endoftext|>", "a<|endoftext|> b <|endoftext|><|endoftext|>  c", "<|endof text|>", "it's we'll\r\n\r\n  x"]
+    rng = random.Random(3)
+    texts += ["".join(rng.choices(["ab", " ", "\n", "12", "!", "<|endoftext|>", "é", "'s", "\t"], k=rng.randrange(40))) for _ in range(2000)]
+    got = [np.frombuffer(x, dtype="<u2").tolist() for x in c.encode(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    # a full memory is emptied, which changes nothing
+    c.REMEMBERED = 10
+    assert [np.frombuffer(x, dtype="<u2").tolist() for k in range(0, 300, 7) for x in c.encode(texts[k : k + 7])] == got[:301]
 
 
-def test_pieces(spark):
+def test_pieces(spark, plain):
     texts = [f"apple banana pear {i} " * (i % 40) if i % 2 else f"engine wheel motor {i} " * (i % 60) for i in range(300)]
-    rows = [*enumerate(texts), (300, None), (301, ""), (302, "long words " * 8000), (302, "again"), (302, "again"), (None, "no id")]
-    docs = spark.createDataFrame([(i, t, 3, "z") for i, t in rows], "doc_id long, text string, n int, head string")
-    t = reference()
-    want = sorted(((i, t.encode(x or "", add_special_tokens=False).ids + [1]) for i, x in rows), key=repr)
+    rows = [*enumerate(texts), (300, None), (301, ""), (302, "long words " * 8000), (302, "again"), (302, "again"), (None, "no id"), (303, "an <|endoftext|> inside")]
+    docs = spark.createDataFrame([(i, t, 3, "z", 1, 2) for i, t in rows], "doc_id long, text string, n int, head string, row int, shard int")
+    want = sorted(((i, plain.encode(x or "", add_special_tokens=False).ids + [1]) for i, x in rows), key=repr)
     for size in (packing.SHARD_TOKENS, 6000):
-        pieces = packing.pack(docs, *ARGS, shard_tokens=size).collect()
+        pieces = packing.pack(docs, FILE, shard_tokens=size).collect()
         by_doc, by_seq = {}, {}
         for p in pieces:
             by_doc.setdefault((p.doc_id, p.doc_tokens), []).append(p)
@@ -41,7 +45,7 @@ def test_pieces(spark):
             ids = [x for j, x in want if j == i and len(x) == n]
             assert sum(p.length for p in own) == n * len(ids)
             for p in own:
-                assert any(zlib.crc32(np.array(x[p.start : p.start + p.length], "<u4").tobytes()) == p.ids_crc32 for x in ids)
+                assert any(np.array(x[p.start : p.start + p.length], "<u4").tobytes() == bytes(p.ids) for x in ids)
         assert sum(p.length for p in pieces) == sum(len(x) for _, x in want)
         lengths = []
         for own in by_seq.values():
@@ -54,16 +58,79 @@ def test_pieces(spark):
         assert max(lengths) <= 2048
         shards = {s >> 32 for s in by_seq}
         assert sum(x < 2048 for x in lengths) <= len(shards)
-    assert packing.pack(docs.limit(0), *ARGS).collect() == []
+    assert {(r.doc_id, r.ids_crc32) for r in packing.digests(packing.pack(docs.where("doc_id = 303"), FILE)).collect()} == {(303, zlib.crc32(np.array(dict(want)[303], "<u4").tobytes()))}
+    assert packing.pack(docs.limit(0), FILE).collect() == []
+
+
+def test_repeated_rows_are_spread(spark):
+    docs = spark.createDataFrame([(7, "same words in every row " * 20)] * 200, "doc_id long, text string")
+    pieces = packing.pack(docs, FILE, shard_tokens=3000).collect()
+    assert len({p.sequence_id >> 32 for p in pieces}) > 3
+
+
+def corpus(rng, n):
+    topics = [[f"{a}{b}" for b in "abcdefghij"] for a in ("red", "iron", "tree", "sea")]
+    docs = []
+    for _ in range(n):
+        words = rng.choices(rng.choice(topics), k=rng.randrange(0, 30)) + rng.choices(["the", "of", "and"], k=rng.randrange(0, 10))
+        docs.append(words)
+    return docs
+
+
+def by_hand(docs, window, df, n_docs, mean):
+    """Windows filled one document at a time, every candidate's BM25 worked out anew."""
+    idf = lambda t: np.log(1 + (n_docs - df[t] + 0.5) / (df[t] + 0.5))
+    counts = [{t: own[:-1].tolist().count(t) for t in set(own[:-1].tolist())} for own in docs]
+
+    def bm25(seed, d):
+        total = 0.0
+        for t in sorted(counts[seed]):
+            if t in counts[d]:
+                c = counts[d][t]
+                total += idf(t) * (c * (packing.K1 + 1) / (c + packing.K1 * (1 - packing.B + packing.B * len(docs[d]) / mean)))
+        return total
+
+    unused, pieces, number, offset, seed = set(range(len(docs))), [], 0, 0, None
+    while unused:
+        if offset == window:
+            number, offset, seed = number + 1, 0, None
+        scored = [(-bm25(seed, d), d) for d in unused] if seed is not None else []
+        best = min([x for x in scored if x[0] < 0], default=None)
+        doc = best[1] if best else min(unused)
+        if not best:
+            seed = doc
+        unused.remove(doc)
+        start = 0
+        while start < len(docs[doc]):
+            if offset == window:
+                number, offset, seed = number + 1, 0, doc
+            take = min(window - offset, len(docs[doc]) - start)
+            pieces.append((doc, start, take, number, offset))
+            start, offset = start + take, offset + take
+    return pieces
+
+
+def test_fill_against_brute_force(monkeypatch):
+    rng = random.Random(5)
+    c = packing.Coder(FILE)
+    for n, window, fetch in ((120, 100, 16), (120, 1000, 3), (60, 37, 1), (1, 50, 16)):
+        monkeypatch.setattr(packing, "FETCH", fetch)
+        docs = [np.frombuffer(x + b"\x01\x00", dtype="<u2") for x in c.encode([" ".join(w) for w in corpus(rng, n)])]
+        df = np.zeros(1 << 16)
+        for d in docs:
+            df[packing._terms(d)[0]] += 1
+        mean = sum(map(len, docs)) / n
+        index = packing.Index(docs, np.log(1 + (n - df + 0.5) / (df + 0.5)), mean)
+        assert packing.fill([len(d) for d in docs], index, window) == by_hand(docs, window, df, n, mean)
 
 
-def test_neighbours_are_lexical():
-    e = packing.tokenizer(*ARGS)
-    docs = [np.array(e.encode_ordinary(x) + [1], dtype="<u2") for x in ("red green blue", "iron copper zinc", "red green yellow", "iron zinc gold", "")]
+def test_a_window_takes_every_neighbour_first():
+    # two topics of short documents: a window holds far more than is put in order at a time
+    c = packing.Coder(FILE)
+    docs = [np.frombuffer(x + b"\x01\x00", dtype="<u2") for x in c.encode(["alpha beta gamma " * 10, "one two three " * 10] * 40)]
     df = np.zeros(1 << 16)
     for d in docs:
         df[packing._terms(d)[0]] += 1
-    index = packing.Index(docs, np.log(1 + (5 - df + 0.5) / (df + 0.5)), 4.0)
-    assert index.neighbours(0, np.array([False, True, True, True, True]))[0] == 2
-    assert index.neighbours(1, np.array([True, False, True, True, True]))[0] == 3
-    assert index.neighbours(4, np.ones(5, dtype=bool)) == []
+    index = packing.Index(docs, np.log(1 + (80 - df + 0.5) / (df + 0.5)), sum(map(len, docs)) / 80)
+    order = [d for d, *_ in packing.fill([len(d) for d in docs], index, 1 << 20)]
+    assert [d % 2 for d in order] == [0] * 40 + [1] * 40
