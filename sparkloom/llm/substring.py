@@ -22,6 +22,7 @@ level. A batch is judged against the runs and itself; matches are verified on th
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import compress
 
@@ -256,6 +257,28 @@ def _emit_windows(window: int, gram: int):
     return run
 
 
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def _without(text: bytes, gone: np.ndarray) -> bytes:
+    """The text without the words that go. What stands between words that stay side by side stays; where words went the white space before
+    them stays, or that after them if only that ends a line, or a line's end if lines ended among them."""
+    spans, out, last = [m.span() for m in WORD.finditer(text)], [], -1
+    for i in np.flatnonzero(~gone).tolist():
+        begin = spans[i][0]
+        if last == i - 1:
+            out.append(text[spans[last][1] if i else 0 : begin])
+        elif last >= 0:
+            before, after = text[spans[last][1] : spans[last + 1][0]], text[spans[i - 1][1] : begin]
+            ends = b"\n" in text[spans[last][1] : begin]
+            out.append(before if b"\n" in before or not ends else after if b"\n" in after else b"\n")
+        out.append(text[begin : spans[i][1]])
+        last = i
+    if spans and last == len(spans) - 1:
+        out.append(text[spans[-1][1] :])
+    return b"".join(out)
+
+
 def _remove(window: int, keep: list[str], schema: pa.Schema, rejoin: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts = _ids(left.column("_id")), _bytes(left.column("_text"))
@@ -293,8 +316,11 @@ def _remove(window: int, keep: list[str], schema: pa.Schema, rejoin: bool):
             if not r and not rejoin:
                 kept.append(own)
                 continue
-            words = t.split()
-            kept.append(b" ".join(words if not r else compress(words, ~gone[e - n : e])).decode())
+            if rejoin:
+                words = t.split()
+                kept.append(b" ".join(words if not r else compress(words, ~gone[e - n : e])).decode())
+            else:
+                kept.append(_without(t, gone[e - n : e]).decode())
         cols = {"_id": left.column("_id")} | {c: left.column(c) for c in keep}
         cols |= {"n_words": pa.array(n_words.astype(np.int64)), "n_removed": pa.array(n_removed.astype(np.int64)), "kept_text": pa.array(kept, type=pa.string())}
         out = pa.table(cols)
@@ -363,7 +389,8 @@ class FingerprintIndex:
         history: the documents behind the runs, with the same id and text columns; their rows are not returned. Null or
         empty text: no words, empty kept_text. Texts shorter than a window keep every word. Rows with the same id don't remove
         each other's words. A null id counts as larger than every other. `keep` names further columns to pass through.
-        rejoin: kept words are joined by single spaces in every text; otherwise a text that loses nothing stays as it is.
+        rejoin: kept words are joined by single spaces in every text; otherwise the white space between words that stay side by side
+        stays as it is.
         """
         names = [id_col, *keep]
         texts = self._dealt(docs, id_col, text_col, list(keep))
