@@ -5,8 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.code import apply_patch, make_patch
+from ..functions.paths import path_key
 
 #: Bytes that a marker costs: smaller contents are sent again instead. Bytes of content that a ledger remembers.
 MARKER_BYTES, LEDGER_BYTES = 256, 64 << 20
@@ -19,75 +21,104 @@ def epoch_runs(reads: DataFrame, session: str = "session", seq: str = "seq", epo
     return reads.withColumn("_changed", changed).withColumn("epoch_run", F.sum("_changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_changed")
 
 
-def decide(reads: DataFrame, session: str = "session", seq: str = "seq", key: tuple[str, ...] = ("path", "view"), force: Column | None = None) -> DataFrame:
+def forgotten(reads: DataFrame, ledger_bytes: int, force: Column | None = None) -> DataFrame:
+    """(session, epoch_run, seq) of the reads whose file the ledger has forgotten since it was last sent.
+
+    reads: session, epoch_run, seq, path, view, hash, bytes. What is sent is remembered at the end of the ledger; then the oldest are
+    forgotten until `ledger_bytes` hold the rest, but never the one just sent. An unchanged answer keeps its place. A run of reads
+    whose files fit into the ledger at their largest forgets nothing; of the others only these numbers are replayed in order.
+    """
+    run = ["session", "epoch_run"]
+    key = F.concat_ws("::", path_key(F.col("path")), "view").alias("key")
+    rows = reads.select(*run, "seq", key, "hash", F.col("bytes").cast("long").alias("bytes"), F.coalesce(force if force is not None else F.lit(False), F.lit(False)).alias("force"))
+    most = rows.groupBy(*run, "key").agg(F.max("bytes").alias("bytes")).groupBy(*run).agg(F.sum("bytes").alias("bytes"))
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        ledger: dict[str, tuple[str, int]] = {}
+        held, ever, out = 0, set(), []
+        for r in pdf.sort_values("seq").itertuples(index=False):
+            before = ledger.get(r.key)
+            if before is None and r.key in ever:
+                out.append((r.session, r.epoch_run, r.seq))
+            ever.add(r.key)
+            if before is None or r.force or before[0] != r.hash or r.bytes <= MARKER_BYTES:
+                held += r.bytes - ledger.pop(r.key, ("", 0))[1]
+                ledger[r.key] = (r.hash, r.bytes)
+                for old in list(ledger):
+                    if held <= ledger_bytes or old == r.key:
+                        break
+                    held -= ledger.pop(old)[1]
+        return pd.DataFrame(out, columns=["session", "epoch_run", "seq"])
+
+    tight = rows.join(most.where(F.col("bytes") > ledger_bytes).drop("bytes"), run, "left_semi")
+    kinds = reads.schema
+    return tight.groupBy(*run).applyInPandas(replay, f"session {kinds['session'].dataType.simpleString()}, epoch_run long, seq {kinds['seq'].dataType.simpleString()}")
+
+
+def decide(reads: DataFrame, session: str = "session", seq: str = "seq", key: tuple[str, ...] = ("path", "view"), force: Column | None = None, ledger_bytes: int | None = None) -> DataFrame:
     """reads(session, seq, *key, epoch, hash, bytes) with `kind` (full, unchanged or changed), `first_read` and `base_hash`.
 
-    After every read the session holds the read's version, so the version held before is the lag over the key. A changed read
-    is a patch where that is smaller than the file (see deliver); the base is what the reader must hold to use it.
+    After every read the session holds the read's version, so the version held before is the lag over the key; with ledger_bytes,
+    only where the ledger still remembers it. A changed read is a patch where that is smaller than the file (see deliver); the base
+    is what the reader must hold to use it.
     """
     w = Window.partitionBy(session, "epoch_run", *key).orderBy(seq)
-    out = epoch_runs(reads, session, seq).withColumn("_held", F.lag("hash").over(w)).withColumn("first_read", F.row_number().over(w) == 1)
+    runs = epoch_runs(reads, session, seq).withColumn("epoch_run", F.coalesce("epoch_run", F.lit(0)).cast("long"))
+    out = runs.withColumn("_held", F.lag("hash").over(w)).withColumn("first_read", F.row_number().over(w) == 1)
     known = ~F.col("first_read") & ~(F.coalesce(force, F.lit(False)) if force is not None else F.lit(False))
+    if ledger_bytes is not None:
+        gone = forgotten(runs, ledger_bytes, force).withColumn("_gone", F.lit(True))
+        out = out.join(gone, ["session", "epoch_run", "seq"], "left")
+        known = known & F.col("_gone").isNull()
     same = known & F.col("_held").eqNullSafe(F.col("hash"))
     kind = F.when(same & (F.col("bytes") > MARKER_BYTES), "unchanged").when(known & ~same, "changed").otherwise("full")
-    return out.withColumn("kind", kind).withColumn("base_hash", F.when(kind != "full", F.col("_held"))).drop("_held")
+    return out.withColumn("kind", kind).withColumn("base_hash", F.when(kind != "full", F.col("_held"))).drop("_held", "_gone")
 
 
-_RESULT = "session string, seq long, path string, view string, epoch long, kind string, hash string, base_hash string, bytes long, sent_bytes long, content string, patch string"
+@F.pandas_udf(T.StringType())
+def _patches(old: pd.Series, new: pd.Series, path: pd.Series) -> pd.Series:
+    return pd.Series([make_patch(a, b, p) if isinstance(a, str) and isinstance(b, str) else None for a, b, p in zip(old, new, path)], dtype=object)
 
 
 def deliver(reads: DataFrame, ledger_bytes: int = LEDGER_BYTES) -> DataFrame:
     """READ_REQUEST rows with a hash -> what is sent for each: whole contents, markers, or patches where they are smaller.
 
-    A session's reads are replayed in order, for the ledger's budget makes each answer depend on all before it: contents are
-    forgotten oldest first, but never the one just sent, and an unchanged answer keeps its place. A session's rows are one
-    group; groups are as large as one session's contents.
+    The version that a reader holds is the one before in the same session, epoch, file and view, so a file's reads are what
+    must meet, never a session's. Only changed contents are compared.
     """
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        ledger: dict[tuple[str, str], tuple[str, str, int]] = {}
-        held, epoch, out = 0, None, []
-        for r in pdf.sort_values("seq").itertuples(index=False):
-            if r.epoch != epoch:
-                ledger, held, epoch = {}, 0, r.epoch
-            key = (r.path.replace("\\", "/"), r.view)
-            size, before = len(r.content.encode()), None if r.force_full else ledger.get(key)
-            kind, patch = "full", None
-            if before and before[0] == r.hash:
-                kind = "unchanged" if size > MARKER_BYTES else "full"
-            elif before:
-                patch = make_patch(before[1], r.content, r.path)
-                kind, patch = ("diff", patch) if len(patch.encode()) < size else ("full", None)
-            if kind != "unchanged":
-                held -= ledger.pop(key, ("", "", 0))[2]
-                ledger[key] = (r.hash, r.content, size)
-                held += size
-                for old in list(ledger):
-                    if held <= ledger_bytes or old == key:
-                        break
-                    held -= ledger.pop(old)[2]
-            sent = {"full": size, "unchanged": MARKER_BYTES, "diff": len(patch.encode()) if patch else 0}[kind]
-            out.append((r.session, r.seq, r.path, r.view, r.epoch, kind, r.hash, before[0] if before and kind != "full" else None, size, sent, r.content if kind == "full" else None, patch))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _RESULT.split(", ")])
-
-    return reads.groupBy("session").applyInPandas(replay, _RESULT)
+    rows = reads.withColumn("_path", path_key(F.col("path"))).withColumn("bytes", F.octet_length("content").cast("long"))
+    kinds = decide(rows, key=("_path", "view"), force=F.col("force_full"), ledger_bytes=ledger_bytes)
+    w = Window.partitionBy("session", "epoch_run", "_path", "view").orderBy("seq")
+    held = kinds.withColumn("_before", F.lag("content").over(w))
+    changed = F.col("kind") == "changed"
+    patched = held.withColumn("patch", _patches(F.when(changed, F.col("_before")), F.when(changed, F.col("content")), F.col("path")))
+    small = F.coalesce(F.octet_length("patch") < F.col("bytes"), F.lit(False))
+    kind = F.when(~changed, F.col("kind")).when(small, "diff").otherwise("full")
+    sent = F.when(kind == "unchanged", MARKER_BYTES).when(kind == "diff", F.octet_length("patch")).otherwise(F.col("bytes")).cast("long")
+    return patched.select(
+        "session", "seq", "path", "view", "epoch", kind.alias("kind"), "hash", F.when(kind != "full", F.col("base_hash")).alias("base_hash"), "bytes", sent.alias("sent_bytes"),
+        F.when(kind == "full", F.col("content")).alias("content"), F.when(kind == "diff", F.col("patch")).alias("patch"),
+    )
 
 
 def reconstruct(results: DataFrame) -> DataFrame:
-    """deliver()'s rows -> (session, seq, path, view, text): what the reader holds after each answer, from answers alone."""
+    """deliver()'s rows -> (session, seq, path, view, text): what the reader holds after each answer, from answers alone.
+
+    A full answer begins anew, so the group that is walked in order is one full answer and what follows it for the same file.
+    """
+    w = Window.partitionBy("session", "_path", "view").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = results.withColumn("_path", path_key(F.col("path"))).withColumn("_part", F.count_if(F.col("kind") == "full").over(w))
 
     def rebuild(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: dict[tuple[str, str], str] = {}
-        out = []
+        held, out = None, []
         for r in pdf.sort_values("seq").itertuples(index=False):
-            key = (r.path, r.view)
             if r.kind == "full":
-                held[key] = r.content
-            elif key not in held:
-                raise ValueError(f"{r.kind} answer for {key} without a version before it")
+                held = r.content
+            elif held is None:
+                raise ValueError(f"{r.kind} answer for {r.path} without a version before it")
             elif r.kind == "diff":
-                held[key] = apply_patch(held[key], r.patch)
-            out.append((r.session, r.seq, r.path, r.view, held[key]))
+                held = apply_patch(held, r.patch)
+            out.append((r.session, r.seq, r.path, r.view, held))
         return pd.DataFrame(out, columns=["session", "seq", "path", "view", "text"])
 
-    return results.groupBy("session").applyInPandas(rebuild, "session string, seq long, path string, view string, text string")
+    return rows.groupBy("session", "_path", "view", "_part").applyInPandas(rebuild, "session string, seq long, path string, view string, text string")

@@ -25,10 +25,10 @@ def latest_seen(marks: DataFrame, by: list[str], seq: str = "seq", cap: int = SE
 
 
 def verdict(tool: Column, path: Column, exists: Column, seen_ts: Column, seen_hash: Column, disk_hash: Column, epoch_ms: Column) -> Column:
-    """allow, never-seen or drift. Everything uncertain is allowed: other tools, no path, new files, unknown hashes."""
+    """allow, never-seen or drift. Everything uncertain is allowed: other tools, no path, new files, unknown hashes (null or empty)."""
     asked = F.coalesce(is_guarded(tool) & (path != "") & exists, F.lit(False))
     unseen = seen_ts.isNull() | (seen_ts <= epoch_ms)
-    drift = F.coalesce(disk_hash != seen_hash, F.lit(False))
+    drift = F.coalesce(F.nullif(disk_hash, F.lit("")) != F.nullif(seen_hash, F.lit("")), F.lit(False))
     return F.when(~asked, "allow").when(unseen, "never-seen").when(drift, "drift").otherwise("allow")
 
 

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 
 def calls_with_results(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """calls(file, id, call_line, ...) with the first usable result after the call; a call has one result at most, and of
-    calls that share an id the last before the result is the one it answers."""
-    usable = results.where(~F.coalesce("is_error", F.lit(False)) & (F.coalesce("body", F.lit("")) != ""))
-    met = calls.join(usable, ["file", "id"]).where("call_line <= result_line")
-    first = Window.partitionBy("file", "id", "call_line").orderBy("result_line")
-    nearest = Window.partitionBy("file", "id", "result_line").orderBy(F.desc("call_line"))
-    return met.withColumn("_r", F.row_number().over(first)).withColumn("_c", F.row_number().over(nearest)).where("_r = 1 and _c = 1").drop("_r", "_c")
+    """calls(file, id, call_line, ...) with the usable result that answers each: results(file, id, result_line, body, is_error, ...).
+
+    A call waits for the first result after it, usable or not; a later call of the same id takes its place. So a result answers
+    the row just before it, if that is a call, and only then is it asked whether it is usable (no error, not empty).
+    """
+    own, said = [c for c in calls.columns if c not in ("file", "id")], [c for c in results.columns if c not in ("file", "id")]
+    c = calls.select("file", "id", F.col("call_line").alias("_at"), F.lit(0).alias("_kind"), F.struct(*own).alias("_call"))
+    r = results.select("file", "id", F.col("result_line").alias("_at"), F.lit(1).alias("_kind"), F.struct(*said).alias("_result"))
+    w = Window.partitionBy("file", "id").orderBy("_at", "_kind")
+    met = c.unionByName(r, allowMissingColumns=True).withColumn("_call", F.lag("_call").over(w)).where("_kind = 1 and _call is not null")
+    usable = ~F.coalesce(F.col("_result.is_error"), F.lit(False)) & (F.coalesce("_result.body", F.lit("")) != "")
+    return met.where(usable).select("file", "id", "_call.*", "_result.*")
 
 
 def replay_summary(reads: DataFrame) -> DataFrame:

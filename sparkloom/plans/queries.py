@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,18 +67,25 @@ g as (with recursive g(rn, path, tok, spent, n, taken) as (
 
 @query(_PACK_SQL + _GREEDY_SQL.format(budget=1500) + " select path, tok, spent from g where taken")
 def pack_budget(spark, sf):
-    ranked = _pack_candidates(spark, sf).withColumn("_down", -F.col("score"))
-    return budget.greedy(ranked, ["all"], ["_down", "path"], "tok", 1500, top=8).where("taken").select("path", "tok", "spent")
+    return _picked(spark, budget.pick(_pack_candidates(spark, sf), "score", "path", "tok", 1500, 8))
 
 
-@query(_PACK_SQL + _GREEDY_SQL.format(budget=1500) + " select path, tok, spent from g where taken")
+def _picked(spark, picks):
+    spent = accumulate(p["tok"] for p in picks)
+    return spark.createDataFrame([(p["path"], p["tok"], total) for p, total in zip(picks, spent)], "path string, tok long, spent long")
+
+
+@query(_PACK_SQL + _GREEDY_SQL.format(budget=700).replace("g.n < 8", "g.n < 30") + " select path, tok, spent from g where taken")
 def pack_budget_scans(spark, sf):
-    picks = budget.pick(_pack_candidates(spark, sf).persist(), "score", "path", "tok", 1500, 8)
-    total, rows = 0, []
-    for p in picks:
-        total += p["tok"]
-        rows.append((p["path"], p["tok"], total))
-    return spark.createDataFrame(rows, "path string, tok long, spent long")
+    """A smaller budget and no end of picks but the budget's: what is big is passed over."""
+    return _picked(spark, budget.pick(_pack_candidates(spark, sf), "score", "path", "tok", 700, 30))
+
+
+@query(_PACK_SQL + _GREEDY_SQL.format(budget=1500).replace("g.n < 8 and ", "").replace("from st)", "from (select * from st order by score desc, path limit 40))") + " select path, tok, spent from g where taken")
+def pack_budget_folded(spark, sf):
+    """The same walk over a ranking that was cut before, in one fold."""
+    ranked = _pack_candidates(spark, sf).orderBy(F.desc("score"), "path").limit(40).withColumn("_down", -F.col("score"))
+    return budget.greedy(ranked, ["all"], ["_down", "path"], "tok", 1500).where("taken").select("path", "tok", "spent")
 
 
 # --- archive ----------------------------------------------------------------------------------------------------------
@@ -122,9 +130,8 @@ def normalized_paths(spark, sf):
 
 
 @query("""with b as (select event_id as seq, user_id, cast(json_extract_string(props, '$.k') as int) as k from events)
-select seq, case when k % 3 = 0 then 'sym:f' || k when k % 3 = 1 then 'lines:' || greatest(1, least(k, 60)) || '-' || greatest(greatest(1, least(k, 60)), least(k + user_id % 40 - 5, 60)) else 'full' end as view,
-case when k % 4 = 0 then 'full' else 'lines:' || coalesce(case when k % 4 <> 1 then k end, 0) || '-' || coalesce(cast(case when k % 4 <> 2 then user_id end as varchar), '') end as replay_view from b
-where not (k % 3 = 1 and k + user_id % 40 - 5 < 0)""")
+select seq, case when k % 3 = 0 then 'sym:f' || k when k % 3 = 1 and k + user_id % 40 - 5 >= 0 then 'lines:' || greatest(1, least(k, 60)) || '-' || greatest(greatest(1, least(k, 60)), least(k + user_id % 40 - 5, 60)) else 'full' end as view,
+case when k % 4 = 0 then 'full' else 'lines:' || coalesce(case when k % 4 <> 1 then k end, 0) || '-' || coalesce(cast(case when k % 4 <> 2 then user_id end as varchar), '') end as replay_view from b""")
 def view_keys(spark, sf):
     b = base_events(spark, sf)
     k, u = F.col("k"), F.col("user_id")
@@ -132,7 +139,7 @@ def view_keys(spark, sf):
     view = paths.view_key(F.when(k % 3 == 0, F.concat(F.lit("f"), k.cast("string"))), lines, F.lit(60))
     whole = k % 4 == 0
     again = paths.replay_view_key(F.when(~whole & (k % 4 != 1), k), F.when(~whole & (k % 4 != 2), u))
-    return b.where(~((k % 3 == 1) & (k + u % 40 - 5 < 0))).select("seq", view.alias("view"), again.alias("replay_view"))
+    return b.select("seq", view.alias("view"), again.alias("replay_view"))
 
 
 @query("""select page_id, regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g') || '__' || case page_id % 3 when 0 then 'main' when 1 then 'main' else 'a_' || page_id end as writer,
@@ -202,25 +209,25 @@ def archive_size(spark, sf):
     return retention.archive_bytes(stores.as_blobs(table(spark, sf, "documents").withColumn("content", F.col("text")), F.col("doc_id")))
 
 
-@query("""with st as (select source, doc_id, strlen(text) as tok, row_number() over (partition by source order by doc_id) as rn from documents where lang = 'en'),
+@query("""with st as (select source, doc_id, strlen(text) as tok, row_number() over (partition by source order by doc_id) as rn from documents),
 g as (with recursive g(source, rn, doc_id, spent, taken) as (select source, cast(0 as bigint), cast(-1 as bigint), cast(0 as bigint), false from (select distinct source from st)
  union all select st.source, st.rn, st.doc_id, case when g.spent + st.tok <= 20000 then g.spent + st.tok else g.spent end, g.spent + st.tok <= 20000 from g join st on st.source = g.source and st.rn = g.rn + 1) select * from g)
 select source, doc_id, taken from g where rn > 0""")
 def exact_budget(spark, sf):
-    docs = table(spark, sf, "documents").where("lang = 'en'").select("source", "doc_id", F.octet_length("text").cast("long").alias("size"))
+    docs = table(spark, sf, "documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("size"))
     return budget.greedy(docs, ["source"], ["doc_id"], "size", 20_000).select("source", "doc_id", "taken")
 
 
 _BIN = "case doc_id % 10 when 1 then 'ab' || chr(1) || chr(2) || chr(3) || substr(text, 1, 3) when 2 then 'a' || chr(9) || chr(10) || chr(14) || substr(text, 1, 9) else text end"
 
 
-@query(f"""with d as (select doc_id, substr({_BIN}, 1, 300) as t from documents)
-select doc_id, doc_id % 10 = 3 or (strlen(t) > 0 and (length(t) - length(regexp_replace(t, '[\\x01-\\x08\\x0e-\\x1f]', '', 'g'))) / strlen(t) > 0.3) as is_binary from d""")
+@query(f"""with d as (select doc_id, {_BIN} as t from documents), h as (select doc_id, regexp_extract_all(substr(hex(encode(t)), 1, 16384), '..') as b from d)
+select doc_id, coalesce(doc_id % 10 = 3 and len(b) < 8192 or (len(b) > 0 and len(list_filter(b, lambda x: x between '01' and '08' or x between '0E' and '1F')) / len(b) > 0.3), false) as is_binary from h""")
 def binary_flag(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.expr(f"substr({_BIN}, 1, 300)").alias("t"))
+    docs = table(spark, sf, "documents").select("doc_id", F.expr(_BIN).alias("t"))
     data = F.encode("t", "UTF-8")
     data = F.when(F.col("doc_id") % 10 == 3, F.concat(data, F.lit(b"\x00"))).otherwise(data)
-    return docs.select("doc_id", content.looks_binary(data).alias("is_binary"))
+    return docs.select("doc_id", F.coalesce(content.looks_binary(data), F.lit(False)).alias("is_binary"))
 
 
 @query("""with d as (select doc_id, string_split(text, chr(10)) as l, doc_id % 7 as a, doc_id % 11 as b from documents),
@@ -273,6 +280,20 @@ def delivery_kinds(spark, sf):
     return delivery.decide(read_requests(spark, sf)).select("session", "seq", "path", "kind", "first_read", "base_hash", F.coalesce("epoch_run", F.lit(0)).alias("epoch_run"))
 
 
+@query(f"""with {SQL_REQUESTS}, o as (select *, row_number() over (partition by session order by seq) as rn, coalesce(run, 0) as r from runs),
+g as (with recursive g(session, rn, seq, r, led, kind, base) as (
+  select session, cast(0 as bigint), cast(-1 as bigint), cast(-1 as bigint), cast([] as struct(k varchar, h varchar, s bigint)[]), '', cast(null as varchar) from (select distinct session from o)
+  union all select session, rn, seq, r, case when kind = 'unchanged' then l0 else list_filter(l1, lambda x, i: i = len(l1) or list_sum(list_transform(l1[i:], lambda y: y.s)) <= 4000) end, kind, case when kind <> 'full' then prev.h end
+  from (select *, list_append(list_filter(l0, lambda x: x.k <> path), struct_pack(k := path, h := hash, s := bytes)) as l1,
+    case when prev is null then 'full' when prev.h <> hash then 'changed' when bytes > 256 then 'unchanged' else 'full' end as kind
+    from (select *, list_filter(l0, lambda x: x.k = path)[1] as prev from (select o.session, o.rn, o.seq, cast(o.r as bigint) as r, o.path, o.hash, o.bytes, case when o.r <> g.r then [] else g.led end as l0 from g join o on o.session = g.session and o.rn = g.rn + 1))))
+  select * from g)
+select session, seq, kind, base as base_hash from g where rn > 0""")
+def ledger_kinds(spark, sf):
+    """Delivery under a ledger of 4000 bytes, which holds a few files."""
+    return delivery.decide(read_requests(spark, sf), ledger_bytes=4000).select("session", "seq", "kind", "base_hash")
+
+
 @query(f"with {SQL_METER}, m as (select *, case kind when 'diff' then 'changed' else kind end as k from mt) select count(*) as reads, count(*) filter (first_read) as first_reads, count(*) filter (k = 'unchanged') as unchanged, count(*) filter (k = 'changed') as changed, round(count(*) filter (not first_read) * 100.0 / count(*), 6) as reread_pct, cast(sum(baseline_tokens) as bigint) as baseline_tokens, cast(sum(sent_tokens) as bigint) as sent_tokens, round((sum(baseline_tokens) - sum(sent_tokens)) * 100.0 / sum(baseline_tokens), 6) as saved_pct from m")
 def replay_summary(spark, sf):
     m = meter_events(spark, sf)
@@ -284,13 +305,15 @@ def reread_median(spark, sf):
     return replay.reread_median(delivery.decide(read_requests(spark, sf)))
 
 
-@query("""with c as (select conv_id, turn, role, text, lead(turn) over (partition by conv_id order by turn) as nt from conversations),
-u as (select conv_id, turn, text from conversations where role = 'user'), a as (select conv_id, turn, text from conversations where role = 'assistant')
-select u.conv_id, u.turn as call_line, min(a.turn) as result_line from u join a on a.conv_id = u.conv_id and a.turn // 2 = u.turn // 2 and a.turn >= u.turn and a.text <> '' group by 1, 2""")
+@query("""with c as (select conv_id, turn, turn // 4 as id from conversations where role = 'user' and (conv_id % 2 = 0 or turn % 4 < 2)),
+r as (select conv_id, turn, turn // 4 as id, text, (turn + conv_id) % 3 = 0 as err from conversations where role = 'assistant'),
+m as (select r.conv_id, r.id, r.turn, r.text, r.err, max(c.turn) as call_line from r join c on c.conv_id = r.conv_id and c.id = r.id and c.turn <= r.turn group by all)
+select m.conv_id, call_line, m.turn as result_line from m where not err and text <> '' and not exists (select 1 from r o where o.conv_id = m.conv_id and o.id = m.id and o.turn >= m.call_line and o.turn < m.turn)""")
 def calls_with_results(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / 2).alias("id"))
-    calls = c.where("role = 'user'").select(F.col("conv_id").alias("file"), "id", F.col("turn").alias("call_line"))
-    results = c.where("role = 'assistant'").select(F.col("conv_id").alias("file"), "id", F.col("turn").alias("result_line"), F.col("text").alias("body"), F.lit(False).alias("is_error"))
+    """Ids stand for up to two calls and two results each; a third of the results are errors, which answer their call all the same."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / 4).alias("id"))
+    calls = c.where("role = 'user' and (conv_id % 2 = 0 or turn % 4 < 2)").select(F.col("conv_id").alias("file"), "id", F.col("turn").alias("call_line"))
+    results = c.where("role = 'assistant'").select(F.col("conv_id").alias("file"), "id", F.col("turn").alias("result_line"), F.col("text").alias("body"), ((F.col("turn") + F.col("conv_id")) % 3 == 0).alias("is_error"))
     return replay.calls_with_results(calls, results).select(F.col("file").alias("conv_id"), "call_line", "result_line")
 
 
@@ -342,10 +365,38 @@ def exact_versions(spark, sf):
     return A.first_versions(ex).select(paths.path_key(F.col("path")).alias("key"), "hash", "conv_id", "turn")
 
 
-@query(f"with {_T_SQL} select conv_id, key, arg_max(hash, seq) as hash from ex group by 1, 2")
+@query(f"with {_T_SQL} select conv_id, key, arg_max(case when turn % 3 = 0 then sha256(text) else 'none' end, seq) as hash from c where role = 'assistant' group by 1, 2")
 def seen_state(spark, sf):
-    marks = transcripts.seen_marks(_lines(spark, sf), ["conv_id", "turn"]).where("hash is not null")
-    return guard.latest_seen(marks.withColumn("seq", F.col("turn")), ["conv_id"]).select("conv_id", "key", "hash")
+    marks = transcripts.seen_marks(_lines(spark, sf), ["conv_id", "turn"])
+    return guard.latest_seen(marks.withColumn("seq", F.col("turn")), ["conv_id"]).select("conv_id", "key", F.coalesce("hash", F.lit("none")).alias("hash"))
+
+
+@query("""select conv_id, turn, '/w\\e' || (conv_id % 9) as path, case when turn % 4 = 1 then sha256(text) end as hash from conversations where role = 'assistant' and turn % 4 <> 3 and turn % 5 <> 2""")
+def landed_edits(spark, sf):
+    """Results that name a file and hold no read: some hold the written content, some lines have no time, some are reads."""
+    c = table(spark, sf, "conversations").where("role = 'assistant'")
+    path = F.concat(F.lit("/w\\e"), (F.col("conv_id") % 9).cast("string"))
+    stamp = F.when(F.col("turn") % 5 != 2, F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    read = F.when(F.col("turn") % 4 == 3, F.struct(path.alias("filePath"), F.col("text").alias("content")))
+    result = F.struct(read.alias("file"), path.alias("filePath"), F.when(F.col("turn") % 4 == 1, F.col("text")).alias("content"))
+    lines = transcripts.parsed(c.select("conv_id", "turn", F.to_json(F.struct(stamp.alias("timestamp"), result.alias("toolUseResult"))).alias("value")))
+    return transcripts.landed_edits(lines, ["conv_id", "turn"]).select("conv_id", "turn", "path", "hash")
+
+
+@query("""select conv_id, turn, '/own/' || (conv_id % 9) || case when turn % 6 = 4 then '/b' else '' end as key from conversations where turn % 6 in (0, 4)
+union all select conv_id, turn, '/shown/' || i from conversations, range(3) t(i) where turn % 6 = 5 and i < 2""")
+def own_reader_marks(spark, sf):
+    """What calls of the reader's own tools ask for, and what its results show, beside other tools and other texts."""
+    c = table(spark, sf, "conversations")
+    turn, n = F.col("turn") % 6, (F.col("conv_id") % 9).cast("string")
+    name = F.when(turn == 0, "mcp__my-reader-2__read_file").when(turn == 4, "mcp__reader__read_files").when(turn == 1, "mcp__other__read_file").otherwise("mcp__a_reader__x")
+    asked = F.struct(F.when(turn != 4, F.concat(F.lit("/own/"), n)).alias("path"), F.when(turn == 4, F.array(F.concat(F.lit("/own/"), n, F.lit("/b")))).alias("paths"))
+    shown = F.concat_ws("\n\n---\n\n", *[F.concat(F.lit(f"[context-reader] /shown/{i} — full content, hash "), n, F.lit("\n[context-reader] not a head\n"), F.col("text")) for i in (0, 1)], F.lit("\n\n\n[context-reader] /shown/2 — full content"))
+    call = F.struct(F.lit("tool_use").alias("type"), name.alias("name"), asked.alias("input"), F.lit(None).cast("string").alias("content"))
+    result = F.struct(F.lit("tool_result").alias("type"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("struct<path: string, paths: array<string>>").alias("input"), F.when(turn == 5, shown).otherwise(F.concat(F.lit("seen: "), shown)).alias("content"))
+    line = F.struct(F.lit("2024-01-01T00:00:00.000Z").alias("timestamp"), F.struct(F.array(F.when(turn.isin(0, 1, 2, 4), call).otherwise(result)).alias("content")).alias("message"))
+    lines = transcripts.parsed(c.select("conv_id", "turn", F.to_json(line).alias("value")))
+    return transcripts.seen_marks(lines, ["conv_id", "turn"]).select("conv_id", "turn", "key")
 
 
 _HEAT_SQL = f"""with {sql_events()}, nw as (select max(ts_ms) as n from ev), t as (select path, count(*) filter (op = 'read') as reads, count(*) filter (op <> 'read') as edits, arg_max(op, seq) as last_op, max(ts_ms) as last_ts from ev where not sidechain group by 1)"""
@@ -571,13 +622,13 @@ def radar_files(spark, sf):
 # --- guard ------------------------------------------------------------------------------------------------------------
 
 
-@query(f"""with {sql_events()}, mk as (select session, path, ts_ms as ts, seq, case when op = 'read' and not excluded then hash end as hash from ev where op = 'read'),
+@query(f"""with {sql_events()}, mk as (select session, path, ts_ms as ts, seq, hash from ev where op = 'read'),
 ed as (select session, path, ts_ms, seq, hash, case seq % 4 when 0 then 'Edit' when 1 then 'Write' when 2 then 'MultiEdit' else 'NotebookEdit' end as tool, k % 9 <> 0 as there, (ts_ms // {DAY}) * {DAY} as epoch_ms from ev where op <> 'read'),
 j as (select ed.*, mk.ts as seen_ts, mk.hash as seen_hash, row_number() over (partition by ed.seq order by mk.ts desc, mk.seq desc) as n from ed left join mk on mk.session = ed.session and mk.path = ed.path and mk.seq < ed.seq and mk.ts <= ed.ts_ms)
-select session, seq as ask, tool, path, case when tool = 'NotebookEdit' or not there then 'allow' when seen_ts is null or seen_ts <= epoch_ms then 'never-seen' when seen_hash <> hash then 'drift' else 'allow' end as verdict, seen_ts from j where n = 1""")
+select session, seq as ask, tool, path, case when tool = 'NotebookEdit' or not there then 'allow' when seen_ts is null or seen_ts <= epoch_ms then 'never-seen' when seen_hash <> '' and hash <> '' and seen_hash <> hash then 'drift' else 'allow' end as verdict, seen_ts from j where n = 1""")
 def guard_verdict(spark, sf):
     ev = archive_events(spark, sf).withColumn("at", F.struct("ts_ms", "seq"))
-    marks = ev.where("op = 'read'").select("session", paths.path_key(F.col("path")).alias("key"), F.col("ts_ms").alias("ts"), "seq", F.when(~F.col("excluded"), F.col("hash")).alias("hash"))
+    marks = ev.where("op = 'read'").select("session", paths.path_key(F.col("path")).alias("key"), F.col("ts_ms").alias("ts"), "seq", "hash")
     tool = F.element_at(F.array(*[F.lit(x) for x in ("Edit", "Write", "MultiEdit", "NotebookEdit")]), (F.col("seq") % 4 + 1).cast("int"))
     edits = ev.where("op <> 'read'").select("session", F.col("seq").alias("ask"), tool.alias("tool"), "path", "seq", (F.col("k") % 9 != 0).alias("exists"), F.col("hash").alias("disk_hash"), (F.floor(F.col("ts_ms") / DAY) * DAY).alias("epoch_ms"))
     return guard.judge_edits(edits, marks, ["session"]).select("session", "ask", "tool", "path", "verdict", "seen_ts")
