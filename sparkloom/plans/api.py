@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import attest, content, paths, transcripts
+from ..functions import attest, code, content, paths, transcripts
 from ..operators import analytics as A
 from ..operators import budget, delivery, guard, presence, retention
 from ..sources import stores
@@ -29,6 +29,65 @@ def read_files(requests: DataFrame) -> DataFrame:
     return sent.withColumn("archived", (F.col("view") == "full") & ~paths.is_secret(F.col("path")))
 
 
+def resolve_views(requests: DataFrame, disk: DataFrame, max_bytes: int = 2_000_000) -> DataFrame:
+    """requests(session, seq, path, symbol, lines, force_full, epoch) over disk(path, size, binary, content) -> with view, content,
+    first_line, last_line and error.
+
+    A symbol comes before a line range; empty ones don't count. error, or null: unreadable, too large, binary, no such symbol,
+    bad line range. The view's name holds the range as it was clamped.
+    """
+    d = disk.select(paths.path_key(F.col("path")).alias("_key"), F.col("size").alias("_size"), F.coalesce("binary", F.lit(False)).alias("_binary"), F.col("content").alias("_text"))
+    rows = requests.withColumn("_key", paths.path_key(F.col("path"))).join(d, "_key", "left")
+    refused = F.when(F.col("_size").isNull(), "unreadable").when(F.col("_size") > max_bytes, "too large").when(F.col("_binary"), "binary")
+    rows = rows.withColumn("_refused", refused).withColumn("_named", F.coalesce(F.col("symbol") != "", F.lit(False)))
+    rows = rows.withColumn("_ranged", ~F.col("_named") & F.coalesce(F.col("lines") != "", F.lit(False)))
+    rows = rows.withColumn("_found", code.symbol_slice(F.when(F.col("_refused").isNull() & F.col("_named"), F.col("_text")), F.coalesce("symbol", F.lit("")), F.col("path")))
+    ends = [F.regexp_extract("lines", r"^(\d+)\s*-\s*(\d+)$", k).try_cast("int") for k in (1, 2)]
+    rows = rows.withColumn("_cut", F.when(F.col("_ranged") & ends[0].isNotNull(), content.slice_lines(F.col("_text"), ends[0], ends[1])))
+    error = F.coalesce("_refused", F.when(F.col("_named") & F.col("_found.text").isNull(), "no such symbol").when(F.col("_ranged") & F.col("_cut").isNull(), "bad line range"))
+    part = F.when(F.col("_named"), F.col("_found")).when(F.col("_ranged"), F.struct(F.col("_cut.text").alias("text"), F.col("_cut.start").cast("int").alias("start"), F.col("_cut.end").cast("int").alias("end")))
+    view = F.when(F.col("_named"), F.concat(F.lit("sym:"), F.col("symbol"))).when(F.col("_ranged"), F.concat(F.lit("lines:"), F.col("_cut.start").cast("string"), F.lit("-"), F.col("_cut.end").cast("string"))).otherwise("full")
+    whole = ~F.col("_named") & ~F.col("_ranged")
+    return rows.select(
+        "session", "seq", "path", view.alias("view"), F.when(error.isNull(), F.when(whole, F.col("_text")).otherwise(part["text"])).alias("content"), F.coalesce("force_full", F.lit(False)).alias("force_full"), "epoch",
+        part["start"].alias("first_line"), part["end"].alias("last_line"), error.alias("error"),
+    )
+
+
+@dataclass
+class Answers:
+    """What is sent for reads, what couldn't be read, and what the reads leave behind: meter and log events, blobs."""
+
+    sent: DataFrame
+    errors: DataFrame
+    meter: DataFrame
+    events: DataFrame
+    blobs: DataFrame
+
+
+def read_file(requests: DataFrame, disk: DataFrame, ledger_bytes: int = delivery.LEDGER_BYTES, max_bytes: int = 2_000_000) -> Answers:
+    """Reads of whole files, symbols and line ranges (see resolve_views), delivered, metered and recorded.
+
+    Whole files are archived, secret ones without anything that tells about their content.
+    """
+    found = resolve_views(requests, disk, max_bytes)
+    reads = found.where("error is null").withColumn("hash", content.content_hash(F.col("content")))
+    sent = delivery.deliver(reads, ledger_bytes)
+    facts = reads.select("session", "seq", content.approx_tokens(F.col("content")).alias("_tokens"), F.when(F.col("view") == "full", content.git_blob_sha1(F.col("content"))).alias("_git"), F.when(F.col("view") == "full", F.col("content")).alias("_whole"), "first_line", "last_line")
+    marker = F.concat(F.lit("[unchanged] "), F.col("path"), F.lit(" is as you last read it ("), paths.short_id(F.col("hash"), 12), F.lit(")"))
+    rows = sent.join(facts, ["session", "seq"]).withColumn("excluded", paths.is_secret(F.col("path")))
+    rows = rows.withColumn("sent_tokens", content.approx_tokens(F.coalesce("content", "patch", marker)))
+    shown = F.when(F.col("excluded"), "").otherwise(F.col("hash"))
+    git = F.when(~F.col("excluded"), F.col("_git")).alias("git_blob_sha1")
+    meter = rows.select("session", "seq", "path", "view", "kind", "epoch", shown.alias("hash"), F.when(~F.col("excluded"), F.col("base_hash")).alias("base_hash"), git, "excluded", "bytes", F.col("_tokens").alias("baseline_tokens"), "sent_tokens")
+    events = rows.where("view = 'full'").select(
+        "session", "seq", "path", shown.alias("hash"), git, F.when(F.col("excluded"), 0).otherwise(F.col("bytes")).cast("long").alias("bytes"),
+        F.when(F.col("excluded"), 0).otherwise(F.col("_tokens")).cast("long").alias("approx_tokens"), F.lit("mcp").alias("source"), F.lit("read").alias("op"), "view", F.lit(False).alias("sidechain"), "excluded",
+    )
+    blobs = stores.as_blobs(rows.where("view = 'full' and not excluded").withColumn("content", F.col("_whole")), F.col("seq"))
+    return Answers(sent.join(facts.select("session", "seq", "first_line", "last_line"), ["session", "seq"]), found.where("error is not null").select("session", "seq", "path", "error"), meter, events, blobs)
+
+
 def outline(files: DataFrame) -> DataFrame:
     rows = files.select("path", F.size(F.split("content", "\n")).alias("total_lines"), F.explode_outer(content.outline(F.col("content"))).alias("o"))
     return rows.select("path", "total_lines", "o.line", "o.text")
@@ -53,6 +112,57 @@ def restore_context(entries: DataFrame, disk: DataFrame, tokens: int = 25_000) -
     return done.select("place", "path", "tokens", status.alias("status"), F.when(F.col("taken"), F.col("_c")).alias("content"), (F.col("disk_hash") != F.col("hash")).alias("changed"))
 
 
+def restore_and_record(entries: DataFrame, disk: DataFrame, earlier: DataFrame, session: str, epoch: int, tokens: int = 25_000) -> tuple[DataFrame, Answers]:
+    """(restore_context's rows, the reads they are): what is restored goes through the ledger after the session's earlier reads and is
+    recorded like any other read. earlier: requests of resolve_views' columns. disk needs size and binary too."""
+    plan = restore_context(entries, disk, tokens)
+    last = earlier.where(F.col("session") == session).agg(F.coalesce(F.max("seq"), F.lit(-1))).scalar()
+    none = F.lit(None).cast("string")
+    reads = plan.where("status = 'sent'").select(F.lit(session).alias("session"), (last + F.col("place")).cast("long").alias("seq"), "path", none.alias("symbol"), none.alias("lines"), F.lit(False).alias("force_full"), F.lit(epoch).cast("long").alias("epoch"), F.lit(True).alias("_new"))
+    asked = earlier.withColumn("_new", F.lit(False)).unionByName(reads)
+    answers = read_file(asked.drop("_new"), disk)
+    mine = reads.select("session", "seq")
+    only = lambda rows: rows.join(mine, ["session", "seq"], "left_semi")
+    events = only(answers.events)
+    return plan, Answers(only(answers.sent), only(answers.errors), only(answers.meter), events, answers.blobs.join(events.select("hash"), "hash", "left_semi"))
+
+
+#: Characters of context that an injection may hold; what shows that it was cut.
+INJECTED, CUT = 9500, "\n[truncated]"
+
+
+def inject(manifests: DataFrame, session: str | None, source: str, now_ms: int) -> DataFrame:
+    """(text): the working set that a compacted or resumed session gets told, from its manifest (see manifest_as_of); no row for
+    any other source, without a manifest, or where that is empty."""
+    if source not in ("compact", "resume"):
+        return manifests.limit(0).select(F.lit("").alias("text"))
+    m = stores.manifest_as_of(manifests, session, now_ms).where(F.size("entries") > 0)
+    fact = lambda e: F.concat_ws(", ", F.concat(e["reads"].cast("string"), F.lit(" reads")), F.concat(e["edits"].cast("string"), F.lit(" edits")), F.concat(F.lit("~"), e["approxTokens"].cast("string"), F.lit(" tok")), F.when(F.coalesce(e["excluded"], F.lit(False)), "not archived (secret-pattern)").otherwise(F.concat(F.lit("hash "), paths.short_id(e["hash"], 12))))
+    lines = F.transform("entries", lambda e, i: F.concat((i + 1).cast("string"), F.lit(". "), e["path"], F.lit(" ("), fact(e), F.lit(")")))
+    text = F.concat(F.lit("Working set of session "), "session", F.lit(" as of "), "ts", F.lit(":\n"), F.array_join(lines, "\n"))
+    return m.select(F.when(F.length(text) > INJECTED, F.concat(F.substring(text, 1, INJECTED), F.lit(CUT))).otherwise(text).alias("text"))
+
+
+def publish(records: DataFrame, landed: DataFrame, now_ms: int) -> DataFrame:
+    """Presence records after landed(sid, agent, path, ts, hash) edits: one row for each writer that edited, ready for save_presence.
+
+    An edit ends the writer's own intents on its file; old and surplus rows go (see presence.kept_edits, kept_intents).
+    """
+    mine = records.join(landed.select("sid", "agent").distinct(), ["sid", "agent"], "left_semi")
+    # rows keep their place: those of the record first
+    numbered = lambda what: mine.select("sid", "agent", F.posexplode(what).alias("_n", "x")).select("sid", "agent", F.struct(F.lit(0).alias("k"), F.col("_n").cast("long").alias("n")).alias("seq"), "x.*")
+    edits = numbered("edits").unionByName(landed.select("sid", "agent", F.struct(F.lit(1).alias("k"), F.col("ts").alias("n")).alias("seq"), "path", "ts", "hash"))
+    edits = presence.kept_edits(edits, now_ms)
+    intents = presence.kept_intents(presence.retire_intents(numbered("intents"), landed), now_ms)
+    in_order = lambda *names: F.transform(F.array_sort(F.collect_list(F.struct("seq", *names))), lambda x: F.struct(*[x[n].alias(n) for n in names]))  # noqa: E731  KEPT at most
+    e = edits.groupBy("sid", "agent").agg(in_order("path", "ts", "hash").alias("edits"))
+    i = intents.groupBy("sid", "agent").agg(in_order("path", "ts").alias("intents"))
+    who = landed.groupBy("sid", "agent").agg(F.lit(now_ms).cast("long").alias("updatedAt")).join(mine.select("sid", "agent", "pid"), ["sid", "agent"], "left")
+    out = who.join(i, ["sid", "agent"], "left").join(e, ["sid", "agent"], "left")
+    empty = lambda c, t: F.coalesce(c, F.array().cast(t))
+    return out.select("sid", "agent", "pid", "updatedAt", empty("intents", "array<struct<path: string, ts: bigint>>").alias("intents"), empty("edits", "array<struct<path: string, ts: bigint, hash: string>>").alias("edits"))
+
+
 def export_pack(events: DataFrame, disk: DataFrame, now_ms: int, repo: str | None = None, top: int = 8, tokens: int = 30_000, days: int = 14, max_bytes: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """(files, skipped): the best-ranked files that fit, and those passed over on the way with the reason.
 

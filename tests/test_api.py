@@ -89,3 +89,50 @@ def test_reading_in_order(spark):
     assert [(r.kind, r.archived) for r in api.read_files(df).orderBy("seq").collect()] == [("full", True), ("unchanged", True), ("full", False)]
     files = spark.createDataFrame([("/a", "def f():\n  pass"), ("/b", "nothing")], "path string, content string")
     assert [(r.path, r.total_lines, r.line, r.text) for r in api.outline(files).orderBy("path").collect()] == [("/a", 2, 1, "def f():"), ("/b", 1, None, None)]
+
+
+def test_read_file_views_errors_and_records(spark):
+    text = "def f():\n    return 1\n\n" + "\n".join(f"x{i} = {i}" for i in range(100))
+    disk = spark.createDataFrame([("/a.py", len(text), False, text), ("/.env", 5, False, "K=123"), ("/b", 5, True, "x"), ("/big", 3_000_000, False, "x")], "path string, size long, binary boolean, content string")
+    asks = [("/a.py", None, None), ("\\a.py", "", ""), ("/a.py", "f", "1-2"), ("/a.py", "nope", None), ("/a.py", None, "4 - 5"), ("/a.py", None, "x-5"), ("/a.py", None, "90-9999"), ("/gone", None, None), ("/b", None, None), ("/big", None, None), ("/.env", None, None)]
+    requests = spark.createDataFrame([("s", i, p, sy, li, False, 1) for i, (p, sy, li) in enumerate(asks)], "session string, seq long, path string, symbol string, lines string, force_full boolean, epoch long")
+    a = api.read_file(requests, disk)
+    sent = {r.seq: r for r in a.sent.collect()}
+    assert {k: (r.kind, r.view) for k, r in sent.items()} == {0: ("full", "full"), 1: ("unchanged", "full"), 2: ("full", "sym:f"), 4: ("full", "lines:4-5"), 6: ("full", "lines:90-103"), 10: ("full", "full")}
+    assert sent[2].content == "def f():\n    return 1" and (sent[2].first_line, sent[2].last_line) == (1, 2) and sent[4].content == "x0 = 0\nx1 = 1"
+    assert {r.seq: r.error for r in a.errors.collect()} == {3: "no such symbol", 5: "bad line range", 7: "unreadable", 8: "binary", 9: "too large"}
+    meter = {r.seq: r for r in a.meter.collect()}
+    assert set(meter) == set(sent) and meter[10].hash == "" and meter[10].git_blob_sha1 is None and meter[1].base_hash == meter[0].hash and meter[2].git_blob_sha1 is None
+    assert {(r.seq, r.hash, r.bytes, r.excluded) for r in a.events.collect()} == {(0, sha(text), len(text), False), (1, sha(text), len(text), False), (10, "", 0, True)}
+    assert [r.content for r in a.blobs.collect()] == [text]
+
+
+def test_restores_are_reads(spark):
+    disk = spark.createDataFrame([("/a", 400, False, "a" * 400, sha("a" * 400)), ("/b", 400, False, "b" * 400, sha("b" * 400)), ("/c", 4000, False, "c" * 4000, sha("c" * 4000))], "path string, size long, binary boolean, content string, hash string")
+    entries = spark.createDataFrame([(1, "/a", sha("a" * 400)), (2, "/b", "old"), (3, "/c", "h"), (4, "/gone", "h")], "place int, path string, hash string")
+    earlier = spark.createDataFrame([("s", 5, "/a", None, None, False, 1), ("t", 9, "/b", None, None, False, 1)], "session string, seq long, path string, symbol string, lines string, force_full boolean, epoch long")
+    plan, reads = api.restore_and_record(entries, disk, earlier, "s", 1, tokens=250)
+    assert {r.path: r.status for r in plan.collect()} == {"/a": "sent", "/b": "sent", "/c": "over-budget", "/gone": "unreadable"}
+    assert sorted((r.seq, r.path, r.kind) for r in reads.sent.collect()) == [(6, "/a", "unchanged"), (7, "/b", "full")]
+    assert sorted((r.seq, r.path, r.source, r.op) for r in reads.events.collect()) == [(6, "/a", "mcp", "read"), (7, "/b", "mcp", "read")]
+    assert len(reads.meter.collect()) == 2 and sorted(r.hash for r in reads.blobs.collect()) == sorted([sha("a" * 400), sha("b" * 400)])
+
+
+def test_injected_text(spark):
+    kind = "session string, mtime long, ts string, entries array<struct<path: string, hash: string, bytes: bigint, approxTokens: bigint, reads: bigint, edits: bigint, lastOp: string, lastTs: string, excluded: boolean>>"
+    entry = lambda p, x=False: (p, "" if x else "h" * 64, 10, 3, 2, 1, "read", "t", x)
+    m = spark.createDataFrame([("s", 5, "T", [entry("/a"), entry("/.env", True)]), ("long", 5, "T", [entry("/" + "p" * 200) for _ in range(60)]), ("none", 5, "T", [])], kind)
+    text = api.inject(m, "s", "compact", 10).first().text
+    assert text == "Working set of session s as of T:\n1. /a (2 reads, 1 edits, ~3 tok, hash hhhhhhhhhhhh)\n2. /.env (2 reads, 1 edits, ~3 tok, not archived (secret-pattern))"
+    long = api.inject(m, "long", "resume", 10).first().text
+    assert len(long) == 9500 + len("\n[truncated]") and long.endswith("\n[truncated]")
+    assert api.inject(m, "s", "startup", 10).collect() == [] and api.inject(m, "none", "compact", 10**12).collect() == []
+
+
+def test_publish(spark):
+    kind = "sid string, agent string, pid long, updatedAt long, intents array<struct<path: string, ts: bigint>>, edits array<struct<path: string, ts: bigint, hash: string>>"
+    records = spark.createDataFrame([("s", "main", 7, 5, [("/a", 900), ("/b", 950)], [("/c", 800, None)]), ("t", "main", 8, 5, [("/a", 900)], [])], kind)
+    landed = spark.createDataFrame([("s", "main", "/a", 1000, "h"), ("u", "x", "/z", 1000, None)], "sid string, agent string, path string, ts long, hash string")
+    got = {r.sid: r for r in api.publish(records, landed, 1000).collect()}
+    assert set(got) == {"s", "u"} and [tuple(x) for x in got["s"].intents] == [("/b", 950)] and got["s"].pid == 7 and got["s"].updatedAt == 1000
+    assert [tuple(x) for x in got["s"].edits] == [("/c", 800, None), ("/a", 1000, "h")] and [tuple(x) for x in got["u"].edits] == [("/z", 1000, None)] and got["u"].intents == []
