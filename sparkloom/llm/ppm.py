@@ -156,14 +156,20 @@ def gram_scores(grams: DataFrame, order: int = ORDER) -> DataFrame:
     opened = cut(opened.withColumn("ctx", F.shiftright("g", 8)), "ppm-open")
     asked = opened.select("k", "ctx").distinct()
     mine = trie.join(asked, ["k", "ctx"], "left_semi")
-    contexts = mine.groupBy("k", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    contexts = cut(mine.groupBy("k", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")), "ppm-contexts")
     # what is left of the next shorter context once the symbols of this one are left out
     shorter = trie.select((F.col("k") + 1).alias("k"), F.col("g").alias("up"), F.col("n").alias("n_up"))
     gone = mine.where("k > 0").withColumn("up", low("g", F.col("k"))).join(shorter, ["k", "up"]).groupBy("k", "ctx").agg(F.sum("n_up").alias("gone"), F.count("*").alias("gone_kinds"))
-    gone = gone.select((F.col("k") - 1).alias("k"), F.col("ctx").alias("longer"), "gone", "gone_kinds")
+    gone = cut(gone.select((F.col("k") - 1).alias("k"), F.col("ctx").alias("longer"), "gone", "gone_kinds"), "ppm-gone")
 
-    at = opened.withColumn("longer", F.shiftright(low("gram", F.col("k") + 2), 8))
-    at = at.join(contexts, ["k", "ctx"]).join(trie.select("k", "g", "n"), ["k", "g"], "left").join(gone, ["k", "longer"], "left")
+    opened = opened.withColumn("longer", F.shiftright(low("gram", F.col("k") + 2), 8))
+
+    def met(some: Column, side) -> DataFrame:
+        rows, symbols = opened.where(some), trie.where(some).select("k", "g", "n")
+        return rows.join(side(contexts.where(some)), ["k", "ctx"]).join(side(symbols), ["k", "g"], "left").join(side(gone.where(some)), ["k", "longer"], "left")
+
+    # every gram asks the one empty context, and one of 256: their tables have 2**16 rows at most and are broadcast
+    at = met(F.col("k") < 2, F.broadcast).unionByName(met(F.col("k") >= 2, lambda table: table))
     total, kinds = F.col("total") - F.coalesce("gone", F.lit(0)), F.col("kinds") - F.coalesce("gone_kinds", F.lit(0))
     # a context with nothing left after exclusion is escaped from at no cost
     step = F.struct("k", F.log10(F.try_divide(F.col("n") - 0.5, total)).alias("hit"), F.when(kinds > 0, F.log10(F.try_divide(kinds, 2 * total))).otherwise(0.0).alias("escape"), "kinds")
