@@ -266,7 +266,7 @@ def guard_edits(edits: DataFrame, marks: DataFrame, intents: DataFrame, landed:
     edits needs sid, agent and now besides what guard.judge_edits needs.
     """
     judged = guard.judge_edits(edits, marks, by)
-    asks = judged.join(edits.select("ask", "sid", "agent", "now"), "ask").where("verdict = 'allow'").select("ask", "sid", "agent", "path", "now", "seen_ts", "seen_hash")
+    asks = judged.join(edits.select("ask", *[c for c in ("sid", "agent", "now") if c not in by]), "ask").where("verdict = 'allow'").select("ask", "sid", "agent", "path", "now", "seen_ts", "seen_hash")
     found = presence.conflicts(asks, intents, landed).withColumnRenamed("kind", "conflict")
     return judged.join(found, "ask", "left").withColumn("allowed", (F.col("verdict") == "allow") & F.col("conflict").isNull())
 

@@ -14,6 +14,7 @@ from ..operators import analytics as A
 from ..operators import budget, delivery, guard, replay, retention
 from ..operators import presence as P
 from ..sources import stores
+from . import api
 from .views import SQL_BASE, SQL_METER, SQL_REQUESTS, SQL_SECRET, archive_events, base_events, meter_events, presence_rows, raw_events, read_requests, sql_events, sql_presence, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -649,6 +650,138 @@ def transcript_cursors(spark, sf):
     return stores.offset_for(wanted, stores.cursors(sets)).select("path", "offset")
 
 
+# --- named queries ----------------------------------------------------------------------------------------------------
+
+
+@query(f"""with {SQL_METER} select 'totals' as part, '' as name, count(*) as reads, cast(sum(baseline_tokens) as bigint) as baseline_tokens, cast(sum(sent_tokens) as bigint) as sent_tokens,
+round((sum(baseline_tokens) - sum(sent_tokens)) * 100.0 / sum(baseline_tokens), 1) as saved_pct from mt
+union all select 'repo', repo, count(*), cast(sum(baseline_tokens) as bigint), cast(sum(sent_tokens) as bigint), cast(null as double) from mt group by repo
+union all select * from (select 'file', path, count(*), cast(sum(baseline_tokens) as bigint), cast(sum(sent_tokens) as bigint) as s, cast(null as double) from mt group by path order by s desc, path limit 8)""")
+def context_stats(spark, sf):
+    parts = api.context_stats(meter_events(spark, sf))
+    none = F.lit(None).cast("double").alias("saved_pct")
+    cols = ["reads", "baseline_tokens", "sent_tokens"]
+    out = parts["totals"].select(F.lit("totals").alias("part"), F.lit("").alias("name"), *cols, "saved_pct")
+    out = out.unionByName(parts["by_repo"].select(F.lit("repo").alias("part"), F.col("repo").alias("name"), *cols, none))
+    return out.unionByName(parts["top_files"].select(F.lit("file").alias("part"), F.col("path").alias("name"), *cols, none))
+
+
+_READS_SQL = """with d as (select doc_id, text, string_split(text, chr(10)) as l, '/p' || doc_id || case when doc_id % 13 = 0 then '/.env' else '.ts' end as path from documents),
+a as (select doc_id, v, cast(doc_id % 50 as varchar) as session, doc_id * 4 + v as seq, path, text, l, case v when 1 then doc_id % 5 when 2 then 3 end as b, case v when 1 then 6 when 2 then doc_id % 4 end as e from d, range(4) t(v)),
+w as (select *, greatest(1, least(b, len(l))) as s, strlen(text) > 20000 as big, doc_id % 17 = 0 as bin, doc_id % 19 = 0 as gone from a),
+x as (select *, case when b is null then 'full' else 'lines:' || s || '-' || greatest(s, least(e, len(l))) end as view,
+  case when b is null then text else array_to_string(list_slice(l, s, greatest(s, least(e, len(l)))), chr(10)) end as body, case when gone then 'unreadable' when big then 'too large' when bin then 'binary' end as error from w),
+k as (select *, row_number() over (partition by session, path, view order by seq) as n from x where error is null)"""
+
+
+def _read_requests(spark, sf):
+    """Four reads of every document: the whole, two line ranges, the whole again."""
+    docs = table(spark, sf, "documents").withColumn("path", F.concat(F.lit("/p"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 13 == 0, "/.env").otherwise(".ts")))
+    size = F.octet_length("text").cast("long")
+    disk = docs.where("doc_id % 19 <> 0").select("path", size.alias("size"), (F.col("doc_id") % 17 == 0).alias("binary"), F.col("text").alias("content"))
+    n = F.col("doc_id")
+    lines = F.when(F.col("v") == 1, F.concat((n % 5).cast("string"), F.lit(" - 6"))).when(F.col("v") == 2, F.concat(F.lit("3-"), (n % 4).cast("string")))
+    asked = docs.select("doc_id", "path", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("v"))
+    asked = asked.select((n % 50).cast("string").alias("session"), (n * 4 + F.col("v")).alias("seq"), "path", F.lit(None).cast("string").alias("symbol"), lines.alias("lines"), F.lit(False).alias("force_full"), F.lit(1).cast("long").alias("epoch"))
+    return api.read_file(asked, disk, max_bytes=20_000)
+
+
+@query(_READS_SQL + """ select session, seq, view, case when error is not null then error when n > 1 and strlen(body) > 256 then 'unchanged' else 'full' end as answer, sha256(body) as hash from
+(select session, seq, view, error, n, body from k union all select session, seq, null, error, null, null from x where error is not null)""")
+def read_file(spark, sf):
+    a = _read_requests(spark, sf)
+    refused = a.errors.select("session", "seq", F.lit(None).cast("string").alias("view"), F.col("error").alias("answer"), F.lit(None).cast("string").alias("hash"))
+    return a.sent.select("session", "seq", "view", F.col("kind").alias("answer"), "hash").unionByName(refused)
+
+
+@query(_READS_SQL + """ select session, seq, path like '%/.env' as excluded, case when path like '%/.env' then '' else sha256(body) end as hash, case when path like '%/.env' then null else sha1(encode('blob ' || strlen(body)) || '\\x00'::blob || encode(body)) end as git_blob_sha1,
+case when path like '%/.env' then 0 else strlen(body) end as bytes, case when path like '%/.env' then 0 else cast(ceil(length(body) / 4.0) as bigint) end as approx_tokens from k where view = 'full'""")
+def reads_recorded(spark, sf):
+    return _read_requests(spark, sf).events.select("session", "seq", "excluded", "hash", "git_blob_sha1", "bytes", "approx_tokens")
+
+
+_DISK_SQL = "ds as (select distinct path, length(path) * 60 as size, path like '%7.ts' as bin, path like '%3.ts' as lost from ev)"
+
+
+def _pack_disk(ev):
+    paths_seen = ev.select("path").distinct()
+    return paths_seen.where(~F.col("path").endswith("3.ts")).select("path", (F.length("path") * 60).cast("long").alias("size"), F.col("path").endswith("7.ts").alias("binary"), F.repeat("path", 60).alias("content"))
+
+
+@query(_PACK_SQL + ", " + _DISK_SQL + f""", cd as (select st.path, st.score, case when lost then 'unreadable' when size > 590 then 'too large' when bin then 'binary' end as reason, cast(ceil(size / 4.0) as bigint) as tok from st join ds using (path)),
+rk as (select *, row_number() over (order by score desc, path) as rn from cd where reason is null),
+g as (with recursive g(rn, path, tok, spent, n, taken) as (select cast(0 as bigint), cast('' as varchar), cast(0 as bigint), cast(0 as bigint), 0, false
+  union all select rk.rn, rk.path, rk.tok, case when g.n < 6 and g.spent + rk.tok <= 700 then g.spent + rk.tok else g.spent end, case when g.n < 6 and g.spent + rk.tok <= 700 then g.n + 1 else g.n end,
+    g.n < 6 and g.spent + rk.tok <= 700 from g join rk on rk.rn = g.rn + 1) select * from g),
+p as (select g.path, g.n as place, cd.score from g join cd using (path) where taken), z as (select case when count(*) = 6 then min(score) else -1 end as lo, max(path) filter (score = (select min(score) from p)) as last_path from p)
+select path, 'packed' as status, place, sha256(repeat(path, 60)) as hash from p
+union all select path, case when lost then 'unreadable' when size > 590 then 'too large' when bin then 'binary' else 'over budget (~' || tok || ' tok)' end, cast(null as int), cast(null as varchar)
+from cd join ds using (path), z where path not in (select path from p) and (score > lo or (score = lo and path < last_path))""")
+def export_pack(spark, sf):
+    ev = archive_events(spark, sf, "user")
+    files, skipped = api.export_pack(ev, _pack_disk(ev), _scalar_now(ev), top=6, tokens=700, max_bytes=590)
+    packed = files.select("path", F.lit("packed").alias("status"), (F.col("place") + 1).alias("place"), "hash")
+    return packed.unionByName(skipped.select("path", F.col("reason").alias("status"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("hash")))
+
+
+@query(_HEAT_SQL + """, rk as (select path, row_number() over (order by edits > 0 desc, reads + edits desc, last_ts desc, path) as rn from t), k as (select rn, path, path like '%3.ts' as lost, cast(ceil(length(path) * (10 + rn) / 4.0) as bigint) as tok from rk where rn <= 12),
+g as (with recursive g(rn, spent, taken) as (select cast(0 as bigint), cast(0 as bigint), false union all select k.rn, case when not k.lost and g.spent + k.tok <= 250 then g.spent + k.tok else g.spent end, not k.lost and g.spent + k.tok <= 250 from g join k on k.rn = g.rn + 1) select * from g)
+select cast(k.rn as int) as place, path, case when lost then 'unreadable' when taken then 'sent' else 'over-budget' end as status, case when taken then sha256(repeat(path, cast(10 + k.rn as int))) end as hash, case when not lost then k.rn % 2 = 0 end as changed from g join k using (rn)""")
+def restore_context(spark, sf):
+    top = _heat(spark, sf).orderBy(*A.heat_order()).limit(12).withColumn("place", F.row_number().over(Window.orderBy(*A.heat_order())))
+    body = F.expr("repeat(path, 10 + place)")
+    disk = top.where(~F.col("path").endswith("3.ts")).select("path", body.alias("content"), content.content_hash(body).alias("hash"))
+    entries = top.select("place", "path", F.when(F.col("place") % 2 == 0, "older").otherwise(content.content_hash(body)).alias("hash"))
+    return api.restore_context(entries, disk, 250).select("place", "path", "status", content.content_hash(F.col("content")).alias("hash"), "changed")
+
+
+@query(f"""with {sql_events()}, nw as (select max(ts_ms) as n from ev), re as (select ev.* from ev, nw where ts_ms >= n - {20 * DAY}), m as (select * from re where path = '{_FOCUS}' and not excluded and hash <> ''),
+f as (select cast(median(ts_ms) as bigint) as moment from ev where path = '{_FOCUS}'), fs as (select distinct session from re, f where path = '{_FOCUS}' and abs(ts_ms - moment) <= 43200000)
+select 'version' as part, hash as name, count(*) as events, hash in (select hash from ev where k % 2 = 0 and ver % 3 > 0) as in_archive from m group by hash
+union all select 'all', '', count(*), null from re where path = '{_FOCUS}'
+union all select * from (select 'beside', path, count(*) as c, null from re, f where path <> '{_FOCUS}' and not excluded and abs(ts_ms - moment) <= 43200000 and session in (select session from fs) group by path order by c desc, min(seq) limit 20)""")
+def context_blame(spark, sf):
+    ev = archive_events(spark, sf)
+    blobs = ev.where("k % 2 = 0 and ver % 3 > 0").select("hash")
+    at = ev.where(F.col("path") == _FOCUS).agg(F.median("ts_ms").cast("decimal(30,1)").alias("m")).select(F.bround("m", 0).cast("long")).first()[0]
+    b = api.context_blame(ev, blobs, _FOCUS, _scalar_now(ev), at_ms=at, window_minutes=720, days=20)
+    none = F.lit(None).cast("boolean").alias("in_archive")
+    out = b.versions.select(F.lit("version").alias("part"), F.col("hash").alias("name"), "events", "in_archive")
+    out = out.unionByName(b.counters.select(F.lit("all").alias("part"), F.lit("").alias("name"), F.col("total_events").alias("events"), none))
+    return out.unionByName(b.co_context.select(F.lit("beside").alias("part"), F.col("path").alias("name"), "events", none))
+
+
+_RECORDS_SQL = "with " + _PR_SQL + """, rc as (select sid, agent, max(ts) as updated from (select sid, agent, ts from pe union all select sid, agent, ts from pi) group by 1, 2), lv as (select rc.* from rc, nw where updated >= n - 1800000),
+le as (select pe.* from pe join lv using (sid, agent)), li as (select pi.* from pi join lv using (sid, agent))"""
+
+
+@query(_RECORDS_SQL + """ select 'session' as part, sid as name, count(distinct agent) as agents, cast(sum(e) as bigint) as edits, cast(sum(i) as bigint) as intents from (select sid, agent, 1 as e, 0 as i from le union all select sid, agent, 0, 1 from li) group by sid
+union all select 'file', path, c, null, null from (select path, count(distinct sid) as c, max(ts) as m, bool_or(f) as fl from (select sid, path, ts, false as f from le union all select sid, path, ts, n - ts < 90000 from li, nw) group by path having c >= 2 or fl order by m desc, path limit 12)""")
+def coordination_status(spark, sf):
+    e, i = (presence_rows(spark, sf, k) for k in ("edits", "intents"))
+    edits = e.groupBy("sid", "agent").agg(F.collect_list(F.struct("path", "ts", "hash")).alias("edits"), F.max("ts").alias("a"))
+    intents = i.groupBy("sid", "agent").agg(F.collect_list(F.struct("path", "ts")).alias("intents"), F.max("ts").alias("b"))
+    records = edits.join(intents, ["sid", "agent"], "full").withColumn("updatedAt", F.greatest("a", "b")).withColumn("mtime", F.greatest("a", "b"))
+    status = api.coordination_status(records, _scalar_now(base_events(spark, sf)))
+    none = F.lit(None).cast("long")
+    sessions = status["sessions"].select(F.lit("session").alias("part"), F.col("sid").alias("name"), "agents", F.col("edits").cast("long").alias("edits"), F.col("intents").cast("long").alias("intents"))
+    return sessions.unionByName(status["files"].select(F.lit("file").alias("part"), F.col("path").alias("name"), F.col("sids").alias("agents"), none.alias("edits"), none.alias("intents")))
+
+
+@query(f"""with {_PR_SQL}, mk as (select sid, path, ts, seq, hash from pi), ed as (select seq as ask, sid, agent, path, ts, seq, coalesce(hash, '') as hash from pe),
+j as (select ed.*, mk.ts as seen_ts, mk.hash as seen_hash, row_number() over (partition by ask order by mk.ts desc, mk.seq desc) as n from ed left join mk on mk.sid = ed.sid and mk.path = ed.path and mk.seq < ed.seq and mk.ts <= ed.ts),
+v as (select *, case when seen_ts is null then 'never-seen' when seen_hash <> hash and hash <> '' then 'drift' else 'allow' end as verdict from j where n = 1),
+fl as (select distinct ask from v join pi o on o.path = v.path and not (o.sid = v.sid and o.agent = v.agent) where verdict = 'allow' and v.ts - o.ts between 0 and 90000 and not coalesce(seen_ts > o.ts, false)),
+ld as (select distinct ask from v join pe o on o.path = v.path and not (o.sid = v.sid and o.agent = v.agent) where verdict = 'allow' and seen_ts is not null and seen_hash is null and o.ts > seen_ts)
+select ask, verdict, case when ask in (select ask from fl) then 'in-flight' when ask in (select ask from ld) then 'landed-edit' end as conflict, verdict = 'allow' and ask not in (select ask from fl) and ask not in (select ask from ld) as allowed from v""")
+def guard_edits(spark, sf):
+    e, i = (presence_rows(spark, sf, k) for k in ("edits", "intents"))
+    marks = i.select("sid", F.col("path").alias("key"), "ts", "seq", "hash")
+    edits = e.select("sid", "agent", F.col("seq").alias("ask"), F.lit("Edit").alias("tool"), "path", "ts", "seq", F.lit(True).alias("exists"), F.coalesce("hash", F.lit("")).alias("disk_hash"), F.lit(-1).cast("long").alias("epoch_ms"), F.col("ts").alias("now"))
+    judged = api.guard_edits(edits, marks, i.select("sid", "agent", "path", "ts"), e.select("sid", "agent", "path", "ts"), ["sid"])
+    return judged.select("ask", "verdict", "conflict", "allowed")
+
+
 # --- text operators: rows only ----------------------------------------------------------------------------------------
 
 
