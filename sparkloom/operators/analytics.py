@@ -150,6 +150,25 @@ def co_context(events: DataFrame, path: str, window_minutes: int = 30, at_ms: in
     return found.orderBy(F.desc("events"), "first").limit(top).select("path", "events", "sessions")
 
 
+def co_context_all(events: DataFrame, window_minutes: int = 30, seq: str = "seq", top: int = 20) -> DataFrame:
+    """co_context of every path around its own latest moment: (focus, path, events, sessions, place), `top` places for each focus.
+
+    The band join has an equality on session and time bucket: a bucket is as wide as the window, so what a focus reaches lies in its
+    own bucket or the two beside it.
+    """
+    width = window_minutes * 60_000
+    rows = events.select(path_key(F.col("path")).alias("key"), "path", "session", "ts_ms", F.col(seq).alias("_seq"), F.coalesce("excluded", F.lit(False)).alias("_hidden"))
+    focus = rows.groupBy("key").agg(F.max("ts_ms").alias("moment"))
+    saw = rows.join(focus, "key").where(F.abs(F.col("ts_ms") - F.col("moment")) <= width).select(F.col("key").alias("focus"), "moment", "session").distinct()
+    bucket = F.floor(F.col("moment") / width)
+    asked = saw.withColumn("_bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    others = rows.where(~F.col("_hidden")).withColumn("_bucket", F.floor(F.col("ts_ms") / width))
+    met = asked.join(others, ["session", "_bucket"]).where((F.col("focus") != F.col("key")) & (F.abs(F.col("ts_ms") - F.col("moment")) <= width))
+    found = met.groupBy("focus", "key").agg(F.min_by("path", "_seq").alias("path"), F.count("*").alias("events"), F.countDistinct("session").alias("sessions"), F.min("_seq").alias("_first"))
+    place = F.row_number().over(Window.partitionBy("focus").orderBy(F.desc("events"), "_first"))
+    return found.withColumn("place", place).where(F.col("place") <= top).select("focus", "path", "events", "sessions", "place")
+
+
 # --- receipts ---------------------------------------------------------------------------------------------------------
 
 

@@ -173,8 +173,8 @@ def export_pack(events: DataFrame, disk: DataFrame, now_ms: int, repo: str | Non
     d = disk.select("path", "size", F.coalesce("binary", F.lit(False)).alias("binary"), "content")
     rows = stats.join(d, "path", "left").withColumn("tokens", content.approx_tokens(F.coalesce("content", F.lit(""))))
     reason = F.when(paths.is_secret(F.col("path")), "secret-pattern").when(F.col("size").isNull(), "unreadable").when(F.col("size") > max_bytes, "too large").when(F.col("binary"), "binary")
-    ranked = rows.withColumn("reason", reason).persist()
-    picks = budget.pick(ranked.where("reason is null").drop("content"), "score", "path", "tokens", tokens, top)
+    ranked = rows.withColumn("reason", reason)
+    picks = budget.pick(ranked.where("reason is null"), "score", "path", "tokens", tokens, top)
     names = spark.createDataFrame([(p["path"], i) for i, p in enumerate(picks)], "path string, place int")
     files = ranked.join(F.broadcast(names), "path").select("place", "path", content.content_hash(F.col("content")).alias("hash"), content.git_blob_sha1(F.col("content")).alias("git_blob_sha1"), "tokens", "content", "sessions", "reads").orderBy("place")
     passed = ranked.join(F.broadcast(names), "path", "left_anti")

@@ -507,6 +507,13 @@ def co_context(spark, sf):
     return A.co_context(archive_events(spark, sf), _FOCUS, window_minutes=720)
 
 
+@query(f"""with {sql_events()}, f as (select path as focus, max(ts_ms) as moment from ev group by 1), fs as (select distinct focus, moment, session from ev join f on ev.path = f.focus where abs(ts_ms - moment) <= 10800000),
+m as (select focus, path, count(*) as events, count(distinct ev.session) as sessions, min(seq) as first from fs join ev on ev.session = fs.session and path <> focus and not excluded and abs(ts_ms - moment) <= 10800000 group by 1, 2)
+select focus, path, events, sessions, place from (select *, row_number() over (partition by focus order by events desc, first) as place from m) where place <= 20""")
+def co_context_all(spark, sf):
+    return A.co_context_all(archive_events(spark, sf), window_minutes=180)
+
+
 @query("""with p as (select page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', '/'), '[?#].*$', '') as path from pages), r as (select distinct '/' || string_split(path, '/')[2] as root from p where page_id % 2 = 0 union select distinct '/' || string_split(path, '/')[2] || '/' || string_split(path, '/')[3] from p where page_id % 3 = 0)
 select page_id, coalesce(arg_max(root, length(root)), '/') as repo from p left join r on starts_with(p.path, r.root || '/') group by 1""")
 def repo_attribution(spark, sf):

@@ -1,8 +1,10 @@
-"""The guard as a stream: keyed last-seen state, session resets, and verdicts on edits.
+"""The guard as a stream: what sessions have seen, resets, verdicts on edits, and other writers' conflicts.
 
-Rows come in as (session, kind, key, ts, hash, ask, tool, exists, disk_hash): kind is `mark` (a file was seen), `reset` (the session
-lost its context at ts) or `edit` (may this edit go ahead?). State is held for each (session, file), so no session is one
-group; a session's resets are sent to each of its files by the caller's join, or held in a broadcast of recent resets.
+Rows of guard_stream are (session, kind, key, ts, hash, ask, tool, exists, disk_hash): kind is `mark` (a file was seen), `reset` (the
+session lost its context at ts; no key) or `edit` (may this edit go ahead?). A session's state is its last reset and a map of the
+files it has seen, which lives in the state store, entry by entry: a row touches one entry, and a reset none.
+
+conflict_stream takes the verdicts on by file: what other writers are about to edit or have edited decides where the guard allows.
 """
 
 from __future__ import annotations
@@ -11,13 +13,24 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.paths import path_key
 from ..functions.transcripts import GUARDED
+from ..operators.presence import INTENT_SECS
+
+
+def _fields(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, k) for n, k in kinds.items()])
 
-OUT = T.StructType([T.StructField(n, k) for n, k in (("session", T.StringType()), ("key", T.StringType()), ("ask", T.LongType()), ("verdict", T.StringType()), ("seen_ts", T.LongType()), ("seen_hash", T.StringType()))])
-_STATE = T.StructType([T.StructField("ts", T.LongType()), T.StructField("hash", T.StringType()), T.StructField("reset", T.LongType())])
+
+S, L, B = T.StringType(), T.LongType(), T.BooleanType()
+OUT = _fields(session=S, key=S, ask=L, verdict=S, seen_ts=L, seen_hash=S, tool=S, exists=B, ts=L)
+CONFLICTS = _fields(ask=L, verdict=S, conflict=S, other_sid=S, other_agent=S, allowed=B, intent=B)
+_SEEN, _KEY, _RESET = _fields(ts=L, hash=S), _fields(key=S), _fields(ts=L)
+_WRITER, _WROTE = _fields(sid=S, agent=S), _fields(intent=L, edit=L)
 
 
 def judge(tool: str | None, exists: bool, seen: tuple[int, str | None] | None, disk_hash: str | None, reset: int) -> str:
@@ -28,32 +41,35 @@ def judge(tool: str | None, exists: bool, seen: tuple[int, str | None] | None, d
     return "drift" if seen[1] and disk_hash and seen[1] != disk_hash else "allow"
 
 
+def _text(value) -> str | None:
+    return value if isinstance(value, str) else None
+
+
 class SeenProcessor(StatefulProcessor):
-    """Value state for each (session, file): the newest mark's time and hash, and the session's last reset."""
+    """For each session: its last reset, and each file's newest mark."""
 
     def __init__(self, keep_ms: int | None = None):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("seen", _STATE, self.keep_ms) if self.keep_ms else handle.getValueState("seen", _STATE)
+        self.seen = handle.getMapState("seen", _KEY, _SEEN, self.keep_ms)
+        self.reset = handle.getValueState("reset", _RESET, self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        seen = (held[0], held[1]) if held and held[0] is not None else None
-        reset = held[2] if held and held[2] is not None else -1
+        reset = self.reset.get()[0] if self.reset.exists() else -1
         out = []
         for r in sorted((r for pdf in rows for r in pdf.itertuples(index=False)), key=lambda r: (r.ts, r.ask if pd.notna(r.ask) else -1)):
             if r.kind == "reset":
                 reset = max(reset, int(r.ts))
-            elif r.kind == "mark":
-                if seen is None or r.ts >= seen[0]:  # late marks never overwrite newer ones
-                    seen = (int(r.ts), r.hash if isinstance(r.hash, str) else None)
-            else:
-                verdict = judge(r.tool, bool(r.exists), seen, r.disk_hash if isinstance(r.disk_hash, str) else None, reset)
-                out.append((key[0], key[1], int(r.ask), verdict, seen[0] if seen else None, seen[1] if seen else None))
-        self.state.update((seen[0] if seen else None, seen[1] if seen else None, reset))
-        frame = pd.DataFrame(out, columns=OUT.names).astype({"ask": "Int64", "seen_ts": "Int64"})
-        yield frame
+                self.reset.update((reset,))
+                continue
+            held = tuple(self.seen.getValue((r.key,))) if self.seen.containsKey((r.key,)) else None
+            if r.kind == "edit":
+                verdict = judge(r.tool, bool(r.exists), held, _text(r.disk_hash), reset)
+                out.append((key[0], r.key, int(r.ask), verdict, held[0] if held else None, held[1] if held else None, _text(r.tool), bool(r.exists), int(r.ts)))
+            elif held is None or r.ts >= held[0]:  # late marks never overwrite newer ones
+                self.seen.updateValue((r.key,), (int(r.ts), _text(r.hash)))
+        yield pd.DataFrame(out, columns=OUT.names).astype({"ask": "Int64", "seen_ts": "Int64", "ts": "Int64"})
 
     def close(self) -> None:
         pass
@@ -61,16 +77,72 @@ class SeenProcessor(StatefulProcessor):
 
 def guard_stream(rows: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """Verdicts for the edits of a stream (needs the RocksDB state store). keep_ms: how long state without news is kept."""
-    return rows.groupBy("session", "key").transformWithStateInPandas(SeenProcessor(keep_ms), OUT, "append", "none" if keep_ms is None else "processingTime")
+    return rows.groupBy("session").transformWithStateInPandas(SeenProcessor(keep_ms), OUT, "append", "none" if keep_ms is None else "processingTime")
 
 
-def dedup_edits(edits: DataFrame, delay: str = "1 hour", bucket_ms: int = 5000) -> DataFrame:
-    """Edits of a stream, one for each (writer, file, time bucket); `ts_time` is their event time. Which of a bucket comes through
-    is the first to arrive: the batch operator, which prefers hashed ones, is the exact form."""
-    from pyspark.sql import functions as F
+class ConflictProcessor(StatefulProcessor):
+    """For each file: each writer's newest intent and newest landed edit."""
+
+    def __init__(self, fresh_ms: int, keep_ms: int | None):
+        self.fresh_ms, self.keep_ms = fresh_ms, keep_ms
 
-    from ..functions.content import half_up
-    from ..functions.paths import path_key
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.wrote = handle.getMapState("wrote", _WRITER, _WROTE, self.keep_ms)
+
+    def _conflict(self, own: tuple[str, str], now: int, seen: int | None, seen_hash: str | None):
+        others = sorted((tuple(w), tuple(x)) for w, x in self.wrote.iterator() if tuple(w) != own)
+        for kind in ("in-flight", "landed-edit"):
+            for writer, (intent, edit) in others:
+                if kind == "in-flight" and intent is not None and 0 <= now - intent <= self.fresh_ms and not (seen is not None and seen > intent):
+                    return kind, writer
+                if kind == "landed-edit" and edit is not None and seen is not None and not seen_hash and edit > seen:
+                    return kind, writer
+        return None, (None, None)
 
-    keyed = edits.withColumn("_key", path_key(F.col("path"))).withColumn("_bucket", half_up(F.col("ts") / bucket_ms))
-    return keyed.withWatermark("ts_time", delay).dropDuplicatesWithinWatermark(["sid", "agent", "_key", "_bucket"]).drop("_key", "_bucket")
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out = []
+        for r in sorted((r for pdf in rows for r in pdf.itertuples(index=False)), key=lambda r: (r.ts, r.ask if pd.notna(r.ask) else -1)):
+            own = (r.sid, _text(r.agent) or "")
+            intent, edit = tuple(self.wrote.getValue(own)) if self.wrote.containsKey(own) else (None, None)
+            if r.kind == "intent":
+                intent = max(intent or 0, int(r.ts))
+            elif r.kind == "landed":
+                # an edit that has landed ends the writer's intents up to it
+                edit = max(edit or 0, int(r.ts))
+                intent = intent if intent is not None and intent > r.ts else None
+            else:
+                seen = int(r.seen_ts) if pd.notna(r.seen_ts) else None
+                asked = r.tool in GUARDED and bool(r.exists)
+                kind, other = self._conflict(own, int(r.ts), seen, _text(r.seen_hash)) if r.verdict == "allow" and asked else (None, (None, None))
+                allowed = r.verdict == "allow" and kind is None
+                if allowed and asked:
+                    intent = max(intent or 0, int(r.ts))
+                out.append((int(r.ask), r.verdict, kind, *other, allowed, allowed and asked))
+            if intent is not None or edit is not None:
+                self.wrote.updateValue(own, (intent, edit))
+            elif self.wrote.containsKey(own):
+                self.wrote.removeKey(own)
+        yield pd.DataFrame(out, columns=CONFLICTS.names).astype({"ask": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def conflict_stream(rows: DataFrame, fresh_secs: int = INTENT_SECS, keep_ms: int | None = None) -> DataFrame:
+    """The guard's verdicts with other writers' conflicts where it allows, and whether the edit becomes an intent of its writer.
+
+    rows: (key, kind, sid, agent, ts, ask, verdict, tool, exists, seen_ts, seen_hash); kind is `intent`, `landed` or `ask`. A fresh
+    intent comes before a landed edit; of several writers the first by name counts.
+    """
+    return rows.groupBy("key").transformWithStateInPandas(ConflictProcessor(fresh_secs * 1000, keep_ms), CONFLICTS, "append", "none" if keep_ms is None else "processingTime")
+
+
+def dedup_edits(edits: DataFrame, delay: str = "1 hour", bucket_ms: int = 5000) -> DataFrame:
+    """Edits of a stream, one for each (writer, file, time bucket): the first of a bucket, or the first with a hash.
+
+    `ts_time` is their event time. A bucket comes through once the watermark has passed it, so that nothing better can follow.
+    """
+    window = F.window("ts_time", f"{bucket_ms} milliseconds", startTime=f"{bucket_ms // 2} milliseconds")
+    keyed = edits.withWatermark("ts_time", delay).groupBy(window.alias("_window"), "sid", "agent", path_key(F.col("path")).alias("_key"))
+    best = F.min_by(F.struct(*edits.columns), F.struct(F.col("hash").isNull().alias("none"), "ts"))
+    return keyed.agg(best.alias("x")).select("x.*")

@@ -12,7 +12,7 @@ def rows():
     return [
         [m("s", "/a", 10, "h"), e("s", "/a", 11, 1, "h"), e("s", "/b", 12, 2, "x")],
         [e("s", "/a", 20, 3, "g"), m("s", "/a", 5, "late"), e("s", "/a", 21, 4, "h"), m("t", "/a", 22, None)],
-        [("s", "reset", "/a", 30, None, None, None, None, None), e("s", "/a", 31, 5, "h"), e("t", "/a", 32, 6, "anything"), e("s", "/b", 33, 7, "x", "Read")],
+        [("s", "reset", None, 30, None, None, None, None, None), e("s", "/a", 31, 5, "h"), e("t", "/a", 32, 6, "anything"), e("s", "/b", 33, 7, "x", "Read")],
     ]
 
 
@@ -37,14 +37,44 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r.ask: r.verdict for r in guard.judge_edits(edits, marks, ["session"]).collect()} == got
 
 
+def test_conflicts_by_file(spark, tmp_path):
+    columns = "key string, kind string, sid string, agent string, ts long, ask long, verdict string, tool string, exists boolean, seen_ts long, seen_hash string"
+    wrote = lambda k, kind, sid, ts: (k, kind, sid, "main", ts, None, None, None, None, None, None)
+    ask = lambda k, sid, ts, n, seen=5, h="h", verdict="allow", tool="Edit", exists=True: (k, "ask", sid, "main", ts, n, verdict, tool, exists, seen, h)
+    batches = [
+        [wrote("/a", "intent", "t", 1000), ask("/a", "s", 2000, 1), ask("/a", "t", 2000, 2), ask("/a", "s", 100_000, 3), ask("/b", "s", 2000, 4)],
+        # the ask that was allowed is an intent now; a landed edit ends it
+        [ask("/b", "t", 3000, 5), wrote("/b", "landed", "s", 4000), ask("/b", "t", 5000, 6), ask("/b", "t", 5000, 7, h=None), ask("/b", "u", 5000, 8, seen=4500, h=None)],
+        [ask("/c", "s", 10, 9, verdict="drift"), ask("/c", "s", 10, 10, tool="Read"), ask("/c", "s", 10, 11, exists=False), ask("/c", "t", 20, 12)],
+    ]
+    src = str(tmp_path / "in")
+    spark.createDataFrame([], columns).write.parquet(src)
+    out = seen.conflict_stream(spark.readStream.schema(columns).parquet(src))
+    q = out.writeStream.format("memory").queryName("conflicts").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        for batch in batches:
+            spark.createDataFrame(batch, columns).coalesce(1).write.mode("append").parquet(src)
+            q.processAllAvailable()
+        got = {r.ask: (r.conflict, r.other_sid, r.allowed, r.intent) for r in spark.table("conflicts").collect()}
+    finally:
+        q.stop()
+    assert got == {
+        1: ("in-flight", "t", False, False), 2: (None, None, True, True), 3: (None, None, True, True), 4: (None, None, True, True), 5: ("in-flight", "s", False, False), 6: (None, None, True, True),
+        7: ("landed-edit", "s", False, False), 8: ("in-flight", "t", False, False), 9: (None, None, False, False), 10: (None, None, True, False), 11: (None, None, True, False), 12: (None, None, True, True),
+    }
+
+
 def test_stream_dedup_of_edits(spark, tmp_path):
     src = str(tmp_path / "in")
-    schema = "sid string, agent string, path string, ts long, ts_time timestamp"
-    one = spark.createDataFrame([("s", "a", "f", 2500), ("s", "a", "f", 2600), ("s", "a", "f", 9000), ("s", "b", "f", 2500)], "sid string, agent string, path string, ts long")
-    one.withColumn("ts_time", F.timestamp_millis("ts")).write.parquet(src)
-    q = seen.dedup_edits(spark.readStream.schema(schema).parquet(src)).writeStream.format("memory").queryName("edits_once").option("checkpointLocation", str(tmp_path / "ck")).start()
+    schema = "sid string, agent string, path string, ts long, hash string, ts_time timestamp"
+    rows = [("s", "a", "f", 2500, None), ("s", "a", "f", 2600, "h"), ("s", "a", "f", 2700, "g"), ("s", "a", "f", 9000, None), ("s", "a", "f", 9100, None), ("s", "b", "f", 2500, None)]
+    write = lambda some: spark.createDataFrame(some, "sid string, agent string, path string, ts long, hash string").withColumn("ts_time", F.timestamp_millis("ts")).write.mode("append").parquet(src)
+    write(rows)
+    q = seen.dedup_edits(spark.readStream.schema(schema).parquet(src), "10 seconds").writeStream.format("memory").queryName("edits_once").option("checkpointLocation", str(tmp_path / "ck")).start()
     try:
         q.processAllAvailable()
-        assert spark.table("edits_once").count() == 3
+        write([("z", "z", "z", 60_000, None)])
+        q.processAllAvailable()
+        assert sorted((r.sid, r.agent, r.ts, r.hash) for r in spark.table("edits_once").collect()) == [("s", "a", 2600, "h"), ("s", "a", 9000, None), ("s", "b", 2500, None)]
     finally:
         q.stop()
