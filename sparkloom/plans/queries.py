@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timezone
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -831,6 +832,99 @@ def real_tokens(spark, sf):
     return table(spark, sf, "documents").select("doc_id", count(F.col("text")).alias("tokens"))
 
 
+# --- sources and sinks: written to the shared folder, read back ------------------------------------------------------------
+
+
+def _folder(spark, name):
+    return f"{stores.shared_folder(spark)}/sparkloom-{name}-{uuid.uuid4().hex}"
+
+
+_STAMP = "strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
+
+
+def _stamped(ev):
+    stamp = F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return ev.select("seq", F.when(F.col("seq") % 41 == 0, "no time").otherwise(stamp).alias("ts"), "session", F.when(F.col("seq") % 43 != 0, F.col("path")).alias("path"), "repo", "hash", F.col("git_blob_sha1").alias("gitBlobSha1"), "bytes", F.col("approx_tokens").alias("approxTokens"), "source", "op", "view", "sidechain", "excluded")
+
+
+@query(f"with {sql_events()}, nw as (select max(ts_ms) as n from ev) select session, path, hash, bytes, excluded, case when seq % 41 = 0 then 'no time' else {_STAMP} end as ts from ev, nw where seq % 43 <> 0 and (seq % 41 = 0 or ts_ms >= n - {9 * DAY})")
+def event_log_scan(spark, sf):
+    """A log of JSON lines in many files, with broken and empty lines and rows that lack a path or a time."""
+    at, ev = _folder(spark, "log"), archive_events(spark, sf)
+    lines = _stamped(ev).select("session", F.explode(F.array(F.to_json(F.struct("ts", "session", "path", "repo", "hash", "gitBlobSha1", "bytes", "approxTokens", "source", "op", "view", "sidechain", "excluded")), F.lit(""), F.lit('{"ts": "cut of'))).alias("value"))
+    lines.withColumn("writer", F.concat(F.col("session"), F.lit(".jsonl"))).select("value", "writer").write.partitionBy("writer").text(at)
+    return stores.read_events(spark, at, _scalar_now(ev) - 9 * DAY, "*").select("session", "path", "hash", "bytes", "excluded", "ts")
+
+
+@query(f"""with {sql_events()}, nw as (select (max(ts_ms) // {DAY} - 3) * {DAY} + 1000 as bound, max(ts_ms) // {DAY} as last from ev), w as (select ev.*, bound, (last - seq % 9) * {DAY} + 1000 - seq % 2 as moment from ev, nw)
+select session, path, count(*) as events, cast(sum(bytes) as bigint) as bytes from w where moment >= bound group by 1, 2""")
+def event_table_scan(spark, sf):
+    """Events appended day by day to the Parquet log, then those since a bound inside a day."""
+    at = _folder(spark, "events")
+    ev = archive_events(spark, sf).select("seq", "session", "path", "hash", "bytes", (F.col("seq") % 9).alias("back"), (F.col("seq") % 2).alias("odd"))
+    last = _scalar_now(archive_events(spark, sf)) // DAY
+    for back in range(9):
+        for odd in (0, 1):
+            ms = (last - back) * DAY + 1000 - odd
+            now = datetime.fromtimestamp(ms / 1000, timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+            stores.append_events(ev.where((F.col("back") == back) & (F.col("odd") == odd)).select("session", "path", "hash", "bytes"), at, now)
+    return stores.read_event_table(spark, at, (last - 3) * DAY + 1000).groupBy("session", "path").agg(F.count("*").alias("events"), F.sum("bytes").alias("bytes"))
+
+
+@query("select g, cast(n - 1 as int) as line, v as value from (select conv_id % 5 as g, sha256(text) as v, row_number() over (partition by conv_id % 5 order by conv_id, turn) as n, turn from conversations) where n % 7 <> 0")
+def transcript_scan(spark, sf):
+    """Transcripts as files, a seventh of their lines empty: numbered as they stand."""
+    at = _folder(spark, "transcripts")
+    c = table(spark, sf, "conversations").select((F.col("conv_id") % 5).alias("g"), "conv_id", "turn", F.sha2("text", 256).alias("v"))
+    n = F.row_number().over(Window.partitionBy("g").orderBy("conv_id", "turn"))
+    lines = c.withColumn("n", n).select("g", "n", F.when(F.col("n") % 7 == 0, "").otherwise(F.col("v")).alias("value"))
+    lines.repartition("g").sortWithinPartitions("g", "n").select("value", "g").write.partitionBy("g").text(at)
+    found = stores.read_transcripts(spark, at, "*.txt")
+    return found.select(F.regexp_extract("file", "g=([0-9]+)", 1).cast("long").alias("g"), "line", "value")
+
+
+@query("with f as (select doc_id % 40 as g, string_agg(sha256(text), chr(10) order by doc_id) || chr(10) as t from documents where doc_id % 40 % 9 <> 4 or doc_id < 400 group by 1) select g, strlen(t) as size, sha256(t) as hash from f where strlen(t) <= (select cast(median(strlen(t)) as bigint) from f) and g % 11 <> 3")
+def file_scan(spark, sf):
+    """Files up to a size; of those, binary ones are left out."""
+    at = _folder(spark, "files")
+    d = table(spark, sf, "documents").select((F.col("doc_id") % 40).alias("g"), "doc_id", F.sha2("text", 256).alias("v")).where("g % 9 <> 4 or doc_id < 400")
+    first = F.row_number().over(Window.partitionBy("g").orderBy("doc_id")) == 1
+    d = d.withColumn("value", F.when(first & (F.col("g") % 11 == 3), F.concat(F.lit("\x00"), F.substring("v", 2, 63))).otherwise(F.col("v")))
+    d.repartition("g").sortWithinPartitions("g", "doc_id").select("value", "g").write.partitionBy("g").text(at)
+    size = d.groupBy("g").agg((F.count("*") * 65).alias("n")).agg(F.median("n")).first()[0]
+    found = stores.read_files(spark, at, int(size))
+    return found.where(F.col("path").endswith(".txt")).select(F.regexp_extract("path", "g=([0-9]+)", 1).cast("long").alias("g"), "size", "hash")
+
+
+@query("select sha256(text) as hash, any_value(text) = any_value(text) as same, count(distinct text) as stored from documents group by 1")
+def blobs_put(spark, sf):
+    """The blob store after three puts that overlap: every content once."""
+    at, docs = _folder(spark, "blobs"), table(spark, sf, "documents").withColumn("content", F.col("text"))
+    for part in ("doc_id % 2 = 0", "doc_id % 3 = 0", "true"):
+        stores.put_blobs(spark, stores.as_blobs(docs.where(part), F.col("doc_id")), at)
+    return spark.read.parquet(at).groupBy("hash").agg(F.bool_and(content.content_hash(F.col("content")) == F.col("hash")).alias("same"), F.count("*").alias("stored"))
+
+
+@query(f"with {_PR_SQL} select sid, agent, count(*) as edits, max(ts) as last_ms from pe where not (sid = '3' and agent = '1') group by 1, 2 union all select '3', '1', 1, 7")
+def presence_saved(spark, sf):
+    """Records saved over each other: of the writer that saved twice, the second."""
+    at = _folder(spark, "presence")
+    e = presence_rows(spark, sf, "edits").groupBy("sid", "agent").agg(F.collect_list(F.struct("path", "ts", "hash")).alias("edits"), F.max("ts").alias("updatedAt"))
+    records = e.select("sid", "agent", F.lit(1).cast("long").alias("pid"), "updatedAt", F.array().cast("array<struct<path: string, ts: bigint>>").alias("intents"), "edits")
+    stores.save_presence(records, at)
+    again = [("3", "1", 1, 7, [], [("f", 7, None)])]
+    stores.save_presence(spark.createDataFrame(again, records.schema), at)
+    return stores.read_presence(spark, at).select("sid", "agent", F.size("edits").cast("long").alias("edits"), F.array_max(F.transform("edits", lambda x: x["ts"])).alias("last_ms"))
+
+
+@query(f"with {sql_events()} select path as key, max(ts_ms) as ts, arg_max(hash, ts_ms * 1000000 + seq) as hash from ev where session = '4' group by 1")
+def seen_saved(spark, sf):
+    at = _folder(spark, "seen")
+    m = archive_events(spark, sf).select("session", F.col("path").alias("key"), F.col("ts_ms").alias("ts"), "seq", "hash")
+    stores.save_seen(guard.latest_seen(m, ["session"]), "session", at)
+    return stores.load_seen(spark, at, "4")
+
+
 # --- streams ----------------------------------------------------------------------------------------------------------
 
 
@@ -849,8 +943,7 @@ def stream_seen(spark, sf):
         "session", F.when(read, "mark").otherwise("edit").alias("kind"), F.col("path").alias("key"), F.col("ts_ms").alias("ts"), F.when(read & (F.col("k") % 4 > 0), F.col("hash")).alias("hash"),
         F.when(~read, F.col("seq")).alias("ask"), F.when(~read, tool).alias("tool"), F.lit(True).alias("exists"), F.when(~read, F.col("hash")).alias("disk_hash"),
     )
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    at = f"{root}/sparkloom-stream-{uuid.uuid4().hex}"
+    at = f"{stores.shared_folder(spark)}/sparkloom-stream-{uuid.uuid4().hex}"
     rows.write.parquet(f"{at}/in")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out = guard_stream(spark.readStream.schema(rows.schema).parquet(f"{at}/in"))

@@ -19,10 +19,10 @@ def event_ms(ts: Column) -> Column:
     return F.unix_millis(F.try_to_timestamp(ts))
 
 
-def read_events(spark: SparkSession, path: str, since_ms: int | None = None) -> DataFrame:
+def read_events(spark: SparkSession, path: str, since_ms: int | None = None, names: str = "*.jsonl") -> DataFrame:
     """The union of all writers' JSON-lines logs under path: rows with a path, a hash and a ts, from since_ms on (rows whose ts
     can't be read stay). Blank and broken lines are skipped. `_writer` and the ts give a defined order."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path)
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names).text(path)
     rows = lines.select(F.from_json("value", ARCHIVE_EVENT).alias("e"), F.col("_metadata.file_path").alias("_writer")).select("e.*", "_writer")
     rows = rows.where("path is not null and hash is not null and ts is not null")
     return rows if since_ms is None else rows.where(~F.coalesce(event_ms(F.col("ts")) < since_ms, F.lit(False)))
@@ -78,14 +78,25 @@ def put_blobs(spark: SparkSession, candidates: DataFrame, path: str) -> None:
     new_blobs(candidates, stored).select(*BLOB.names).write.mode("append").parquet(path)
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir. Only a local session may do without it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "/tmp/checkpoints"
+    return root.rstrip("/")
+
+
+def read_transcripts(spark: SparkSession, path: str, names: str = "*.jsonl") -> DataFrame:
     """(file, line, value): every line of every transcript under path, lines numbered from 0 in each file.
 
-    Lines of a file keep the order of their offsets: a file is read as a whole text and split, so that numbering
-    needs no global sort.
+    Files are read in splits; a split's rows come in order, so that its start and their order in it number a file's lines.
     """
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
-    return whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value")).where("value <> ''")
+    split = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names).option("lineSep", "\n").text(path)
+    rows = split.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_order"))
+    line = F.row_number().over(Window.partitionBy("file").orderBy("_start", "_order")) - 1
+    return rows.select("file", line.alias("line"), "value").where("value <> ''")
 
 
 def read_files(spark: SparkSession, path: str, max_bytes: int = 2_000_000) -> DataFrame:
