@@ -1,12 +1,13 @@
 r"""Quality rules over lines: cross-document line frequency per host, on DataFrame and SQL functions only.
 
 A line is what stands between \n; its normal form has A-Z lower-cased, digits as 0 and white space runs as one space, ends
-trimmed. Lines without a word don't count. A line is boilerplate where its normal form stands in more than `LIMIT` documents
-of one host; it is removed. A document is depleted where more than half of its words went, or fewer than `LEAST_WORDS` are
-left, and is rejected.
+trimmed. Lines without a word don't count. A line is boilerplate where its normal form stands in more than `LIMIT` distinct documents
+of one host (documents with the same text are one); it is removed. A document is depleted where more than half of its words went,
+or fewer than `LEAST_WORDS` are left, and is rejected.
 
-Each document sends each of its lines once to the count, which is summed before the shuffle; the lines above the limit are
-few and come back by a join on (host, line) that AQE splits where one line is in a large share of all documents.
+One pass over the texts writes each document's base counts and its lines' hashes and words. The count is over distinct (host, line,
+document) before it is over (host, line), so no line is a hot key; the lines above the limit are few and come back by a join
+on (host, line) that AQE splits where one line is in a large share of all documents.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LIMIT, LEAST_WORDS = 30, 10
+from .common import cut
+
+LIMIT, LEAST_WORDS = 10, 10
 WHITE = r"[\\x20\\x09-\\x0D]+"
 
 #: Words of a text (SQL over _text), and what the base rules count.
@@ -64,34 +67,37 @@ def _normal(line: str) -> str:
     return f"trim(regexp_replace({lowered}, '{WHITE}', ' '))"
 
 
-def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT, least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs -> (id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_line_words): one row per row.
+def line_quality(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT, least_words: int = LEAST_WORDS, cleaned: bool = False
+) -> DataFrame:
+    """docs -> (id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_line_words[, clean_text]): one row per row.
 
-    n_line_words: words in removed lines. Null text: as empty (no words, base_failed). A null host is a host of its own.
-    Repeated rows each count as a document. Other columns are not read. An empty table gives an empty result.
+    n_line_words: words in removed lines. cleaned: with the text that is left, lines without a word included. Null text: as empty
+    (no words, base_failed; an empty clean_text). A null host is a host of its own. Repeated rows are one document in the count
+    and a row each in the result. Other columns are not read. An empty table gives an empty result.
     """
     own = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("_host"), F.col(host_col).isNull().alias("_none"), F.col(text_col).alias("_raw"))
+    own = own.withColumn("_row", F.monotonically_increasing_id())
     line = f"struct(xxhash64({_normal('l')}) as hash, cast(size(filter(split(l, '{WHITE}'), w -> w <> '')) as long) as n)"
-
-    lines = own.withColumn("_text", F.coalesce("_raw", F.lit(""))).withColumn("_lines", F.expr(_LINES))
-    once = lines.select("_host", "_none", F.explode(F.expr(f"array_distinct(transform(_lines, l -> xxhash64({_normal('l')})))")).alias("hash"))
-    common = once.groupBy("_host", "_none", "hash").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > limit).drop("n_docs")
-
-    base = base_rules(own.withColumn("_row", F.monotonically_increasing_id()), "_raw").drop("_raw")
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    # a document's counts travel on its first line; a document without lines keeps one row
-    spread = base.select("_row", "_id", "_host", "_none", *columns, F.posexplode_outer(F.expr(f"transform(_lines, l -> {line})")).alias("k", "line"))
-    first = F.coalesce(F.col("k") == 0, F.lit(True))
-    rows = spread.select("_row", "_host", "_none", F.col("line.hash").alias("hash"), F.coalesce("line.n", F.lit(0)).alias("n"), F.when(first, F.struct("_id", *columns)).alias("own"))
-    # lines of wordless documents join nothing: a hash of their own keeps them apart
-    rows = rows.withColumn("hash", F.coalesce("hash", F.xxhash64("_row", F.lit("none"))))
-    hit = common.withColumn("hit", F.lit(True))
-    met = rows.join(hit, ["_host", "_none", "hash"], "left")
-    done = met.groupBy("_row").agg(F.max("own").alias("own"), F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("n_line_words"))
+    texts = ["_raw"] if cleaned else []
+    base = base_rules(own, "_raw").select("_row", "_id", "_host", "_none", F.xxhash64("_raw").alias("_doc"), *columns, F.expr(f"transform(_lines, l -> {line})").alias("lines"), *texts)
+    base = cut(base, "lines")
+
+    once = base.select("_host", "_none", "_doc", F.explode(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("hash"))
+    common = once.groupBy("_host", "_none", "hash").agg(F.count_distinct("_doc").alias("n_docs")).where(F.col("n_docs") > limit).drop("n_docs")
+    hit = base.select("_row", "_host", "_none", F.explode("lines").alias("line")).select("_row", "_host", "_none", "line.hash", "line.n").join(common, ["_host", "_none", "hash"])
+    gone = hit.groupBy("_row").agg(F.sum("n").alias("n_line_words"), F.collect_set("hash").alias("_gone"))  # of the document's own lines
+    done = base.join(gone, "_row", "left").withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0).cast("long")))
     left = F.col("n_words") - F.col("n_line_words")
-    done = done.select(F.col("own._id").alias(id_col), *[F.col(f"own.{c}").alias(c) for c in columns], "n_line_words")
     kept = ~F.col("base_failed") & ~((2 * F.col("n_line_words") > F.col("n_words")) | (left < least_words))
-    return done.select(id_col, *columns, kept.alias("kept"), "n_line_words")
+    out = [F.col("_id").alias(id_col), *columns, kept.alias("kept"), "n_line_words"]
+    if cleaned:
+        # only where lines went is the text taken apart again; a line without a word is never among them
+        words = "l rlike '[^\\\\x20\\\\x09-\\\\x0D]'"
+        rest = F.expr(f"array_join(filter(split(_raw, '\\n'), l -> not ({words} and array_contains(_gone, xxhash64({_normal('l')})))), '\\n')")
+        out.append(F.when(F.col("_gone").isNull(), F.coalesce("_raw", F.lit(""))).otherwise(rest).alias("clean_text"))
+    return done.select(*out)
 
 
 def oracle(limit: int = LIMIT, least_words: int = LEAST_WORDS) -> str:
@@ -107,7 +113,7 @@ def oracle(limit: int = LIMIT, least_words: int = LEAST_WORDS) -> str:
     s as (select r, line, len(regexp_extract_all(line, '{word}')) as n,
           trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '{white}', ' ', 'g'), ' ') as k
           from (select r, unnest(l) as line from w)),
-    c as (select source, k, count(distinct r) as n from s join d using (r) group by 1, 2 having count(distinct r) > {limit}),
+    c as (select source, k, count(distinct t) as n from s join d using (r) group by 1, 2 having count(distinct t) > {limit}),
     x as (select s.r, sum(s.n) as n from s join d using (r) join c on c.k = s.k and c.source is not distinct from d.source group by 1),
     b as (select d.doc_id, cast(len(w.w) as bigint) as n_words, cast(length(array_to_string(w.w, '')) as bigint) as word_chars,
           cast(length(regexp_replace(d.t, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
