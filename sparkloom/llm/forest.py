@@ -68,21 +68,30 @@ class Forest:
 def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, share: float = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, id, distance) of each query's k nearest found among the rows, its own row left out; ties to smaller ids."""
     distinct, kind = np.unique(vectors, axis=0, return_inverse=True)
-    by_kind = np.lexsort((ids, kind.ravel()))
-    starts = np.searchsorted(kind.ravel()[by_kind], np.arange(len(distinct) + 1))
+    # each id once under each of its vectors
+    kind, ids = np.unique(np.column_stack([kind.ravel(), ids]), axis=0).T if len(ids) else (kind, ids)
+    starts = np.searchsorted(kind, np.arange(len(distinct) + 1))
     forest = Forest(distinct)
     found_q, found_id, found_d = [], [], []
     for qid, q, rows in zip(query_ids, queries, forest.candidates(queries, max(LEAST, share * len(distinct)))):
         d = np.sqrt(((distinct[rows] - q) ** 2).sum(axis=1))
-        if len(rows) > k + 1:  # the k + 1 nearest vectors and all that tie with them: one row may be the query's own
-            keep = d <= np.partition(d, k)[k]
-            rows, d = rows[keep], d[keep]
-        got_id = [by for r in rows for by in ids[by_kind[starts[r] : min(starts[r + 1], starts[r] + k + 1)]].tolist()]
-        got_d = np.repeat(d, [min(starts[r + 1] - starts[r], k + 1) for r in rows])
-        got = np.array(got_id, dtype=np.int64)
-        other = got != qid
-        got, got_d = got[other], got_d[other]
-        best = np.lexsort((got, got_d))[:k]
+        order = np.argsort(d, kind="stable")
+        # nearest vectors first, with all that tie, until k other ids are met; of one vector's ids the k + 1 smallest are enough
+        got, got_d, met, upto = [], [], set(), 0
+        while upto < len(order) and len(met) < k:
+            at = order[upto]
+            while upto < len(order) and d[order[upto]] == d[at]:
+                r = rows[order[upto]]
+                own = ids[starts[r] : min(starts[r + 1], starts[r] + k + 1 + len(met))].tolist()
+                got += own
+                got_d += [d[at]] * len(own)
+                upto += 1
+            met = set(got) - {qid}
+        got, got_d = np.array(got, dtype=np.int64), np.array(got_d)
+        best = np.lexsort((got, got_d))
+        # an id's nearest vector is what counts
+        best = best[np.sort(np.unique(got[best], return_index=True)[1])]
+        best = best[got[best] != qid][:k]
         found_q.append(np.full(len(best), qid))
         found_id.append(got[best])
         found_d.append(got_d[best])
@@ -101,7 +110,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
 
     is_query: a boolean column over vectors. Vectors that are null, empty, all zero, or hold null or non-finite numbers take no
     part, as queries or as candidates, nor do rows without an id; vectors of different length are never compared. Fewer than
-    k candidates: all of them. Of rows that repeat an id with the same vector one counts.
+    k candidates: all of them. Rows that repeat an id are one candidate, at the distance of their nearest vectors.
     """
     v = F.col("_v")
     fine = F.size(v) > 0
@@ -122,6 +131,6 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
         return pa.table({"query_id": got[0], "_id": got[1], "score": got[2]})
 
     key = ["_dim", "_shard", "_block"]
-    near = held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(run, "query_id long, _id long, score double").distinct()
+    near = held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(run, "query_id long, _id long, score double").groupBy("query_id", "_id").agg(F.min("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy("score", "_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.col("_id").alias(id_col), "score")

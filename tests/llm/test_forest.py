@@ -46,3 +46,19 @@ def test_against_brute_force(spark, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert forest.search(df, F.col("vec_id") % 10 == 0).collect() == []
+
+
+def test_repeated_rows_and_ids(spark, monkeypatch):
+    rows = data(300)[:300]
+    rows += rows + [rows[0]] * 15 + [(7, [2.0] * 16), (250, rows[120][1]), (120, rows[250][1])]
+    monkeypatch.setattr(forest, "SHARD_ROWS", 200)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in forest.search(df, F.col("vec_id") % 10 == 0, share=64.0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], round(r.score, 9), r.vec_id))
+    own = {}
+    for i, v in rows:
+        own.setdefault(i, set()).add(tuple(np.float32(v).tolist()))
+    for q in range(0, 300, 10):
+        d = sorted((round(min(float(np.sqrt(((np.array(a) - np.array(b)) ** 2).sum())) for a in own[i] for b in own[q]), 9), i) for i in own if i != q)
+        assert [m[1:] for m in sorted(got[q])] == d[:10]
