@@ -1,8 +1,9 @@
 """Chat formatting: roles of a raw transcript's lines by a hidden Markov model, then canonical turns.
 
 States are (role, line opens a turn or goes on with it). A line shows a speaker marker's class (a known name of a role, an unknown
-name, or none) and a shape (blank, question, list or code, other). Transitions and emissions are counted, with one added, on
-at most `MAX_TRAIN` transcripts whose turns are known. Viterbi's best path gives the turns.
+name, or none) and a shape (blank, question, list or code, other). A marker may follow a time and stand in brackets, after decoration, or
+before a colon, a dash or an arrow. Transitions and emissions are counted, with one added, on at most `MAX_TRAIN` transcripts
+whose turns are known. Viterbi's best path gives the turns.
 
 A transcript may come in parts of bounded size. A part sums up to a matrix: the best score from each state before it to each
 state at its end. Matrices are multiplied in the (max, +) sense, `FAN` at a time and level over level, then the best
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -36,19 +37,24 @@ MAX_TRAIN, FAN, PART_TURNS = 2000, 256, 64
 
 _DECOR = r"[#*<|\[\](>{}_\-=\s]*"
 _KNOWN = {n: r for r, names in NAMES.items() for n in names}
-_MARK = re.compile(rf"^({_DECOR})({'|'.join(sorted(_KNOWN, key=len, reverse=True))})({_DECOR}(?::{_DECOR}|$)|[|>\]]+)\s*", re.I | re.A)
-_NAME = re.compile(r"^[#*\s]*[A-Z][\w.'-]*(?: [A-Z]?[\w.'-]+){0,2}\s*:[*\s]*")
+#: A date and a time before a marker.
+_TIME = re.compile(r"^\s*[\[(]?(?:\d{4}-\d\d-\d\d[T ,]+)?\d{1,2}:\d{2}(?::\d{2})?(?:\s?[AaPp][Mm])?[\])]?[\s,|-]*")
+_MARK = re.compile(rf"^({_DECOR})({'|'.join(sorted(_KNOWN, key=len, reverse=True))})({_DECOR}(?::{_DECOR}|$)|[|>\])]+|\s+(?:[-\u2013\u2014]|[-=]*>+)(?=\s))\s*", re.I | re.A)
+_PERSON = r"[A-Z][\w.'-]*(?: [A-Z]?[\w.'-]+){0,2}"
+_NAME = re.compile(rf"^[#*\s]*{_PERSON}\s*:[*\s]*|^\s*\[{_PERSON}\]:?\s*|^\s*<{_PERSON}>:?\s*")
 _LIST = re.compile(r"^\s*(?:[-*+] |\d+[.)] |```|    |\t)")
 
 
 def observe(line: str) -> tuple[int, int, int]:
     """(marker class, shape, where the text after the marker begins) of a line."""
-    m = _MARK.match(line)
+    time = _TIME.match(line)
+    begin = time.end() if time else 0
+    m = _MARK.match(line[begin:])
     # a bare word that only ends its line is a marker if it is decorated
     if m and (m[1].strip() or m[3].strip()):
-        kind, at = CLASSES.index(_KNOWN[m[2].lower()]), m.end()
-    elif n := _NAME.match(line):
-        kind, at = CLASSES.index("other"), n.end()
+        kind, at = CLASSES.index(_KNOWN[m[2].lower()]), begin + m.end()
+    elif n := _NAME.match(line[begin:]):
+        kind, at = CLASSES.index("other"), begin + n.end()
     else:
         kind, at = 0, 0
     rest = line[at:]
@@ -68,18 +74,11 @@ class Hmm:
         self.start, self.move, self.marks, self.shapes = start, move, marks, shapes
 
     @classmethod
-    def counted(cls, paths: list[tuple[list[int], list[tuple[int, int]]]]) -> Hmm:
-        """From (states of the lines, observations of the lines) of known transcripts."""
-        s = len(STATES)
-        start, move, marks, shapes = np.full(s, 0.1), np.full((s, s), 0.1), np.full((s, len(CLASSES)), 0.1), np.full((s, len(SHAPES)), 1.0)
-        for states, seen in paths:
-            if states:
-                start[states[0]] += 1
-            for a, b in zip(states, states[1:]):
-                move[a, b] += 1
-            for st, (m, h) in zip(states, seen):
-                marks[st, m] += 1
-                shapes[st, h] += 1
+    def counted(cls, counts: np.ndarray) -> Hmm:
+        """From what _count() sums up over known transcripts."""
+        n = len(STATES)
+        start, move, marks, shapes = np.split(counts.astype(float), np.cumsum([n, n * n, n * len(CLASSES)]))
+        start, move, marks, shapes = start + 0.1, move.reshape(n, n) + 0.1, marks.reshape(n, -1) + 0.1, shapes.reshape(n, -1) + 1.0
         for a, (ra, _) in enumerate(STATES):
             for b, (rb, opens) in enumerate(STATES):
                 if not opens and ra != rb:
@@ -87,6 +86,11 @@ class Hmm:
         # without examples: a role's own name opens its turns, and plain lines go on
         for st, (r, opens) in enumerate(STATES):
             marks[st, CLASSES.index(r) if opens else 0] += 5
+        # a name that is no role's tells nothing about the role: it is as likely to open a turn of any
+        other, opening = CLASSES.index("other"), [st for st, (_, opens) in enumerate(STATES) if opens]
+        share = marks[opening, other].sum() / marks[opening].sum()
+        for st in opening:
+            marks[st, other] = (marks[st].sum() - marks[st, other]) * share / (1 - share)
         log = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
         return cls(log(start), log(move), log(marks), log(shapes))
 
@@ -236,7 +240,7 @@ def parse(parts: DataFrame, model: Hmm, id_col: str = "conv_id", part_col: str =
     return ready.mapInArrow(read, schema).toDF(id_col, "part", "seq", "role", "continues", "text", "rendered")
 
 
-#: How the turns of known conversations are written down as raw transcripts: markers of the three roles, by style.
+#: How the turns of known conversations are written down as raw transcripts: markers of the three roles, by style. `{t}` is a time.
 STYLES = (
     ("System: ", "User: ", "Assistant: "),
     ("### Instruction:\n", "### Human:\n", "### AI:\n"),
@@ -244,36 +248,82 @@ STYLES = (
     ("**Context:** ", "**Q:** ", "**A:** "),
     ("[SYSTEM]\n", "Customer: ", "Support Agent: "),
 )
+#: Styles that no model is fitted on.
+UNSEEN = (
+    ("{t} System: ", "{t} Human: ", "{t} Bot: "),
+    ("[{t}] System - ", "[{t}] User - ", "[{t}] Assistant - "),
+    ("[Context] ", "[Human] ", "[AI] "),
+    ("Instructions:\n", "Anna Berg: ", "Model: "),
+    ("{t} <System> ", "{t} <Prompt> ", "{t} <Response> "),
+)
+#: Parts of turns without a number come after all others.
+UNNUMBERED = 1 << 31
 
 
-def transcripts(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """conversations(conv_id, turn, role, text) -> (conv_id, part, text): raw transcripts in one of STYLES by conversation.
-
-    A part holds `part_turns` turn numbers. A null turn counts as 0, a null text as empty, an unknown role as user.
-    """
-    style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES))) + 1
+def _written(conversations: DataFrame, styles: tuple, part_turns: int) -> DataFrame:
+    """(conv_id, _alone, part, turn, role, said): every distinct turn with its marker, in the style of its conversation."""
+    known = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    once = known.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("_n"))
+    style = F.pmod(F.xxhash64("conv_id"), F.lit(len(styles))) + 1
     role = F.when(F.col("role") == "system", 0).when(F.col("role") == "assistant", 2).otherwise(1)
-    markers = F.array(*[F.array(*[F.lit(x) for x in s]) for s in STYLES])
-    said = F.concat(F.element_at(F.element_at(markers, style.cast("int")), role + 1), F.coalesce("text", F.lit("")))
-    rows = conversations.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), said.alias("said"))
-    rows = rows.withColumn("part", F.floor(F.col("turn") / part_turns).cast("long"))
-    grouped = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "said"))).alias("x"))
+    markers = F.array(*[F.array(*[F.lit(x) for x in s]) for s in styles])
+    turn = F.coalesce("turn", F.lit(0).cast("long"))
+    time = F.concat(F.lpad((F.pmod(F.floor(turn / 60), F.lit(24))).cast("string"), 2, "0"), F.lit(":"), F.lpad(F.pmod(turn, F.lit(60)).cast("string"), 2, "0"))
+    said = F.concat(F.replace(F.element_at(F.element_at(markers, style.cast("int")), role + 1), F.lit("{t}"), time), F.col("text"))
+    # a row without a conversation is one of its own, a turn without a number a part of its own
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    part = F.when(F.col("turn").isNull(), F.lit(UNNUMBERED) + F.pmod(F.xxhash64("role", "text"), F.lit(UNNUMBERED))).otherwise(F.greatest(F.lit(0), F.floor(turn / part_turns)))
+    return once.select("conv_id", alone.alias("_alone"), F.when(F.col("conv_id").isNull(), 0).otherwise(part).cast("long").alias("part"), turn.alias("turn"), role.alias("role"), said.alias("said"))
+
+
+def transcripts(conversations: DataFrame, part_turns: int = PART_TURNS, styles: tuple = STYLES) -> DataFrame:
+    """conversations(conv_id, turn, role, text) -> (conv_id, part, text): raw transcripts in one of the styles by conversation.
+
+    A part holds `part_turns` turn numbers; turns without a number come last, a part each. Turns with the same number are ordered
+    by their texts; rows that repeat another in all four columns are one turn. A row without a conv_id is a transcript of its own.
+    A null text is empty, an unknown role is user.
+    """
+    rows = _written(conversations, styles, part_turns)
+    grouped = rows.groupBy("conv_id", "_alone", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "said"))).alias("x"))
     return grouped.select("conv_id", "part", F.array_join(F.transform("x", lambda s: s["said"]), "\n").alias("text"))
 
 
-def fit(conversations: DataFrame, learn, max_train: int = MAX_TRAIN) -> Hmm:
-    """A model from conversations for which learn (a column) is true: max_train of them at most, chosen by a hash of the id."""
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (role, said, role before, whether the turn before had more lines) -> (at, n): starts, moves, markers and shapes of the states."""
+    n = len(STATES)
+    start, move, marks, shapes = np.zeros(n), np.zeros((n, n)), np.zeros((n, len(CLASSES))), np.zeros((n, len(SHAPES)))
+    for b in batches:
+        for role, said, before, more in zip(*(c.to_pylist() for c in b.columns)):
+            lines = split_lines(said)
+            opens, goes_on = STATES.index((ROLES[role], True)), STATES.index((ROLES[role], False))
+            if before is None:
+                start[opens] += 1
+            else:
+                move[STATES.index((ROLES[before], not more)), opens] += 1
+            if len(lines) > 1:
+                move[opens, goes_on] += 1
+                move[goes_on, goes_on] += len(lines) - 2
+            for k, line in enumerate(lines):
+                mark, shape, _ = observe(line)
+                marks[goes_on if k else opens, mark] += 1
+                shapes[goes_on if k else opens, shape] += 1
+    flat = np.concatenate([start, move.ravel(), marks.ravel(), shapes.ravel()])
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["at", "n"])
+
+
+def fit(conversations: DataFrame, learn, max_train: int = MAX_TRAIN, styles: tuple = STYLES) -> Hmm:
+    """A model from conversations for which learn (a column) is true: max_train of them at most, chosen by a hash of the id.
+
+    All their turns count, written in the styles; tasks send sums of a hundred numbers. Moves are counted inside parts. Without any
+    conversation, what a role's own names say is all that the model knows.
+    """
     ids = conversations.where(learn & F.col("conv_id").isNotNull()).select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(max_train)
-    # of a long conversation its first turns are enough
-    known = conversations.where(F.col("turn") < PART_TURNS).join(F.broadcast(ids), "conv_id").groupBy("conv_id")
-    known = known.agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("x"), F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES))).alias("style"))
-    paths = []
-    for row in known.toLocalIterator():
-        states, seen = [], []
-        for t in row["x"]:
-            role = t["role"] if t["role"] in ROLES else "user"
-            lines = split_lines(STYLES[row["style"]][ROLES.index(role)] + (t["text"] or ""))
-            states += [STATES.index((role, k == 0)) for k in range(len(lines))]
-            seen += [observe(x)[:2] for x in lines]
-        paths.append((states, seen))
-    return Hmm.counted(paths)
+    rows = _written(conversations.join(F.broadcast(ids), "conv_id", "left_semi"), styles, PART_TURNS)
+    w = Window.partitionBy("conv_id", "part").orderBy("turn", "said")
+    before = F.lag(F.struct("role", F.contains("said", F.lit("\n")).alias("more"))).over(w)
+    known = rows.withColumn("b", before).select("role", "said", F.col("b.role").alias("before"), F.col("b.more").alias("more"))
+    sums = known.mapInArrow(_count, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(len(STATES) * (1 + len(STATES) + len(CLASSES) + len(SHAPES)))
+    for r in sums:
+        counts[r["at"]] = r["n"]
+    return Hmm.counted(counts)
