@@ -4,44 +4,44 @@ from __future__ import annotations
 
 import ctypes
 import uuid
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stores import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new name under the shared folder, marked with the application."""
+    return f"{shared_folder(spark)}/sparkloom-{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/sparkloom-{name}-{uuid.uuid4().hex}"
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here and lost executors lose nothing."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[table] = path
+    return table
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def drop(df: DataFrame) -> None:
     """Delete the files behind a table that cut() wrote and nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/sparkloom-" in path:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    delete(df.sparkSession, _written.pop(df))
 
 
 def give_back() -> None:
@@ -59,9 +59,13 @@ def crc_bucket(column: str, mod: int):
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete every table that cut() left in the shared folder. Call it once no result that reads one is still to be computed."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    """Delete every table that this application left in the shared folder; those of others stay. Call it once no result that reads
+    one is still to be computed."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("sparkloom_"):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    root = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     for entry in fs.listStatus(root) if fs.exists(root) else []:
-        if entry.getPath().getName().startswith("sparkloom-"):
+        if entry.getPath().getName().startswith(f"sparkloom-{spark.sparkContext.applicationId}-"):
             fs.delete(entry.getPath(), True)
