@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,51 +29,80 @@ from .common import give_back, new_folder
 
 WINDOW, END_ID = 2048, 1
 #: Tokens that a shard holds, about; neighbours that are put in order at a time.
-SHARD_TOKENS, FETCH = 2_000_000, 16
+SHARD_TOKENS, FETCH = 1_000_000, 16
 K1, B = 1.2, 0.75
 
 
+class Table(dict):
+    """Remembers a function's values for keys up to LONG characters, REMEMBERED at most; a full table is emptied."""
+
+    LONG, REMEMBERED = 48, 1_000_000
+
+    def __init__(self, function):
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, key):
+        value = self.function(key)
+        if len(key) <= self.LONG:
+            if len(self) >= self.REMEMBERED:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Coder:
-    """Ids of whole texts by a byte-level BPE tokenizer, which works each distinct stretch out once.
+    """Ids of whole texts by a byte-level BPE tokenizer, which works each distinct word out once.
 
-    No token and no special token reaches over a space that follows a character that is no white space, and nothing before such a
-    place depends on what follows it. So texts are cut there. Stretches are remembered up to `LONG` characters, `REMEMBERED` at most.
+    No token and no special token reaches over a space or a line's end that follows a character that is no white space, and nothing
+    before such a place depends on what follows it: texts are cut there. A word of Latin letters is one stretch to the
+    tokenizer, with the space before it; its merges are asked for directly. All else goes through the whole tokenizer.
     """
 
-    LONG, REMEMBERED = 48, 600_000
-    CUT, UNEVEN = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
+    LETTERS, MARKS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+"), ".,;:!?"
+    CUT, UNEVEN = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s\s")
 
     def __init__(self, tokenizer_file: str):
         # a task has one core: the library's own threads would take those of others
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.known: dict[str, bytes] = {}
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit into 16 bits")
-
-    def stretches(self, text: str) -> list[str]:
+        self.merges = self.tokenizer.model
+        # how the tokenizer writes bytes down as characters, learnt from the tokenizer
+        written = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.letters = {c: "".join(x for x, _ in written(c)) for c in [" ", *map(chr, range(0x41, 0x2B0))] if c == " " or self.LETTERS.fullmatch(c)}
+        self.mark = {c: self._whole(c) for c in self.MARKS}
+        self.line = self._whole("\n")
+        self.stretch, self.first, self.spaced = Table(self._whole), Table(self._first), Table(self._spaced)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+
+    def _word(self, lead: str, word: str, table: Table) -> bytes:
+        if self.LETTERS.fullmatch(word):
+            ids = [t.id for t in self.merges.tokenize("".join(map(self.letters.__getitem__, lead + word)))]
+            return array("H", ids).tobytes()
+        if word[-1:] in self.mark and self.LETTERS.fullmatch(word, 0, len(word) - 1):
+            return table[word[:-1]] + self.mark[word[-1]]
+        return self._whole(lead + word)
+
+    def _first(self, word: str) -> bytes:
+        return self._word("", word, self.first)
+
+    def _spaced(self, word: str) -> bytes:
+        return self._word(" ", word, self.spaced)
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 16-bit numbers."""
         if self.UNEVEN.search(text):
-            return self.CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
-
-    def _look_up(self, some: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, dtype="<u2").tobytes()
-        ends = np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(some) + 1)) * 2
-        return {s: ids[a:b] for s, a, b in zip(some, ends[:-1].tolist(), ends[1:].tolist())}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 16-bit numbers."""
-        cut = [self.stretches(t) for t in texts]
-        new = set().union(*cut) - self.known.keys()
-        if len(self.known) + len(new) > self.REMEMBERED:
-            self.known.clear()
-            new = set().union(*cut)
-        fresh = self._look_up(list(new)) if new else {}
-        self.known.update((s, ids) for s, ids in fresh.items() if len(s) <= self.LONG)
-        known = self.known if all(len(s) <= self.LONG for s in new) else {**self.known, **fresh}
-        return [b"".join(map(known.__getitem__, own)) for own in cut]
+            return b"".join(map(self.stretch.__getitem__, self.CUT.split(text)))
+        out = []
+        for line in text.split("\n"):
+            first, *words = line.split(" ")
+            out += (self.line, self.first[first])
+            out += map(self.spaced.__getitem__, words)
+        return b"".join(out[1:])
 
 
 @lru_cache(maxsize=2)
@@ -80,10 +110,6 @@ def coder(tokenizer_file: str) -> Coder:
     return Coder(tokenizer_file)
 
 
-#: Characters of text that are cut together.
-STEP = 1 << 20
-
-
 def tokenize(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> (id, ids, n): ids as little-endian unsigned 16-bit numbers, the end id last. Null text: as empty.
 
@@ -94,13 +120,7 @@ def tokenize(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(tokenizer_file)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            ids, first, size = [], 0, 0
-            for k, t in enumerate(texts):
-                size += len(t)
-                if size >= STEP or k + 1 == len(texts):
-                    ids += [x + end for x in c.encode(texts[first : k + 1])]
-                    first, size = k + 1, 0
+            ids = [c.encode(t or "") + end for t in b.column(1).to_pylist()]
             n = [len(x) // 2 for x in ids]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, type=pa.binary()), pa.array(n, type=pa.int64())], names=["_id", "ids", "n"])
         give_back()
@@ -160,16 +180,19 @@ class Index:
         order = np.argsort(t, kind="stable")
         self.owner = np.concatenate(owner)[order] if terms else np.zeros(0, dtype=np.int64)
         self.weight = np.concatenate(weights)[order] if terms else np.zeros(0)
-        self.start = np.searchsorted(t[order], np.arange((1 << 16) + 1))
+        start = np.searchsorted(t[order], np.arange((1 << 16) + 1))
+        # a term of one document finds no other
+        shared = np.diff(start) > 1
+        self.spans = [slice(a, b) for a, b in zip(start[:-1].tolist(), start[1:].tolist())]
+        self.queries = [own[shared[own]] for own in self.queries]
         self.n = len(docs)
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document of the shard for all terms of the seed."""
-        score = np.zeros(self.n)
-        for t in self.queries[seed].tolist():
-            at = slice(self.start[t], self.start[t + 1])
-            score[self.owner[at]] += self.weight[at]  # a document stands once under a term
-        return score
+        """BM25 of the shard's documents for all terms of the seed that another document holds too."""
+        spans = [self.spans[t] for t in self.queries[seed].tolist()]
+        if not spans:
+            return np.zeros(self.n)
+        return np.bincount(np.concatenate([self.owner[s] for s in spans]), weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """Documents that share a term with the seed and are unused now, best first, all of them; ties to the earlier document."""

@@ -23,11 +23,12 @@ def test_same_ids_as_whole_texts(plain):
     texts += ["", " ", "  ", " a", "a ", "x" * 3000, " " * 3000, "é" * 900, "<|endoftext|> ab", "ab <|endoftext|>", "a<|endoftext|> b <|endoftext|><|endoftext|>  c", "<|endof text|>", "it's we'll\r\n\r\n  x"]
     rng = random.Random(3)
     texts += ["".join(rng.choices(["ab", " ", "\n", "12", "!", "<|endoftext|>", "é", "'s", "\t"], k=rng.randrange(40))) for _ in range(2000)]
-    got = [np.frombuffer(x, dtype="<u2").tolist() for x in c.encode(texts)]
+    texts += ["\na", "a\n", "a\nb c.\nd", "a\n<|endoftext|>\nb", "it's they'll. don't, 's s's", *(f"{chr(u)}{chr(u + 1)} {chr(u)}q. x\n{chr(u)}" for u in range(0x20, 0x700))]
+    got = [np.frombuffer(c.encode(t), dtype="<u2").tolist() for t in texts]
     assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
     # a full memory is emptied, which changes nothing
-    c.REMEMBERED = 10
-    assert [np.frombuffer(x, dtype="<u2").tolist() for k in range(0, 300, 7) for x in c.encode(texts[k : k + 7])] == got[:301]
+    c.spaced.REMEMBERED = c.first.REMEMBERED = c.stretch.REMEMBERED = 10
+    assert [np.frombuffer(c.encode(t), dtype="<u2").tolist() for t in texts[-2500:]] == got[-2500:]
 
 
 def test_pieces(spark, plain):
@@ -115,7 +116,7 @@ def test_fill_against_brute_force(monkeypatch):
     c = packing.Coder(FILE)
     for n, window, fetch in ((120, 100, 16), (120, 1000, 3), (60, 37, 1), (1, 50, 16)):
         monkeypatch.setattr(packing, "FETCH", fetch)
-        docs = [np.frombuffer(x + b"\x01\x00", dtype="<u2") for x in c.encode([" ".join(w) for w in corpus(rng, n)])]
+        docs = [np.frombuffer(x + b"\x01\x00", dtype="<u2") for x in (c.encode(" ".join(w)) for w in corpus(rng, n))]
         df = np.zeros(1 << 16)
         for d in docs:
             df[packing._terms(d)[0]] += 1
@@ -127,7 +128,7 @@ def test_fill_against_brute_force(monkeypatch):
 def test_a_window_takes_every_neighbour_first():
     # two topics of short documents: a window holds far more than is put in order at a time
     c = packing.Coder(FILE)
-    docs = [np.frombuffer(x + b"\x01\x00", dtype="<u2") for x in c.encode(["alpha beta gamma " * 10, "one two three " * 10] * 40)]
+    docs = [np.frombuffer(x + b"\x01\x00", dtype="<u2") for x in map(c.encode, ["alpha beta gamma " * 10, "one two three " * 10] * 40)]
     df = np.zeros(1 << 16)
     for d in docs:
         df[packing._terms(d)[0]] += 1
