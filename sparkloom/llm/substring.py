@@ -4,32 +4,36 @@ A window is `window` consecutive words of one document. A word goes if a window
 in a document with a smaller id.
 
 Every window is represented by the smallest hash among the word n-grams inside it (its fingerprint), so equal windows have
-equal fingerprints and only about a fifth as many fingerprints as windows are moved. Documents are dealt over buckets of
-bounded size by a hash of their id. What a bucket sends into a shuffle is one row per fingerprint or window it holds, so the
-commonest passage of the corpus gives as many rows as there are buckets, never as many as documents, and no pairs.
-
-A text that a smaller id holds word for word is settled by a digest of the whole text and sends nothing.
-
-1. Each bucket's fingerprints are sorted and merged with the runs of the index (history) and with the other buckets'.
-2. Fingerprints met twice come back to their buckets, which send the windows they stand for: 64 and 32 bits of two
-   independent hashes over the words, and the bucket's smallest document. A merge gives each window's smallest document of all.
-3. Windows with a smaller owner elsewhere come back; with the bucket's own order they decide which words go.
-
-`FingerprintIndex` keeps history as immutable runs, sorted by fingerprint, that are merged `fanout` at a time into the next
-level. A batch is judged against the runs and itself; matches are verified on the words of the history documents.
+equal fingerprints and only about a fifth as many fingerprints as windows are moved. Documents come in batches, in the order of
+their ids. A task deals a batch's texts over buckets of bounded size as it reads them, and writes them down bucketed, so that no text is
+shuffled. What a bucket sends is one row for each fingerprint or window it holds, so the commonest passage of the corpus gives as many
+rows as there are buckets, never as many as documents, and no pairs. A text that a smaller id holds word for word is settled
+by a digest of the whole text and sends nothing.
+
+1. A batch's fingerprints become a run: a table bucketed and sorted by fingerprint, never changed again.
+2. The run is merge-joined with each older run and with itself: all are bucketed alike, so none is shuffled.
+3. Verification: the buckets of the batch and of history that hold a met fingerprint, and only these, send the windows it stands
+   for: 64 and 32 bits of two independent hashes over the words, and the bucket's smallest document.
+4. Windows with a smaller owner elsewhere come back to the batch's buckets; with a bucket's own order they decide which words go.
+5. When a level has `fanout` runs they are merged into one run of the next level, so that a batch meets few runs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import cut, give_back, new_folder
 
@@ -205,24 +209,27 @@ def _bucket_fingerprints(bucket: int, texts: list[bytes], window: int, gram: int
     return pa.table({"m": fp[at].view(np.int64), "_bucket": np.full(len(at), bucket, dtype=np.int64), "many": many})
 
 
-def _emit_fingerprints(window: int, gram: int):
-    """For runs: batches of rows, a bucket's together or not."""
+def _deal(serial: int, size: int):
+    """Rows with the text last -> with a bucket: about `size` bytes of neighbouring texts of one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, task = 0, 0, TaskContext.get().partitionId()
         for b in batches:
-            buckets, texts = np.asarray(b.column("_bucket")), _bytes(b.column("_text"))
-            for bucket in np.unique(buckets).tolist():
-                yield from _bucket_fingerprints(bucket, [texts[i] for i in np.flatnonzero(buckets == bucket)], window, gram).to_batches()
+            buckets = np.empty(len(b), dtype=np.int64)
+            for k, n in enumerate(pc.binary_length(b.column(b.num_columns - 1).cast(pa.binary())).fill_null(0).to_pylist()):
+                if held and held + n > size:
+                    number, held = number + 1, 0
+                held += n
+                buckets[k] = number
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(buckets + ((serial << 44) + (task << 20)))], names=[*b.schema.names, "_bucket"])
 
     return run
 
 
 def _emit_fresh_fingerprints(window: int, gram: int):
-    """For a batch: one bucket and its copies."""
+    """One bucket and its copies."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if "_batch" in left.column_names:
-            left = left.filter(left.column("_batch"))
         ids, texts = _ids(left.column("_id")), _bytes(left.column("_text"))
         fresh = np.flatnonzero(~_copies(ids, texts, right)).tolist()
         give_back()
@@ -252,7 +259,8 @@ def _emit_windows(window: int, gram: int):
         h1, h2, own = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
         a, b, least, _ = _smallest(h1, h2, own)
         give_back()
-        return pa.table({"h1": a.view(np.int64), "h2": b.astype(np.uint32).view(np.int32), "least": least})
+        bucket = left.column("_bucket")[0].as_py() if len(left) else 0
+        return pa.table({"h1": a.view(np.int64), "h2": b.astype(np.uint32).view(np.int32), "least": least, "_bucket": np.full(len(a), bucket, dtype=np.int64)})
 
     return run
 
@@ -325,112 +333,124 @@ def _remove(window: int, keep: list[str], schema: pa.Schema, rejoin: bool):
         cols |= {"n_words": pa.array(n_words.astype(np.int64)), "n_removed": pa.array(n_removed.astype(np.int64)), "kept_text": pa.array(kept, type=pa.string())}
         out = pa.table(cols)
         give_back()
-        if "_batch" in left.column_names:
-            out = out.filter(left.column("_batch"))
         return out.cast(schema)
 
     return run
 
 
 class FingerprintIndex:
-    """Immutable sorted runs of fingerprints under one folder of the shared store.
+    """An index that takes batches of documents in the order of their ids.
 
-    Layout: `<path>/L<level>-<serial>`, Parquet with (m, _bucket, many), sorted by m. `append` adds a run at level 0; when a
-    level has `fanout` runs they are merged into one run of the next level. `buckets` must stay the same for the index's life.
+    Under its folder: `texts<serial>` (the batches' texts, bucketed), `L<level>-<serial>` (the runs: (m, _bucket, many), bucketed and
+    sorted by m), `digests<serial>` and `copies<serial>`. Everything is written once; merged runs are deleted.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64, fanout: int = 4, window: int = WINDOW, gram: int = GRAM):
-        self.spark, self.path, self.buckets, self.fanout, self.window, self.gram = spark, path or new_folder(spark, "index"), buckets, fanout, window, gram
-
-    def _fs(self):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def runs(self) -> list[str]:
-        fs, p = self._fs()
-        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        return sorted(x for x in names if x.startswith("L") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}/_SUCCESS")))
-
-    def _read(self, names: list[str]) -> DataFrame:
-        return self.spark.read.schema("m long, _bucket long, many boolean").parquet(*[f"{self.path}/{x}" for x in names])
-
-    def _bucket(self, ids: Column) -> Column:
-        return F.pmod(F.xxhash64(ids), F.lit(self.buckets))
-
-    def _dealt(self, docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-        return docs.select(
-            self._bucket(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).alias("_bucket"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *[F.col(c) for c in keep]
-        )
-
-    def _fingerprints(self, texts: DataFrame) -> DataFrame:
-        return texts.mapInArrow(_emit_fingerprints(self.window, self.gram), "m long, _bucket long, many boolean")
-
-    def _write(self, rows: DataFrame, level: int) -> None:
-        serial = len(self.runs())
-        while f"L{level}-{serial:06d}" in self.runs():
-            serial += 1
-        once = rows.groupBy("m", "_bucket").agg(F.max("many").alias("many"))
-        once.repartition("m").sortWithinPartitions("m", "_bucket").write.mode("overwrite").parquet(f"{self.path}/L{level}-{serial:06d}")
-
-    def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Add the documents' fingerprints as a run; merge runs where a level is full."""
-        self._write(self._fingerprints(self._dealt(docs, id_col, text_col, []).repartition("_bucket")), 0)
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 2, window: int = WINDOW, gram: int = GRAM, parts: int | None = None):
+        self.spark, self.path, self.fanout, self.window, self.gram = spark, path or new_folder(spark, "index"), fanout, window, gram
+        #: Buckets of the tables: the same for the index's whole life, or they wouldn't join without a shuffle.
+        self.parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.names = f"sparkloom_{uuid.uuid4().hex}"
+        self.serial, self.runs, self.texts, self.copies, self.digests = 0, [], [], [], []
+
+    def _write(self, rows: DataFrame, name: str, by: str) -> DataFrame:
+        rows.write.format("parquet").option("path", f"{self.path}/{name}").bucketBy(self.parts, by).sortBy(by).saveAsTable(f"{self.names}_{name}")
+        return self.spark.table(f"{self.names}_{name}")
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.names}_{name}")
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.table(f"{self.names}_{name}")
+
+    def _met(self, run: str) -> DataFrame:
+        """(_bucket, m) of the run's own fingerprints that are met in it twice or in an older run, and of the older runs' rows that it meets."""
+        new = self._table(run)
+        twice = new.groupBy("m").agg(F.count("*").alias("n"), F.max("many").alias("any")).where("n > 1 or any").select("m")
+        found = [new.join(twice, "m", "left_semi")]
+        for older in self.runs:
+            old = self._table(older)
+            found += [new.join(old.select("m"), "m", "left_semi"), old.join(new.select("m"), "m", "left_semi")]
+        total = found[0].select("_bucket", "m")
+        for f in found[1:]:
+            total = total.unionByName(f.select("_bucket", "m"))
+        return cut(total, "met")
+
+    def _compact(self) -> None:
         level = 0
-        while len(full := [x for x in self.runs() if x.startswith(f"L{level}-")]) >= self.fanout:
-            self._write(self._read(full), level + 1)
-            fs, _ = self._fs()
+        while len(full := [x for x in self.runs if x.startswith(f"L{level}_")]) >= self.fanout:
+            merged = self._table(full[0])
+            for x in full[1:]:
+                merged = merged.unionByName(self._table(x))
+            name = f"L{level + 1}_{self.serial}"
+            # a bucket of the union is that bucket of all the runs: sorted as it is written, and not shuffled
+            self._write(merged, name, "m")
             for x in full:
-                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}"), True)
+                self._drop(x)
+            self.runs = [x for x in self.runs if x not in full] + [name]
             level += 1
 
-    def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), history: DataFrame | None = None, rejoin: bool = True) -> DataFrame:
-        """docs -> (id, *keep, n_words, n_removed, kept_text): each input row without the words that repeat a smaller id's.
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), rejoin: bool = True) -> DataFrame:
+        """docs -> (id, *keep, n_words, n_removed, kept_text): each input row without the words that repeat a smaller id's of this batch or
+        of an earlier one. Its ids must be larger than those of earlier batches; nothing is taken back from these.
 
-        history: the documents behind the runs, with the same id and text columns; their rows are not returned. Null or
-        empty text: no words, empty kept_text. Texts shorter than a window keep every word. Rows with the same id don't remove
+        Null or empty text: no words, empty kept_text. Texts shorter than a window keep every word. Rows with the same id don't remove
         each other's words. A null id counts as larger than every other. `keep` names further columns to pass through.
         rejoin: kept words are joined by single spaces in every text; otherwise the white space between words that stay side by side
         stays as it is.
         """
-        names = [id_col, *keep]
-        texts = self._dealt(docs, id_col, text_col, list(keep))
-        runs = self.runs() if history is not None else []
-        if runs:
-            old = self._dealt(history, id_col, text_col, []).withColumn("_batch", F.lit(False))
-            texts = texts.withColumn("_batch", F.lit(True)).unionByName(old, allowMissingColumns=True)
+        self.serial += 1
+        own = docs.select(F.col(id_col).cast("long").alias("_id"), *[F.col(c) for c in keep], F.col(text_col).alias("_text"))
+        schema = StructType([*own.schema.fields, StructField("_bucket", LongType())])
+        name = f"texts{self.serial}"
+        texts = self._write(own.mapInArrow(_deal(self.serial, BUCKET_BYTES), schema), name, "_bucket")
+
         digest = F.sha2(F.coalesce("_text", F.lit("")), 256)
-        marked = texts.select("_bucket", F.coalesce("_id", F.lit(LAST)).alias("_copy"), F.unhex(digest).alias("_digest"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("_tag"))
-        first = marked.groupBy("_digest").agg(F.min("_copy").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        marked = cut(texts.select("_bucket", F.coalesce("_id", F.lit(LAST)).alias("_copy"), F.unhex(F.substring(digest, 1, 40)).alias("_digest"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("_tag")), "digests")
+        known = marked.select("_digest", F.col("_copy").alias("_first"))
+        for old in self.digests:
+            known = known.unionByName(old)
+        first = known.groupBy("_digest").agg(F.min("_first").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
         copies = cut(marked.join(first, "_digest").where("_copy > _first").select("_bucket", "_copy", "_tag"), "copies")
-        texts = texts.repartition("_bucket")
-        fps = texts.groupBy("_bucket").cogroup(copies.groupBy("_bucket")).applyInArrow(_emit_fresh_fingerprints(self.window, self.gram), "m long, _bucket long, many boolean")
-        if runs:
-            fps = fps.unionByName(self._read(runs))
-        w = Window.partitionBy("m")
-        met = fps.withColumn("n", F.count("*").over(w)).withColumn("any", F.max("many").over(w)).where("n > 1 or any").select("_bucket", "m").unionByName(copies, allowMissingColumns=True)
-        wins = texts.groupBy("_bucket").cogroup(met.groupBy("_bucket")).applyInArrow(_emit_windows(self.window, self.gram), "h1 long, h2 int, least long")
+
+        fresh = texts.select("_id", "_text", "_bucket").groupBy("_bucket").cogroup(copies.groupBy("_bucket"))
+        run = f"L0_{self.serial}"
+        self._write(fresh.applyInArrow(_emit_fresh_fingerprints(self.window, self.gram), "m long, _bucket long, many boolean").repartition(self.parts, "m"), run, "m")
+        met = self._met(run)
+
+        wins = None
+        for held, gone in [(name, copies), *zip(self.texts, self.copies)]:
+            # of history only buckets that hold a met fingerprint are read
+            some = self._table(held).select("_id", "_text", "_bucket").join(met.select("_bucket").distinct(), "_bucket", "left_semi")
+            sent = some.groupBy("_bucket").cogroup(met.unionByName(gone, allowMissingColumns=True).groupBy("_bucket")).applyInArrow(_emit_windows(self.window, self.gram), "h1 long, h2 int, least long, _bucket long")
+            wins = sent if wins is None else wins.unionByName(sent)
         first = F.min("least").over(Window.partitionBy("h1", "h2"))
-        # a bucket's smallest document lies in it, so the row says where it came from
-        away = wins.withColumn("first", first).where("first < least").select(self._bucket(F.col("least")).alias("_bucket"), "h1", "h2").unionByName(copies, allowMissingColumns=True)
+        mine = F.shiftright("_bucket", 44) == self.serial
+        away = wins.withColumn("first", first).where(mine & (F.col("first") < F.col("least"))).select("_bucket", "h1", "h2").unionByName(copies, allowMissingColumns=True)
         fields = [f for f in texts.schema.fields if f.name == "_id"] + [texts.schema[c] for c in keep]
-        out = self.spark.createDataFrame([], "n_words long, n_removed long, kept_text string").schema.fields
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
-
-        schema = StructType([*fields, *out])
+        schema = StructType([*fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
         kept = texts.groupBy("_bucket").cogroup(away.groupBy("_bucket")).applyInArrow(_remove(self.window, list(keep), to_arrow_schema(schema), rejoin), schema)
-        return kept.toDF(*names, "n_words", "n_removed", "kept_text")
-
-
-def bucket_count(docs: DataFrame, text_col: str = "text") -> int:
-    """Buckets of about BUCKET_BYTES for these documents; 1 at least."""
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return max(1, -(-size // BUCKET_BYTES))
-
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), rejoin: bool = True) -> DataFrame:
-    """One batch against an empty index: see FingerprintIndex.dedup."""
-    return FingerprintIndex(docs.sparkSession, buckets=bucket_count(docs, text_col)).dedup(docs, id_col, text_col, keep, rejoin=rejoin)
+        self.texts.append(name)
+        self.copies.append(copies)
+        self.digests.append(marked.groupBy("_digest").agg(F.min("_copy").alias("_first")))
+        self.runs.append(run)
+        self._compact()
+        return kept.toDF(id_col, *keep, "n_words", "n_removed", "kept_text")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), rejoin: bool = True, batches: int = 3) -> DataFrame:
+    """All documents through an index in batches of about the same number of rows, by ranges of their ids: see FingerprintIndex.add."""
+    node = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+    cuts = docs.agg(F.percentile_approx(node, [k / batches for k in range(1, batches)], 1000).alias("q")).first()["q"] or []
+    index, found, low = FingerprintIndex(docs.sparkSession), None, None
+    for high in [*sorted({c for c in cuts if c < LAST}), None]:
+        part = docs if low is None else docs.where(node > low)
+        part = part if high is None else part.where(node <= high)
+        own = index.add(part, id_col, text_col, keep, rejoin)
+        found, low = own if found is None else found.unionByName(own), high
+    return found
 
 
 def oracle(window: int = WINDOW) -> str:

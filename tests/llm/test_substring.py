@@ -44,23 +44,53 @@ def test_against_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_words string")
     assert got(S.dedup(docs.select("doc_id", "text"))) == brute(rows)
     monkeypatch.setattr(S, "BUCKET_BYTES", 500)
-    assert got(S.dedup(docs)) == brute(rows)
-
-
-def test_batches_through_the_index(spark):
-    rows = [r for r in corpus(5, 48) if r[0] is not None]
-    rows.sort(key=lambda r: r[0])
-    index, have, found = S.FingerprintIndex(spark, buckets=8, fanout=2), None, []
-    for at in range(0, len(rows), 14):
-        own = rows[at : at + 14]
-        if own[0][0] == rows[at - 1][0] and at:
-            continue
-        batch = spark.createDataFrame(own, "doc_id long, text string")
-        found += got(index.dedup(batch, history=have))
-        index.append(batch)
-        have = batch if have is None else have.unionByName(batch)
-    assert sorted(found, key=repr) == brute(rows)
-    assert any(x.startswith("L1") or x.startswith("L2") for x in index.runs())
+    for batches in (1, 5):
+        assert got(S.dedup(docs, batches=batches)) == brute(rows)
+
+
+def test_batches_through_the_index(spark, monkeypatch):
+    monkeypatch.setattr(S, "BUCKET_BYTES", 700)
+    rows = sorted((r for r in corpus(5, 48) if r[0] is not None), key=lambda r: r[0])
+    index, found, levels = S.FingerprintIndex(spark, fanout=2), [], []
+    for low in range(0, 60, 12):
+        found.append(index.add(spark.createDataFrame([r for r in rows if low <= r[0] < low + 12], "doc_id long, text string")))
+        levels.append([x.split("_")[0] for x in index.runs])
+    assert levels == [["L0"], ["L1"], ["L1", "L0"], ["L2"], ["L2", "L0"]]
+    assert sorted((r for f in found for r in got(f)), key=repr) == brute(rows)
+    run = spark.table(f"{index.names}_{index.runs[0]}")
+    assert run.count() == run.distinct().count() > 100
+
+
+def test_work_follows_the_batch(spark, monkeypatch):
+    """What a batch meets, and the history that is read for it, depend on the batch; neither texts nor runs of history are shuffled."""
+    monkeypatch.setattr(S, "BUCKET_BYTES", 600)
+    rng = random.Random(8)
+    text = lambda lo, hi: " ".join(f"w{rng.randrange(lo, hi)}" for _ in range(60))
+    passage, met = text(0, 10**6), {}
+    for size in (40, 160):
+        index = S.FingerprintIndex(spark, fanout=9)
+        old = [(i, f"{text(0, 10**6)} {passage if i == 7 else ''}") for i in range(size)]
+        index.add(spark.createDataFrame(old[: size // 2], "doc_id long, text string"))
+        index.add(spark.createDataFrame(old[size // 2 :], "doc_id long, text string"))
+        new = index.add(spark.createDataFrame([(1000, f"{text(0, 10**6)} {passage}"), (1001, text(0, 10**6))], "doc_id long, text string"))
+        assert sorted((r.doc_id, r.n_removed) for r in new.collect()) == [(1000, 60), (1001, 0)]
+        index.runs, last = index.runs[:-1], index.runs[-1]
+        met[size] = index._met(last).groupBy("_bucket").count().collect()
+        plan = new._jdf.queryExecution().optimizedPlan().toString()
+        lines = new._jdf.queryExecution().executedPlan().toString().split("\n")
+        assert "_text" in plan and not [x for x in lines if "Exchange" in x and "_text" in x]
+        for k, x in enumerate(lines):  # a scan of texts stands below a sort for its bucket, never below an exchange
+            if "FileScan" in x and "_text" in x:
+                assert "Bucketed: true" in x and not any("Exchange" in y for y in lines[max(0, k - 3) : k])
+    assert sorted(r["count"] for r in met[40]) == sorted(r["count"] for r in met[160]) and len(met[40]) == 2
+
+
+def test_line_ends_stay():
+    import numpy as np
+
+    gone = np.array([False, True, True, False, False, True])
+    assert S._without(b"a b\nc  d\te \n f", gone) == b"a\nd\te" and S._without(b" a\nb c d\ne f\n", np.array([False, False, True, True, False, False])) == b" a\nb\ne f\n"
+    assert S._without(b"a b c", np.array([True, True, True])) == b"" and S._without(b"a\nx\nb", np.array([False, True, False])) == b"a\nb"
 
 
 def test_empty(spark):
