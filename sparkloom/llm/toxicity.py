@@ -9,7 +9,7 @@ extreme-value law: from clean training documents its scale and location are fitt
 -log10 of its expected number in a clean document of that length. Segments expected less than `EXPECT` times are significant.
 A logistic model over a document's best segment and the sum of its significant ones gives the score.
 
-The classifier is fitted on `max_labelled` labelled rows at most, chosen by a hash of the id: a documented bound, and with it
+The classifier is fitted on `max_labelled` labelled documents at most, chosen by a hash of the id: a documented bound, and with it
 the token table is bounded too. Every document is scored, and whole.
 """
 
@@ -29,8 +29,8 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from .common import cut, give_back
 
-#: Bounds of the fit: labelled rows, and tokens kept by evidence.
-MAX_LABELLED, MAX_TOKENS = 20_000, 50_000
+#: Bound of the fit: labelled documents.
+MAX_LABELLED = 20_000
 #: Weight of the prior against the counts, log-odds that a token must exceed, cost of other tokens, standard deviations of
 #: evidence that a token needs.
 PRIOR, OFFSET, DRIFT, EVIDENCE = 0.03, 1.5, 0.3, 1.5
@@ -101,7 +101,6 @@ def token_scores(words: list[bytes], toxic: np.ndarray, clean: np.ndarray, n_tox
     odds = np.log(a / n_toxic) - np.log(b / n_clean)
     deviation = np.sqrt(1 / a + 1 / b)
     order = np.flatnonzero((odds >= EVIDENCE * deviation) & (odds - deviation > OFFSET))
-    order = order[np.argsort(-odds[order] / deviation[order], kind="stable")][:MAX_TOKENS]
     return {words[i]: float(odds[i] - deviation[i]) for i in order.tolist()}
 
 
@@ -122,22 +121,20 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
     """A model from the labelled documents for which learn (a column over labels) is true; null labels are left out.
 
-    With no toxic or no clean example, a model that scores every text the same, near the share of toxic ones.
+    A document with labels of both kinds is toxic; rows that repeat an id and a text are one document. With no toxic or no clean
+    example, a model that scores every text the same, near the share of toxic ones.
     """
-    spark = docs.sparkSession
-    known = labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), (F.col(label_col) > 0).alias("_toxic")).distinct()
-    rows = known.orderBy(F.xxhash64("_id"), "_id", "_toxic").limit(max_labelled).collect()
-    chosen = spark.sparkContext.broadcast({r["_id"]: r["_toxic"] for r in rows})
-    texts = docs.select(F.col(id_col).cast("long"), F.col(text_col))
+    known = labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.bool_or(F.col(label_col) > 0).alias("_toxic"))
+    chosen = cut(known.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled), "toxic-labels")
+    mine = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    texts = cut(mine.groupBy("_id", "_toxic", "_text").agg(F.count("*").alias("_n")).select("_toxic", "_text"), "toxic-sample")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bool, set[tuple[bytes, bytes]]] = {True: set(), False: set()}
         for b in batches:
-            ids = b.column(0).to_pylist()
-            mine = [i for i, x in enumerate(ids) if x in chosen.value]
-            for i, text in zip(mine, b.column(1).take(pa.array(mine, type=pa.int64())).to_pylist()):
+            for flag, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = tokens(text)
-                seen[chosen.value[ids[i]]].update(zip(words, [b"", *words]))
+                seen[flag].update(zip(words, [b"", *words]))
         for flag, own in seen.items():
             rows = list(own)
             for k in range(0, len(rows), 1 << 16):
@@ -151,8 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     counted = cut(once.groupBy("w").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c")), "toxic-tokens")
     n_toxic, n_clean = (int(x or 0) for x in counted.agg(F.sum("t"), F.sum("c")).first())
     if not n_toxic or not n_clean:
-        labels_seen = [r["_toxic"] for r in rows]
-        share = min(0.99, max(0.01, sum(labels_seen) / max(1, len(labels_seen))))
+        toxic_ones, all_ones = chosen.agg(F.count_if("_toxic"), F.count("*")).first()
+        share = min(0.99, max(0.01, toxic_ones / max(1, all_ones)))
         return Model({}, weights=(float(np.log(share / (1 - share))), 0.0, 0.0))
     # only tokens over the offset can be kept: few, whatever the sample's vocabulary is
     odds = F.log((F.col("t") + PRIOR * (F.col("t") + F.col("c"))) / n_toxic) - F.log((F.col("c") + PRIOR * (F.col("t") + F.col("c"))) / n_clean)
@@ -163,12 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            ids = b.column(0).to_pylist()
-            mine = [i for i, x in enumerate(ids) if x in chosen.value]
-            for i, text in zip(mine, b.column(1).take(pa.array(mine, type=pa.int64())).to_pylist()):
+            for flag, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found, n = model.segments(text)
-                rates = sorted((x for _, _, x in found), reverse=True)
-                out.append((chosen.value[ids[i]], n, rates))
+                out.append((flag, n, sorted((x for _, _, x in found), reverse=True)))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], type=pa.bool_()), pa.array([o[1] for o in out], type=pa.int64()), pa.array([o[2] for o in out], type=pa.list_(pa.float64()))], names=["toxic", "n", "rates"])
 
     rated = texts.mapInArrow(rate, "toxic boolean, n long, rates array<double>").toArrow()  # rows of the bounded sample
