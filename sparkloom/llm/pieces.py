@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Stretches and pairs that a worker remembers at most; a full table is emptied.
-REMEMBERED = 300_000
+#: Stretches and pairs that a worker remembers at most, and characters of a stretch that it remembers; a full table is emptied.
+REMEMBERED, LONG = 300_000, 64
 
 
 class Table(dict):
-    """Remembers a function's values, REMEMBERED at most."""
+    """Remembers a function's values, REMEMBERED at most, and none for texts over LONG characters."""
 
     def __init__(self, function, most: int | None = None):
         super().__init__()
@@ -38,6 +38,8 @@ class Table(dict):
 
     def __missing__(self, key):
         value = self.function(key)
+        if isinstance(key, str) and len(key) > LONG:
+            return value
         if len(self) >= self.most:
             self.clear()
         self[key] = value
