@@ -3,7 +3,24 @@ import random
 import xxhash
 
 from sparkloom.llm import simhash as S
-from tests.llm.test_pipeline import brute_components
+
+
+def brute_components(rows):
+    fps = {i: S.simhash(t) for i, t in rows}
+    group = {i: i for i in fps}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    ids = sorted(fps)
+    for a in ids:
+        for b in ids:
+            if a < b and (fps[a] ^ fps[b]).bit_count() <= 2:
+                x, y = sorted((root(a), root(b)))
+                group[y] = x
+    return {i: root(i) for i in ids}
 
 
 def test_fingerprint_by_definition():
