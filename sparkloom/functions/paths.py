@@ -56,7 +56,7 @@ def mask_secret(events: DataFrame, excluded: Column) -> DataFrame:
     out = events.withColumn("excluded", excluded)
     for name, empty in (("hash", F.lit("")), ("bytes", F.lit(0)), ("approx_tokens", F.lit(0)), ("git_blob_sha1", F.lit(None)), ("base_hash", F.lit(None))):
         if name in events.columns:
-            out = out.withColumn(name, F.when(excluded, empty.cast(events.schema[name].dataType)).otherwise(F.col(name)))
+            out = out.withColumn(name, F.when(F.col("excluded"), empty.cast(events.schema[name].dataType)).otherwise(F.col(name)))
     return out
 
 
