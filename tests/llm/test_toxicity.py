@@ -64,3 +64,46 @@ def test_without_examples(spark):
     l = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert 0 < T.score(d, T.fit(d, l, F.lit(True))).first().score < 0.5
     assert T.score(d.limit(0), T.fit(d.limit(0), l, F.lit(True))).collect() == []
+
+
+def test_fit_by_hand(spark):
+    docs, labels = corpus()
+    docs += [(5, docs[5][1], "x"), (500, "vile scum here", "x")]
+    labels += [(7, 1, 1), (500, 1, None)]  # 7 is labelled both ways: toxic
+    d, l = spark.createDataFrame(docs, "doc_id long, text string, _toxic string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    m = T.fit(d, l, F.col("doc_id") % 5 != 0)
+    flag = {}
+    for i, _, t in labels:
+        if t is not None and i % 5:
+            flag[i] = flag.get(i, False) or t > 0
+    sample = {(flag[i], t) for i, t, _ in docs if i in flag}
+    seen = {(f, w, b) for f, t in sample for w, b in zip(T.tokens(t), [b"", *T.tokens(t)])}
+    toxic, clean = {}, {}
+    for f, w, _ in seen:
+        own = toxic if f else clean
+        own[w] = own.get(w, 0) + 1
+    n1, n0, want = sum(toxic.values()), sum(clean.values()), {}
+    for w in toxic:
+        t, c = toxic[w], clean.get(w, 0)
+        a, b = t + T.PRIOR * (t + c), c + T.PRIOR * (t + c)
+        odds, deviation = np.log(a / n1) - np.log(b / n0), np.sqrt(1 / a + 1 / b)
+        if t > 1 and odds > T.OFFSET and odds >= T.EVIDENCE * deviation and odds - deviation > T.OFFSET:
+            want[w] = odds - deviation
+    assert set(m.scores) == set(want) and all(abs(m.scores[w] - want[w]) < 1e-9 for w in want) and b"scum" in want
+    best, logs = [], []
+    for f, t in sample:
+        words = T.tokens(t)
+        if not f and words:
+            best.append(max((x for *_, x in brute_segments_fast([want.get(w, -T.DRIFT) for w in words])), default=0.0))
+            logs.append(np.log(len(words)))
+    scale = max(0.25, float(np.std(best)) * np.sqrt(6) / np.pi)
+    assert abs(m.scale - scale) < 1e-9 and abs(m.place - float(np.mean(np.array(best) - scale * np.array(logs)) - 0.5772 * scale)) < 1e-9
+
+
+def brute_segments_fast(s):
+    """The best segment alone, by Kadane's walk."""
+    top = now = 0.0
+    for x in s:
+        now = max(0.0, now + x)
+        top = max(top, now)
+    return [(0, 0, top)] if top else []
