@@ -44,6 +44,12 @@ def drop(df: DataFrame) -> None:
     delete(df.sparkSession, _written.pop(df))
 
 
+def salted_join(rows: DataFrame, once: DataFrame, key: str, by: str, salts: int = 16) -> DataFrame:
+    """rows joined with once, which holds a key once at most: a key's rows are spread by another column, and once is repeated for that."""
+    spread = once.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(spread, [key, "_salt"]).drop("_salt")
+
+
 def give_back() -> None:
     """Hand free memory of this Python worker back to the system: workers live on between tasks, and so would their peaks."""
     pa.default_memory_pool().release_unused()

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import cut, give_back, new_folder
+from .common import cut, give_back, new_folder, salted_join
 
 WINDOW, GRAM = 13, 4
 #: Bytes of text that a bucket holds, about.
@@ -412,7 +412,7 @@ class FingerprintIndex:
         for old in self.digests:
             known = known.unionByName(old)
         first = known.groupBy("_digest").agg(F.min("_first").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-        copies = cut(marked.join(first, "_digest").where("_copy > _first").select("_bucket", "_copy", "_tag"), "copies")
+        copies = cut(salted_join(marked, first, "_digest", "_copy").where("_copy > _first").select("_bucket", "_copy", "_tag"), "copies")
 
         fresh = texts.select("_id", "_text", "_bucket").groupBy("_bucket").cogroup(copies.groupBy("_bucket"))
         run = f"L0_{self.serial}"
