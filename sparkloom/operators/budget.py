@@ -37,12 +37,12 @@ def greedy(rows: DataFrame, group: list[str], order: list[str], size: str, budge
 def pick(ranked: DataFrame, score: str, key: str, size: str, budget: int, top: int) -> list[dict]:
     """The picks of the same walk over one ranking (score descending, then key) of any length, with `top` picks at most.
 
-    Each pick, (score, key, size), is one scan for the first row after the last pick that still fits: `top` small jobs, and neither a
-    task nor the driver holds the ranking.
+    Each pick is one scan for the first row after the last pick that still fits: `top` small jobs, and neither a task nor the
+    driver holds the ranking.
     """
     picks: list[dict] = []
     spent = 0
-    ranked = ranked.select(score, key, size).persist()
+    ranked = ranked.persist()
     while len(picks) < top:
         left = ranked.where(F.col(size) <= budget - spent)
         if picks:
