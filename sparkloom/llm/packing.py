@@ -93,6 +93,11 @@ class Coder:
     def _spaced(self, word: str) -> bytes:
         return self._word(" ", word, self.spaced)
 
+    def forget(self) -> None:
+        """Empty the tables: a worker lives on, and so would they."""
+        for table in (self.stretch, self.first, self.spaced):
+            table.clear()
+
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 16-bit numbers."""
         if self.UNEVEN.search(text):
@@ -123,6 +128,7 @@ def tokenize(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_
             ids = [c.encode(t or "") + end for t in b.column(1).to_pylist()]
             n = [len(x) // 2 for x in ids]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, type=pa.binary()), pa.array(n, type=pa.int64())], names=["_id", "ids", "n"])
+        c.forget()
         give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col)).mapInArrow(run, "_id long, ids binary, n long")
