@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, substring
+from . import lines, resample, substring
 from .common import crc_bucket, table
 
 
@@ -77,6 +77,10 @@ def op10_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_retrieval_packing": op2_retrieval_packing,
@@ -88,9 +92,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_ppm": op9_ppm,
     "op10_hash_prefix_forest": op10_hash_prefix_forest,
+    "op11_resample": op11_resample,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_frequency": lines.oracle(),
     "op4_substring_dedup": substring.oracle(),
+    "op11_resample": resample.oracle(),
 }
