@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, resample, substring
+from . import codes, lines, resample, substring
 from .common import crc_bucket, table
 
 
@@ -81,6 +81,10 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digests(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_retrieval_packing": op2_retrieval_packing,
@@ -93,10 +97,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ppm": op9_ppm,
     "op10_hash_prefix_forest": op10_hash_prefix_forest,
     "op11_resample": op11_resample,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_frequency": lines.oracle(),
     "op4_substring_dedup": substring.oracle(),
     "op11_resample": resample.oracle(),
+    "op13_vector_codes": codes.oracle(),
 }
