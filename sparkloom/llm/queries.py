@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, lines, resample, substring
+from . import codes, lines, resample, substring, suffixes
 from .common import crc_bucket, table
 
 
@@ -81,6 +81,11 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.digests(table(spark, sf_dir, "embeddings"))
 
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ppm": op9_ppm,
     "op10_hash_prefix_forest": op10_hash_prefix_forest,
     "op11_resample": op11_resample,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -104,5 +110,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_line_frequency": lines.oracle(),
     "op4_substring_dedup": substring.oracle(),
     "op11_resample": resample.oracle(),
+    "op12_suffix_dedup": suffixes.oracle(),
     "op13_vector_codes": codes.oracle(),
 }
