@@ -1,8 +1,7 @@
-"""Text operators whose semantics need a scan: masking, symbol slices, patches. Arrow-batched where they run in a query."""
+"""Text operators whose semantics need a scan: masking and symbol slices. Arrow-batched where they run in a query."""
 
 from __future__ import annotations
 
-import difflib
 import os.path
 import re
 from collections.abc import Iterator
@@ -112,57 +111,6 @@ def symbol_slice(content: Column, name: Column, path: Column) -> Column:
     return _symbols(content, name, path)
 
 
-_NO_NEWLINE = "\\ No newline at end of file"
-
-
-def make_patch(old: str, new: str, path: str = "file", context: int = 3) -> str:
-    """A unified diff; lines that lack a line end at the end of a file are marked."""
-    out = []
-    for line in difflib.unified_diff(old.splitlines(keepends=True) if "\r" not in old + new else _split(old), new.splitlines(keepends=True) if "\r" not in old + new else _split(new), path, path, n=context):
-        out.append(line if line.endswith("\n") else f"{line}\n{_NO_NEWLINE}\n")
-    return "".join(out)
-
-
-def _split(text: str) -> list[str]:
-    parts = text.split("\n")
-    return [p + "\n" for p in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
-
-
-def apply_patch(old: str, patch: str) -> str:
-    """The new text; ValueError where the patch doesn't fit the old one."""
-    source, out, at = _split(old), [], 0
-    lines = _split(patch)[2:]
-    for i, line in enumerate(lines):
-        if line.startswith("@@"):
-            m = re.match(r"@@ -(\d+)(?:,(\d+))? \+\d+(?:,\d+)? @@", line)
-            start = int(m[1]) - (m[2] != "0")
-            out += source[at:start]
-            at = start
-            continue
-        if line.startswith("\\"):
-            continue
-        body = line[1:]
-        if i + 1 < len(lines) and lines[i + 1].startswith("\\"):
-            body = body[:-1]
-        if line[0] in " -":
-            if at >= len(source) or source[at] != body:
-                raise ValueError("the patch doesn't apply")
-            at += 1
-        if line[0] in " +":
-            out.append(body)
-    return "".join(out + source[at:])
-
-
-@F.pandas_udf(T.StringType())
-def unified_patch(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([make_patch(a, b) if isinstance(a, str) and isinstance(b, str) else None for a, b in zip(old, new)])
-
-
-@F.pandas_udf(T.StringType())
-def patched(old: pd.Series, patch: pd.Series) -> pd.Series:
-    return pd.Series([apply_patch(a, b) if isinstance(a, str) and isinstance(b, str) else None for a, b in zip(old, patch)])
-
-
 def token_counter(ranks_file: str, pattern: str):
     """A column function that counts real tokens with a byte-level vocabulary file; its path is a parameter."""
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.code import apply_patch, make_patch
+from ..functions.patches import apply_patch, smaller_patch
 from ..functions.paths import path_key
 
 #: Bytes that a marker costs: smaller contents are sent again instead. Bytes of content that a ledger remembers.
@@ -75,11 +74,6 @@ def decide(reads: DataFrame, session: str = "session", seq: str = "seq", key: tu
     return out.withColumn("kind", kind).withColumn("base_hash", F.when(kind != "full", F.col("_held"))).drop("_held", "_gone")
 
 
-@F.pandas_udf(T.StringType())
-def _patches(old: pd.Series, new: pd.Series, path: pd.Series) -> pd.Series:
-    return pd.Series([make_patch(a, b, p) if isinstance(a, str) and isinstance(b, str) else None for a, b, p in zip(old, new, path)], dtype=object)
-
-
 def deliver(reads: DataFrame, ledger_bytes: int = LEDGER_BYTES) -> DataFrame:
     """READ_REQUEST rows with a hash -> what is sent for each: whole contents, markers, or patches where they are smaller.
 
@@ -91,9 +85,8 @@ def deliver(reads: DataFrame, ledger_bytes: int = LEDGER_BYTES) -> DataFrame:
     w = Window.partitionBy("session", "epoch_run", "_path", "view").orderBy("seq")
     held = kinds.withColumn("_before", F.lag("content").over(w))
     changed = F.col("kind") == "changed"
-    patched = held.withColumn("patch", _patches(F.when(changed, F.col("_before")), F.when(changed, F.col("content")), F.col("path")))
-    small = F.coalesce(F.octet_length("patch") < F.col("bytes"), F.lit(False))
-    kind = F.when(~changed, F.col("kind")).when(small, "diff").otherwise("full")
+    patched = held.withColumn("patch", smaller_patch(F.when(changed, F.col("_before")), F.when(changed, F.col("content")), F.col("path")))
+    kind = F.when(~changed, F.col("kind")).when(F.col("patch").isNotNull(), "diff").otherwise("full")
     sent = F.when(kind == "unchanged", MARKER_BYTES).when(kind == "diff", F.octet_length("patch")).otherwise(F.col("bytes")).cast("long")
     return patched.select(
         "session", "seq", "path", "view", "epoch", kind.alias("kind"), "hash", F.when(kind != "full", F.col("base_hash")).alias("base_hash"), "bytes", sent.alias("sent_bytes"),

@@ -10,7 +10,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import attest, code, content, paths, transcripts
+from ..functions import attest, code, content, patches, paths, transcripts
 from ..operators import analytics as A
 from ..operators import budget, delivery, guard, replay, retention
 from ..operators import presence as P
@@ -814,9 +814,21 @@ def _versions(spark, sf):
     return rows.select("session", (F.col("doc_id") * 4 + F.col("x.v")).alias("seq"), F.concat(F.lit("/d"), F.col("doc_id").cast("string")).alias("path"), F.lit("full").alias("view"), F.col("x.content").alias("content"), F.lit(False).alias("force_full"), F.lit(1).cast("long").alias("epoch"), content.content_hash(F.col("x.content")).alias("hash"))
 
 
-@query()
+_NONE = "chr(10) || '\\ No newline at end of file' || chr(10)"
+
+
+# the versions differ in their last lines only, so that SQL can write their patches down
+@query(f"""with d as (select doc_id, '/d' || doc_id as p, string_split(text, chr(10)) as l, text as t from documents),
+b as (select *, 'Index: ' || p || chr(10) || repeat('=', 67) || chr(10) || '--- ' || p || chr(9) || chr(10) || '+++ ' || p || chr(9) || chr(10) as head, l[-1] as z, cast(l[-1] <> '' as int) as r, len(l) as n from d),
+x as (select doc_id, p, v, case v when 0 then t when 1 then t || chr(10) || 'line 0' else t || chr(10) || 'line 1' end as content, case when v = 1 then n - 1 else n end as c, case when v = 1 then r else 1 end as gone, case when v = 1 then 2 else 1 end as come,
+  head, l, case when v = 1 then case when r = 1 then '-' || z || {_NONE} else '' end || '+' || z || chr(10) || '+line 0' || {_NONE} else '-line 0' || {_NONE} || '+line 1' || {_NONE} end as body from b, range(4) g(v)),
+y as (select *, least(3, c) as k from x), h as (select *, head || '@@ -' || (c + 1 - k - cast(k + gone = 0 as int)) || ',' || (k + gone) || ' +' || (c + 1 - k) || ',' || (k + come) || ' @@' || chr(10)
+  || coalesce(array_to_string(list_transform(list_slice(l, c - k + 1, c), lambda e: ' ' || e || chr(10)), ''), '') || body as patch from y),
+w as (select *, case when v in (1, 2) and strlen(patch) < strlen(content) then 'diff' when v = 3 and strlen(content) > 256 then 'unchanged' else 'full' end as kind, sha256(content) as hash, lag(sha256(content)) over (partition by doc_id order by v) as held from h)
+select 's' || (doc_id % 40) as session, doc_id * 4 + v as seq, p as path, kind, strlen(content) as bytes, case kind when 'diff' then strlen(patch) when 'unchanged' then 256 else strlen(content) end as sent_bytes, case when kind <> 'full' then held end as base_hash,
+  case when kind = 'diff' then sha256(patch) end as patch_hash from w""")
 def delivered(spark, sf):
-    return delivery.deliver(_versions(spark, sf)).select("session", "seq", "path", "kind", "bytes", "sent_bytes", "base_hash")
+    return delivery.deliver(_versions(spark, sf)).select("session", "seq", "path", "kind", "bytes", "sent_bytes", "base_hash", F.sha2("patch", 256).alias("patch_hash"))
 
 
 @query("select count(*) * 4 as reads, count(*) * 4 as same from documents")
@@ -829,7 +841,7 @@ def reconstructed(spark, sf):
 @query("select doc_id, true as same from documents")
 def patch_roundtrip(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", F.array_join(F.transform(F.split("text", "\n"), lambda t, i: F.when(i % 3 == 1, F.upper(t)).otherwise(t)), "\n").alias("new"))
-    return docs.select("doc_id", (code.patched(F.col("text"), code.unified_patch(F.col("text"), F.col("new"))) == F.col("new")).alias("same"))
+    return docs.select("doc_id", (patches.patched(F.col("text"), patches.unified_patch(F.col("text"), F.col("new"), F.lit("f"))) == F.col("new")).alias("same"))
 
 
 @query()

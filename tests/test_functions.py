@@ -84,16 +84,6 @@ def test_masks_keep_lines_and_hide_contents():
     assert code.mask("x = 1 # {", "a.py") == "x = 1 "
 
 
-@pytest.mark.parametrize("old,new", [("a\nb\nc\n", "a\nB\nc\n"), ("", "x"), ("x", ""), ("a\nb", "a\nb\n"), ("1\n" * 50, "1\n" * 20 + "2\n" + "1\n" * 30), ("a\r\nb\r\n", "a\nb"), ("é\n\n\n", "\n\né")])
-def test_patches_are_exact(old, new):
-    assert code.apply_patch(old, code.make_patch(old, new)) == new
-
-
-def test_patch_that_does_not_fit():
-    with pytest.raises(ValueError):
-        code.apply_patch("q\nr\n", code.make_patch("a\nb\n", "a\nc\n"))
-
-
 def test_symbol_column(spark):
     df = spark.createDataFrame([(TS, "outer"), (TS, "absent"), (None, "x")], "t string, n string")
     assert [(r.s.start, r.s.end) for r in df.select(code.symbol_slice(F.col("t"), F.col("n"), F.lit("a.ts")).alias("s")).collect()] == [(3, 6), (None, None), (None, None)]
