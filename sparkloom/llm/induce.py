@@ -285,10 +285,11 @@ def suffixes(text: np.ndarray, limit: int, memory: int, held: int) -> Iterator[B
         name = np.cumsum(~same)
         by_seed = np.empty(len(seeds), dtype=np.int64)
         by_seed[np.searchsorted(seeds, order)] = name
+        names = limit // 2 + 1  # seeds are two symbols apart at least
         if len(seeds) <= memory:
-            ranked, common = _doubled(by_seed, limit)
+            ranked, common = _doubled(by_seed, names)
         else:
-            parts = list(suffixes(np.append(by_seed, 0), limit, memory, held))
+            parts = list(suffixes(np.append(by_seed, 0), names, memory, held))
             ranked, common = (np.concatenate(x) for x in zip(*parts))
             # turned round: lengths are with the next smaller one again; the end mark's own suffix goes
             ranked, common = ranked[::-1], np.append(0, common[::-1][:-1])

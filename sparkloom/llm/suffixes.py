@@ -32,9 +32,9 @@ from .common import cut, give_back, new_folder, salted_join
 from .induce import repeated
 from .substring import _deal, _mix
 
-WINDOW, GRAM = 200, 32
+WINDOW, GRAM = 200, 64
 #: Bytes of text that a bucket holds and that are hashed at once; bytes that a shard sorts, and that one anchor may bring, about.
-BUCKET_BYTES, CHUNK, SHARD_BYTES, HOT = 4 << 20, 1 << 20, 8 << 20, 2 << 20
+BUCKET_BYTES, CHUNK, SHARD_BYTES, HOT = 4 << 20, 1 << 20, 2 << 20, 2 << 20
 #: Names that a shard's recursion sorts in memory, and bytes that its queues keep there.
 MEMORY, HELD = 1 << 22, 64 << 20
 #: What is known of an anchor: only equal stretches, different ones, too many different ones.
