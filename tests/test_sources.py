@@ -1,11 +1,10 @@
 import json
-import os
 import subprocess
 
 from pyspark.sql import functions as F
 
 from sparkloom.operators import analytics as A
-from sparkloom.sources import stores, tail
+from sparkloom.sources import stores
 
 
 def event(ts, path="/a", hash_="h", **more):
@@ -98,36 +97,3 @@ def test_git_heads(tmp_path, spark):
     run("checkout", "-q", "--detach")
     assert stores.git_head(str(repo)) == {"sha": sha} and stores.git_head(str(tmp_path / "none")) == {}
     assert stores.repo_heads(spark, [str(repo), "/none"]).where("head_sha is null").count() == 1
-
-
-def test_tail_reads_complete_lines_only(tmp_path):
-    f = tmp_path / "t.jsonl"
-    f.write_bytes("a\n\né\npart".encode())
-    lines, at = tail.read_new_lines(str(f), 0)
-    assert lines == ["a", "é"] and at == 6
-    assert tail.read_new_lines(str(f), at) == ([], 6)
-    with open(f, "ab") as out:
-        out.write(b"ial\n")
-    assert tail.read_new_lines(str(f), at) == (["partial"], 14)
-    f.write_text("n\n")
-    assert tail.read_new_lines(str(f), 14) == ([], 0)
-    assert tail.complete_until(str(f), 0, os.path.getsize(f), block=1) == 2
-
-
-def test_tail_stream_goes_on_from_its_checkpoint(spark, tmp_path):
-    tail.register(spark)
-    (tmp_path / "in").mkdir()
-    f = tmp_path / "in" / "a.jsonl"
-    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
-
-    def run():
-        q = spark.readStream.format("tailed_lines").option("path", str(tmp_path / "in")).load().writeStream.format("parquet").option("checkpointLocation", ck).trigger(availableNow=True).start(out)
-        q.awaitTermination(60)
-
-    f.write_text("one\ntwo\nthr")
-    run()
-    with open(f, "a") as g:
-        g.write("ee\n")
-    (tmp_path / "in" / "b.jsonl").write_text("other\n")
-    run()
-    assert sorted(r.value for r in spark.read.parquet(out).collect()) == ["one", "other", "three", "two"]
