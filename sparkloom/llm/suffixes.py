@@ -37,8 +37,8 @@ WINDOW, GRAM = 200, 64
 BUCKET_BYTES, CHUNK, SHARD_BYTES, HOT = 4 << 20, 1 << 20, 2 << 20, 2 << 20
 #: Names that a shard's recursion sorts in memory, and bytes that its queues keep there.
 MEMORY, HELD = 1 << 22, 64 << 20
-#: What is known of an anchor: only equal stretches, different ones, too many different ones.
-EQUAL, MIXED, MANY = 0, 1, 2
+#: What is known of an anchor: only equal stretches, different ones, too many different ones (and then: the anchor itself).
+EQUAL, MIXED, MANY, COMMON = 0, 1, 2, 3
 
 _rng = np.random.default_rng(20250117)
 _TABLE = _rng.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
@@ -73,7 +73,7 @@ def _pieces(texts: list[bytes], window: int) -> Iterator[list[tuple[int, int, by
 
 
 class Stretches:
-    """The stretches of a chunk: where their windows begin and end in it, their anchors' hashes and their own."""
+    """The stretches of a chunk: where their windows begin and end in it, and their anchors' hashes."""
 
     def __init__(self, pieces: list[tuple[int, int, bytes]], window: int, gram: int):
         self.buf = b"".join(p[2] for p in pieces)
@@ -85,7 +85,7 @@ class Stretches:
         self.sums: list[np.ndarray] = []
         if n < window:
             self.start = self.stop = none
-            self.anchor = self.own = none.view(np.uint64)
+            self.anchor = none.view(np.uint64)
             return
         grams = np.zeros(n - gram + 1, dtype=np.uint64)
         for j in range(0, gram, 8):
@@ -111,7 +111,10 @@ class Stretches:
         mine = ok[begin]
         self.start, self.stop = begin[mine], end[mine]
         self.anchor = grams[place[self.start]]
-        self.own = self._hash(0, self.start, self.stop + window - 1)
+
+    def own(self, which: np.ndarray) -> np.ndarray:
+        """Hashes of these stretches' bytes."""
+        return self._hash(0, self.start[which], self.stop[which] + self.window - 1)
 
     def _hash(self, k: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         while len(self.sums) <= k:
@@ -161,7 +164,7 @@ def _emit_anchors(window: int, gram: int):
         for p in _pieces(_texts(t), window):
             s = Stretches(p, window, gram)
             anchors.append(s.anchor)
-            owns.append(s.own)
+            owns.append(s.own(np.arange(len(s.start))))
             sizes.append(s.stop - s.start + window - 1)
         a, o, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (anchors, owns, sizes))
         a, o = a.astype(np.uint64, copy=False), o.astype(np.uint64, copy=False)
@@ -188,14 +191,16 @@ def _emit_stretches(window: int, gram: int):
         hot = []
         for p in _pieces(_texts(left), window) if len(m) else ():
             s = Stretches(p, window, gram)
-            for k in np.flatnonzero(np.isin(s.anchor, mixed)).tolist():
-                key = int(s.anchor[k]), int(s.own[k])
+            some = np.flatnonzero(np.isin(s.anchor, mixed))
+            for k, own in zip(some.tolist(), s.own(some).tolist() if len(some) else ()):
+                key = int(s.anchor[k]), own
                 if key in found:
                     found[key][1] = True
                 else:
                     found[key] = [s.buf[s.start[k] : s.stop[k] + window - 1], False]
-            _, h1, h2 = s.windows(np.flatnonzero(np.isin(s.anchor, many)))
-            hot.append((h1, h2))
+            some = np.flatnonzero(np.isin(s.anchor, many))
+            if len(some):
+                hot.append(s.windows(some)[1:])
         h1, h2 = (np.concatenate(x) for x in zip(*hot)) if hot else (np.zeros(0, np.uint64),) * 2
         order, at, count = _collapse((h1, h2))
         keys = np.array(list(found), dtype=np.uint64).reshape(-1, 2)
@@ -232,7 +237,7 @@ def _remove(window: int, gram: int, keep: list[str], schema: pa.Schema):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         texts, kind = _texts(left), np.asarray(right.column("kind"))
         m, s2 = _unsigned(right.column("m")), _unsigned(right.column("s"))
-        equal, many = np.sort(m[kind == EQUAL]), kind == MANY
+        equal, common, many = np.sort(m[kind == EQUAL]), np.sort(m[kind == COMMON]), kind == MANY
         hot = np.unique(np.stack([m[many], s2[many]], axis=1), axis=0)
         marked = {(a, b): x for a, b, x, k in zip(m.tolist(), s2.tolist(), right.column("bits").to_pylist(), kind.tolist()) if k == MIXED}
         mixed = np.array(sorted({a for a, _ in marked}), dtype=np.uint64)
@@ -242,13 +247,15 @@ def _remove(window: int, gram: int, keep: list[str], schema: pa.Schema):
             away = np.zeros(max(0, len(s.buf) - window + 1), dtype=bool)
             for a, b in zip(s.start[w := np.flatnonzero(np.isin(s.anchor, equal))].tolist(), s.stop[w].tolist()):
                 away[a:b] = True
-            for k in np.flatnonzero(np.isin(s.anchor, mixed)).tolist():
-                bits = marked.get((int(s.anchor[k]), int(s.own[k])))
+            some = np.flatnonzero(np.isin(s.anchor, mixed))
+            for k, own in zip(some.tolist(), s.own(some).tolist() if len(some) else ()):
+                bits = marked.get((int(s.anchor[k]), own))
                 if bits is not None:
                     n = int(s.stop[k] - s.start[k])
                     away[s.start[k] : s.stop[k]] |= np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=n).astype(bool)
-            if len(hot):
-                at, h1, h2 = s.windows(np.arange(len(s.start)))
+            some = np.flatnonzero(np.isin(s.anchor, common)) if len(hot) else ()
+            if len(some):
+                at, h1, h2 = s.windows(some)
                 away[at[_pairs_in(h1, h2, hot)]] = True
             edge = np.flatnonzero(np.diff(away.view(np.int8), prepend=0, append=0))
             which = np.searchsorted(s.base, edge[::2], side="right") - 1
@@ -327,8 +334,8 @@ def dedup(
     windows = sent.where("bytes is null")
     twice = windows.groupBy("m", "s").agg(F.count("*").alias("n"), F.max("many").alias("many")).where("n > 1 or many").select(F.struct("m", "s").alias("_key"))
     rest = salted_join(windows.select(F.struct("m", "s").alias("_key"), "_bucket"), twice, "_key", "_bucket").select("_key.m", "_key.s", F.lit(None).cast("binary").alias("bits"), "_bucket")
-    settled = known.where(F.col("kind") == EQUAL).select("m", F.lit(0).cast("long").alias("s"), F.lit(None).cast("binary").alias("bits"), "_bucket")
-    info = settled.withColumn("kind", F.lit(EQUAL)).unionByName(back.withColumn("kind", F.lit(MIXED))).unionByName(rest.withColumn("kind", F.lit(MANY)))
+    settled = known.where(F.col("kind") != MIXED).select("m", F.lit(0).cast("long").alias("s"), F.lit(None).cast("binary").alias("bits"), "_bucket", F.when(F.col("kind") == MANY, COMMON).otherwise(EQUAL).alias("kind"))
+    info = settled.unionByName(back.withColumn("kind", F.lit(MIXED))).unionByName(rest.withColumn("kind", F.lit(MANY)))
 
     names = ["_own"] if keep else []
     schema = T.StructType([texts.schema["_id"], *[texts.schema[c] for c in names], *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept", T.BinaryType())])
