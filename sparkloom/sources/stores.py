@@ -12,6 +12,8 @@ from ..functions.paths import safe_name, writer_key
 from ..schemas import ARCHIVE_EVENT, BLOB, MANIFEST, PRESENCE
 
 DAY_MS = 86_400_000
+#: Splits of transcripts whose places are broadcast; those of more are joined.
+BROADCAST_SPLITS = 100_000
 
 
 def event_ms(ts: Column) -> Column:
@@ -91,12 +93,19 @@ def shared_folder(spark: SparkSession) -> str:
 def read_transcripts(spark: SparkSession, path: str, names: str = "*.jsonl") -> DataFrame:
     """(file, line, value): every line of every transcript under path, lines numbered from 0 in each file.
 
-    Files are read in splits; a split's rows come in order, so that its start and their order in it number a file's lines.
+    Files are read in splits. Each split counts its lines first; the sums of the counts before it, one number for each split (of which the driver plans
+    the reading anyway), say at which line it begins, and its rows come in order. No file's lines meet in one task.
     """
     split = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names).option("lineSep", "\n").text(path)
     rows = split.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_order"))
-    line = F.row_number().over(Window.partitionBy("file").orderBy("_start", "_order")) - 1
-    return rows.select("file", line.alias("line"), "value").where("value <> ''")
+    counted = rows.groupBy("file", "_start").agg(F.count("*").alias("n"), F.min("_order").alias("first")).collect()
+    before, begins = {}, []
+    for r in sorted(counted):
+        begins.append((r.file, r["_start"], before.get(r.file, 0) - r["first"]))
+        before[r.file] = before.get(r.file, 0) + r.n
+    shift = spark.createDataFrame(begins, "file string, _start long, _shift long")
+    shift = F.broadcast(shift) if len(begins) <= BROADCAST_SPLITS else shift
+    return rows.join(shift, ["file", "_start"]).select("file", (F.col("_order") + F.col("_shift")).cast("int").alias("line"), "value").where("value <> ''")
 
 
 def read_files(spark: SparkSession, path: str, max_bytes: int = 2_000_000) -> DataFrame:

@@ -66,6 +66,32 @@ def test_greedy_skips_and_goes_on(spark):
     assert [p["n"] for p in budget.pick(scored, "score", "key", "size", 100, 8)] == [1, 3, 5]
 
 
+def test_long_rankings(spark):
+    """Groups of thousands of rows, one of them most of the table, against the walk by hand."""
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", None, *"abcdefgh"]), n, rng.choice([None, 0, rng.randrange(1, 9), rng.randrange(1, 4000)]), rng.random() < 0.1) for n in range(9000)]
+    df = spark.createDataFrame(rows, "g string, n long, size long, skip boolean").repartition(7)
+    for top in (None, 25):
+        want, state = {}, {}
+        for g, n, size, skip in sorted(rows, key=lambda r: r[1]):
+            spent, count = state.get(g, (0, 0))
+            if skip or size is None or spent + size > 20_000 or count == top:
+                want[n] = None
+            else:
+                state[g] = spent + size, count + 1
+                want[n] = spent + size
+        got = budget.greedy(df, ["g"], ["n"], "size", 20_000, top=top, free="skip")
+        assert got.columns == [*df.columns, "taken", "spent"]
+        assert {r.n: r.spent for r in got.collect()} == want and got.where("taken <> (spent is not null)").count() == 0
+    picks = budget.pick(df.where("size is not null"), "size", "n", "size", 20_000, 6000)
+    left, mine = 20_000, []
+    for g, n, size, _ in sorted((r for r in rows if r[2] is not None), key=lambda r: (-r[2], r[1])):
+        if size <= left and len(mine) < 6000:
+            left -= size
+            mine.append(n)
+    assert [p["n"] for p in picks] == mine
+
+
 def test_pack_order(spark):
     rows = [(i, s, "/hot", "h1", False) for i, s in enumerate("abc")] + [(10 + i, "a", "/churn", f"h{i}", False) for i in range(5)] + [(20, "z", "/.env", "", True)]
     df = spark.createDataFrame(rows, "seq long, session string, path string, hash string, excluded boolean")

@@ -1,6 +1,7 @@
 import json
 import subprocess
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import analytics as A
@@ -42,6 +43,22 @@ def test_transcript_lines_are_numbered(spark, tmp_path):
     assert [(r.line, r.value) for r in stores.read_transcripts(spark, str(tmp_path)).collect()] == [(0, "x"), (2, "y")]
 
 
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_lines_of_a_file_in_several_splits(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(stores, "BROADCAST_SPLITS", broadcast)
+    texts = {f: ["" if k % 7 == 0 else f"{f}{k}" + "." * (k % 50) for k in range(n)] for f, n in (("a", 900), ("b", 1), ("c", 250))}
+    for f, lines in texts.items():
+        (tmp_path / f"{f}.jsonl").write_text("\n".join(lines) + "\n" * (f != "c"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        found = stores.read_transcripts(spark, str(tmp_path))
+        got = sorted((r.file[-7], r.line, r.value) for r in found.collect())
+        assert found.rdd.getNumPartitions() > 3 and "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted((f, k, x) for f, lines in texts.items() for k, x in enumerate(lines) if x)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("text")
     (tmp_path / "b.bin").write_bytes(b"a\0b")
