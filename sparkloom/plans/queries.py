@@ -970,3 +970,37 @@ def stream_seen(spark, sf):
     q = out.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out")
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out").select("session", "key", "ask", "verdict", "seen_ts")
+
+
+_SWEPT_SQL = f"""with {_T_SQL}, s as (select *, 's' || (conv_id % 7) as session from tc), e as (select *, 's' || (conv_id % 7) as session, min(seq) over (partition by conv_id % 7, key, hash) = seq as first from ex),
+t as (select session, key, count(*) filter (op = 'read') as reads, count(*) filter (op <> 'read') as edits, arg_max(op, seq) as last_op, max(seq) as last from s where role <> 'system' group by 1, 2),
+m as (select *, row_number() over (partition by session order by edits > 0 desc, reads + edits desc, last desc) as n from t)"""
+
+
+@query(_SWEPT_SQL + """, l as (select 's' || (conv_id % 7) as session, count(*) as lines from c group by 1), p as (select session, count(*) as n from (select session, seq from s union select session, seq from e) group by 1),
+o as (select session, count(*) filter (op = 'read') as r, count(*) filter (op <> 'read') as w from s group by 1), x as (select session, count(*) filter (first) as n from e group by 1)
+select 'stats' as part, session, '' as path, lines as a, p.n as b, r as c, w as d, coalesce(x.n, 0) as e from l left join p using (session) left join o using (session) left join x using (session)
+union all select 'entry', session, key, n, reads, edits, length(key), case last_op when 'read' then 0 else 1 end from m where n <= 12
+union all select 'blobs', '', '', count(distinct h), 0, 0, 0, 0 from (select hash as h from ex union all select sha256(key) from t)
+union all select 'read', session, key, count(*), 0, 0, 0, 0 from e where first group by all""")
+def sweep_stream(spark, sf):
+    """Transcripts of seven sessions, swept into the archive as three batches; then the last batch is done again."""
+    from ..streaming import sweeps
+
+    at = _folder(spark, "sweep")
+    c = _lines(spark, sf).select(F.concat(F.lit("s"), (F.col("conv_id") % 7).cast("string")).alias("session"), (F.col("conv_id") * 100_000 + F.col("turn")).alias("line"), F.regexp_replace("value", r"/w\\\\c", "/w/c").alias("value"))
+    parts = c.agg(F.percentile_approx("line", [0.3, 0.7])).first()[0]
+    files = _lines(spark, sf).select("conv_id").distinct().select(F.concat(F.lit("/w/c"), (F.col("conv_id") % 20).cast("string"), F.lit(".ts")).alias("path")).distinct()
+    disk = files.select("path", F.lit(True).alias("exists"), F.length("path").cast("long").alias("size"), F.lit(False).alias("binary"), F.col("path").alias("content"))
+    sink, part = sweeps.SweepSink(f"{at}/archive", disk), F.when(F.col("line") <= parts[0], 0).when(F.col("line") <= parts[1], 1).otherwise(2)
+    for k in range(3):  # three runs of a query that goes on from its checkpoint
+        c.where(part == k).write.mode("append").parquet(f"{at}/in")
+        q = spark.readStream.schema(c.schema).parquet(f"{at}/in").writeStream.foreachBatch(sink).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+    sink(c.where(part == 2), 2)
+    zero = [F.lit(0).cast("long").alias(x) for x in "bcde"]
+    st = sweeps.stats(spark, f"{at}/archive").select(F.lit("stats").alias("part"), "session", F.lit("").alias("path"), F.col("lines").alias("a"), F.col("parsed_lines").alias("b"), F.col("reads_seen").alias("c"), F.col("edits_seen").alias("d"), F.col("exact_versions").alias("e"))
+    en = sweeps.manifests(spark, f"{at}/archive").select("session", F.posexplode("entries").alias("n", "x")).select(F.lit("entry").alias("part"), "session", "x.path", (F.col("n") + 1).cast("long").alias("a"), F.col("x.reads").alias("b"), F.col("x.edits").alias("c"), F.col("x.bytes").alias("d"), F.when(F.col("x.lastOp") == "read", 0).otherwise(1).cast("long").alias("e"))
+    bl = sweeps.read(spark, f"{at}/archive", "blobs").agg(F.count("*").alias("a")).select(F.lit("blobs").alias("part"), F.lit("").alias("session"), F.lit("").alias("path"), "a", *zero)
+    rd = sweeps.read(spark, f"{at}/archive", "events").where("hash <> sha2(path, 256)").groupBy("session", "path").agg(F.count("*").alias("a")).select(F.lit("read").alias("part"), "session", "path", "a", *zero)
+    return st.unionByName(en).unionByName(bl).unionByName(rd)
