@@ -948,28 +948,64 @@ def seen_saved(spark, sf):
 # --- streams ----------------------------------------------------------------------------------------------------------
 
 
-@query(f"""with {sql_events()}, mk as (select session, path, ts_ms as ts, seq, case when k % 4 > 0 then hash end as hash from raw where op = 'read'),
+@query(f"""with {sql_events()}, rs as (select session, ts_ms as ts from raw where event_type = 'error' and seq % 10 = 0), mk as (select session, path, ts_ms as ts, seq, case when k % 4 > 0 then hash end as hash from raw where op = 'read' and not (event_type = 'error' and seq % 10 = 0)),
 ed as (select session, path, ts_ms, seq, hash, case when seq % 3 = 0 then 'Write' else 'Edit' end as tool from raw where op <> 'read'),
-j as (select ed.*, mk.ts as seen_ts, mk.hash as seen_hash, row_number() over (partition by ed.seq order by mk.ts desc) as n from ed left join mk on mk.session = ed.session and mk.path = ed.path and mk.ts < ed.ts_ms)
-select session, path as key, seq as ask, case when seen_ts is null then 'never-seen' when seen_hash <> hash then 'drift' else 'allow' end as verdict, seen_ts from j where n = 1""")
+j as (select ed.*, mk.ts as seen_ts, mk.hash as seen_hash, row_number() over (partition by ed.seq order by mk.ts desc) as n from ed left join mk on mk.session = ed.session and mk.path = ed.path and mk.ts < ed.ts_ms),
+lost as (select ed.seq, max(rs.ts) as reset from ed join rs on rs.session = ed.session and rs.ts <= ed.ts_ms group by 1)
+select session, path as key, seq as ask, case when seen_ts is null or seen_ts <= reset then 'never-seen' when seen_hash <> hash then 'drift' else 'allow' end as verdict, seen_ts from j left join lost using (seq) where n = 1""")
 def stream_seen(spark, sf):
-    """The guard as a stream over the whole event table, run to its end; the same verdicts as the batch form."""
+    """The guard as a stream over the whole event table, run to its end, with sessions that lose their context now and then."""
     from ..streaming.seen import guard_stream
 
     raw = raw_events(spark, sf)
     tool = F.when(F.col("seq") % 3 == 0, "Write").otherwise("Edit")
-    read = F.col("op") == "read"
+    lost = (F.col("event_type") == "error") & (F.col("seq") % 10 == 0)
+    read = (F.col("op") == "read") & ~lost
+    edit = F.col("op") != "read"
     rows = raw.select(
-        "session", F.when(read, "mark").otherwise("edit").alias("kind"), F.col("path").alias("key"), F.col("ts_ms").alias("ts"), F.when(read & (F.col("k") % 4 > 0), F.col("hash")).alias("hash"),
-        F.when(~read, F.col("seq")).alias("ask"), F.when(~read, tool).alias("tool"), F.lit(True).alias("exists"), F.when(~read, F.col("hash")).alias("disk_hash"),
+        "session", F.when(lost, "reset").when(read, "mark").otherwise("edit").alias("kind"), F.when(~lost, F.col("path")).alias("key"), F.col("ts_ms").alias("ts"), F.when(read & (F.col("k") % 4 > 0), F.col("hash")).alias("hash"),
+        F.when(edit, F.col("seq")).alias("ask"), F.when(edit, tool).alias("tool"), F.lit(True).alias("exists"), F.when(edit, F.col("hash")).alias("disk_hash"),
     )
-    at = f"{stores.shared_folder(spark)}/sparkloom-stream-{uuid.uuid4().hex}"
+    return _streamed(spark, rows, guard_stream).select("session", "key", "ask", "verdict", "seen_ts")
+
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _streamed(spark, rows, through):
+    """What a stream over rows' files has given at its end."""
+    at = _folder(spark, "stream")
     rows.write.parquet(f"{at}/in")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = guard_stream(spark.readStream.schema(rows.schema).parquet(f"{at}/in"))
-    q = out.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out")
-    q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{at}/out").select("session", "key", "ask", "verdict", "seen_ts")
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = through(spark.readStream.schema(rows.schema).parquet(f"{at}/in"))
+        q = out.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out")
+        q.awaitTermination()
+    finally:
+        spark.conf.set(_PROVIDER, before)
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
+_CF_SQL = f"""with {SQL_BASE}, {sql_presence("edits", "pe")}, {sql_presence("intents", "pi")}, w as (select path as key, 'intent' as kind, sid, agent, ts, seq from pi where seq % 3 > 0 union all select path, 'landed', sid, agent, ts, seq from pe where seq % 3 > 0),
+a as (select path as key, sid, agent, ts, seq as ask, ts - 600000 as seen_ts, case when seq % 2 = 0 then 'h' end as seen_hash from pe where seq % 3 = 0)"""
+
+
+@query(_CF_SQL + """, l as (select a.*, w.sid as o_sid, w.agent as o_agent, max(w.ts) filter (kind = 'landed') as edit, max(w.ts) filter (kind = 'intent') as intent from a join w on w.key = a.key and w.ts <= a.ts and (w.sid <> a.sid or w.agent <> a.agent) group by all),
+c as (select *, intent is not null and intent > coalesce(edit, -1) and ts - intent <= 90000 and seen_ts <= intent as flies, edit is not null and seen_hash is null and edit > seen_ts as landed from l),
+f as (select ask, min({'s': o_sid, 'a': o_agent}) filter (flies) as fl, min({'s': o_sid, 'a': o_agent}) filter (landed) as ld from c group by 1)
+select a.ask, case when fl is not null then 'in-flight' when ld is not null then 'landed-edit' end as conflict, coalesce(fl, ld).s as other_sid, coalesce(fl, ld).a as other_agent, fl is null and ld is null as allowed from a left join f using (ask)""")
+def stream_conflicts(spark, sf):
+    """Other writers' conflicts as a stream by file: intents and landed edits of the event table, and a third of the edits as asks for a
+    tool's leave that leave no intent (the file is new)."""
+    from ..streaming.seen import conflict_stream
+
+    e, i = (presence_rows(spark, sf, k) for k in ("edits", "intents"))
+    none = {"ask": "long", "verdict": "string", "tool": "string", "exists": "boolean", "seen_ts": "long", "seen_hash": "string"}
+    wrote = lambda rows, kind: rows.where("seq % 3 > 0").select(F.col("path").alias("key"), F.lit(kind).alias("kind"), "sid", "agent", "ts", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    asks = e.where("seq % 3 = 0").select(F.col("path").alias("key"), F.lit("ask").alias("kind"), "sid", "agent", "ts", F.col("seq").alias("ask"), F.lit("allow").alias("verdict"), F.lit("Edit").alias("tool"), F.lit(True).alias("exists"), (F.col("ts") - 600_000).alias("seen_ts"), F.when(F.col("seq") % 2 == 0, "h").alias("seen_hash"))
+    rows = wrote(i, "intent").unionByName(wrote(e, "landed")).unionByName(asks)
+    return _streamed(spark, rows, lambda r: conflict_stream(r, asks_become_intents=False)).select("ask", "conflict", "other_sid", "other_agent", "allowed")
 
 
 _SWEPT_SQL = f"""with {_T_SQL}, s as (select *, 's' || (conv_id % 7) as session from tc), e as (select *, 's' || (conv_id % 7) as session, min(seq) over (partition by conv_id % 7, key, hash) = seq as first from ex),

@@ -2,7 +2,8 @@
 
 Rows of guard_stream are (session, kind, key, ts, hash, ask, tool, exists, disk_hash): kind is `mark` (a file was seen), `reset` (the
 session lost its context at ts; no key) or `edit` (may this edit go ahead?). A session's state is its last reset and a map of the
-files it has seen, which lives in the state store, entry by entry: a row touches one entry, and a reset none.
+files it has seen, which lives in the state store, entry by entry: a row touches one entry, and a reset none. Only where a session has
+seen more files than it may keep are its entries looked through.
 
 conflict_stream takes the verdicts on by file: what other writers are about to edit or have edited decides where the guard allows.
 """
@@ -19,6 +20,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..functions.paths import path_key
 from ..functions.transcripts import GUARDED
+from ..operators.guard import SEEN_CAP
 from ..operators.presence import INTENT_SECS
 
 
@@ -29,7 +31,7 @@ def _fields(**kinds: T.DataType) -> T.StructType:
 S, L, B = T.StringType(), T.LongType(), T.BooleanType()
 OUT = _fields(session=S, key=S, ask=L, verdict=S, seen_ts=L, seen_hash=S, tool=S, exists=B, ts=L)
 CONFLICTS = _fields(ask=L, verdict=S, conflict=S, other_sid=S, other_agent=S, allowed=B, intent=B)
-_SEEN, _KEY, _RESET = _fields(ts=L, hash=S), _fields(key=S), _fields(ts=L)
+_SEEN, _KEY, _RESET, _HELD = _fields(ts=L, hash=S), _fields(key=S), _fields(ts=L), _fields(n=L)
 _WRITER, _WROTE = _fields(sid=S, agent=S), _fields(intent=L, edit=L)
 
 
@@ -46,19 +48,37 @@ def _text(value) -> str | None:
 
 
 class SeenProcessor(StatefulProcessor):
-    """For each session: its last reset, and each file's newest mark."""
+    """For each session: its last reset, and the newest marks of `cap` files. An idle session's state goes when its timer ends."""
 
-    def __init__(self, keep_ms: int | None = None):
-        self.keep_ms = keep_ms
+    def __init__(self, keep_ms: int | None = None, cap: int = SEEN_CAP, idle_ms: int | None = None):
+        self.keep_ms, self.cap, self.idle_ms = keep_ms, cap, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.seen = handle.getMapState("seen", _KEY, _SEEN, self.keep_ms)
         self.reset = handle.getValueState("reset", _RESET, self.keep_ms)
+        self.held = handle.getValueState("held", _HELD, self.keep_ms)
+
+    def _evict(self) -> int:
+        """The oldest marks go, of equally old ones those of the last files by name, until `cap` are left."""
+        marks = sorted(((tuple(v)[0], tuple(k)[0]) for k, v in self.seen.iterator()), key=lambda m: (-m[0], m[1]))
+        for _, key in marks[self.cap :]:
+            self.seen.removeKey((key,))
+        return min(len(marks), self.cap)
+
+    def _wait(self, newest: int) -> None:
+        """One timer, idle_ms after the newest row that the session has had."""
+        for old in list(self.handle.listTimers()):
+            newest = max(newest, old - self.idle_ms)
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(newest + self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         reset = self.reset.get()[0] if self.reset.exists() else -1
-        out = []
+        count = self.held.get()[0] if self.held.exists() else 0
+        out, newest = [], 0
         for r in sorted((r for pdf in rows for r in pdf.itertuples(index=False)), key=lambda r: (r.ts, r.ask if pd.notna(r.ask) else -1)):
+            newest = max(newest, int(r.ts))
             if r.kind == "reset":
                 reset = max(reset, int(r.ts))
                 self.reset.update((reset,))
@@ -69,22 +89,41 @@ class SeenProcessor(StatefulProcessor):
                 out.append((key[0], r.key, int(r.ask), verdict, held[0] if held else None, held[1] if held else None, _text(r.tool), bool(r.exists), int(r.ts)))
             elif held is None or r.ts >= held[0]:  # late marks never overwrite newer ones
                 self.seen.updateValue((r.key,), (int(r.ts), _text(r.hash)))
+                count += held is None
+        # marks that a time to live has taken are counted until the next look at all of them
+        self.held.update((self._evict() if count > self.cap else count,))
+        if self.idle_ms is not None:
+            self._wait(newest)
         yield pd.DataFrame(out, columns=OUT.names).astype({"ask": "Int64", "seen_ts": "Int64", "ts": "Int64"})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in (self.seen, self.reset, self.held):
+            state.clear()
+        yield pd.DataFrame([], columns=OUT.names).astype({"ask": "Int64", "seen_ts": "Int64", "ts": "Int64"})
+
     def close(self) -> None:
         pass
 
 
-def guard_stream(rows: DataFrame, keep_ms: int | None = None) -> DataFrame:
-    """Verdicts for the edits of a stream (needs the RocksDB state store). keep_ms: how long state without news is kept."""
-    return rows.groupBy("session").transformWithStateInPandas(SeenProcessor(keep_ms), OUT, "append", "none" if keep_ms is None else "processingTime")
+def guard_stream(rows: DataFrame, keep_ms: int | None = None, cap: int = SEEN_CAP, idle_ms: int | None = None, delay: str = "10 minutes") -> DataFrame:
+    """Verdicts for the edits of a stream (needs the RocksDB state store).
+
+    cap: files whose newest marks a session keeps after each batch. keep_ms: how long state without news is kept, by the clock; or idle_ms: how
+    long after a session's last row all its state is dropped, by the rows' own times, which `ts` holds and which come at most `delay` late.
+    """
+    if idle_ms is None:
+        return rows.groupBy("session").transformWithStateInPandas(SeenProcessor(keep_ms, cap), OUT, "append", "none" if keep_ms is None else "processingTime")
+    if keep_ms is not None:
+        raise ValueError("state is dropped by the clock or by the rows' times, not by both")
+    timed = rows.withColumn("_time", F.timestamp_millis("ts")).withWatermark("_time", delay)
+    return timed.groupBy("session").transformWithStateInPandas(SeenProcessor(None, cap, idle_ms), OUT, "append", "eventTime")
 
 
 class ConflictProcessor(StatefulProcessor):
     """For each file: each writer's newest intent and newest landed edit."""
 
-    def __init__(self, fresh_ms: int, keep_ms: int | None):
-        self.fresh_ms, self.keep_ms = fresh_ms, keep_ms
+    def __init__(self, fresh_ms: int, keep_ms: int | None, asks_become_intents: bool = True):
+        self.fresh_ms, self.keep_ms, self.asks_become_intents = fresh_ms, keep_ms, asks_become_intents
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.wrote = handle.getMapState("wrote", _WRITER, _WROTE, self.keep_ms)
@@ -115,7 +154,7 @@ class ConflictProcessor(StatefulProcessor):
                 asked = r.tool in GUARDED and bool(r.exists)
                 kind, other = self._conflict(own, int(r.ts), seen, _text(r.seen_hash)) if r.verdict == "allow" and asked else (None, (None, None))
                 allowed = r.verdict == "allow" and kind is None
-                if allowed and asked:
+                if allowed and asked and self.asks_become_intents:
                     intent = max(intent or 0, int(r.ts))
                 out.append((int(r.ask), r.verdict, kind, *other, allowed, allowed and asked))
             if intent is not None or edit is not None:
@@ -128,13 +167,14 @@ class ConflictProcessor(StatefulProcessor):
         pass
 
 
-def conflict_stream(rows: DataFrame, fresh_secs: int = INTENT_SECS, keep_ms: int | None = None) -> DataFrame:
+def conflict_stream(rows: DataFrame, fresh_secs: int = INTENT_SECS, keep_ms: int | None = None, asks_become_intents: bool = True) -> DataFrame:
     """The guard's verdicts with other writers' conflicts where it allows, and whether the edit becomes an intent of its writer.
 
     rows: (key, kind, sid, agent, ts, ask, verdict, tool, exists, seen_ts, seen_hash); kind is `intent`, `landed` or `ask`. A fresh
-    intent comes before a landed edit; of several writers the first by name counts.
+    intent comes before a landed edit; of several writers the first by name counts. asks_become_intents: whether an edit that is allowed is
+    its writer's intent from then on, or the writers' intents come as rows of their own only.
     """
-    return rows.groupBy("key").transformWithStateInPandas(ConflictProcessor(fresh_secs * 1000, keep_ms), CONFLICTS, "append", "none" if keep_ms is None else "processingTime")
+    return rows.groupBy("key").transformWithStateInPandas(ConflictProcessor(fresh_secs * 1000, keep_ms, asks_become_intents), CONFLICTS, "append", "none" if keep_ms is None else "processingTime")
 
 
 def dedup_edits(edits: DataFrame, delay: str = "1 hour", bucket_ms: int = 5000) -> DataFrame:

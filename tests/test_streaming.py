@@ -37,6 +37,45 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r.ask: r.verdict for r in guard.judge_edits(edits, marks, ["session"]).collect()} == got
 
 
+def run(spark, tmp_path, name, schema, batches, through):
+    """Rows of a stream over batches that arrive one by one."""
+    src = str(tmp_path / "in")
+    spark.createDataFrame([], schema).write.parquet(src)
+    q = through(spark.readStream.schema(schema).parquet(src)).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        for batch in batches:
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+            q.processAllAvailable()
+        return spark.table(name).collect()
+    finally:
+        q.stop()
+
+
+def test_the_newest_files_are_kept(spark, tmp_path):
+    """A session that has seen more files than it may keep, in one batch and over several, against the batch form."""
+    mark = lambda s, k, t: (s, "mark", k, t, f"h{t}", None, None, None, None)
+    edit = lambda s, k, ask: (s, "edit", k, 1000, None, ask, "Edit", True, None)
+    marks = [[mark("s", f"/f{k}", 10 + k) for k in range(8)] + [mark("t", "/f0", 5)], [mark("s", "/f3", 40), mark("s", "/g", 39), mark("s", "/e", 14)], [mark("s", "/x", 39), mark("s", "/f0", 1)]]
+    keys = [f"/f{k}" for k in range(8)] + ["/g", "/e", "/x"]
+    asks = [edit(s, k, n) for n, (s, k) in enumerate((s, k) for s in "st" for k in keys)]
+    got = run(spark, tmp_path, "capped", COLUMNS, [*marks, asks], lambda r: seen.guard_stream(r, cap=4))
+    flat = spark.createDataFrame([(r[0], r[2], r[3], r[4], n) for n, r in enumerate(r for b in marks for r in b)], "session string, key string, ts long, hash string, seq long")
+    kept = sorted((r.session, r.key, r.ts) for r in guard.latest_seen(flat, ["session"], cap=4).collect())
+    assert sorted((r.session, r.key, r.seen_ts) for r in got if r.verdict == "allow") == kept
+    assert {k for s, k, _ in kept if s == "s"} == {"/f3", "/g", "/x", "/f7"}
+
+
+def test_idle_sessions_are_forgotten(spark, tmp_path):
+    """By the rows' own times: a session's timer moves on with it; one that rests loses marks and reset."""
+    at = lambda s, kind, k, minute, ask=None: (s, kind, k, minute * 60_000, None, ask, "Edit" if ask is not None else None, True, None)
+    batches = [
+        [at("idle", "mark", "/a", 1), at("busy", "mark", "/a", 1)], [at("busy", "mark", "/b", 20)], [at("busy", "mark", "/c", 45), at("clock", "mark", "/", 45)], [at("clock", "mark", "/", 50)], [at("clock", "mark", "/", 51)],
+        [at("busy", "edit", "/a", 52, 1), at("idle", "edit", "/a", 52, 2)],
+    ]
+    got = {r.ask: r.verdict for r in run(spark, tmp_path, "idle", COLUMNS, batches, lambda r: seen.guard_stream(r, idle_ms=30 * 60_000, delay="1 minute"))}
+    assert got == {1: "allow", 2: "never-seen"}
+
+
 def test_conflicts_by_file(spark, tmp_path):
     columns = "key string, kind string, sid string, agent string, ts long, ask long, verdict string, tool string, exists boolean, seen_ts long, seen_hash string"
     wrote = lambda k, kind, sid, ts: (k, kind, sid, "main", ts, None, None, None, None, None, None)
