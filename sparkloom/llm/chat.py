@@ -1,6 +1,7 @@
 """Chat formatting: roles of a raw transcript's lines by a hidden Markov model, then canonical turns.
 
-States are (role, line opens a turn or goes on with it). A line shows a speaker marker's class (a known name of a role, an unknown
+States are (role, line opens a turn with text, opens it with a marker alone, or goes on with it): after a marker alone more lines follow, after text the turn
+may end. A line shows a speaker marker's class (a known name of a role, an unknown
 name, or none) and a shape (blank, question, list or code, other). A marker may follow a time and stand in brackets, after decoration, or
 before a colon, a dash or an arrow. Transitions and emissions are counted, with one added, on at most `MAX_TRAIN` transcripts
 whose turns are known. Viterbi's best path gives the turns.
@@ -30,7 +31,8 @@ NAMES = {
     "user": ("user", "human", "customer", "question", "prompt", "q"),
     "assistant": ("assistant", "ai", "bot", "model", "answer", "response", "a"),
 }
-STATES = [(r, opens) for r in ROLES for opens in (True, False)]
+OPEN, BARE, MORE = "open", "bare", "more"
+STATES = [(r, kind) for r in ROLES for kind in (OPEN, BARE, MORE)]
 CLASSES = ("none", *ROLES, "other")
 SHAPES = ("blank", "question", "list", "plain")
 MAX_TRAIN, FAN, PART_TURNS = 2000, 256, 64
@@ -80,14 +82,17 @@ class Hmm:
         start, move, marks, shapes = np.split(counts.astype(float), np.cumsum([n, n * n, n * len(CLASSES)]))
         start, move, marks, shapes = start + 0.1, move.reshape(n, n) + 0.1, marks.reshape(n, -1) + 0.1, shapes.reshape(n, -1) + 1.0
         for a, (ra, _) in enumerate(STATES):
-            for b, (rb, opens) in enumerate(STATES):
-                if not opens and ra != rb:
+            for b, (rb, kind) in enumerate(STATES):
+                if kind == MORE and ra != rb:
                     move[a, b] = 1e-9  # a turn goes on in its own role only
         # without examples: a role's own name opens its turns, and plain lines go on
-        for st, (r, opens) in enumerate(STATES):
-            marks[st, CLASSES.index(r) if opens else 0] += 5
+        for st, (r, kind) in enumerate(STATES):
+            marks[st, CLASSES.index(r) if kind != MORE else 0] += 5
+            # what the states say of themselves
+            if kind != MORE:
+                shapes[st, np.arange(len(SHAPES)) == 0 if kind == OPEN else np.arange(len(SHAPES)) > 0] *= 1e-6
         # a name that is no role's tells nothing about the role: it is as likely to open a turn of any
-        other, opening = CLASSES.index("other"), [st for st, (_, opens) in enumerate(STATES) if opens]
+        other, opening = CLASSES.index("other"), [st for st, (_, kind) in enumerate(STATES) if kind != MORE]
         share = marks[opening, other].sum() / marks[opening].sum()
         for st in opening:
             marks[st, other] = (marks[st].sum() - marks[st, other]) * share / (1 - share)
@@ -137,7 +142,8 @@ def turns(lines: list[str], states: list[int]) -> list[tuple[str, bool, str]]:
     """(role, whether it goes on from before, text) of the lines' turns."""
     out: list[list] = []
     for line, st in zip(lines, states):
-        role, opens = STATES[st]
+        role, kind = STATES[st]
+        opens = kind != MORE
         if opens or not out:
             rest = line[observe(line)[2] :] if opens else line
             out.append([role, not opens, [rest] if rest or not opens else []])
@@ -288,25 +294,29 @@ def transcripts(conversations: DataFrame, part_turns: int = PART_TURNS, styles:
     return grouped.select("conv_id", "part", F.array_join(F.transform("x", lambda s: s["said"]), "\n").alias("text"))
 
 
+def _states(role: int, said: str) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """The states of a known turn's lines, and what they show."""
+    seen = [observe(x) for x in split_lines(said)]
+    kinds = [BARE if seen[0][1] == 0 else OPEN, *[MORE] * (len(seen) - 1)]
+    return [STATES.index((ROLES[role], k)) for k in kinds], seen
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (role, said, role before, whether the turn before had more lines) -> (at, n): starts, moves, markers and shapes of the states."""
+    """Rows (role, said, role before and the lines of that turn that tell its last state) -> (at, n): starts, moves, markers and shapes of the states."""
     n = len(STATES)
     start, move, marks, shapes = np.zeros(n), np.zeros((n, n)), np.zeros((n, len(CLASSES))), np.zeros((n, len(SHAPES)))
     for b in batches:
-        for role, said, before, more in zip(*(c.to_pylist() for c in b.columns)):
-            lines = split_lines(said)
-            opens, goes_on = STATES.index((ROLES[role], True)), STATES.index((ROLES[role], False))
+        for role, said, before in zip(*(c.to_pylist() for c in b.columns)):
+            states, seen = _states(role, said)
             if before is None:
-                start[opens] += 1
+                start[states[0]] += 1
             else:
-                move[STATES.index((ROLES[before], not more)), opens] += 1
-            if len(lines) > 1:
-                move[opens, goes_on] += 1
-                move[goes_on, goes_on] += len(lines) - 2
-            for k, line in enumerate(lines):
-                mark, shape, _ = observe(line)
-                marks[goes_on if k else opens, mark] += 1
-                shapes[goes_on if k else opens, shape] += 1
+                move[_states(*before.values())[0][-1], states[0]] += 1
+            for x, y in zip(states, states[1:]):
+                move[x, y] += 1
+            for st, (mark, shape, _) in zip(states, seen):
+                marks[st, mark] += 1
+                shapes[st, shape] += 1
     flat = np.concatenate([start, move.ravel(), marks.ravel(), shapes.ravel()])
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["at", "n"])
 
@@ -320,8 +330,9 @@ def fit(conversations: DataFrame, learn, max_train: int = MAX_TRAIN, styles: tup
     ids = conversations.where(learn & F.col("conv_id").isNotNull()).select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(max_train)
     rows = _written(conversations.join(F.broadcast(ids), "conv_id", "left_semi"), styles, PART_TURNS)
     w = Window.partitionBy("conv_id", "part").orderBy("turn", "said")
-    before = F.lag(F.struct("role", F.contains("said", F.lit("\n")).alias("more"))).over(w)
-    known = rows.withColumn("b", before).select("role", "said", F.col("b.role").alias("before"), F.col("b.more").alias("more"))
+    # of the turn before its first line, and whether there are more
+    ahead = F.concat(F.substring_index("said", "\n", 1), F.when(F.contains("said", F.lit("\n")), "\n").otherwise(""))
+    known = rows.withColumn("b", F.lag(F.struct("role", ahead.alias("said"))).over(w)).select("role", "said", "b")
     sums = known.mapInArrow(_count, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(len(STATES) * (1 + len(STATES) + len(CLASSES) + len(SHAPES)))
     for r in sums:

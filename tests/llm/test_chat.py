@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from sparkloom.llm import chat
 
 
+SIZE = len(chat.STATES) * (1 + len(chat.STATES) + len(chat.CLASSES) + len(chat.SHAPES))
+
+
 def conversations(n=60, long=150):
     rng, rows = random.Random(9), []
     for c in range(n):
@@ -33,9 +36,11 @@ def accuracy(rows, found):
 
 
 def test_styles_that_no_model_was_fitted_on(spark):
-    rows = conversations()
+    rows = conversations(180)
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    model = chat.fit(df, F.lit(True))
+    model = chat.fit(df, F.col("conv_id") % 3 > 0)
+    # and on conversations that it wasn't fitted on
+    rows, df = [r for r in rows if r[0] % 3 == 0], df.where("conv_id % 3 = 0")
     for style in chat.UNSEEN:
         assert accuracy(rows, chat.parse(chat.transcripts(df, styles=(style,)), model)) >= 0.95, style
     # names that say nothing are told apart by their turns alone
@@ -54,10 +59,9 @@ def test_markers():
 
 def test_best_path_against_all_paths():
     rng = random.Random(6)
-    counts = np.array([rng.random() * 9 for _ in range(96)])
-    model = chat.Hmm.counted(counts[: 6 + 36 + 30 + 24])
+    model = chat.Hmm.counted(np.array([rng.random() * 9 for _ in range(SIZE)]))
     for _ in range(20):
-        lines = [rng.choice(["User: hi", "Bob: hello", "plain", "", "Assistant: yes?", "- item"]) for _ in range(rng.randrange(1, 6))]
+        lines = [rng.choice(["User: hi", "Bob: hello", "plain", "", "Assistant: yes?", "- item"]) for _ in range(rng.randrange(1, 5))]
         e = model.emissions(lines)
 
         def total(path):
@@ -73,9 +77,10 @@ def test_counts_by_hand(spark):
     rows = [(1, 0, "user", "hi\nmore\nyet more"), (1, 1, "assistant", "yes?"), (1, 2, "user", "ok"), (1, 64, "assistant", "late"), (1, None, "user", "unnumbered"), (2, 0, "other", None), (2, 0, "other", None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     model = chat.fit(df, F.lit(True), styles=(("S: ", "User: ", "Bot: "),))
-    u, uc, b = (chat.STATES.index(x) for x in (("user", True), ("user", False), ("assistant", True)))
-    start = np.full(6, 0.1)
-    start[u], start[b] = 3.1, 1.1  # parts begin anew: turn 0 twice, 64, and the one without a number
+    u, ub, uc, b = (chat.STATES.index(x) for x in (("user", "open"), ("user", "bare"), ("user", "more"), ("assistant", "open")))
+    start = np.full(9, 0.1)
+    start[u], start[b] = 3.1 - 1, 1.1  # parts begin anew: turn 0 (one without a text), 64, and the one without a number
+    start[ub] = 1.1
     assert np.allclose(model.start, np.log(start / start.sum()))
     assert np.isclose(np.exp(model.move[uc, b]) / np.exp(model.move[uc, uc]), 1.1 / 1.1) and np.isclose(np.exp(model.move[u, uc]) / np.exp(model.move[u, b]), 1.1 / 0.1)
 
@@ -90,7 +95,7 @@ def test_turns_and_rows_without_numbers(spark):
 
 def test_parts_give_the_whole_transcripts_best_path(spark):
     rng = random.Random(2)
-    model = chat.Hmm.counted(np.zeros(96))
+    model = chat.Hmm.counted(np.zeros(SIZE))
     lines = [rng.choice(["User: hi", "Bob: hello there", "plain words", "", "Assistant: yes?", "- item", "what now?", "### System:"]) for _ in range(90)]
     cuts = sorted(rng.sample(range(1, 90), 20))
     parts = [(1, k, "\n".join(lines[a:b])) for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, 90]))]
