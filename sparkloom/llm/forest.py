@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TREES, BITS = 64, 32
-#: Candidates to gather (with repeats between trees), as a share of a shard's distinct vectors, and at least.
-SHARE, LEAST = 0.95, 512
+#: Distinct candidates to gather, as a share of a shard's distinct vectors, and at least: small shards are searched almost whole.
+SHARE, LEAST = 0.62, 450
 SHARD_ROWS, BLOCK_QUERIES = 8192, 2048
 SEED = 20240607
 
@@ -40,10 +40,10 @@ class Forest:
             return np.array([((vectors - self.mean) @ p > 0).astype(np.uint64) @ weights for p in self.planes])
 
     def candidates(self, queries: np.ndarray, enough: float) -> list[np.ndarray]:
-        """For each query the rows whose strings share its prefix, at the longest prefix that gives enough."""
+        """For each query the rows whose strings share its prefix, at the longest prefix that gives enough distinct ones."""
         n, q = len(self.vectors), len(queries)
         asked = self.strings(queries)
-        low, high = np.zeros((len(asked), q), dtype=np.int64), np.full((len(asked), q), n, dtype=np.int64)
+        out: list[np.ndarray] = [np.arange(n)] * q
         rising = np.arange(q)
         for length in range(self.bits, 0, -1):
             rest = np.uint64(self.bits - length)
@@ -51,17 +51,18 @@ class Forest:
             last = first | ((np.uint64(1) << rest) - np.uint64(1))
             lo = np.array([np.searchsorted(s, f, side="left") for s, f in zip(self.sorted, first)])
             hi = np.array([np.searchsorted(s, f, side="right") for s, f in zip(self.sorted, last)])
-            done = (hi - lo).sum(axis=0) >= enough
-            low[:, rising[done]], high[:, rising[done]] = lo[:, done], hi[:, done]
+            done = np.zeros(len(rising), dtype=bool)
+            # a row is met in several trees: there are never more distinct ones than that
+            for k in np.flatnonzero((hi - lo).sum(axis=0) >= enough).tolist():
+                seen = np.zeros(n, dtype=bool)
+                for order, a, b in zip(self.order, lo[:, k].tolist(), hi[:, k].tolist()):
+                    seen[order[a:b]] = True
+                found = np.flatnonzero(seen)
+                if len(found) >= enough:
+                    out[rising[k]], done[k] = found, True
             rising = rising[~done]
             if not len(rising):
                 break
-        out = []
-        for i in range(q):
-            seen = np.zeros(n, dtype=bool)
-            for order, a, b in zip(self.order, low[:, i], high[:, i]):
-                seen[order[a:b]] = True
-            out.append(np.flatnonzero(seen))
         return out
 
 
@@ -73,7 +74,7 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
     starts = np.searchsorted(kind, np.arange(len(distinct) + 1))
     forest = Forest(distinct)
     found_q, found_id, found_d = [], [], []
-    for qid, q, rows in zip(query_ids, queries, forest.candidates(queries, max(LEAST, share * len(distinct)))):
+    for qid, q, rows in zip(query_ids, queries, forest.candidates(queries, min(len(distinct), max(LEAST, share * len(distinct))))):
         d = np.sqrt(((distinct[rows] - q) ** 2).sum(axis=1))
         order = np.argsort(d, kind="stable")
         # nearest vectors first, with all that tie, until k other ids are met; of one vector's ids the k + 1 smallest are enough
