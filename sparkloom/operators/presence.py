@@ -49,32 +49,66 @@ def retire_intents(intents: DataFrame, edits: DataFrame) -> DataFrame:
     return keyed.join(done, (keyed.sid == done.sid) & (keyed.agent == done.agent) & (keyed._key == done._key) & (keyed.ts <= done._done), "left_anti").drop("_key")
 
 
-def _same_file(asks: DataFrame, others: DataFrame) -> DataFrame:
-    """asks(ask, sid, agent, path, now, seen_ts, seen_hash) with every other writer's row on the file: an equality join.
+def _asks(asks: DataFrame, *more: Column) -> DataFrame:
+    return asks.select("ask", "sid", "now", "seen_ts", path_key(F.col("path")).alias("_key"), writer_key(F.col("sid"), F.col("agent")).alias("_own"), *more)
 
-    Rows of the file that the writer itself wrote don't count.
-    """
-    a = asks.withColumn("_key", path_key(F.col("path"))).withColumn("_own", writer_key(F.col("sid"), F.col("agent")))
-    o = others.select(path_key(F.col("path")).alias("_key"), F.col("sid").alias("other_sid"), F.col("agent").alias("other_agent"), F.col("ts").alias("other_ts"), writer_key(F.col("sid"), F.col("agent")).alias("_other"))
-    return a.join(o, "_key").where("_own <> _other").withColumn("age_ms", F.col("now") - F.col("other_ts"))
+
+def _writes(others: DataFrame) -> DataFrame:
+    """(_key, _w, other_ts): rows of others by file and writer; writers are ordered by their keys."""
+    writer = F.struct(writer_key(F.col("sid"), F.col("agent")).alias("key"), F.col("sid").alias("sid"), F.col("agent").alias("agent"))
+    return others.select(path_key(F.col("path")).alias("_key"), writer.alias("_w"), F.col("ts").alias("other_ts"))
 
 
-def _first_other(met: DataFrame, kind: str, *order: Column) -> DataFrame:
-    """The one other row of each ask that comes first: by writer, then time, unless another order is given."""
-    by = F.min_by(F.struct("other_sid", "other_agent", "age_ms", (F.col("other_sid") == F.col("sid")).alias("same_session")), F.struct(*(order or (F.col("_other"), F.col("other_ts")))))
-    return met.groupBy("ask").agg(by.alias("o")).select("ask", F.lit(kind).alias("kind"), "o.*")
+def _found(rows: DataFrame, kind: str) -> DataFrame:
+    """rows(ask, sid, now, _w, other_ts) as conflicts."""
+    return rows.select("ask", F.lit(kind).alias("kind"), F.col("_w.sid").alias("other_sid"), F.col("_w.agent").alias("other_agent"), (F.col("now") - F.col("other_ts")).alias("age_ms"), (F.col("_w.sid") == F.col("sid")).alias("same_session"))
 
 
 def in_flight(asks: DataFrame, intents: DataFrame, fresh_secs: int = INTENT_SECS) -> DataFrame:
-    """Per ask: another writer's fresh intent on the file, not older than what the asker saw of it. Future intents don't count."""
-    met = _same_file(asks, intents).where((F.col("age_ms") >= 0) & (F.col("age_ms") <= fresh_secs * 1000))
-    return _first_other(met.where(~F.coalesce(F.col("seen_ts") > F.col("other_ts"), F.lit(False))), "in-flight")
+    """Per ask: another writer's fresh intent on the file, not older than what the asker saw of it: the first writer's, its first. Future
+    intents don't count.
+
+    Rows meet by file and stretch of time, two stretches for each ask, and a writer's intents on a file in one stretch are one row: an ask
+    meets writers that are at work beside it, however many intents a file has had.
+    """
+    fresh = fresh_secs * 1000
+    stretch = lambda t: F.floor(t / fresh)
+    busy = _writes(intents).groupBy("_key", stretch(F.col("other_ts")).alias("_at"), "_w").agg(F.array_sort(F.collect_list("other_ts")).alias("_times"))  # one writer's, of 90 seconds
+    since = F.greatest(F.col("now") - fresh, F.coalesce("seen_ts", F.col("now") - fresh))
+    a = _asks(asks, F.explode(F.array(stretch(F.col("now")), stretch(F.col("now")) - 1)).alias("_at"))
+    met = a.join(busy, ["_key", "_at"]).where("_own <> _w.key")
+    met = met.withColumn("other_ts", F.get(F.filter("_times", lambda t: (t >= since) & (t <= F.col("now"))), 0)).where("other_ts is not null")
+    first = met.groupBy("ask").agg(F.min(F.struct("_w", "other_ts", "sid", "now")).alias("x"))
+    return _found(first.select("ask", "x.*"), "in-flight")
+
+
+#: Parts into which the asks on one file are spread.
+SPREAD = 16
 
 
 def landed(asks: DataFrame, edits: DataFrame) -> DataFrame:
-    """Per ask whose file was seen without a hash: another writer's edit after that."""
-    met = _same_file(asks.where("seen_ts is not null and seen_hash is null"), edits)
-    return _first_other(met.where("other_ts > seen_ts"), "landed-edit")
+    """Per ask whose file was seen without a hash: another writer's edit after that: the first writer's, its first.
+
+    A writer has edited since t if its last edit is later, so the file's writers are one row each. Sorted by these times together with the
+    asks, downwards, the first writer so far and the first but for that one are running minima: what comes second is the least of those
+    that ever lost against the first. No ask meets more than these two.
+    """
+    writes = _writes(edits)
+    a = _asks(asks.where("seen_ts is not null and seen_hash is null")).withColumn("_part", F.pmod(F.xxhash64("ask"), F.lit(SPREAD)))
+    last = writes.groupBy("_key", "_w").agg(F.max("other_ts").alias("_t")).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    mine = F.struct("ask", "sid", "now", "seen_ts", "_own").alias("_a")
+    rows = a.select("_key", "_part", F.col("seen_ts").alias("_t"), mine).unionByName(last, allowMissingColumns=True)
+    down = Window.partitionBy("_key", "_part").orderBy(F.desc("_t"), F.col("_a").isNull())  # at the same time asks first: an edit must be later
+    upto, before = down.rowsBetween(Window.unboundedPreceding, 0), down.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_first", F.min("_w").over(upto)).withColumn("_had", F.min("_w").over(before))
+    rows = rows.withColumn("_lost", F.when(F.col("_w").isNotNull() & F.col("_had").isNotNull(), F.greatest("_w", "_had"))).withColumn("_second", F.min("_lost").over(upto))
+    other = F.when(F.col("_first.key") != F.col("_a._own"), F.col("_first")).otherwise(F.col("_second"))
+    chosen = rows.where("_a is not null").select("_key", "_a", other.alias("_w")).where("_w is not null")
+    # that writer's first edit after what was seen: the last one met on the way down
+    both = chosen.select("_key", "_w", F.col("_a.seen_ts").alias("_t"), "_a").unionByName(writes.select("_key", "_w", F.col("other_ts").alias("_t")), allowMissingColumns=True)
+    way = Window.partitionBy("_key", "_w").orderBy(F.desc("_t"), F.col("_a").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("other_ts", F.min(F.when(F.col("_a").isNull(), F.col("_t"))).over(way)).where("_a is not null")
+    return _found(near.select("_a.ask", "_a.sid", "_a.now", "_w", "other_ts"), "landed-edit")
 
 
 def conflicts(asks: DataFrame, intents: DataFrame, edits: DataFrame, fresh_secs: int = INTENT_SECS) -> DataFrame:
@@ -84,8 +118,11 @@ def conflicts(asks: DataFrame, intents: DataFrame, edits: DataFrame, fresh_secs:
 
 
 def attribution(asks: DataFrame, edits: DataFrame) -> DataFrame:
-    """Per ask: the other writer whose edit of the file is youngest."""
-    return _first_other(_same_file(asks, edits), "landed-edit", F.col("age_ms"), F.col("_other"))
+    """Per ask: the other writer whose edit of the file is youngest, of equally young ones the first: one of the file's two newest writers."""
+    newest = _writes(edits).groupBy("_key", "_w").agg(F.max("other_ts").alias("other_ts"))
+    two = newest.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("other_ts"), "_w"))).where("_n <= 2")
+    met = _asks(asks).join(two, "_key").where("_own <> _w.key")
+    return _found(met.groupBy("ask").agg(F.min(F.struct("_n", "_w", "other_ts", "sid", "now")).alias("x")).select("ask", "x.*"), "landed-edit")
 
 
 def radar_sessions(edits: DataFrame, intents: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,6 +132,60 @@ def test_conflict_matrix(spark):
     assert conflict(spark, edit=NOW - 10) is None
 
 
+def test_conflicts_on_one_file(spark):
+    """Everything happens on one file: each ask against all rows by hand; what the joins put out stays in proportion to the rows."""
+    rng = random.Random(4)
+    writers = [(s, a) for s in ("me", "s1", "s2", "s3") for a in ("main", "sub")]
+    at = lambda: rng.randrange(0, 600_000)
+    rows = [(*rng.choice(writers), "f", at()) for _ in range(1500)]
+    intents, edits = rows[:900], rows[900:]
+    asks = []
+    for n in range(900):
+        now = at()
+        asks.append((n, *rng.choice(writers), "f", now, rng.choice([None, now - rng.randrange(0, 120_000), rng.choice(edits)[3]]), rng.choice([None, None, "h"])))
+    name = lambda w: f"{w[0]}__{w[1]}"
+
+    def first(ask, kind, fits, order):
+        found = [(order(o), o) for o in (intents if kind == "in-flight" else edits) if o[:2] != ask[1:3] and fits(o[3])]
+        return (kind, *min(found)[1][:2], ask[4] - min(found)[1][3]) if found else None
+
+    want, young = {}, {}
+    for ask in asks:
+        now, seen, h = ask[4:]
+        by_name = lambda o: (name(o), o[3])
+        hit = first(ask, "in-flight", lambda t: 0 <= now - t <= 90_000 and not (seen is not None and seen > t), by_name)
+        hit = hit or (first(ask, "landed-edit", lambda t: t > seen, by_name) if seen is not None and h is None else None)
+        if hit:
+            want[ask[0]] = hit
+        young[ask[0]] = first(ask, "landed-edit", lambda t: True, lambda o: (-o[3], name(o)))
+    a = spark.createDataFrame(asks, "ask int, sid string, agent string, path string, now long, seen_ts long, seen_hash string")
+    i, e = (spark.createDataFrame(x, "sid string, agent string, path string, ts long") for x in (intents, edits))
+    got = lambda df: {r.ask: (r.kind, r.other_sid, r.other_agent, r.age_ms) for r in df.collect()}
+    assert got(P.conflicts(a, i, e)) == want and got(P.attribution(a, e)) == young
+    busiest = 0
+    for df in (P.in_flight(a, i), P.landed(a, e), P.attribution(a, e)):
+        df.collect()
+        busiest = max(busiest, *[int(x) for x in re.findall(r"number of output rows: (\d+)", metrics(df))], 0)
+    assert busiest <= P.SPREAD * len(rows)
+
+
+def metrics(df):
+    """The numbers that an executed plan's nodes have counted."""
+    out, left = [], [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            left.append(node.executedPlan())
+            continue
+        if "QueryStage" in node.nodeName():
+            left.append(node.plan())
+        m = node.metrics().get("numOutputRows")
+        if m.isDefined():
+            out.append(f"number of output rows: {m.get().value()}")
+        left += [node.children().apply(k) for k in range(node.children().size())]
+    return "\n".join(out)
+
+
 def test_kept_edits(spark):
     rows = [(0, 2500, None), (1, 2600, "h"), (2, 7499, None), (3, 7600, None), (4, 12_500, None)]
     df = spark.createDataFrame([("s", "a", "f", *r) for r in rows], "sid string, agent string, path string, seq long, ts long, hash string")
