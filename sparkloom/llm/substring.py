@@ -10,17 +10,19 @@ shuffled. What a bucket sends is one row for each fingerprint or window it holds
 rows as there are buckets, never as many as documents, and no pairs. A text that a smaller id holds word for word is settled
 by a digest of the whole text and sends nothing.
 
-1. A batch's fingerprints become a run: a table bucketed and sorted by fingerprint, never changed again.
-2. The run is merge-joined with each older run and with itself: all are bucketed alike, so none is shuffled.
+1. A batch's fingerprints become a run: a table with one file for each of its buckets, sorted by fingerprint, never changed again.
+2. The run is merge-joined with each older run and with itself: all are bucketed alike and read in their order, so none is shuffled or sorted.
 3. Verification: the buckets of the batch and of history that hold a met fingerprint, and only these, send the windows it stands
-   for: 64 and 32 bits of two independent hashes over the words, and the bucket's smallest document.
-4. Windows with a smaller owner elsewhere come back to the batch's buckets; with a bucket's own order they decide which words go.
+   for: 64 and 32 bits of two independent hashes over the words, and the bucket's smallest document. Few of them: only their files are opened.
+4. Windows whose smallest owner is another come back to the batch's buckets; with a bucket's own order they decide which words go.
 5. When a level has `fanout` runs they are merged into one run of the next level, so that a batch meets few runs.
+6. A manifest says which tables make up the index: another session, later, goes on from it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -30,12 +32,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import cut, give_back, new_folder, salted_join
+from .common import cut, delete, give_back, new_folder, salted_join
 
 WINDOW, GRAM = 13, 4
 #: Bytes of text that a bucket holds, about.
@@ -338,58 +340,102 @@ def _remove(window: int, keep: list[str], schema: pa.Schema, rejoin: bool):
     return run
 
 
+#: Buckets of history that are named one by one in a scan; of more, all files are read.
+NAMED = 10_000
+#: A scan of a bucketed table with one file a bucket is in the files' order.
+_IN_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
 class FingerprintIndex:
-    """An index that takes batches of documents in the order of their ids.
+    """An index that takes batches of documents in the order of their ids; with the path of one that exists, that one.
 
-    Under its folder: `texts<serial>` (the batches' texts, bucketed), `L<level>-<serial>` (the runs: (m, _bucket, many), bucketed and
-    sorted by m), `digests<serial>` and `copies<serial>`. Everything is written once; merged runs are deleted.
+    Under its folder: `texts<serial>` (the batches' texts, bucketed), `L<level>_<serial>` (the runs: (m, _bucket, many), bucketed and
+    sorted by m), `digests<serial>`, `copies<serial>` and `manifest<serial>`. Everything is written once; merged runs are deleted. What a
+    batch wrote that failed before its manifest is written again by the next.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 2, window: int = WINDOW, gram: int = GRAM, parts: int | None = None):
-        self.spark, self.path, self.fanout, self.window, self.gram = spark, path or new_folder(spark, "index"), fanout, window, gram
-        #: Buckets of the tables: the same for the index's whole life, or they wouldn't join without a shuffle.
-        self.parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spark, self.path, self.fanout = spark, path or new_folder(spark, "index"), fanout
         self.names = f"sparkloom_{uuid.uuid4().hex}"
-        self.serial, self.runs, self.texts, self.copies, self.digests = 0, [], [], [], []
+        # parts: buckets of the tables, the same for the index's whole life, or they wouldn't join without a shuffle
+        self.held = {"serial": 0, "runs": [], "texts": [], "window": window, "gram": gram, "parts": parts or int(spark.conf.get("spark.sql.shuffle.partitions")), "schema": None}
+        if done := [f for f in self._folders() if f.startswith("manifest")]:
+            self.held = json.loads(spark.read.text(f"{self.path}/{max(done)}").first()[0])
+            for name in self.held["texts"]:
+                self._register(name, self.held["schema"], "_bucket")
+            for name in self.held["runs"]:
+                self._register(name, "m BIGINT, _bucket BIGINT, many BOOLEAN", "m")
+
+    window, gram, parts = (property(lambda self, k=k: self.held[k]) for k in ("window", "gram", "parts"))
+    serial, runs, texts = (property(lambda self, k=k: self.held[k]) for k in ("serial", "runs", "texts"))
+
+    def _folders(self) -> list[str]:
+        """Folders of the index that were written to their end."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [e.getPath().getName() for e in (fs.listStatus(root) if fs.exists(root) else []) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(e.getPath(), "_SUCCESS"))]
+
+    def _register(self, name: str, schema: str, by: str) -> None:
+        self.spark.sql(f"CREATE TABLE {self.names}_{name} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.parts} BUCKETS LOCATION '{self.path}/{name}'")
 
     def _write(self, rows: DataFrame, name: str, by: str) -> DataFrame:
+        delete(self.spark, f"{self.path}/{name}")
         rows.write.format("parquet").option("path", f"{self.path}/{name}").bucketBy(self.parts, by).sortBy(by).saveAsTable(f"{self.names}_{name}")
         return self.spark.table(f"{self.names}_{name}")
 
+    def _save(self, rows: DataFrame, name: str) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}")
+
+    def _saved(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.names}_{name}")
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        delete(self.spark, f"{self.path}/{name}")
 
     def _table(self, name: str) -> DataFrame:
         return self.spark.table(f"{self.names}_{name}")
 
-    def _met(self, run: str) -> DataFrame:
+    def _meets(self, run: str) -> DataFrame:
         """(_bucket, m) of the run's own fingerprints that are met in it twice or in an older run, and of the older runs' rows that it meets."""
         new = self._table(run)
         twice = new.groupBy("m").agg(F.count("*").alias("n"), F.max("many").alias("any")).where("n > 1 or any").select("m")
-        found = [new.join(twice, "m", "left_semi")]
+        total = new.join(twice, "m", "left_semi").select("_bucket", "m")
         for older in self.runs:
             old = self._table(older)
-            found += [new.join(old.select("m"), "m", "left_semi"), old.join(new.select("m"), "m", "left_semi")]
-        total = found[0].select("_bucket", "m")
-        for f in found[1:]:
-            total = total.unionByName(f.select("_bucket", "m"))
-        return cut(total, "met")
-
-    def _compact(self) -> None:
-        level = 0
+            total = total.unionByName(new.join(old.select("m"), "m", "left_semi").select("_bucket", "m")).unionByName(old.join(new.select("m"), "m", "left_semi").select("_bucket", "m"))
+        return total
+
+    def _met(self, run: str) -> DataFrame:
+        before = self.spark.conf.get(_IN_ORDER)
+        self.spark.conf.set(_IN_ORDER, "true")
+        try:
+            return cut(self._meets(run), "met")
+        finally:
+            self.spark.conf.set(_IN_ORDER, before)
+
+    def _holding(self, name: str, met: DataFrame) -> DataFrame:
+        """Texts of the buckets that hold a met fingerprint."""
+        rows = self._table(name).select("_id", "_text", "_bucket")
+        serial = int(name.removeprefix("texts"))
+        buckets = met.where(F.shiftright("_bucket", 44) == serial).select("_bucket").distinct()
+        some = [r[0] for r in buckets.limit(NAMED + 1).collect()]
+        return rows.where(F.col("_bucket").isin(some)) if len(some) <= NAMED else rows.join(buckets, "_bucket", "left_semi")
+
+    def _compact(self) -> list[str]:
+        """Merge full levels; returns the runs that went into others."""
+        level, merged_away = 0, []
         while len(full := [x for x in self.runs if x.startswith(f"L{level}_")]) >= self.fanout:
             merged = self._table(full[0])
             for x in full[1:]:
                 merged = merged.unionByName(self._table(x))
             name = f"L{level + 1}_{self.serial}"
-            # a bucket of the union is that bucket of all the runs: sorted as it is written, and not shuffled
-            self._write(merged, name, "m")
-            for x in full:
-                self._drop(x)
-            self.runs = [x for x in self.runs if x not in full] + [name]
+            self._write(merged.repartition(self.parts, "m"), name, "m")  # one file a bucket again
+            self.held["runs"] = [x for x in self.runs if x not in full] + [name]
+            merged_away += full
             level += 1
+        return merged_away
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), rejoin: bool = True) -> DataFrame:
         """docs -> (id, *keep, n_words, n_removed, kept_text): each input row without the words that repeat a smaller id's of this batch or
@@ -400,19 +446,19 @@ class FingerprintIndex:
         rejoin: kept words are joined by single spaces in every text; otherwise the white space between words that stay side by side
         stays as it is.
         """
-        self.serial += 1
+        self.held["serial"] += 1
         own = docs.select(F.col(id_col).cast("long").alias("_id"), *[F.col(c) for c in keep], F.col(text_col).alias("_text"))
         schema = StructType([*own.schema.fields, StructField("_bucket", LongType())])
         name = f"texts{self.serial}"
         texts = self._write(own.mapInArrow(_deal(self.serial, BUCKET_BYTES), schema), name, "_bucket")
 
         digest = F.sha2(F.coalesce("_text", F.lit("")), 256)
-        marked = cut(texts.select("_bucket", F.coalesce("_id", F.lit(LAST)).alias("_copy"), F.unhex(F.substring(digest, 1, 40)).alias("_digest"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("_tag")), "digests")
+        marked = self._save(texts.select("_bucket", F.coalesce("_id", F.lit(LAST)).alias("_copy"), F.unhex(F.substring(digest, 1, 40)).alias("_digest"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("_tag")), f"digests{self.serial}")
         known = marked.select("_digest", F.col("_copy").alias("_first"))
-        for old in self.digests:
-            known = known.unionByName(old)
+        for old in self.texts:
+            known = known.unionByName(self._saved(f"digests{old.removeprefix('texts')}", "_digest binary, _copy long").select("_digest", F.col("_copy").alias("_first")))
         first = known.groupBy("_digest").agg(F.min("_first").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-        copies = cut(salted_join(marked, first, "_digest", "_copy").where("_copy > _first").select("_bucket", "_copy", "_tag"), "copies")
+        copies = self._save(salted_join(marked, first, "_digest", "_copy").where("_copy > _first").select("_bucket", "_copy", "_tag"), f"copies{self.serial}")
 
         fresh = texts.select("_id", "_text", "_bucket").groupBy("_bucket").cogroup(copies.groupBy("_bucket"))
         run = f"L0_{self.serial}"
@@ -420,23 +466,27 @@ class FingerprintIndex:
         met = self._met(run)
 
         wins = None
-        for held, gone in [(name, copies), *zip(self.texts, self.copies)]:
-            # of history only buckets that hold a met fingerprint are read
-            some = self._table(held).select("_id", "_text", "_bucket").join(met.select("_bucket").distinct(), "_bucket", "left_semi")
-            sent = some.groupBy("_bucket").cogroup(met.unionByName(gone, allowMissingColumns=True).groupBy("_bucket")).applyInArrow(_emit_windows(self.window, self.gram), "h1 long, h2 int, least long, _bucket long")
+        for held in [name, *self.texts]:
+            gone = self._saved(f"copies{held.removeprefix('texts')}", "_bucket long, _copy long, _tag long")
+            sent = self._holding(held, met).groupBy("_bucket").cogroup(met.unionByName(gone, allowMissingColumns=True).groupBy("_bucket")).applyInArrow(_emit_windows(self.window, self.gram), "h1 long, h2 int, least long, _bucket long")
             wins = sent if wins is None else wins.unionByName(sent)
-        first = F.min("least").over(Window.partitionBy("h1", "h2"))
-        mine = F.shiftright("_bucket", 44) == self.serial
-        away = wins.withColumn("first", first).where(mine & (F.col("first") < F.col("least"))).select("_bucket", "h1", "h2").unionByName(copies, allowMissingColumns=True)
+        wins = cut(wins, "windows")
+        # a passage that every bucket holds is added up in each task first; its rows are dealt anew where one task would get too many
+        owner = wins.groupBy("h1", "h2").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first < last").select("h1", "h2", "first")
+        mine = wins.where(F.shiftright("_bucket", 44) == self.serial)
+        away = mine.join(owner, ["h1", "h2"]).where("first < least").select("_bucket", "h1", "h2").unionByName(copies, allowMissingColumns=True)
         fields = [f for f in texts.schema.fields if f.name == "_id"] + [texts.schema[c] for c in keep]
         schema = StructType([*fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
         kept = texts.groupBy("_bucket").cogroup(away.groupBy("_bucket")).applyInArrow(_remove(self.window, list(keep), to_arrow_schema(schema), rejoin), schema)
 
-        self.texts.append(name)
-        self.copies.append(copies)
-        self.digests.append(marked.groupBy("_digest").agg(F.min("_copy").alias("_first")))
-        self.runs.append(run)
-        self._compact()
+        self.held["texts"].append(name)
+        self.held["runs"].append(run)
+        # what later batches ask of texts
+        self.held["schema"] = "_id BIGINT, _text STRING, _bucket BIGINT"
+        away_runs = self._compact()
+        self.spark.createDataFrame([(json.dumps(self.held),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest{self.serial:08d}")
+        for x in away_runs:  # only now does nothing name them
+            self._drop(x)
         return kept.toDF(id_col, *keep, "n_words", "n_removed", "kept_text")
 
 

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from sparkloom.llm import substring as S
 
 
@@ -74,7 +76,7 @@ def test_work_follows_the_batch(spark, monkeypatch):
         index.add(spark.createDataFrame(old[size // 2 :], "doc_id long, text string"))
         new = index.add(spark.createDataFrame([(1000, f"{text(0, 10**6)} {passage}"), (1001, text(0, 10**6))], "doc_id long, text string"))
         assert sorted((r.doc_id, r.n_removed) for r in new.collect()) == [(1000, 60), (1001, 0)]
-        index.runs, last = index.runs[:-1], index.runs[-1]
+        last = index.held["runs"].pop()
         met[size] = index._met(last).groupBy("_bucket").count().collect()
         plan = new._jdf.queryExecution().optimizedPlan().toString()
         lines = new._jdf.queryExecution().executedPlan().toString().split("\n")
@@ -85,6 +87,51 @@ def test_work_follows_the_batch(spark, monkeypatch):
     assert sorted(r["count"] for r in met[40]) == sorted(r["count"] for r in met[160]) and len(met[40]) == 2
 
 
+def test_reopened(spark, monkeypatch):
+    """Batches through indexes that are opened anew for each, by names of their own; what a failed batch left is written again."""
+    monkeypatch.setattr(S, "BUCKET_BYTES", 700)
+    rows = sorted((r for r in corpus(5, 48) if r[0] is not None), key=lambda r: r[0])
+    path, found = S.new_folder(spark, "kept-index"), []
+    for low in range(0, 60, 12):
+        index = S.FingerprintIndex(spark, path, fanout=2, window=13 if not low else 99)
+        assert index.serial == low // 12 and index.window == 13
+        batch = spark.createDataFrame([r for r in rows if low <= r[0] < low + 12], "doc_id long, text string")
+        if low == 24:
+            broken = S.FingerprintIndex(spark, path, fanout=2)
+            with monkeypatch.context() as m, pytest.raises(ZeroDivisionError):
+                m.setattr(broken, "_met", lambda run: 1 / 0)
+                broken.add(batch)
+        found.append(got(index.add(batch)))
+    assert sorted((r for f in found for r in f), key=repr) == brute(rows)
+
+
+def test_runs_are_merged_in_their_order(spark, monkeypatch):
+    """Neither a sort nor a shuffle of runs in the join that finds what is met; only history's files that hold it are opened."""
+    monkeypatch.setattr(S, "BUCKET_BYTES", 600)
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    passage, index = text(), S.FingerprintIndex(spark, fanout=9)
+    for low in (0, 100):
+        index.add(spark.createDataFrame([(low + i, f"{text()} {passage if low + i == 7 else ''}") for i in range(60)], "doc_id long, text string"))
+    index.add(spark.createDataFrame([(1000, f"{text()} {passage}")], "doc_id long, text string"))
+    last = index.held["runs"].pop()
+    spark.conf.set(S._IN_ORDER, "true")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = index._meets(last)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(S._IN_ORDER)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # what is sorted is the list of the batch's own fingerprints that it holds twice
+    assert plan.count("SortMergeJoin") == 5 and plan.count("Sort [") == 1 and "HashAggregate" in plan[plan.index("Sort [") :][:400] and "Exchange" not in plan
+    met, scan = index._met(last), {}
+    for name in index.texts[:2]:
+        found = index._holding(name, met).groupBy("_bucket").agg(S.F.count("*").alias("n"))
+        scan[name] = found._jdf.queryExecution().executedPlan().toString(), sum(r.n for r in found.collect())
+    assert "SelectedBucketsCount: 1 out of 4" in scan["texts1"][0] and scan["texts1"][1] <= 3
+    assert "LocalTableScan <empty>" in scan["texts2"][0] or scan["texts2"][1] == 0
+
+
 def test_line_ends_stay():
     import numpy as np
 
