@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -342,6 +342,8 @@ def _remove(window: int, keep: list[str], schema: pa.Schema, rejoin: bool):
 
 #: Buckets of history that are named one by one in a scan; of more, all files are read.
 NAMED = 10_000
+#: Buckets that may hold a fingerprint before its windows are added up in tasks first.
+HOT_BUCKETS = 10_000
 #: A scan of a bucketed table with one file a bucket is in the files' order.
 _IN_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
@@ -423,6 +425,32 @@ class FingerprintIndex:
         some = [r[0] for r in buckets.limit(NAMED + 1).collect()]
         return rows.where(F.col("_bucket").isin(some)) if len(some) <= NAMED else rows.join(buckets, "_bucket", "left_semi")
 
+    def _windows(self, met: DataFrame, copies: dict[str, DataFrame]) -> DataFrame:
+        """(h1, h2, least, _bucket): the windows that met fingerprints stand for, of every bucket that holds one."""
+        wins = None
+        for held, gone in copies.items():
+            sent = self._holding(held, met).groupBy("_bucket").cogroup(met.unionByName(gone, allowMissingColumns=True).groupBy("_bucket")).applyInArrow(_emit_windows(self.window, self.gram), "h1 long, h2 int, least long, _bucket long")
+            wins = sent if wins is None else wins.unionByName(sent)
+        return wins
+
+    def _away(self, name: str, met: DataFrame) -> DataFrame:
+        """(_bucket, h1, h2): windows of the batch that a smaller id owns elsewhere. A window has one row for each bucket that holds it; what
+        stands in more than HOT_BUCKETS is added up in each task first, and its rows are dealt anew where a task would get too many."""
+        copies = {held: self._saved(f"copies{held.removeprefix('texts')}", "_bucket long, _copy long, _tag long") for held in [name, *self.texts]}
+        mine = F.shiftright("_bucket", 44) == self.serial
+        hot = cut(met.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > HOT_BUCKETS).select("m"), "hot")
+        if hot.isEmpty():
+            rare, common = met, None
+        else:
+            rare, common = cut(met.join(hot, "m", "left_anti"), "met"), cut(met.join(hot, "m", "left_semi"), "met")
+        first = F.min("least").over(Window.partitionBy("h1", "h2"))
+        away = self._windows(rare, copies).withColumn("first", first).where(mine & (F.col("first") < F.col("least"))).select("_bucket", "h1", "h2")
+        if common is None:
+            return away
+        wins = cut(self._windows(common, copies), "windows")
+        owner = wins.groupBy("h1", "h2").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first < last").select("h1", "h2", "first")
+        return away.unionByName(wins.where(mine).join(owner, ["h1", "h2"]).where("first < least").select("_bucket", "h1", "h2"))
+
     def _compact(self) -> list[str]:
         """Merge full levels; returns the runs that went into others."""
         level, merged_away = 0, []
@@ -465,16 +493,7 @@ class FingerprintIndex:
         self._write(fresh.applyInArrow(_emit_fresh_fingerprints(self.window, self.gram), "m long, _bucket long, many boolean").repartition(self.parts, "m"), run, "m")
         met = self._met(run)
 
-        wins = None
-        for held in [name, *self.texts]:
-            gone = self._saved(f"copies{held.removeprefix('texts')}", "_bucket long, _copy long, _tag long")
-            sent = self._holding(held, met).groupBy("_bucket").cogroup(met.unionByName(gone, allowMissingColumns=True).groupBy("_bucket")).applyInArrow(_emit_windows(self.window, self.gram), "h1 long, h2 int, least long, _bucket long")
-            wins = sent if wins is None else wins.unionByName(sent)
-        wins = cut(wins, "windows")
-        # a passage that every bucket holds is added up in each task first; its rows are dealt anew where one task would get too many
-        owner = wins.groupBy("h1", "h2").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first < last").select("h1", "h2", "first")
-        mine = wins.where(F.shiftright("_bucket", 44) == self.serial)
-        away = mine.join(owner, ["h1", "h2"]).where("first < least").select("_bucket", "h1", "h2").unionByName(copies, allowMissingColumns=True)
+        away = self._away(name, met).unionByName(copies, allowMissingColumns=True)
         fields = [f for f in texts.schema.fields if f.name == "_id"] + [texts.schema[c] for c in keep]
         schema = StructType([*fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
         kept = texts.groupBy("_bucket").cogroup(away.groupBy("_bucket")).applyInArrow(_remove(self.window, list(keep), to_arrow_schema(schema), rejoin), schema)

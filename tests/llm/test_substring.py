@@ -46,7 +46,8 @@ def test_against_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_words string")
     assert got(S.dedup(docs.select("doc_id", "text"))) == brute(rows)
     monkeypatch.setattr(S, "BUCKET_BYTES", 500)
-    for batches in (1, 5):
+    for batches, hot in ((1, S.HOT_BUCKETS), (5, 3)):
+        monkeypatch.setattr(S, "HOT_BUCKETS", hot)
         assert got(S.dedup(docs, batches=batches)) == brute(rows)
 
 
