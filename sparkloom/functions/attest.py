@@ -7,6 +7,7 @@ import hmac
 import json
 import os
 import secrets
+from collections.abc import Iterable
 from datetime import date, datetime
 
 from pyspark.sql import Column, Row
@@ -53,6 +54,14 @@ def verify(value, signature: str | None, key: str) -> bool:
     return hmac.compare_digest(sign(value, key).encode(), (signature or "").encode())
 
 
+def sign_parts(parts: Iterable[str], key: str) -> str:
+    """The signature of a text that comes in parts."""
+    running = hmac.new(key.encode(), digestmod=hashlib.sha256)
+    for part in parts:
+        running.update(part.encode())
+    return running.hexdigest()
+
+
 def hmac_sha256(message: Column, key: str) -> Column:
     """The same signature over a text column, on SQL functions. The key is in the plan: use it where plans aren't kept."""
     raw = key.encode()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hmac
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import attest, code, content, paths, transcripts
@@ -206,20 +208,63 @@ def coordination_status(records: DataFrame, now_ms: int) -> dict[str, DataFrame]
     return {"sessions": presence.radar_sessions(edits, intents), "files": presence.radar_files(edits, intents, now_ms)}
 
 
-def context_receipt(meter: DataFrame, artifact: str, now_iso: str, key: str, events: DataFrame | None = None) -> tuple[dict, str]:
-    """(receipt, signature). A receipt is one signed document, so its rows, one for each file read, come to the driver."""
-    files = [r.asDict() for r in A.receipt_files(meter).collect()]
+def _receipt(meter: DataFrame, artifact: str, now_iso: str, swept: bool) -> dict:
+    """A receipt without its lists of files."""
     totals = A.receipt_totals(meter).first().asDict()
-    receipt = {
+    return {
         "kind": "context-receipt", "version": 2, "artifact": artifact, "ts": now_iso, "epochs": [int(x) for x in (totals.pop("epochs") or "").split(",") if x],
-        "repos": [{"repo": r} for r in (totals.pop("repos") or "").split(",") if r], "files": files, "totals": totals, "sources": ["mcp"],
+        "repos": [{"repo": r} for r in (totals.pop("repos") or "").split(",") if r], "files": [], "totals": totals, "sources": ["mcp", *(["transcript-sweep"] if swept else [])], **({"sweptFiles": []} if swept else {}),
     }
+
+
+def context_receipt(meter: DataFrame, artifact: str, now_iso: str, key: str, events: DataFrame | None = None) -> tuple[dict, str]:
+    """(receipt, signature) as one document on the driver; see write_receipt for receipts of any size."""
+    receipt = _receipt(meter, artifact, now_iso, events is not None) | {"files": [r.asDict() for r in A.receipt_files(meter).collect()]}
     if events is not None:
-        receipt["sources"].append("transcript-sweep")
         receipt["sweptFiles"] = [r.asDict() for r in A.receipt_swept(events).collect()]
     return receipt, attest.sign(receipt, key)
 
 
+def _as_json(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        yield pa.RecordBatch.from_pydict({"json": pa.array([attest.canonical_json(r) for r in b.to_pylist()], pa.string())})
+
+
+def _receipt_parts(spark: SparkSession, path: str):
+    """The text of a written receipt, in parts: its lists' rows come a partition at a time."""
+    receipt = json.loads(spark.read.text(f"{path}/receipt").first()[0])
+    yield "{"
+    for n, name in enumerate(sorted(receipt)):
+        yield ("," if n else "") + attest.canonical_json(name) + ":"
+        if name in ("files", "sweptFiles"):
+            rows = spark.read.schema("n long, json string").parquet(f"{path}/{name}").orderBy("n").select("json")
+            yield "["
+            for k, r in enumerate(rows.toLocalIterator()):
+                yield ("," if k else "") + r.json
+            yield "]"
+        else:
+            yield attest.canonical_json(receipt[name])
+    yield "}"
+
+
+def write_receipt(meter: DataFrame, artifact: str, now_iso: str, key: str, path: str, events: DataFrame | None = None) -> str:
+    """context_receipt's signature, with the receipt in a folder: its lists are sorted, written as canonical rows by tasks, and go through one
+    running HMAC; the driver holds a partition of them at a time."""
+    spark = meter.sparkSession
+    lists = {"files": A.receipt_files(meter)} | ({} if events is None else {"sweptFiles": A.receipt_swept(events)})
+    for name, rows in lists.items():
+        rows.mapInArrow(_as_json, "json string").withColumn("n", F.monotonically_increasing_id()).select("n", "json").write.parquet(f"{path}/{name}")
+    spark.createDataFrame([(attest.canonical_json(_receipt(meter, artifact, now_iso, events is not None)),)], "value string").coalesce(1).write.text(f"{path}/receipt")
+    return attest.sign_parts(_receipt_parts(spark, path), key)
+
+
+def verify_receipt(spark: SparkSession, path: str, signature: str | None, key: str) -> bool:
+    """Whether a written receipt is as it was signed."""
+    return hmac.compare_digest(attest.sign_parts(_receipt_parts(spark, path), key).encode(), (signature or "").encode())
+
+
 def verify_context_receipt(receipt: dict, signature: str, key: str) -> bool:
     return attest.verify(receipt, signature, key)
 

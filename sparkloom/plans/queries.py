@@ -565,6 +565,22 @@ def receipt_hmac(spark, sf):
     return table(spark, sf, "documents").select("doc_id", attest.hmac_sha256(F.col("text"), _KEY).alias("signature"))
 
 
+_FILE_JSON = """'{"excluded":' || excluded || ',"final_hash":"' || final_hash || '"' || coalesce(',"git_blob_sha1":"' || git || '"', '') || ',"hashes_seen":"' || hashes || '","n_diff":' || n_diff || ',"n_full":' || n_full || ',"n_unchanged":' || n_same || ',"path":"' || path || '","reads":' || reads || ',"view":"' || view || '"}'"""
+
+
+@query(f"""with {_RC_SQL}, h as (select path, view, string_agg(hash, ',' order by f) as hs from (select path, view, hash, min(seq) as f from rm group by 1, 2, 3) group by 1, 2),
+f as (select path, view, count(*) as reads, count(*) filter (kind = 'full') as n_full, count(*) filter (kind = 'diff') as n_diff, count(*) filter (kind = 'unchanged') as n_same, bool_or(excluded) as excluded,
+  case when bool_or(excluded) then '' else arg_max(hash, seq) end as final_hash, case when bool_or(excluded) then null else arg_max(git_blob_sha1, seq) filter (git_blob_sha1 is not null) end as git, case when bool_or(excluded) then '' else any_value(hs) end as hashes from rm join h using (path, view) group by 1, 2),
+m as (select '{{"artifact":"a","epochs":[' || (select string_agg(epoch, ',' order by epoch) from (select distinct epoch from rm)) || '],"files":[' || (select string_agg({_FILE_JSON}, ',' order by path || view, path) from f) || '],"kind":"context-receipt","repos":['
+  || (select string_agg('{{"repo":"' || repo || '"}}', ',' order by repo) from (select distinct repo from rm)) || '],"sources":["mcp"],"totals":{{"baseline_tokens":' || sum(baseline_tokens) || ',"files":' || count(distinct path || view) || ',"reads":' || count(*) || ',"sent_tokens":' || sum(sent_tokens) || '}},"ts":"t","version":2}}' as t from rm)
+select sha256({_padded(0x5C)} || unhex(sha256({_padded(0x36)} || encode(t)))) as signature, true as verified, false as verified_otherwise from m""")
+def receipt_signed(spark, sf):
+    """A receipt written by tasks, signed as one text, and held against its signature and another one."""
+    at = _folder(spark, "receipt")
+    signature = api.write_receipt(_receipt_meter(spark, sf), "a", "t", _KEY, at)
+    return spark.createDataFrame([(signature, api.verify_receipt(spark, at, signature, _KEY), api.verify_receipt(spark, at, signature[::-1], _KEY))], "signature string, verified boolean, verified_otherwise boolean")
+
+
 # --- presence ---------------------------------------------------------------------------------------------------------
 
 _PR_SQL = f"{SQL_BASE}, {sql_presence('edits', 'pe')}, {sql_presence('intents', 'pi')}, nw as (select max(ts_ms) as n from base)"
@@ -808,6 +824,41 @@ def symbol_slices(spark, sf):
     return docs.select("doc_id", code.symbol_slice(F.col("body"), F.lit("f4"), F.lit("a.ts")).alias("s")).select("doc_id", "s.start", "s.end", F.sha2("s.text", 256).alias("hash"))
 
 
+@query("""with d as (select doc_id, len(string_split(text, chr(10))) as n, sha256(text) as h from documents),
+b as (select doc_id, n, list_transform(range(n), lambda i: case i % 4 when 0 then 'def f' || i || '(a):  # def f4(b):' when 1 then '    s = "def f4(" + "def f4(x):" # "' when 2 then '' else chr(9) || 'return ' || h end) as l from d),
+e as (select *, least(8, n) - cast(n = 7 as int) as z from b)
+select doc_id, case when n > 4 then 5 end as "start", case when n > 4 then cast(z as int) end as "end", case when n > 4 then sha256(array_to_string(list_slice(l, 5, z), chr(10))) end as hash from e""")
+def symbol_slices_indented(spark, sf):
+    """A symbol whose name stands in comments and strings before its declaration, in code that is indented by spaces and tabs."""
+    line = lambda i: F.when(i % 4 == 0, F.concat(F.lit("def f"), i.cast("string"), F.lit("(a):  # def f4(b):"))).when(i % 4 == 1, F.lit('    s = "def f4(" + "def f4(x):" # "')).when(i % 4 == 2, F.lit("")).otherwise(F.concat(F.lit("\treturn "), F.sha2("text", 256)))
+    docs = table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda t, i: line(i)), "\n").alias("body"))
+    return docs.select("doc_id", code.symbol_slice(F.col("body"), F.lit("f4"), F.lit("a.py")).alias("s")).select("doc_id", "s.start", "s.end", F.sha2("s.text", 256).alias("hash"))
+
+
+@query(r"""with d as (select doc_id, len(string_split(text, chr(10))) as n, sha256(text) as h from documents),
+b as (select doc_id, n, list_transform(range(n), lambda i: case i % 4 when 0 then 'const f' || i || ' = g( // const f4 = {' when 1 then '  "}{ \" ;(' || h || '",' when 2 then '  /* ) }; */' else ')' end) as l from d)
+select doc_id, case when n > 4 then 5 end as "start", case when n > 4 then cast(least(7, n) as int) end as "end", case when n > 4 then sha256(array_to_string(list_slice(l, 5, 7), chr(10))) end as hash from b""")
+def symbol_slices_continued(spark, sf):
+    """A declaration without a brace that goes on over open parentheses and commas, with braces and escapes in strings and comments."""
+    line = lambda i: F.when(i % 4 == 0, F.concat(F.lit("const f"), i.cast("string"), F.lit(" = g( // const f4 = {"))).when(i % 4 == 1, F.concat(F.lit('  "}{ \\" ;('), F.sha2("text", 256), F.lit('",'))).when(i % 4 == 2, F.lit("  /* ) }; */")).otherwise(F.lit(")"))
+    docs = table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda t, i: line(i)), "\n").alias("body"))
+    return docs.select("doc_id", code.symbol_slice(F.col("body"), F.lit("f4"), F.lit("a.ts")).alias("s")).select("doc_id", "s.start", "s.end", F.sha2("s.text", 256).alias("hash"))
+
+
+_LITERAL = "a.b*(c|d)[e]$"
+
+
+@query(rf"""with {SQL_BASE}, nw as (select max(ts_ms) as n from base), x as (select seq, n - ts_ms as age, case k % 5 when 0 then 'f.py' when 1 then 'd.x/f.PYI' when 2 then 'f.ts' when 3 then 'py' else 'f.coffee' end as path, case when k % 3 = 0 then 'x{_LITERAL}y' else 'xa_bbb(c|d)ey' end as t from base, nw)
+select seq, case when age < 120000 then greatest(1, cast(floor(age / 1000 + 0.5) as bigint)) || 's ago' else cast(floor(age / 60000 + 0.5) as bigint) || 'min ago' end as age, case when lower(regexp_extract(path, '(\.[^./\\]*)$', 1)) in ('.py', '.pyi', '.pyw', '.coffee') then 'indent' else 'brace' end as family, contains(t, '{_LITERAL}') as literal from x""")
+def small_functions(spark, sf):
+    """Ages as texts, families of languages by suffix, names taken literally in a pattern."""
+    b = with_now(base_events(spark, sf))
+    kind = F.col("k") % 5
+    path = F.when(kind == 0, "f.py").when(kind == 1, "d.x/f.PYI").when(kind == 2, "f.ts").when(kind == 3, "py").otherwise("f.coffee")
+    text = F.when(F.col("k") % 3 == 0, f"x{_LITERAL}y").otherwise("xa_bbb(c|d)ey")
+    return b.select("seq", content.age_text(F.col("_now") - F.col("ts_ms")).alias("age"), content.language_family(path).alias("family"), text.rlike(content.quoted(_LITERAL)).alias("literal"))
+
+
 def _versions(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", F.concat(F.lit("s"), (F.col("doc_id") % 40).cast("string")).alias("session"))
     rows = docs.select("session", F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.concat(F.col("text"), F.lit("\n" if v else ""), F.lit(f"line {v // 2}" if v else "")).alias("content")) for v in range(4)])).alias("x"), "doc_id")

@@ -57,6 +57,20 @@ def test_receipts_verify_and_show_tampering(spark):
     assert not api.verify_context_receipt(receipt | {"artifact": "other"}, signature, "key")
 
 
+def test_written_receipts(spark, tmp_path):
+    """The signature of the document on the driver, from rows that tasks have written."""
+    m, ev = meter_events(spark, SF).withColumn("excluded", F.col("path") == "/r1/f4"), archive_events(spark, SF)
+    for n, events in enumerate((None, ev)):
+        path = str(tmp_path / str(n))
+        signature = api.write_receipt(m, 'an "artifact" é', "2026-01-01T00:00:00.000Z", "key", path, events)
+        assert signature == api.context_receipt(m, 'an "artifact" é', "2026-01-01T00:00:00.000Z", "key", events)[1]
+        assert api.verify_receipt(spark, path, signature, "key") and not api.verify_receipt(spark, path, signature, "other") and not api.verify_receipt(spark, path, None, "key")
+        spark.createDataFrame([(1 << 50, "{}")], "n long, json string").write.mode("append").parquet(f"{path}/files")
+        assert not api.verify_receipt(spark, path, signature, "key")
+    empty = str(tmp_path / "empty")
+    assert api.write_receipt(m.limit(0), "a", "t", "key", empty) == api.context_receipt(m.limit(0), "a", "t", "key")[1]
+
+
 def test_stats_blame_and_status(spark):
     stats = api.context_stats(meter_events(spark, SF))
     assert stats["totals"].first().saved_usd.startswith("$") and stats["by_repo"].count() == 3 and stats["top_files"].count() == 8
