@@ -1038,6 +1038,15 @@ def _streamed(spark, rows, through):
     return spark.read.schema(out.schema).parquet(f"{at}/out")
 
 
+@query(SQL["ledger_kinds"])
+def stream_ledger(spark, sf):
+    """Delivery under a ledger of 4000 bytes as a stream: the same answers as in batch."""
+    from ..streaming.ledger import delivery_stream
+
+    rows = read_requests(spark, sf).select("session", "seq", "path", "view", "epoch", "hash", "bytes", F.lit(False).alias("force"))
+    return _streamed(spark, rows, lambda r: delivery_stream(r, 4000)).select("session", "seq", "kind", "base_hash")
+
+
 _CF_SQL = f"""with {SQL_BASE}, {sql_presence("edits", "pe")}, {sql_presence("intents", "pi")}, w as (select path as key, 'intent' as kind, sid, agent, ts, seq from pi where seq % 3 > 0 union all select path, 'landed', sid, agent, ts, seq from pe where seq % 3 > 0),
 a as (select path as key, sid, agent, ts, seq as ask, ts - 600000 as seen_ts, case when seq % 2 = 0 then 'h' end as seen_hash from pe where seq % 3 = 0)"""
 

@@ -1,7 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
-from sparkloom.operators import guard
-from sparkloom.streaming import seen
+from sparkloom.operators import delivery, guard
+from sparkloom.streaming import ledger, seen
 
 COLUMNS = "session string, kind string, key string, ts long, hash string, ask long, tool string, exists boolean, disk_hash string"
 
@@ -76,6 +78,20 @@ def test_idle_sessions_are_forgotten(spark, tmp_path):
     assert got == {1: "allow", 2: "never-seen"}
 
 
+def test_ledger_equals_batch(spark, tmp_path):
+    """Reads of two sessions in batches, with new epochs, forced reads, sizes below a marker and files larger than the ledger."""
+    rng, rows = random.Random(3), []
+    for n in range(240):
+        path = f"/f{rng.randrange(7)}"
+        version = rng.randrange(3)
+        rows.append((rng.choice("st"), n, path, rng.choice(["full", "full", "lines:1-2"]), n // 90, f"{path}{version}", rng.choice([10, 256, 257, 700, 1500, 5000]) + version, rng.random() < 0.1))
+    schema = "session string, seq long, path string, view string, epoch long, hash string, bytes long, force boolean"
+    got = run(spark, tmp_path, "ledger", schema, [rows[:50], rows[50:51], rows[51:180], rows[180:]], lambda r: ledger.delivery_stream(r, 4000))
+    want = delivery.decide(spark.createDataFrame(rows, schema), force=F.col("force"), ledger_bytes=4000).select("session", "seq", "kind", "base_hash").collect()
+    assert sorted((r.session, r.seq, r.kind, r.base_hash) for r in got) == sorted(map(tuple, want))
+    assert len({r.kind for r in got}) == 3
+
+
 def test_conflicts_by_file(spark, tmp_path):
     columns = "key string, kind string, sid string, agent string, ts long, ask long, verdict string, tool string, exists boolean, seen_ts long, seen_hash string"
     wrote = lambda k, kind, sid, ts: (k, kind, sid, "main", ts, None, None, None, None, None, None)
