@@ -20,9 +20,12 @@ _HASHED = re.compile(r"""(?P<c>\#[^\n]*)|(?P<q>["'])(?:\\.|(?!(?P=q)).)*(?:(?P=q
 _STRING_PART = re.compile(r"\\.|\\\Z|[^\n]", re.S)
 _NOT_NEWLINE = re.compile(r"[^\n]")
 
-# Words that declare a symbol, operators after which a line goes on.
+# Words that declare a symbol, what an arrow function's and a method's declaration look like (NAME is the symbol's), operators
+# after which a line goes on.
 _MODIFIERS = r"(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:public\s+|private\s+|protected\s+|static\s+|final\s+)*"
 _DECLARERS = r"(?:function|class|interface|type|enum|struct|trait|impl|module|namespace|def|fn|func|const|let|var)"
+_ARROW = r"NAME\s*[:=]\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*=>"
+_METHOD = r"NAME\s*(?:<[^>]*>)?\s*\([^)]*\)\s*(?::[^={]+)?\{"
 _GOES_ON = re.compile(r"[=,(\[{|&+\-.<]\s*$")
 #: Lines after a declaration in which its brace may open; lines that a declaration without one may take.
 OPENS_WITHIN, CONTINUES_WITHIN = 8, 40
@@ -81,13 +84,8 @@ def _braced_end(lines: list[str], at: int) -> int:
 
 def find_symbol(text: str, name: str, path: str) -> tuple[str, int, int] | None:
     """(text, first line, last line) of the first declaration of name, counted from 1; None without one."""
-    n = re.escape(name)
-    declares = re.compile(
-        rf"(?:^|[^\w$])(?:{_MODIFIERS}{_DECLARERS}\s+{n}\b"
-        rf"|{n}\s*[:=]\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*=>"
-        rf"|{n}\s*(?:<[^>]*>)?\s*\([^)]*\)\s*(?::[^={{]+)?\{{)",
-        re.A,
-    )
+    forms = "|".join([rf"{_MODIFIERS}{_DECLARERS}\s+NAME\b", _ARROW, _METHOD])
+    declares = re.compile(rf"(?:^|[^\w$])(?:{forms})".replace("NAME", re.escape(name)), re.A)
     masked = mask(text, path).split("\n")
     at = next((i for i, line in enumerate(masked) if declares.search(line)), None)
     if at is None:

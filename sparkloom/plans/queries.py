@@ -83,11 +83,10 @@ def pack_budget_scans(spark, sf):
     return _picked(spark, budget.pick(_pack_candidates(spark, sf), "score", "path", "tok", 700, 30))
 
 
-@query(_PACK_SQL + _GREEDY_SQL.format(budget=1500).replace("g.n < 8 and ", "").replace("from st)", "from (select * from st order by score desc, path limit 40))") + " select path, tok, spent from g where taken")
+@query(_PACK_SQL + _GREEDY_SQL.format(budget=1500).replace("g.n < 8 and ", "") + " select path, tok, spent from g where taken")
 def pack_budget_folded(spark, sf):
-    """The same walk over a ranking that was cut before, in one fold."""
-    ranked = _pack_candidates(spark, sf).orderBy(F.desc("score"), "path").limit(40).withColumn("_down", -F.col("score"))
-    return budget.greedy(ranked, ["all"], ["_down", "path"], "tok", 1500).where("taken").select("path", "tok", "spent")
+    """The same walk without a number of picks, over the whole ranking."""
+    return budget.greedy(_pack_candidates(spark, sf), ["all"], [F.desc("score"), F.asc("path")], "tok", 1500).where("taken").select("path", "tok", "spent")
 
 
 # --- archive ----------------------------------------------------------------------------------------------------------
@@ -954,11 +953,11 @@ def transcript_scan(spark, sf):
     return found.select(F.regexp_extract("file", "g=([0-9]+)", 1).cast("long").alias("g"), "line", "value")
 
 
-@query("with f as (select doc_id % 40 as g, string_agg(sha256(text), chr(10) order by doc_id) || chr(10) as t from documents where doc_id % 40 % 9 <> 4 or doc_id < 400 group by 1) select g, strlen(t) as size, sha256(t) as hash from f where strlen(t) <= (select cast(median(strlen(t)) as bigint) from f) and g % 11 <> 3")
+@query("with f as (select case when doc_id % 9 = 4 then doc_id % 20 else doc_id % 40 end as g, string_agg(sha256(text), chr(10) order by doc_id) || chr(10) as t from documents group by 1) select g, strlen(t) as size, sha256(t) as hash from f where strlen(t) <= (select cast(median(strlen(t)) as bigint) from f) and g % 11 <> 3")
 def file_scan(spark, sf):
     """Files up to a size; of those, binary ones are left out."""
     at = _folder(spark, "files")
-    d = table(spark, sf, "documents").select((F.col("doc_id") % 40).alias("g"), "doc_id", F.sha2("text", 256).alias("v")).where("g % 9 <> 4 or doc_id < 400")
+    d = table(spark, sf, "documents").select(F.when(F.col("doc_id") % 9 == 4, F.col("doc_id") % 20).otherwise(F.col("doc_id") % 40).alias("g"), "doc_id", F.sha2("text", 256).alias("v"))
     first = F.row_number().over(Window.partitionBy("g").orderBy("doc_id")) == 1
     d = d.withColumn("value", F.when(first & (F.col("g") % 11 == 3), F.concat(F.lit("\x00"), F.substring("v", 2, 63))).otherwise(F.col("v")))
     d.repartition("g").sortWithinPartitions("g", "doc_id").select("value", "g").write.partitionBy("g").text(at)
