@@ -972,7 +972,7 @@ def blobs_put(spark, sf):
     at, docs = _folder(spark, "blobs"), table(spark, sf, "documents").withColumn("content", F.col("text"))
     for part in ("doc_id % 2 = 0", "doc_id % 3 = 0", "true"):
         stores.put_blobs(spark, stores.as_blobs(docs.where(part), F.col("doc_id")), at)
-    return spark.read.parquet(at).groupBy("hash").agg(F.bool_and(content.content_hash(F.col("content")) == F.col("hash")).alias("same"), F.count("*").alias("stored"))
+    return stores.read_blobs(spark, at).groupBy("hash").agg(F.bool_and(content.content_hash(F.col("content")) == F.col("hash")).alias("same"), F.count("*").alias("stored"))
 
 
 @query(f"with {_PR_SQL} select sid, agent, count(*) as edits, max(ts) as last_ms from pe where not (sid = '3' and agent = '1') group by 1, 2 union all select '3', '1', 1, 7")

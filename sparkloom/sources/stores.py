@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from ..schemas import ARCHIVE_EVENT, BLOB, MANIFEST, PRESENCE
 DAY_MS = 86_400_000
 #: Splits of transcripts whose places are broadcast; those of more are joined.
 BROADCAST_SPLITS = 100_000
+#: Blobs that are looked up in the store by name.
+NAMED = 1000
 
 
 def event_ms(ts: Column) -> Column:
@@ -69,15 +72,39 @@ def new_blobs(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     return candidates.join(stored.select("hash"), "hash", "left_anti")
 
 
+def _part(hash_: Column) -> Column:
+    return F.substring(hash_, 1, 2)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    kind = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in BLOB)}, _put string, part string"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(kind).parquet(path) if there else spark.createDataFrame([], kind)
+
+
+def stored_among(spark: SparkSession, candidates: DataFrame, path: str) -> DataFrame:
+    """(hash): those of the candidates that the store holds. Of the store only hashes are read, and never shuffled while the candidates are few:
+    up to NAMED are looked up by name, in the folders of their first digits, where files are sorted by hash and have bloom filters; of more,
+    Spark broadcasts the candidates while they are small."""
+    stored, hashes = _stored(spark, path).select("part", "hash"), candidates.select(_part(F.col("hash")).alias("part"), "hash").distinct()
+    few = hashes.limit(NAMED + 1).collect()
+    if len(few) <= NAMED:
+        return stored.where(F.col("part").isin(sorted({r.part for r in few})) & F.col("hash").isin([r.hash for r in few])).select("hash").distinct()
+    return stored.join(hashes, ["part", "hash"], "left_semi").select("hash").distinct()
+
+
 def put_blobs(spark: SparkSession, candidates: DataFrame, path: str) -> None:
-    try:
-        stored = spark.read.schema(BLOB).parquet(path)
-        stored.isEmpty()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        stored = spark.createDataFrame([], BLOB)
-    new_blobs(candidates, stored).select(*BLOB.names).write.mode("append").parquet(path)
+    """Add what the store lacks, in folders by the hash's first digits. Two puts at once may both add a blob: read_blobs gives it once."""
+    new = new_blobs(candidates, stored_among(spark, candidates, path)).select(*BLOB.names, F.lit(uuid.uuid4().hex).alias("_put"), _part(F.col("hash")).alias("part"))
+    new.repartition("part").sortWithinPartitions("part", "hash").write.mode("append").option("parquet.bloom.filter.enabled#hash", "true").partitionBy("part").parquet(path)
+
+
+def read_blobs(spark: SparkSession, path: str) -> DataFrame:
+    """The store's blobs, one row a hash."""
+    rows = _stored(spark, path)
+    twice = rows.groupBy("hash").agg(F.min("_put").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return rows.join(twice, "hash", "left").where(F.coalesce(F.col("_first") == F.col("_put"), F.lit(True))).select(*BLOB.names)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -38,6 +38,32 @@ def test_blobs_are_stored_once(spark, tmp_path):
     assert sorted(r.content for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
 
 
+@pytest.mark.parametrize("named", [0, 1000])
+def test_a_put_leaves_the_store_where_it_is(spark, tmp_path, monkeypatch, named):
+    monkeypatch.setattr(stores, "NAMED", named)
+    path = str(tmp_path / "blobs")
+    blobs = lambda texts: stores.as_blobs(spark.createDataFrame([(t,) for t in texts], "content string"), F.lit(1))
+    stores.put_blobs(spark, blobs([f"old {k}" for k in range(300)]), path)
+    some = blobs(["old 7", "new", "old 299"])
+    found = stores.stored_among(spark, some, path)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.hash for r in found.collect()) == sorted(r.hash for r in blobs(["old 7", "old 299"]).collect())
+    executed = found._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("Relation")[0].split("Project [hash")[0]
+    if named:
+        assert "PartitionFilters: [part" in executed and "In(hash" in executed
+    else:
+        assert "BroadcastHashJoin" in executed
+    # two puts that don't see each other
+    late = stores.stored_among
+    monkeypatch.setattr(stores, "stored_among", lambda s, c, p: late(s, c, p).limit(0))
+    stores.put_blobs(spark, some, path)
+    monkeypatch.setattr(stores, "stored_among", late)
+    stores.put_blobs(spark, some, path)
+    held = [r.content for r in stores.read_blobs(spark, path).collect()]
+    assert len(held) == 301 and len(set(held)) == 301 and spark.read.parquet(path).count() == 303
+
+
 def test_transcript_lines_are_numbered(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text("x\r\n\ny\n")
     assert [(r.line, r.value) for r in stores.read_transcripts(spark, str(tmp_path)).collect()] == [(0, "x"), (2, "y")]
