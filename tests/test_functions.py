@@ -1,7 +1,6 @@
 import hashlib
 import hmac
 
-import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import attest, code, content, paths, transcripts
