@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 import pyarrow as pa
@@ -31,9 +33,35 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     _written[table] = path
+    if _scratch:
+        _scratch[-1].add(path)
     return table
 
 
+_scratch: list[set[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A stretch of work whose tables by cut() are deleted at its end, but for those handed to what this yields: the only ones that results may
+    still read."""
+    _scratch.append(set())
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(_written[table])
+        return table
+
+    try:
+        yield keep
+    finally:
+        made = _scratch.pop()
+        for path in made - kept:
+            delete(spark, path)
+        if _scratch:
+            _scratch[-1].update(kept)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
