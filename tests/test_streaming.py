@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sparkloom.operators import delivery, guard
@@ -133,3 +134,73 @@ def test_stream_dedup_of_edits(spark, tmp_path):
         assert sorted((r.sid, r.agent, r.ts, r.hash) for r in spark.table("edits_once").collect()) == [("s", "a", 2600, "h"), ("s", "a", 9000, None), ("s", "b", 2500, None)]
     finally:
         q.stop()
+
+
+class Store:
+    """A state store in memory that counts what is asked of it."""
+
+    def __init__(self):
+        self.states, self.calls = {}, 0
+
+    def getMapState(self, name, *kinds):
+        return self.states.setdefault(name, Entries(self))
+
+    getValueState = getMapState
+
+
+class Entries:
+    def __init__(self, store):
+        self.store, self.kept = store, {}
+
+    def exists(self):
+        return None in self.kept
+
+    def get(self):
+        return self.kept[None]
+
+    def update(self, value):
+        self.kept[None] = value
+
+    def containsKey(self, key):
+        self.store.calls += 1
+        return key in self.kept
+
+    def getValue(self, key):
+        self.store.calls += 1
+        return self.kept[key]
+
+    def updateValue(self, key, value):
+        self.store.calls += 1
+        self.kept[key] = value
+
+    def removeKey(self, key):
+        self.store.calls += 1
+        del self.kept[key]
+
+    def iterator(self):
+        self.store.calls += len(self.kept)
+        return iter(list(self.kept.items()))
+
+    def clear(self):
+        self.kept.clear()
+
+
+def calls(processor, columns, batches):
+    """Rows that a processor gives for one group, and what the last batch asked of the store."""
+    store, out = Store(), []
+    processor.init(store)
+    for batch in batches:
+        store.calls = 0
+        frames = [pd.DataFrame(batch[at : at + 100], columns=columns) for at in range(0, len(batch), 100)]
+        out += [r for pdf in processor.handleInputRows(("s",), iter(frames), None) for r in pdf.itertuples(index=False)]
+    return out, store.calls
+
+
+def test_rows_of_one_millisecond(spark, tmp_path):
+    """An edit doesn't see marks of its own millisecond, but loses what a reset of it takes; of equally new marks the last hash counts, whatever their order."""
+    mark = lambda k, t, h: ("s", "mark", k, t, h, None, None, None, None)
+    edit = lambda k, t, ask: ("s", "edit", k, t, None, ask, "Edit", True, "h")
+    rows = [mark("/a", 1, "h"), mark("/a", 5, "g"), edit("/a", 5, 1), edit("/a", 6, 2), mark("/b", 3, "z"), mark("/b", 3, "h"), edit("/b", 4, 3), mark("/c", 5, "h"), edit("/c", 5, 4), edit("/a", 9, 5), ("s", "reset", None, 9, None, None, None, None, None)]
+    for n, batch in enumerate((rows, rows[::-1])):
+        got = {r.ask: (r.verdict, r.seen_ts) for r in run(spark, tmp_path / str(n), f"ties{n}", COLUMNS, [batch], seen.guard_stream)}
+        assert got == {1: ("allow", 1), 2: ("drift", 5), 3: ("drift", 3), 4: ("never-seen", None), 5: ("never-seen", 5)}
