@@ -1,8 +1,8 @@
 """Delivery as a stream: each session's ledger of what it has been sent, kept as keyed state.
 
 The ledger remembers what was sent last of each file, oldest first, as far as a number of bytes goes. Entries are map state by file, and by the
-place at which they were sent: an answer touches its own entry, and forgetting takes places from the oldest on, each once. A read
-of another epoch begins a new ledger.
+place at which they were sent: an answer touches its own entry, and forgetting takes places from the oldest on, each once. A batch fetches
+an entry once and puts it back once; places that it makes and takes never reach the store. A read of another epoch begins a new ledger.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.delivery import LEDGER_BYTES, MARKER_BYTES
-from .seen import B, L, S, _fields
+from .seen import B, Fetched, L, S, _fields, given, in_order
 
 SENT = _fields(session=S, seq=L, path=S, view=S, kind=S, base_hash=S)
 _FILE, _ENTRY, _AT, _NAME = _fields(path=S, view=S), _fields(hash=S, bytes=L, at=L), _fields(at=L), _fields(path=S, view=S)
@@ -32,35 +32,40 @@ class LedgerProcessor(StatefulProcessor):
         self.head = handle.getValueState("head", _HEAD)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        yield from given(self._sent(key[0], rows), SENT.names)
+
+    def _sent(self, session: str, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         epoch, known, held, next_, oldest = tuple(self.head.get()) if self.head.exists() else (0, False, 0, 0, 0)
-        out = []
-        for r in sorted((r for pdf in rows for r in pdf.itertuples(index=False)), key=lambda r: r.seq):
+        begin = next_
+        entries, places = Fetched(self.entries), Fetched(self.places, lambda at: at[0] >= begin)
+        for r in in_order(rows, "seq"):
             if known and r.epoch != epoch:
-                self.entries.clear()
-                self.places.clear()
-                held = next_ = oldest = 0
+                entries.clear()
+                places.clear()
+                begin = held = next_ = oldest = 0
             epoch, known, file = int(r.epoch), True, (r.path, r.view)
-            before = tuple(self.entries.getValue(file)) if self.entries.containsKey(file) else None
+            before = entries.get(file)
             held_hash = before[0] if before and not r.force else None
             kind = "full" if held_hash is None else "changed" if held_hash != r.hash else "unchanged" if r.bytes > MARKER_BYTES else "full"
-            out.append((key[0], int(r.seq), r.path, r.view, kind, held_hash if kind != "full" else None))
+            yield session, int(r.seq), r.path, r.view, kind, held_hash if kind != "full" else None
             if kind == "unchanged":
                 continue  # it keeps its place
             if before:
                 held -= before[1]
-                self.places.removeKey((before[2],))
-            self.entries.updateValue(file, (r.hash, int(r.bytes), next_))
-            self.places.updateValue((next_,), file)
+                places.remove((before[2],))
+            entries.put(file, (r.hash, int(r.bytes), next_))
+            places.put((next_,), file)
             held, next_ = held + int(r.bytes), next_ + 1
             while held > self.ledger_bytes and oldest < next_ - 1:  # never what was just sent
-                if self.places.containsKey((oldest,)):
-                    gone = tuple(self.places.getValue((oldest,)))
-                    held -= tuple(self.entries.getValue(gone))[1]
-                    self.entries.removeKey(gone)
-                    self.places.removeKey((oldest,))
+                gone = places.get((oldest,))
+                if gone:
+                    held -= entries.get(gone)[1]
+                    entries.remove(gone)
+                    places.remove((oldest,))
                 oldest += 1
+        entries.put_back()
+        places.put_back()
         self.head.update((epoch, known, held, next_, oldest))
-        yield pd.DataFrame(out, columns=SENT.names)
 
     def close(self) -> None:
         pass

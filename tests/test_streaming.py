@@ -204,3 +204,13 @@ def test_rows_of_one_millisecond(spark, tmp_path):
     for n, batch in enumerate((rows, rows[::-1])):
         got = {r.ask: (r.verdict, r.seen_ts) for r in run(spark, tmp_path / str(n), f"ties{n}", COLUMNS, [batch], seen.guard_stream)}
         assert got == {1: ("allow", 1), 2: ("drift", 5), 3: ("drift", 3), 4: ("never-seen", None), 5: ("never-seen", 5)}
+
+
+def test_ledger_fetches_entries_once():
+    """2,000 reads of ten files under a ledger that forgets: the store is asked for files, not for reads."""
+    rng = random.Random(5)
+    rows = [(n, f"/f{rng.randrange(10)}", "full", 0, f"h{rng.randrange(3)}", 700, False) for n in range(4000)]
+    got, asked = calls(ledger.LedgerProcessor(4000), ["seq", "path", "view", "epoch", "hash", "bytes", "force"], [rows[:2000], rows[2000:]])
+    alone, _ = calls(ledger.LedgerProcessor(4000), ["seq", "path", "view", "epoch", "hash", "bytes", "force"], [[r] for r in rows])
+    assert got == alone and len(got) == 4000 and {r.kind for r in got} == {"full", "changed", "unchanged"}
+    assert asked < 200
