@@ -11,6 +11,7 @@ conflict_stream takes the verdicts on by file: what other writers are about to e
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -221,40 +222,49 @@ class ConflictProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.wrote = handle.getMapState("wrote", _WRITER, _WROTE, self.keep_ms)
 
-    def _conflict(self, own: tuple[str, str], now: int, seen: int | None, seen_hash: str | None):
-        others = sorted((tuple(w), tuple(x)) for w, x in self.wrote.iterator() if tuple(w) != own)
-        for kind in ("in-flight", "landed-edit"):
-            for writer, (intent, edit) in others:
-                if kind == "in-flight" and intent is not None and 0 <= now - intent <= self.fresh_ms and not (seen is not None and seen > intent):
-                    return kind, writer
-                if kind == "landed-edit" and edit is not None and seen is not None and not seen_hash and edit > seen:
-                    return kind, writer
-        return None, (None, None)
+    def _conflict(self, wrote: Fetched, writers: list[tuple[str, str]], own: tuple[str, str], now: int, seen: int | None, seen_hash: str | None):
+        landed = None
+        for writer in writers:
+            held = wrote.get(writer) if writer != own else None
+            if held is None:
+                continue
+            intent, edit = held
+            if intent is not None and 0 <= now - intent <= self.fresh_ms and not (seen is not None and seen > intent):
+                return "in-flight", writer
+            if landed is None and edit is not None and seen is not None and not seen_hash and edit > seen:
+                landed = writer
+        return ("landed-edit", landed) if landed else (None, (None, None))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for r in sorted((r for pdf in rows for r in pdf.itertuples(index=False)), key=lambda r: (r.ts, r.ask if pd.notna(r.ask) else -1)):
+        yield from given(self._told(rows), CONFLICTS.names, ("ask",))
+
+    def _told(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        wrote = Fetched(self.wrote)
+        writers = sorted(k for k, _ in wrote.items())
+        for r in in_order(rows, "ts", _asked):
             own = (r.sid, _text(r.agent) or "")
-            intent, edit = tuple(self.wrote.getValue(own)) if self.wrote.containsKey(own) else (None, None)
+            held = wrote.get(own)
+            intent, edit = held or (None, None)
             if r.kind == "intent":
-                intent = max(intent or 0, int(r.ts))
+                if edit is None or r.ts > edit:
+                    intent = max(intent or 0, int(r.ts))
             elif r.kind == "landed":
                 # an edit that has landed ends the writer's intents up to it
                 edit = max(edit or 0, int(r.ts))
-                intent = intent if intent is not None and intent > r.ts else None
+                intent = intent if intent is not None and intent > edit else None
             else:
                 seen = int(r.seen_ts) if pd.notna(r.seen_ts) else None
                 asked = r.tool in GUARDED and bool(r.exists)
-                kind, other = self._conflict(own, int(r.ts), seen, _text(r.seen_hash)) if r.verdict == "allow" and asked else (None, (None, None))
+                kind, other = self._conflict(wrote, writers, own, int(r.ts), seen, _text(r.seen_hash)) if r.verdict == "allow" and asked else (None, (None, None))
                 allowed = r.verdict == "allow" and kind is None
                 if allowed and asked and self.asks_become_intents:
                     intent = max(intent or 0, int(r.ts))
-                out.append((int(r.ask), r.verdict, kind, *other, allowed, allowed and asked))
-            if intent is not None or edit is not None:
-                self.wrote.updateValue(own, (intent, edit))
-            elif self.wrote.containsKey(own):
-                self.wrote.removeKey(own)
-        yield pd.DataFrame(out, columns=CONFLICTS.names).astype({"ask": "Int64"})
+                yield int(r.ask), r.verdict, kind, *other, allowed, allowed and asked
+            if (intent, edit) != (held or (None, None)):
+                if held is None:
+                    insort(writers, own)
+                wrote.put(own, (intent, edit))
+        wrote.put_back()
 
     def close(self) -> None:
         pass

@@ -214,3 +214,22 @@ def test_ledger_fetches_entries_once():
     alone, _ = calls(ledger.LedgerProcessor(4000), ["seq", "path", "view", "epoch", "hash", "bytes", "force"], [[r] for r in rows])
     assert got == alone and len(got) == 4000 and {r.kind for r in got} == {"full", "changed", "unchanged"}
     assert asked < 200
+
+
+def test_conflicts_fetch_writers_once():
+    """Asks of a file with thirty writers; an intent that comes with or before its writer's landed edit is over, whichever row is first."""
+    rng = random.Random(6)
+    columns = ["key", "kind", "sid", "agent", "ts", "ask", "verdict", "tool", "exists", "seen_ts", "seen_hash"]
+    rows = []
+    for n in range(2000):
+        kind = rng.choice(["intent", "landed", "ask"])
+        own = (kind, f"s{rng.randrange(10)}", f"a{rng.randrange(3)}", n * 100)
+        rows.append(("k", *own, n, "allow", "Edit", True, n * 100 - 5000, None) if kind == "ask" else ("k", *own, None, None, None, None, None, None))
+    got, asked = calls(seen.ConflictProcessor(9000, None, False), columns, [rows[:1000], rows[1000:]])
+    alone, _ = calls(seen.ConflictProcessor(9000, None, False), columns, [[r] for r in rows])
+    assert got == alone and {r.conflict for r in got} >= {"in-flight"}
+    assert asked < 200
+    wrote = lambda kind: ("k", kind, "t", "a", 50, None, None, None, None, None, None)
+    ask = ("k", "ask", "s", "a", 60, 1, "allow", "Edit", True, 10, "h")
+    for first, second in (("intent", "landed"), ("landed", "intent")):
+        assert [r.conflict for r in calls(seen.ConflictProcessor(9000, None, False), columns, [[wrote(first), wrote(second), ask]])[0]] == [None]
