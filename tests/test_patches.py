@@ -85,3 +85,10 @@ def test_columns(spark):
     df = spark.createDataFrame([("a\n", "b\n", "p"), (None, "b", "p"), ("a", None, "p"), ("a", "b", None), ("x" * 500 + "\na\n", "x" * 500 + "\nb\n", "p")], "a string, b string, p string")
     got = df.select(patches.unified_patch("a", "b", "p").alias("u"), patches.smaller_patch("a", "b", "p").alias("s"), patches.patched("a", patches.unified_patch("a", "b", "p")).alias("n"), F.col("b")).collect()
     assert [r.n for r in got] == ["b\n", None, None, None, got[4].b] and [r.s is None for r in got] == [True] * 4 + [True] and got[0].u.startswith("Index: p\n")
+
+
+def test_rows_reach_python_by_the_hundred(spark):
+    """Not by Arrow batches of 10,000 texts."""
+    df = spark.createDataFrame([("a", "b")], "a string, b string")
+    plan = df.select(patches.patched("a", patches.unified_patch("a", "b", F.lit("p"))))._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
