@@ -101,3 +101,20 @@ def test_columns_named_like_inner_ones(spark, tmp_path):
     by_id = {r[0]: r for r in rows}
     assert kept and all(list(r)[5:] == by_id[r[0]][5:] for r in kept)
     assert sum(p.length for p in corpus_pipeline.pack_windows(spark, docs, "").collect()) > len(kept)
+
+
+def test_near_dedup_meets_by_pigeonring(spark, monkeypatch):
+    """The stage's first pairs come from op1's filter, are verified, and those beyond two bits are found as well."""
+    from sparkloom.llm import simhash
+
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join([*words[:270], *"abcdefghij"]), " ".join(words[::-1]), " ".join(words), ""]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts, 1)], "doc_id long, text string")
+    found, real = [], simhash.near_pairs
+    monkeypatch.setattr(simhash, "near_pairs", lambda *a, **k: found.append(real(*a, **k)) or found[-1])
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in left.collect()) == [1, 4, 6]
+    assert len(found) == 1
+    pairs = simhash.near_pairs(docs, shingle=5)
+    near = {(u, v) for u in range(1, 7) for v in range(u + 1, 7) if bin(simhash.simhash(texts[u - 1], 5) ^ simhash.simhash(texts[v - 1], 5)).count("1") <= 2}
+    assert {tuple(r) for r in pairs.collect()} <= near and (1, 5) in near
