@@ -121,10 +121,13 @@ def links(classes: DataFrame) -> DataFrame:
     return near.unionByName(hung)
 
 
-def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """docs -> pairs (u, v) of long ids, u < v, that reach every link of at most two differing bits; ids beyond longs take no part."""
+def near_pairs(docs: DataFrame, without: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """docs -> pairs (u, v) of long ids, u < v, that reach every link of at most two differing bits; ids beyond longs and those in without(id) take
+    no part."""
     largest = F.lit((1 << 63) - 1)
     fps = cut(fingerprints(docs.where(F.col(id_col) <= largest), id_col, text_col, shingle), "simhash-fp")
+    if without is not None:
+        fps = fps.join(without.select(F.col(id_col).cast("long").alias(id_col)), id_col, "left_anti")
     classes = fps.groupBy("fp").agg(F.min(id_col).alias("rep"))
     same = fps.join(classes, "fp").where(F.col(id_col) > F.col("rep")).select(F.col("rep").alias("u"), F.col(id_col).alias("v"))
     found = links(classes).select("u", "v").unionByName(same).distinct()
