@@ -18,9 +18,12 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
+from sys import maxunicode
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -30,6 +33,8 @@ from .common import give_back, new_folder
 WINDOW, END_ID = 2048, 1
 #: Tokens that a shard holds, about; neighbours that are put in order at a time.
 SHARD_TOKENS, FETCH = 1_000_000, 16
+#: Weights that a shard's index holds as a table of terms by documents; larger ones are held as lists.
+TABLE = 1 << 22
 K1, B = 1.2, 0.75
 
 
@@ -44,11 +49,14 @@ class Table(dict):
 
     def __missing__(self, key):
         value = self.function(key)
+        self.remember(key, value)
+        return value
+
+    def remember(self, key, value) -> None:
         if len(key) <= self.LONG:
             if len(self) >= self.REMEMBERED:
                 self.clear()
             self[key] = value
-        return value
 
 
 class Coder:
@@ -59,8 +67,11 @@ class Coder:
     tokenizer, with the space before it; its merges are asked for directly. All else goes through the whole tokenizer.
     """
 
-    LETTERS, MARKS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+"), ".,;:!?"
+    LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+")
+    MARKS = ".,;:!?#*$%&|<>"
     CUT, UNEVEN = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s\s")
+    #: Characters of texts that are looked at together; words that are kept from task to task, of each table.
+    TOGETHER, KEPT = 8 << 20, 150_000
 
     def __init__(self, tokenizer_file: str):
         # a task has one core: the library's own threads would take those of others
@@ -72,7 +83,9 @@ class Coder:
         # how the tokenizer writes bytes down as characters, learnt from the tokenizer
         written = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.letters = {c: "".join(x for x, _ in written(c)) for c in [" ", *map(chr, range(0x41, 0x2B0))] if c == " " or self.LETTERS.fullmatch(c)}
-        self.mark = {c: self._whole(c) for c in self.MARKS}
+        self.mark = Table(self._marks)
+        blank = "".join(c for c in map(chr, range(maxunicode + 1)) if c.isspace())
+        self.uneven = f"[{blank}][{blank}]"
         self.line = self._whole("\n")
         self.stretch, self.first, self.spaced = Table(self._whole), Table(self._first), Table(self._spaced)
 
@@ -80,13 +93,22 @@ class Coder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
     def _word(self, lead: str, word: str, table: Table) -> bytes:
-        if self.LETTERS.fullmatch(word):
-            ids = [t.id for t in self.merges.tokenize("".join(map(self.letters.__getitem__, lead + word)))]
-            return array("H", ids).tobytes()
-        if word[-1:] in self.mark and self.LETTERS.fullmatch(word, 0, len(word) - 1):
-            return table[word[:-1]] + self.mark[word[-1]]
+        letters = word.rstrip(self.MARKS)
+        if letters != word:
+            if letters and letters[-1] in self.letters and (ids := self.mark[word[len(letters) :]]) is not None and self.LETTERS.fullmatch(letters):
+                return table[letters] + ids
+        elif self.LETTERS.fullmatch(word):
+            return self._letters("".join(map(self.letters.__getitem__, lead + word)))
         return self._whole(lead + word)
 
+    def _letters(self, written: str) -> bytes:
+        return array("H", [t.id for t in self.merges.tokenize(written)]).tobytes()
+
+    def _marks(self, marks: str) -> bytes | None:
+        """Ids of marks after letters, if the tokenizer parts them from these as one stretch."""
+        parts = self.tokenizer.pre_tokenizer.pre_tokenize_str("a" + marks)
+        return self._whole(marks) if len(parts) == 2 and parts[0][1] == (0, 1) else None
+
     def _first(self, word: str) -> bytes:
         return self._word("", word, self.first)
 
@@ -94,9 +116,11 @@ class Coder:
         return self._word(" ", word, self.spaced)
 
     def forget(self) -> None:
-        """Empty the tables: a worker lives on, and so would they."""
+        """Empty the tables but for the words that were met first, mostly the commonest: a worker lives on, and so would they."""
         for table in (self.stretch, self.first, self.spaced):
+            kept = [*islice(table.items(), self.KEPT)]
             table.clear()
+            table.update(kept)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 16-bit numbers."""
@@ -110,6 +134,46 @@ class Coder:
         return b"".join(out[1:])
 
 
+    def _units(self, units: list[str]) -> pa.Array:
+        """Ids of words as they follow a space or, with a line's end before them, a line's end."""
+        found, space = list(map(self.spaced.get, units)), self.letters[" "]
+        for k, ids in enumerate(found):
+            if ids is None:
+                u = units[k]
+                if u.isascii() and u.isalpha():  # letters of ASCII are written as themselves
+                    found[k] = ids = self._letters(space + u)
+                    self.spaced.remember(u, ids)
+                else:
+                    found[k] = self.line + self.first[u[1:]] if u[:1] == "\n" else self.spaced[u]
+        return pa.array(found, type=pa.binary())
+
+    def _together(self, texts: pa.Array) -> list[bytes]:
+        """encode() of texts without white space in a row: each distinct word is looked up once, by its place among them."""
+        # one character begins each unit but those that follow a space
+        lines = pc.binary_join_element_wise("", pc.replace_substring(texts, "\n", " \n"), "\n")
+        parts = pc.split_pattern(lines, " ")
+        words = parts.flatten().dictionary_encode()
+        ids = self._units(words.dictionary.to_numpy(zero_copy_only=False).tolist()).take(words.indices)
+        ends = np.frombuffer(ids.buffers()[1], dtype=np.int32)[np.asarray(parts.offsets)].tolist()
+        flat = ids.buffers()[2].to_pybytes()
+        return [flat[a + len(self.line) : b] for a, b in zip(ends, ends[1:])]
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """encode() of many texts; nulls as empty."""
+        texts = pc.fill_null(texts, "")
+        out: list[bytes] = []
+        size = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + self.TOGETHER, side="right")))
+            some = texts.slice(at, end - at)
+            uneven = pc.match_substring_regex(some, self.uneven)
+            even = iter(self._together(some.filter(pc.invert(uneven))) if not pc.all(uneven).as_py() else [])
+            out += [self.encode(some[k].as_py()) if odd else next(even) for k, odd in enumerate(uneven.to_pylist())]
+            at = end
+        return out
+
+
 @lru_cache(maxsize=2)
 def coder(tokenizer_file: str) -> Coder:
     return Coder(tokenizer_file)
@@ -125,7 +189,7 @@ def tokenize(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(tokenizer_file)
         for b in batches:
-            ids = [c.encode(t or "") + end for t in b.column(1).to_pylist()]
+            ids = [x + end for x in c.encode_all(b.column(1))]
             n = [len(x) // 2 for x in ids]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, type=pa.binary()), pa.array(n, type=pa.int64())], names=["_id", "ids", "n"])
         c.forget()
@@ -192,9 +256,18 @@ class Index:
         self.spans = [slice(a, b) for a, b in zip(start[:-1].tolist(), start[1:].tolist())]
         self.queries = [own[shared[own]] for own in self.queries]
         self.n = len(docs)
+        self.table = None
+        if int(shared.sum()) * self.n <= TABLE:
+            row = np.cumsum(shared) - 1
+            held = shared[t[order]]
+            self.table = np.zeros((int(shared.sum()), self.n))
+            self.table[row[t[order][held]], self.owner[held]] = self.weight[held]
+            self.queries = [row[own] for own in self.queries]
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of the shard's documents for all terms of the seed that another document holds too."""
+        if self.table is not None:  # rows are added in the order of terms, as below
+            return self.table[self.queries[seed]].sum(axis=0)
         spans = [self.spans[t] for t in self.queries[seed].tolist()]
         if not spans:
             return np.zeros(self.n)

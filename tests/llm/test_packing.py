@@ -135,3 +135,38 @@ def test_a_window_takes_every_neighbour_first():
     index = packing.Index(docs, np.log(1 + (80 - df + 0.5) / (df + 0.5)), sum(map(len, docs)) / 80)
     order = [d for d, *_ in packing.fill([len(d) for d in docs], index, 1 << 20)]
     assert [d % 2 for d in order] == [0] * 40 + [1] * 40
+
+
+def test_texts_together(plain, monkeypatch):
+    """Texts looked at together get the ids of whole texts; each distinct word of a task is worked out once, marks after it or not."""
+    c = packing.Coder(FILE)
+    rng = random.Random(9)
+    texts = [None, "", " ", "\n", "a", " a", "a ", "\na", "a\n", "a\nb c.\nd", "a\u00a0b c\u3000d", "a\u2003\u2003b", "x###", "don't 's", "a<|endoftext|>b <|endoftext|> c", "née.. été&&& a|<>", "a'.b a.'s b!?'re"]
+    texts += ["".join(rng.choices(["ab", "Ça", " ", " ", "\n", "12", "!", "<|endoftext|>", "é", "'s", "\t", "$$$", "."], k=rng.randrange(40))) for _ in range(3000)]
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for size in (1, 300, 4 << 20):
+        monkeypatch.setattr(packing.Coder, "TOGETHER", size)
+        assert [np.frombuffer(x, dtype="<u2").tolist() for x in c.encode_all(packing.pa.array(texts, type=packing.pa.string()))] == want
+    monkeypatch.setattr(packing.Coder, "KEPT", 5)
+    c.forget()
+    assert len(c.spaced) == len(c.first) == 5
+    asked, real = [], packing.Coder._word
+    monkeypatch.setattr(packing.Coder, "_word", lambda self, lead, word, table: asked.append(lead + word) or real(self, lead, word, table))
+    fresh = packing.Coder(FILE)
+    fresh.encode_all(packing.pa.array(["stone water stone### water. stone water"] * 50))
+    assert sorted(asked) == [" stone", " stone###", " water.", "stone"]
+    fresh.forget()
+    fresh.encode_all(packing.pa.array(["stone water stone### water."]))
+    assert len(asked) == 4
+
+
+def test_scores_are_the_same_from_a_table_and_from_lists(monkeypatch):
+    rng = random.Random(6)
+    c = packing.Coder(FILE)
+    docs = [np.frombuffer(x + b"\x01\x00", dtype="<u2") for x in (c.encode(" ".join(w)) for w in corpus(rng, 90))] + [np.array([1], dtype="<u2")]
+    idf = np.random.default_rng(1).random(1 << 16)
+    table = packing.Index(docs, idf, 20.0)
+    monkeypatch.setattr(packing, "TABLE", 0)
+    lists = packing.Index(docs, idf, 20.0)
+    assert table.table is not None and lists.table is None
+    assert all((table.scores(k) == lists.scores(k)).all() for k in range(len(docs)))
