@@ -127,7 +127,7 @@ def near_pairs(docs: DataFrame, without: DataFrame | None = None, id_col: str =
     largest = F.lit((1 << 63) - 1)
     fps = cut(fingerprints(docs.where(F.col(id_col) <= largest), id_col, text_col, shingle), "simhash-fp")
     if without is not None:
-        fps = fps.join(without.select(F.col(id_col).cast("long").alias(id_col)), id_col, "left_anti")
+        fps = fps.join(without.select(F.col(id_col).try_cast("long").alias(id_col)), id_col, "left_anti")  # others are in neither
     classes = fps.groupBy("fp").agg(F.min(id_col).alias("rep"))
     same = fps.join(classes, "fp").where(F.col(id_col) > F.col("rep")).select(F.col("rep").alias("u"), F.col(id_col).alias("v"))
     found = links(classes).select("u", "v").unionByName(same).distinct()

@@ -1,4 +1,5 @@
 import random
+from decimal import Decimal
 
 import xxhash
 
@@ -78,3 +79,12 @@ def test_query_on_odd_rows(spark):
     assert all(r.component_id == want[r.doc_id] and r.fingerprint == f"{S.simhash(dict(rows)[r.doc_id]):016x}" for r in got if r.doc_id is not None)
     assert sorted((r.component_id or -1) for r in got if r.doc_id is None) == [-1, 200]
     assert S.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_left_out_ids_may_lie_beyond_longs(spark):
+    """Copies without an id stand under numbers beyond longs: they take no part, and leaving them out is no overflow."""
+    text, big = " ".join(f"w{k}" for k in range(40)), Decimal(18257816793136140811)
+    docs = spark.createDataFrame([(Decimal(k), text) for k in (1, 2, 3)] + [(big, text)], "id decimal(20,0), text string")
+    without = spark.createDataFrame([(big,), (Decimal(3),)], "id decimal(20,0)")
+    pairs = S.near_pairs(docs, without, "id", "text")
+    assert [(int(r.u), int(r.v)) for r in pairs.collect()] == [(1, 2)]
