@@ -884,8 +884,9 @@ def delivered(spark, sf):
 @query("select count(*) * 4 as reads, count(*) * 4 as same from documents")
 def reconstructed(spark, sf):
     reads = _versions(spark, sf)
-    held = delivery.reconstruct(delivery.deliver(reads))
-    return held.join(reads.select("session", "seq", "content"), ["session", "seq"]).agg(F.count("*").alias("reads"), F.count_if(F.col("text") == F.col("content")).alias("same"))
+    held = delivery.reconstruct(delivery.deliver(reads), dealt=True).select("session", "seq", content.content_hash(F.col("text")).alias("held"))
+    # texts and contents meet as SHA-256 hashes, never as a whole
+    return held.join(reads.select("session", "seq", "hash"), ["session", "seq"]).agg(F.count("*").alias("reads"), F.count_if(F.col("held") == F.col("hash")).alias("same"))
 
 
 @query("select doc_id, true as same from documents")

@@ -231,6 +231,24 @@ def test_reconstruct_walks_partitions(spark):
     assert {r.kind for r in sent.select("kind").distinct().collect()} == {"full", "unchanged", "diff"}
 
 
+def test_reconstructed_deals_contents_out_once(spark):
+    """One exchange holds contents, from reads to what the reader holds; rows that lie otherwise are refused, never walked wrongly."""
+    rng, body = random.Random(5), "".join(f"line {i}\n" for i in range(60))
+    reads = [(rng.choice("st"), n, f"/f{rng.randrange(20)}", "full", body + f"end {rng.randrange(3)}\n", rng.random() < 0.1, n // 150) for n in range(400)]
+    sent = delivery.deliver(_history(spark, reads))
+    held = delivery.reconstruct(sent, dealt=True)
+    wide = 0
+    assert {(r.session, r.seq): r.text for r in held.collect()} == {(r[0], r[1]): r[4] for r in reads}
+    plan = [held._jdf.queryExecution().executedPlan().initialPlan()]
+    while plan:
+        node = plan.pop()
+        plan += [node.children().apply(i) for i in range(node.children().size())]
+        wide += "Exchange" in node.nodeName() and bool({"content", "patch", "text", "_before"} & {a.name() for a in [node.output().apply(i) for i in range(node.output().size())]})
+    assert wide == 1
+    with pytest.raises(Exception, match="without a version before it"):
+        delivery.reconstruct(sent.orderBy(F.desc("seq")), dealt=True).collect()
+
+
 def test_sessions_are_ordered_without_contents(spark):
     """What is put in order by session alone has no contents in it."""
     sent = delivery.deliver(_history(spark, [("s", 1, "/a", "full", "x", False, 1)]))
