@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .common import cut, give_back
+from .common import cut, distinct, give_back
 
 #: Bound of the fit: labelled documents.
 MAX_LABELLED = 20_000
@@ -35,6 +35,8 @@ MAX_LABELLED = 20_000
 #: evidence that a token needs.
 PRIOR, OFFSET, DRIFT, EVIDENCE = 0.03, 1.5, 0.3, 1.5
 EXPECT = 0.05
+#: Pairs of words that a task of the fit gathers before it sends them.
+TOGETHER = 1 << 21
 
 #: Lower case for A-Z, a space for every other ASCII character that is no letter or digit.
 _TABLE = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
@@ -130,18 +132,36 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     texts = cut(mine.groupBy("_id", "_toxic", "_text").agg(F.count("*").alias("_n")).select("_toxic", "_text"), "toxic-sample")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bool, set[tuple[bytes, bytes]]] = {True: set(), False: set()}
+        """Distinct (word, word before, label): words by number, a pair in 64 bits, so that a task holds few bytes for each."""
+        number: dict[bytes, int] = {b"": 0}
+        held, size = [np.zeros(0, dtype=np.int64)], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            words = pa.array(number, type=pa.binary())
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), dtype=np.uint64, count=len(number)).view(np.int64)
+            every = distinct(np.concatenate(held))
+            for k in range(0, len(every), 1 << 16):
+                part = every[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(part >> 32)), pa.array(hashes[part >> 1 & 0x7FFFFFFF]), pa.array(part & 1 == 1)], names=["w", "before", "toxic"])
+
         for b in batches:
             for flag, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = tokens(text)
-                seen[flag].update(zip(words, [b"", *words]))
-        for flag, own in seen.items():
-            rows = list(own)
-            for k in range(0, len(rows), 1 << 16):
-                part = rows[k : k + (1 << 16)]
-                before = np.fromiter((xxhash.xxh64_intdigest(x) for _, x in part), dtype=np.uint64, count=len(part)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], type=pa.binary()), pa.array(before), pa.array([flag] * len(part))], names=["w", "before", "toxic"])
-        seen.clear()
+                own = tokens(text)
+                for w in set(own).difference(number):
+                    number[w] = len(number)
+                at = np.fromiter(map(number.__getitem__, own), dtype=np.int64, count=len(own))
+                code = at << 32 | int(flag)
+                code[1:] |= at[:-1] << 1
+                held.append(code)
+                size += len(code)
+                if size > TOGETHER // 2:
+                    held, size = [distinct(np.concatenate(held))], 0
+                    if len(held[0]) > TOGETHER or len(number) > TOGETHER:
+                        yield from out()
+                        held, number = [np.zeros(0, dtype=np.int64)], {b"": 0}
+        yield from out()
+        held.clear()
+        number.clear()
         give_back()
 
     once = texts.mapInArrow(pairs, "w binary, before long, toxic boolean").distinct()

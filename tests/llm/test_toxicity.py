@@ -107,3 +107,14 @@ def brute_segments_fast(s):
         now = max(0.0, now + x)
         top = max(top, now)
     return [(0, 0, top)] if top else []
+
+
+def test_fit_gathers_pairs_in_little_memory(spark, monkeypatch):
+    """Word pairs are held as numbers and sent on when many; the fitted model is the same, however often that is."""
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choice(["vile", "scum"]) if k % 4 == 0 and n % 9 == 5 else f"w{rng.randrange(300)}" for n in range(60))) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(80)], "doc_id long, toxic int")
+    whole = T.fit(docs, labels, F.lit(True))
+    monkeypatch.setattr(T, "TOGETHER", 100)
+    assert T.fit(docs, labels, F.lit(True)).scores == whole.scores and {b"vile", b"scum"} <= set(whole.scores)
